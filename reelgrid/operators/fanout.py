@@ -112,5 +112,5 @@ def parse_rating_lists(responses: DataFrame) -> DataFrame:
 def parse_rating_numbers(responses: DataFrame) -> DataFrame:
     """The first run of digits in a response, as a percentage limited to [0, 1]; none gives no rating."""
     digits = non_empty(F.regexp_extract("response", r"([0-9]+)", 1))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), digits.cast("double") / 100.0))
-    return responses.withColumn("rating", share)
+    share = F.least(F.lit(1.0), digits.cast("double") / 100.0)
+    return responses.withColumn("rating", F.when(digits.isNotNull(), share))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from reelgrid.functions.vector import NORM_FLOOR, conformed, normalized, unit_score
 from reelgrid.operators.ranking import SCORE_DIGITS, top_k
 from reelgrid.schemas import LABEL_THRESHOLD, TOP_K_RETRIEVAL
-from reelgrid.spreading import fits
 
 MAX_SENT_VECTORS = 4096
 TILE_VECTORS = 16_384
@@ -94,8 +93,9 @@ def vector_search(
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, " + (
         f"segment_id {stored.schema['segment_id'].dataType.simpleString()}, similarity double"
     )
-    if fits(asked, max_sent):
-        best = _search_sent(asked, stored, kinds, k)
+    sent = asked.limit(max_sent + 1).toArrow()
+    if sent.num_rows <= max_sent:
+        best = _search_sent(sent, stored, kinds, k)
     else:
         best = _search_tiled(asked, stored, kinds, k, tile_vectors, tile_queries)
     best = best.withColumn("score", unit_score(F.col("similarity"), clamp))
@@ -112,8 +112,8 @@ def _by_width(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _search_sent(asked: DataFrame, stored: DataFrame, kinds: str, k: int) -> DataFrame:
-    sent = asked.sparkSession.sparkContext.broadcast(_by_width(asked.toArrow()))
+def _search_sent(asked: pa.Table, stored: DataFrame, kinds: str, k: int) -> DataFrame:
+    sent = stored.sparkSession.sparkContext.broadcast(_by_width(asked))
 
     def rank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -233,8 +233,8 @@ def zero_shot_labels(
         return table["pos"].to_numpy(), table["label"].to_pylist(), _matrix(table["embedding"], dim)
 
     held = indexable_vectors(vectors).select("segment_id", "embedding")
-    if fits(labels, max_sent):
-        collected = labels.toArrow()
+    collected = labels.limit(max_sent + 1).toArrow()
+    if collected.num_rows <= max_sent:
         sent = labels.sparkSession.sparkContext.broadcast(unpack(collected))
 
         def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,12 +110,27 @@ def latest_feedback(feedback: DataFrame, delay: str) -> DataFrame:
 
 
 def apply_feedback_stream(
-    feedback: DataFrame, results: DataFrame, delay: str, write: Callable[[DataFrame, int], None]
+    feedback: DataFrame, results: DataFrame, delay: str, log_path: str, write: Callable[[DataFrame, int], None]
 ) -> DataStreamWriter:
-    """Rescore result lists with every batch of changed verdicts; ``write`` receives the touched lists."""
+    """Rescore result lists with every batch of changed verdicts; ``write`` receives the touched lists.
+
+    Verdicts are kept in a log under ``log_path``, one folder per batch, so a list is always rescored
+    with all its verdicts and a batch that runs twice replaces its own folder.
+    """
 
     def rescore(changed: DataFrame, batch_id: int) -> None:
-        touched = results.join(changed.select("query_id").distinct(), "query_id", "left_semi")
-        write(apply_feedback(touched, changed), batch_id)
+        spark = changed.sparkSession
+        changed.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        log = spark.read.schema(f"{_ddl(changed)}, batch bigint").parquet(log_path)
+        log = log.where(F.col("batch") <= batch_id)
+        touched = log.where(F.col("batch") == batch_id).select("query_id").distinct()
+        known = log.join(touched, "query_id", "left_semi").groupBy("query_id", "segment_id").agg(
+            F.max_by("relevant", "batch").alias("relevant")
+        )
+        write(apply_feedback(results.join(touched, "query_id", "left_semi"), known), batch_id)
 
     return latest_feedback(feedback, delay).writeStream.outputMode("update").foreachBatch(rescore)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)

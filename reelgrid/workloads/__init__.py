@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("timeline", "search", "scoring", "evaluation")
+_MODULES = ("timeline", "search", "scoring", "evaluation", "bookkeeping", "streams")
 
 
 def load() -> tuple[dict, dict]:

@@ -189,7 +189,7 @@ CTE = {
   UNION ALL SELECT CAST(label AS BIGINT), 'visual', arg_min(v, segment_id) FROM vec GROUP BY label
   UNION ALL SELECT CAST(label AS BIGINT), 'audio', arg_max(v, segment_id) FROM vec GROUP BY label)""",
     "hits": """hits AS (
-  SELECT *, (sim + 1) / 2 AS score FROM (
+  SELECT *, CASE WHEN source = 'text_dense' THEN (sim + 1) / 2 ELSE greatest(0, least(1, (sim + 1) / 2)) END AS score FROM (
     SELECT query_id, source, segment_id, sim,
            row_number() OVER (PARTITION BY query_id, source ORDER BY round(sim, 9) DESC, segment_id) AS rank
     FROM (SELECT a.query_id, a.source, x.segment_id, list_dot_product(a.v, x.v) AS sim FROM asked a, vec x))

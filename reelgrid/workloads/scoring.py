@@ -9,6 +9,7 @@ from reelgrid.operators import rerank as rr
 from reelgrid.operators import verdict as vd
 from reelgrid.operators.ranking import splice
 from reelgrid.schemas import TOP_K_FINAL, TOP_K_RERANK
+from reelgrid.spreading import stored
 from reelgrid.workloads.fixtures import Tables, with_ctes
 from reelgrid.workloads.registry import query
 from reelgrid.workloads.search import FUSED_CTES, fused
@@ -23,10 +24,10 @@ res AS (
 
 
 def candidates(t: Tables) -> DataFrame:
+    """The fused head, written once: retrieval is the costly part and later steps read it repeatedly."""
     text = F.when(F.col("num_sources") > 1, F.concat(F.lit("vec "), F.col("segment_id").cast("string")))
-    return (
-        fused(t).where(F.col("rank") <= TOP_K_RERANK).withColumn("text", F.coalesce(text, F.lit("")))
-    )
+    head = fused(t).where(F.col("rank") <= TOP_K_RERANK)
+    return stored(head.withColumn("text", F.coalesce(text, F.lit(""))), "candidates")
 
 
 def reranked(t: Tables) -> DataFrame:
@@ -201,13 +202,10 @@ means AS (SELECT query_id, round, avg(s) AS m FROM rounds WHERE r <= 3 GROUP BY
 
 
 def _rounds(t: Tables) -> DataFrame:
-    base = reranked(t).drop("rank")
-    variants = [F.col("dense_score"), F.col("score") * 1.1, F.col("visual_score")]
-    rounds = None
-    for i, score in enumerate(variants):
-        one = rr.with_rank(base.withColumn("score", score)).withColumn("round", F.lit(i))
-        rounds = one if rounds is None else rounds.unionByName(one)
-    return rounds
+    scores = [F.col("dense_score"), F.col("score") * 1.1, F.col("visual_score")]
+    variants = F.array(*[F.struct(F.lit(i).alias("round"), s.alias("score")) for i, s in enumerate(scores)])
+    rounds = reranked(t).select("query_id", "segment_id", F.inline(variants))
+    return rr.with_rank(rounds, per=("query_id", "round"))
 
 
 @query(
