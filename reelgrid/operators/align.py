@@ -16,7 +16,7 @@ from reelgrid.functions.text import full_text, strip
 from reelgrid.functions.timing import POINT_WIDTH, overlap
 from reelgrid.operators.grid import cell_count, cell_width, time_grid
 from reelgrid.schemas import VECTORS
-from reelgrid.spreading import SPAN, explode_span, lookup_join
+from reelgrid.spreading import SPAN, explode_count, explode_span, lookup_join
 
 CELL = ["media_id", "seg_idx"]
 SEGMENT_DEFAULTS = {
@@ -46,17 +46,14 @@ def _cell_end(d: float) -> Column:
 
 def _touched_cells(items: DataFrame, media: DataFrame, d: float, widen: bool) -> DataFrame:
     """Items once per cell they overlap, open at both edges; ``widen`` gives points a small width."""
-    timed = _with_duration(items, media, "pos")
-    timed = timed.withColumn("start", F.coalesce("start", F.lit(0.0))).withColumn(
-        "end", F.coalesce("end", F.lit(0.0))
-    )
-    stop = F.col("end")
-    if widen:
-        stop = F.when(F.col("end") <= F.col("start"), F.col("start") + POINT_WIDTH).otherwise(F.col("end"))
+    start, end = F.coalesce("start", F.lit(0.0)), F.coalesce("end", F.lit(0.0))
+    stop = F.when(end <= start, start + POINT_WIDTH).otherwise(end) if widen else end
+    bounded = items.withColumns({"start": start, "end": end, "_stop": stop})
+    timed = _with_duration(bounded, media, "pos")
     # one cell of slack on both sides; the predicate below decides
     first = F.greatest(F.lit(0), F.floor(F.col("start") / d) - 1)
-    last = F.least(F.ceil(stop / d), cell_count(d) - 1)
-    cells = explode_span(timed.withColumn("_stop", stop), first, last, "seg_idx")
+    last = F.least(F.ceil(F.col("_stop") / d), cell_count(d) - 1)
+    cells = explode_span(timed, first, last, "seg_idx")
     return cells.where((F.col("start") < _cell_end(d)) & (F.col("_stop") > _cell_start(d))).drop("_stop")
 
 
@@ -72,7 +69,7 @@ def overlap_join(media: DataFrame, items: DataFrame, d: float = 1.0) -> DataFram
 def _ordered_texts(pairs: DataFrame, text: str, order: list[str]) -> DataFrame:
     """Distinct texts per cell in first-seen order; repeats are dropped before the lists are built."""
     first = pairs.groupBy(*CELL, text).agg(F.min(F.struct(*order)).alias("_at"))
-    listed = F.array_sort(F.collect_list(F.struct("_at", text)))
+    listed = F.sort_array(F.collect_list(F.struct("_at", text)))
     return first.groupBy(*CELL).agg(F.transform(listed, lambda x: x[text]).alias("texts"))
 
 
@@ -104,7 +101,7 @@ def align_audio(media: DataFrame, audio: DataFrame, d: float = 1.0) -> DataFrame
     per_label = labelled.groupBy(*CELL, "_label").agg(
         F.min(F.struct("pos", "_nth")).alias("_at"), F.max("_best").alias("_best")
     )
-    listed = F.array_sort(F.collect_list(F.when(F.col("_label") != "", F.struct("_at", "_label"))))
+    listed = F.sort_array(F.collect_list(F.when(F.col("_label") != "", F.struct("_at", "_label"))))
     return per_label.groupBy(*CELL).agg(
         F.transform(listed, lambda x: x["_label"]).alias("audio_events"),
         (-F.max("_best")["neg_pos"]).alias("audio_pos"),
@@ -164,60 +161,74 @@ def align_frames(media: DataFrame, frames: DataFrame, d: float = 1.0) -> DataFra
     middle = (_cell_start(d) + _cell_end(d)) / 2.0
     late = F.struct(at.alias("ts"), (-F.col("idx")).alias("neg_idx"))
     early = F.struct(at.alias("ts"), F.col("idx").alias("idx"))
+    # both readers below use all four columns, so the aggregate is planned and run once
     per_cell = timed.groupBy(*CELL).agg(
-        F.max(F.when(at <= middle, late)).alias("before_mid"),
-        F.min(F.when(at > middle, early)).alias("after_mid"),
-        F.max(late).alias("latest"),
-        F.min(early).alias("earliest"),
+        F.max(F.when(at <= middle, late)).alias("left_latest"),
+        F.min(F.when(at <= middle, early)).alias("left_earliest"),
+        F.max(F.when(at > middle, late)).alias("right_latest"),
+        F.min(F.when(at > middle, early)).alias("right_earliest"),
     )
+    latest = F.greatest("left_latest", "right_latest")
+    earliest = F.least("left_earliest", "right_earliest")
 
-    grid = time_grid(media, d).select(*CELL, "t_start", "t_end")
-    cells = grid.join(per_cell, CELL, "left").withColumn("_chunk", F.floor(F.col("seg_idx") / SPAN))
-    summary = cells.groupBy("media_id", "_chunk").agg(
-        F.max("latest").alias("latest"), F.min("earliest").alias("earliest")
-    )
-    up, down = F.col("_chunk"), F.col("_chunk").desc()
+    chunk = F.floor(F.col("seg_idx") / SPAN)
+    keys = ["media_id", "_chunk"]
 
-    def earlier(order: Column, keys: list[str]) -> Window:
-        return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    def earlier(order: Column, *by: str) -> Window:
+        return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
-    summary = summary.select(
-        "media_id",
+    filled = per_cell.groupBy("media_id", chunk.alias("_chunk")).agg(
+        F.max(latest).alias("latest"), F.min(earliest).alias("earliest")
+    )
+    timed_media = media.where(F.col("duration") > 0).select("media_id", "duration")
+    chunks = explode_count(timed_media, F.ceil(cell_count(d) / SPAN), "media_id", "_chunk")
+    chunks = chunks.select(*keys).join(filled, keys, "left").select(
+        *keys,
+        F.max("latest").over(earlier(F.col("_chunk"), "media_id")).alias("_latest_before"),
+        F.min("earliest").over(earlier(F.col("_chunk").desc(), "media_id")).alias("_earliest_after"),
+    )
+
+    grid = time_grid(media, d).select(*CELL, "t_start", "t_end", chunk.alias("_chunk"))
+    cells = grid.join(per_cell, CELL, "left").select(
+        *CELL,
+        "t_start",
+        "t_end",
         "_chunk",
-        F.max("latest").over(earlier(up, ["media_id"])).alias("_latest_before"),
-        F.min("earliest").over(earlier(down, ["media_id"])).alias("_earliest_after"),
+        "left_latest",
+        "right_earliest",
+        F.max(latest).over(earlier(F.col("seg_idx"), *keys)).alias("_prior"),
+        F.min(earliest).over(earlier(F.col("seg_idx").desc(), *keys)).alias("_next"),
     )
-    keys = ["media_id", "_chunk"]
-    cells = (
-        cells.withColumn("_prior", F.max("latest").over(earlier(F.col("seg_idx"), keys)))
-        .withColumn("_next", F.min("earliest").over(earlier(F.col("seg_idx").desc(), keys)))
-        .join(summary, keys)
+    before = F.coalesce("left_latest", "_prior", "_latest_before")
+    after = F.coalesce("right_earliest", "_next", "_earliest_after")
+    found = cells.join(chunks, keys).select(
+        *CELL,
+        "t_start",
+        "t_end",
+        ((F.col("t_start") + F.col("t_end")) / 2.0).alias("_mid"),
+        before["ts"].alias("_b_ts"),
+        (-before["neg_idx"]).alias("_b_idx"),
+        after["ts"].alias("_a_ts"),
+        after["idx"].alias("_a_idx"),
     )
-    before = F.coalesce("before_mid", "_prior", "_latest_before")
-    after = F.coalesce("after_mid", "_next", "_earliest_after")
-    mid = (F.col("t_start") + F.col("t_end")) / 2.0
-
-    def candidate(frame: Column, idx: Column, halve: bool) -> Column:
-        ts = frame["ts"]
-        distance = F.abs(ts - mid)
-        if halve:
-            inside = (ts >= F.col("t_start")) & (ts < F.col("t_end"))
-            distance = F.when(inside, distance * 0.5).otherwise(distance)
-        return F.when(
-            frame.isNotNull(), F.struct(distance.alias("distance"), idx.alias("idx"), ts.alias("ts"))
-        )
 
-    def nearest(halve: bool) -> Column:
-        left, right = F.col("_before"), F.col("_after")
-        return F.least(candidate(left, -left["neg_idx"], halve), candidate(right, right["idx"], halve))
+    def distance(ts: str, halve: bool) -> Column:
+        plain = F.abs(F.col(ts) - F.col("_mid"))
+        inside = (F.col(ts) >= F.col("t_start")) & (F.col(ts) < F.col("t_end"))
+        return F.when(inside, plain * 0.5).otherwise(plain) if halve else plain
+
+    def takes_before(halve: bool) -> Column:
+        b, a = distance("_b_ts", halve), distance("_a_ts", halve)
+        closer = (b < a) | ((b == a) & (F.col("_b_idx") < F.col("_a_idx")))
+        return F.col("_a_ts").isNull() | F.coalesce(closer, F.lit(False))
 
-    chosen = cells.withColumn("_before", before).withColumn("_after", after)
-    chosen = chosen.select(*CELL, nearest(True).alias("_frame"), nearest(False).alias("_key"))
-    return chosen.where(F.col("_frame").isNotNull()).select(
+    chosen = found.where(F.col("_b_ts").isNotNull() | F.col("_a_ts").isNotNull())
+    framed, keyed = takes_before(True), takes_before(False)
+    return chosen.select(
         *CELL,
-        F.col("_frame.idx").alias("frame_idx"),
-        F.col("_key.idx").alias("keyframe_idx"),
-        F.col("_key.ts").alias("keyframe_ts"),
+        F.when(framed, F.col("_b_idx")).otherwise(F.col("_a_idx")).alias("frame_idx"),
+        F.when(keyed, F.col("_b_idx")).otherwise(F.col("_a_idx")).alias("keyframe_idx"),
+        F.when(keyed, F.col("_b_ts")).otherwise(F.col("_a_ts")).alias("keyframe_ts"),
     )
 
 
@@ -242,11 +253,16 @@ def align(
     for part in parts:
         if part is not None:
             segments = segments.join(part, CELL, "left")
-    for name, (kind, default) in SEGMENT_DEFAULTS.items():
+    found = set(segments.columns)
+
+    def or_default(name: str, kind: str, default: str) -> Column:
         fallback = F.expr(default).cast(kind)
-        value = F.coalesce(F.col(name), fallback) if name in segments.columns else fallback
-        segments = segments.withColumn(name, value)
-    return segments
+        return (F.coalesce(F.col(name), fallback) if name in found else fallback).alias(name)
+
+    return segments.select(
+        *[c for c in segments.columns if c not in SEGMENT_DEFAULTS],
+        *[or_default(name, *kind) for name, kind in SEGMENT_DEFAULTS.items()],
+    )
 
 
 def with_full_text(segments: DataFrame) -> DataFrame:

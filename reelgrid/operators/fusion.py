@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.operators.lexical import bm25_search
-from reelgrid.operators.ranking import with_rank
+from reelgrid.operators.ranking import rounded, with_rank
 from reelgrid.operators.vectors import vector_search
 from reelgrid.schemas import COMPONENT, RRF_K, SOURCE_WEIGHTS, SOURCES, TOP_K_RETRIEVAL
 
@@ -86,7 +86,7 @@ def rrf_fuse(
     fused = fused.groupBy("query_id", "segment_id").agg(*aggregates)
     components = [COMPONENT[source] for source in weights]
     fused = fused.fillna(0.0, components)
-    ordered = with_rank(fused, [F.round("score", FUSED_DIGITS).desc(), F.col("_first").asc(), F.col("segment_id")])
+    ordered = with_rank(fused, [rounded("score", FUSED_DIGITS).desc(), F.col("_first").asc(), F.col("segment_id")])
     if k is not None:
         ordered = ordered.where(F.col("rank") <= k)
     found_in = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in components), F.lit(0))

@@ -26,6 +26,6 @@ def clean_ocr(detections: DataFrame, min_confidence: float = OCR_MIN_CONFIDENCE)
     )
     frames = first.groupBy("media_id", "timestamp").agg(
         F.min("_first.pos").alias("pos"),
-        F.transform(F.array_sort(F.collect_list("_first")), lambda x: x["text"]).alias("texts"),
+        F.transform(F.sort_array(F.collect_list("_first")), lambda x: x["text"]).alias("texts"),
     )
     return frames.withColumn("timestamp", F.round("timestamp", 2))

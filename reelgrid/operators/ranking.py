@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 SCORE_DIGITS = 9
 
 
+def rounded(score: Column | str, digits: int = SCORE_DIGITS) -> Column:
+    """The score in whole units of its last digit: to order by, at a fraction of the cost of ``round``."""
+    return F.rint((F.col(score) if isinstance(score, str) else score) * F.lit(float(10**digits)))
+
+
 def by_score(score: str = "score", key: str = "segment_id", digits: int = SCORE_DIGITS) -> list[Column]:
-    return [F.round(score, digits).desc(), F.col(key).asc()]
+    return [rounded(score, digits).desc(), F.col(key).asc()]
 
 
 def with_rank(results: DataFrame, order: list[Column] | None = None, per: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -31,7 +36,7 @@ def top_k(
 def union_rank(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Two result lists in one, by score, without removing doubles."""
     return top_k(
-        first.unionByName(second), k, [F.round("score", SCORE_DIGITS).desc(), F.col("segment_id"), F.col("source")]
+        first.unionByName(second), k, [rounded("score").desc(), F.col("segment_id"), F.col("source")]
     )
 
 
@@ -45,7 +50,7 @@ def splice(head: DataFrame, tail: DataFrame) -> DataFrame:
         tiers,
         [
             F.col("tier"),
-            F.when(in_head, -F.round("score", SCORE_DIGITS)).otherwise(F.col("rank")),
+            F.when(in_head, -rounded("score")).otherwise(F.col("rank")),
             F.col("segment_id"),
         ],
     )

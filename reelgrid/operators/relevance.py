@@ -8,52 +8,55 @@ from pyspark.sql import functions as F
 from reelgrid.functions.scoring import grade
 from reelgrid.functions.text import strip
 from reelgrid.functions.timing import iou
-from reelgrid.schemas import IOU_THRESHOLD, TOP_K_FINAL
+from reelgrid.schemas import DEFAULT_INTERVAL_SEC, IOU_THRESHOLD, TOP_K_FINAL
 from reelgrid.spreading import lookup_join
 
 BLOCK = 128  # results of one query held in one row while they are matched
-IOU_DIGITS = 12
 DIGITS = 4
 
 
+def _stop(start: str, end: str) -> Column:
+    """End of an interval as it is compared: one without length has the default length."""
+    return F.when(F.col(end) <= F.col(start), F.col(start) + DEFAULT_INTERVAL_SEC).otherwise(F.col(end))
+
+
 def _matches(results: DataFrame, gt: DataFrame, match_media: bool) -> DataFrame:
-    """Each ground-truth row next to blocks of its query's results, with the overlap ratio of each.
+    """Results and ground-truth rows of a query that share time, with their overlap ratio.
 
     Results come in short ranked lists; ground truth may be long and one query may own most of it.
-    So results are packed into rows of at most ``BLOCK`` and looked up by salted key, which keeps one
-    ground-truth row one row instead of multiplying the two sides out.
+    So results are packed into rows of at most ``BLOCK`` and looked up by salted key, and each
+    ground-truth row takes from its blocks only the results that overlap it.
     """
-    fields = ["rank", "start_time", "end_time"] + (["video_file"] if match_media else [])
+    media = ["video_file"] if match_media else []
+    fields = ["rank", "start_time", _stop("start_time", "end_time").alias("stop"), *media]
     blocks = (
         results.groupBy("query_id", F.floor((F.col("rank") - 1) / BLOCK).alias("_block"))
         .agg(F.collect_list(F.struct(*fields)).alias("_results"))
         .drop("_block")
     )
-    facts = gt.select("query_id", "gt_id", "start", "end", *(["video_file"] if match_media else []))
-    met = lookup_join(facts, blocks, ["query_id"], ["gt_id"], how="inner")
+    facts = gt.select("query_id", "gt_id", "start", _stop("start", "end").alias("_gt_stop"), *media)
+    met = lookup_join(facts.withColumnRenamed("video_file", "_gt_media"), blocks, ["query_id"], ["gt_id"], how="inner")
 
-    def ratio(r: Column) -> Column:
-        value = F.round(iou(r["start_time"], r["end_time"], F.col("start"), F.col("end")), IOU_DIGITS)
-        if match_media:
-            value = F.when(r["video_file"] == F.col("video_file"), value).otherwise(F.lit(0.0))
-        return F.struct(r["rank"].alias("rank"), value.alias("iou"))
+    def shares(r: Column) -> Column:
+        timed = (r["start_time"] < F.col("_gt_stop")) & (r["stop"] > F.col("start"))
+        return timed & (r["video_file"] == F.col("_gt_media")) if match_media else timed
 
-    return met.select("query_id", "gt_id", F.transform("_results", ratio).alias("_ious"))
+    pairs = met.select("query_id", "gt_id", "start", "_gt_stop", F.inline_outer(F.filter("_results", shares)))
+    return pairs.where(F.col("rank").isNotNull()).select(
+        "query_id",
+        "gt_id",
+        "rank",
+        iou(F.col("start_time"), F.col("stop"), F.col("start"), F.col("_gt_stop")).alias("iou"),
+    )
 
 
 def _best(matches: DataFrame) -> DataFrame:
-    pairs = matches.select("query_id", F.inline("_ious"))
-    return pairs.groupBy("query_id", "rank").agg(F.max("iou").alias("best_iou"))
+    return matches.groupBy("query_id", "rank").agg(F.max("iou").alias("best_iou"))
 
 
 def _found(matches: DataFrame, threshold: float) -> DataFrame:
-    hit = F.exists("_ious", lambda x: x["iou"] >= threshold)
-    return (
-        matches.groupBy("query_id", "gt_id")
-        .agg(F.bool_or(hit).alias("found"))
-        .groupBy("query_id")
-        .agg(F.count_if("found").alias("n_found"))
-    )
+    hit = matches.groupBy("query_id", "gt_id").agg(F.max("iou").alias("iou")).where(F.col("iou") >= threshold)
+    return hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
 
 
 def relevance(
@@ -72,7 +75,8 @@ def gt_found(
     results: DataFrame, gt: DataFrame, threshold: float = IOU_THRESHOLD, match_media: bool = False
 ) -> DataFrame:
     """Ground-truth rows met by at least one result, per query."""
-    return _found(_matches(results, gt, match_media), threshold)
+    found = _found(_matches(results, gt, match_media), threshold)
+    return gt_counts(gt).join(found, "query_id", "left").fillna(0, ["n_found"]).select("query_id", "n_found")
 
 
 def gt_counts(gt: DataFrame) -> DataFrame:
@@ -111,7 +115,7 @@ def aspect_recall(results: DataFrame, gt: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     spoken = results.where(F.coalesce("text", F.lit("")) != "")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", F.lower("text").alias("text"))))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", F.lower("text").alias("text"))))
     joined = spoken.groupBy("query_id").agg(
         F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("_all")
     )

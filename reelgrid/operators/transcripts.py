@@ -77,7 +77,7 @@ def merge_short(asr: DataFrame, min_duration: float = 0.5, max_gap: float = 0.3)
     numbered = rows.withColumn("_running", running).join(chunks, ["media_id", "_chunk"])
     numbered = numbered.withColumn("_run", F.col("_offset") + F.col("_running"))
 
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "text")))
     parts = numbered.groupBy("media_id", "_chunk", "_run").agg(
         F.min("pos").alias("pos"),
         F.min_by("start", "pos").alias("start"),
@@ -85,7 +85,7 @@ def merge_short(asr: DataFrame, min_duration: float = 0.5, max_gap: float = 0.3)
         F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"),
         F.count(F.lit(1)).alias("n_rows"),
     )
-    ordered_parts = F.array_sort(F.collect_list(F.struct("_chunk", "text")))
+    ordered_parts = F.sort_array(F.collect_list(F.struct("_chunk", "text")))
     return (
         parts.groupBy("media_id", "_run")
         .agg(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.vector import NORM_FLOOR, conformed, normalized, unit_score
-from reelgrid.operators.ranking import SCORE_DIGITS, top_k
+from reelgrid.operators.ranking import SCORE_DIGITS, rounded, top_k
 from reelgrid.schemas import LABEL_THRESHOLD, TOP_K_RETRIEVAL
 
 MAX_SENT_VECTORS = 4096
@@ -69,11 +69,11 @@ def _keep_best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def _candidates(ids: np.ndarray, scores: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per query (column of ``scores``) the rows that can be among its best ``k``."""
-    rounded = np.round(scores, SCORE_DIGITS)
+    levels = np.round(scores, SCORE_DIGITS)
     n = len(ids)
-    bars = np.partition(rounded, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
+    bars = np.partition(levels, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
     for j in range(scores.shape[1]):
-        chosen = np.nonzero(rounded[:, j] >= bars[j])[0]
+        chosen = np.nonzero(levels[:, j] >= bars[j])[0]
         yield _keep_best(ids[chosen], scores[chosen, j], k)
 
 
@@ -99,7 +99,7 @@ def vector_search(
     else:
         best = _search_tiled(asked, stored, kinds, k, tile_vectors, tile_queries)
     best = best.withColumn("score", unit_score(F.col("similarity"), clamp))
-    ranked = top_k(best, k, [F.round("similarity", SCORE_DIGITS).desc(), F.col("segment_id")])
+    ranked = top_k(best, k, [rounded("similarity").desc(), F.col("segment_id")])
     return ranked.select("query_id", F.lit(source).alias("source"), "segment_id", "rank", "similarity", "score")
 
 
@@ -269,5 +269,5 @@ def zero_shot_labels(
     passing = F.filter("top", lambda x: F.round(x["weight"] / F.col("total"), 12) >= threshold)
     return parts.select(
         "segment_id",
-        F.transform(F.array_sort(passing), lambda x: x["label"]).alias("labels"),
+        F.transform(F.sort_array(passing), lambda x: x["label"]).alias("labels"),
     )

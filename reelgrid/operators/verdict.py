@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.scoring import verdict
+from reelgrid.operators.ranking import rounded
 from reelgrid.schemas import TOP_K_FINAL
 
 MEAN_OVER = 3
@@ -78,7 +79,7 @@ def best_round(rounds: DataFrame, compat: bool = False) -> DataFrame:
     # rounds after the first CORRECT one are never run
     seen = per_round.withColumn("mean_score", mean).join(first, "query_id")
     seen = seen.where(F.col("_stop").isNull() | (F.col("round") <= F.col("_stop")))
-    leader = F.max_by("round", F.struct(F.round("mean_score", 12), -F.col("round")))
+    leader = F.max_by("round", F.struct(rounded("mean_score", 12), -F.col("round")))
     chosen = seen.groupBy("query_id").agg(leader.alias("_leader"), F.max("_stop").alias("_stop"))
     pick = F.col("_leader") if compat else F.coalesce("_stop", "_leader")
     return rounds.join(chosen.select("query_id", pick.alias("round")), ["query_id", "round"], "left_semi")

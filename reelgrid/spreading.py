@@ -42,8 +42,7 @@ def lookup_join(
 def explode_span(df: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
     """One row per integer in ``[lo, hi]``, through blocks so that no array exceeds ``SPAN``."""
     return (
-        df.withColumn("_lo", lo.cast("bigint"))
-        .withColumn("_hi", hi.cast("bigint"))
+        df.withColumns({"_lo": lo.cast("bigint"), "_hi": hi.cast("bigint")})
         .where("_lo <= _hi")
         .withColumn("_block", F.explode(F.expr(f"sequence(_lo div {SPAN}, _hi div {SPAN})")))
         .withColumn(
@@ -57,12 +56,16 @@ def explode_span(df: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
 
 
 def explode_count(df: DataFrame, count: Column, key: str, out: str) -> DataFrame:
-    """One row per integer in ``[0, count)``; blocks of one long item are spread over tasks first."""
+    """One row per integer in ``[0, count)``; blocks of one long item are spread over tasks first.
+
+    The number of partitions is given, as the few rows before the explode would be coalesced to one.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         df.withColumn("_n", count.cast("bigint"))
         .where("_n > 0")
         .withColumn("_block", F.explode(F.expr(f"sequence(0, (_n - 1) div {SPAN})")))
-        .repartition(key, "_block")
+        .repartition(partitions, key, "_block")
         .withColumn(
             out, F.explode(F.expr(f"sequence(_block * {SPAN}, least(_n, (_block + 1) * {SPAN}) - 1)"))
         )

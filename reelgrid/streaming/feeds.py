@@ -18,7 +18,7 @@ def stream_grid(events: DataFrame, width: str, delay: str) -> DataFrame:
         events.withWatermark("ts", delay)
         .groupBy("media_id", F.window("ts", width).alias("cell"))
         .agg(
-            F.array_sort(F.collect_set("label")).alias("labels"),
+            F.sort_array(F.collect_set("label")).alias("labels"),
             F.count(F.lit(1)).alias("n_items"),
         )
         .select("media_id", F.col("cell.start").alias("cell_start"), F.col("cell.end").alias("cell_end"), "labels", "n_items")

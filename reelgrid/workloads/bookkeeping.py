@@ -73,7 +73,7 @@ FROM fanned LEFT JOIN known USING (query_id)""",
 )
 def _query_enrich(t: Tables) -> DataFrame:
     said = t["conversations"].where(F.col("role") == "user").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_said")
+        F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_said")
     )
     knowledge = said.select(
         F.col("conv_id").alias("query_id"),

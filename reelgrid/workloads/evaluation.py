@@ -19,7 +19,7 @@ results AS (
     FROM tl WHERE event_type IN ('purchase', 'signup'))
   QUALIFY rank <= 20),
 ious AS (
-  SELECT query_id, rank, gt_id, round(CASE WHEN u <= 0 THEN 0 ELSE shared / u END, 12) AS iou FROM (
+  SELECT query_id, rank, gt_id, CASE WHEN u <= 0 THEN 0 ELSE shared / u END AS iou FROM (
     SELECT *, (pe1 - ps) + (e1 - s0) - shared AS u FROM (
       SELECT *, greatest(0, least(pe1, e1) - greatest(ps, s0)) AS shared FROM (
         SELECT query_id, rank, gt_id, ps, s0, CASE WHEN pe <= ps THEN ps + 5 ELSE pe END AS pe1,
@@ -101,7 +101,7 @@ def _reciprocal_rank(t: Tables) -> DataFrame:
     return rel.reciprocal_rank(rel.relevance(results(t), t.ground_truth()))
 
 
-@query("gt_found", _sql("SELECT * FROM found"))
+@query("gt_found", _sql("SELECT query_id, coalesce(n_found, 0) AS n_found FROM ngt LEFT JOIN found USING (query_id)"))
 def _gt_found(t: Tables) -> DataFrame:
     return rel.gt_found(results(t), t.ground_truth())
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgrid.spreading import spread, stored
+
 CELL_SEC = 21_600.0
 
 
@@ -18,15 +20,18 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self._read: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     # --- time-stamped streams -------------------------------------------------------------------
 
     def timeline(self) -> DataFrame:
         millis = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) div 1000")
-        return self["events"].select(
+        return spread(self["events"], "event_id").select(
             "event_id",
             F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("media_id"),
             "event_type",
@@ -36,16 +41,24 @@ class Tables:
         ).withColumn("t_end", F.col("t") + 60 * F.col("value"))
 
     def media(self) -> DataFrame:
+        if "media" in self._read:
+            return self._read["media"]
         per_user = self.timeline().groupBy("media_id").agg(
             F.max("t").alias("_last"), F.count(F.lit(1)).alias("_n")
         )
-        return per_user.select(
+        self._read["media"] = per_user.select(
             "media_id",
             F.concat("media_id", F.lit(".mp4")).alias("video_file"),
             (F.col("_last") + 600).alias("duration"),
             F.when(F.col("_n") % 2 == 0, F.lit(29.97)).otherwise(F.lit(0.5)).alias("fps"),
             F.floor(F.col("_last") / 1000).alias("total_frames"),
         )
+        return self._read["media"]
+
+    def stored_media(self) -> DataFrame:
+        """The media table as a file, for flows that look it up again and again."""
+        self._read["media"] = stored(self.media(), "media")
+        return self._read["media"]
 
     def asr(self) -> DataFrame:
         return (
@@ -117,7 +130,7 @@ class Tables:
         """Mean vector per label."""
         entries = self["embeddings"].select("label", F.posexplode("embedding").alias("i", "x"))
         means = entries.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-        ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
+        ordered = F.sort_array(F.collect_list(F.struct("i", "x")))
         return means.groupBy("label").agg(F.transform(ordered, lambda e: e["x"]).alias("embedding"))
 
     def query_vectors(self) -> dict[str, DataFrame]:

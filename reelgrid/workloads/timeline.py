@@ -80,7 +80,7 @@ ALL_CELLS = ",".join([ASR_CELLS, AUDIO_CELLS, OCR_CELLS, CLIP_CELLS, FRAME_CELLS
 
 def segments(t: Tables) -> DataFrame:
     return al.with_full_text(
-        al.align(t.media(), CELL_SEC, t.asr(), t.audio(), t.ocr(), t.clips(), t.frames())
+        al.align(t.stored_media(), CELL_SEC, t.asr(), t.audio(), t.ocr(), t.clips(), t.frames())
     )
 
 
