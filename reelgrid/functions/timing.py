@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reelgrid.functions.text import file_stem
 from reelgrid.schemas import DEFAULT_INTERVAL_SEC
 
 POINT_WIDTH = 0.001  # width given to an item without length when it is matched against cells
@@ -25,6 +24,7 @@ def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
     return F.when(union <= 0, F.lit(0.0)).otherwise(shared / union)
 
 
-def segment_id(video_file: Column, start: Column) -> Column:
-    """Display id: file stem and the whole second the cell starts at."""
-    return F.format_string("%s_%05d", file_stem(video_file), F.floor(start).cast("bigint"))
+def segment_id(stem: Column, start: Column) -> Column:
+    """Display id: file stem and the whole second the cell starts at, in at least five digits."""
+    second = F.floor(start).cast("string")
+    return F.concat(stem, F.lit("_"), F.when(F.length(second) < 5, F.lpad(second, 5, "0")).otherwise(second))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.functions.text import file_stem
 from reelgrid.functions.timing import segment_id
 from reelgrid.spreading import explode_count
 
@@ -22,17 +23,24 @@ def cell_count(d: float, duration: Column | None = None) -> Column:
 def time_grid(media: DataFrame, d: float = 1.0) -> DataFrame:
     """Uniform cells of width ``d`` per media item; the last one ends at the duration."""
     d = cell_width(d)
-    timed = media.where(F.col("duration") > 0).select("media_id", "video_file", "duration")
+    timed = media.where(F.col("duration") > 0).select(
+        "media_id", "video_file", "duration", file_stem(F.col("video_file")).alias("_stem")
+    )
     cells = explode_count(timed, cell_count(d), "media_id", "seg_idx")
     return cells.select(
         "media_id",
         F.col("seg_idx").cast("bigint").alias("seg_idx"),
         "video_file",
+        "_stem",
         (F.col("seg_idx") * d).alias("t_start"),
         F.least((F.col("seg_idx") + 1) * F.lit(d), F.col("duration")).alias("t_end"),
     ).select(
-        "*",
-        segment_id(F.col("video_file"), F.col("t_start")).alias("segment_id"),
+        "media_id",
+        "seg_idx",
+        "video_file",
+        "t_start",
+        "t_end",
+        segment_id(F.col("_stem"), F.col("t_start")).alias("segment_id"),
         F.round("t_start", 3).alias("start_time"),
         F.round("t_end", 3).alias("end_time"),
     )

@@ -256,7 +256,8 @@ def zero_shot_labels(
 
         def score_tile(rows: pa.Table, block: pa.Table) -> pa.Table:
             if rows.num_rows == 0 or block.num_rows == 0:
-                return pa.table({"segment_id": rows["segment_id"][:0], "total": [], "top": pa.array([], entry)})
+                ids = pa.array([], rows.schema.field("segment_id").type)
+                return pa.table({"segment_id": ids, "total": pa.array([], pa.float64()), "top": pa.array([], entry)})
             totals, tops = score_block(rows, unpack(block))
             return pa.Table.from_batches([emit(rows["segment_id"].combine_chunks(), totals, tops)])
 

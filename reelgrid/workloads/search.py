@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import NOT_WORD, SPACES
+from reelgrid.functions.vector import norm
 from reelgrid.operators import vectors as vec
 from reelgrid.operators.fusion import attach_segments, retrieve, rrf_fuse
 from reelgrid.operators.lexical import bm25_search, bm25_stats, build_postings, with_tokens
@@ -134,7 +135,7 @@ SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY r
     WHERE rank <= 20))""",
 )
 def _score_pairs(t: Tables) -> DataFrame:
-    found = top_k_of(bm25_search(t.text_queries(), index(t)), TOP_K_RERANK)
+    found = stored(top_k_of(bm25_search(t.text_queries(), index(t)), TOP_K_RERANK), "candidates")
     asked = found.join(t.documents(), "segment_id").join(
         t.text_queries().select("query_id", F.col("original_query").alias("query")), "query_id"
     )
@@ -202,8 +203,6 @@ def _vector_topk_all(t: Tables) -> DataFrame:
 def _vector_normalize(t: Tables) -> DataFrame:
     scaled = t.vectors().withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * F.col("segment_id")))
     unit = vec.l2_normalize(scaled)
-    from reelgrid.functions.vector import norm
-
     return unit.select(
         "segment_id",
         F.round(F.get("embedding", F.lit(0)), 6).alias("first_entry"),
