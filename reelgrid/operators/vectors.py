@@ -157,6 +157,13 @@ def _search_tiled(
             other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
         )
 
+    types = {
+        "query_id": asked.limit(0).toArrow().schema.field("query_id").type,
+        "segment_id": stored.limit(0).toArrow().schema.field("segment_id").type,
+        "similarity": pa.float64(),
+    }
+    # packed under another name: the two sides may be columns of one table
+    asked = asked.select("query_id", F.struct(F.col("embedding").alias("v")).alias("asked"))
     left = tiled(asked, "query_id", "q_tile", n_query_tiles, "v_tile", n_vector_tiles)
     right = tiled(stored, "segment_id", "v_tile", n_vector_tiles, "q_tile", n_query_tiles)
 
@@ -164,6 +171,8 @@ def _search_tiled(
         found = []
         if questions.num_rows and held.num_rows:
             widths = pa.compute.list_value_length(held["embedding"])
+            vectors = pa.compute.struct_field(questions["asked"], "v")
+            questions = pa.table({"query_id": questions["query_id"], "embedding": vectors})
             for dim, (asked_ids, matrix) in _by_width(questions).items():
                 rows = held.filter(pa.compute.equal(widths, dim))
                 if rows.num_rows == 0:
@@ -172,14 +181,7 @@ def _search_tiled(
                 for j, (ids, best) in enumerate(_candidates(rows["segment_id"].to_numpy(), scores, k)):
                     found.append((np.repeat(asked_ids[j : j + 1], len(ids)), ids, best))
         columns = [np.concatenate(part) for part in zip(*found)] if found else [[], [], []]
-        return pa.table(
-            [
-                pa.array(columns[0], type=questions.schema.field("query_id").type),
-                pa.array(columns[1], type=held.schema.field("segment_id").type),
-                pa.array(columns[2], type=pa.float64()),
-            ],
-            names=["query_id", "segment_id", "similarity"],
-        )
+        return pa.table({name: pa.array(c, type=kind) for (name, kind), c in zip(types.items(), columns)})
 
     return (
         left.groupBy("q_tile", "v_tile")

@@ -136,6 +136,15 @@ def test_vector_search_tiled_is_the_same(vector_tables):
     assert collect(found, "query_id", "rank", "segment_id") == expected
 
 
+@pytest.mark.parametrize("options", [{}, {"max_sent": 3, "tile_vectors": 64, "tile_queries": 50}])
+def test_a_table_can_be_searched_for_itself(vector_tables, options):
+    _, stored, _ = vector_tables
+    asked = stored.withColumnRenamed("segment_id", "query_id")
+    own = vectors.vector_search(asked, stored, "visual", k=400, **options)
+    assert own.where("query_id = segment_id").count() == 301
+    assert own.count() == 300 * 300 + 1
+
+
 def test_vector_scores(rows):
     queries = rows([("q", [2.0, 0.0])], "query_id string, embedding array<double>")
     stored = rows([("a", [1.0, 0.0])], "segment_id string, embedding array<double>")
