@@ -21,6 +21,7 @@ from reelgrid.schemas import LABEL_THRESHOLD, TOP_K_RETRIEVAL
 MAX_SENT_VECTORS = 4096
 TILE_VECTORS = 16_384
 TILE_QUERIES = 1024
+MAX_SCORES = 4_000_000  # similarities held at once by one task
 
 
 def indexable_vectors(df: DataFrame, col: str = "embedding") -> DataFrame:
@@ -124,13 +125,16 @@ def _search_sent(asked: pa.Table, stored: DataFrame, kinds: str, k: int) -> Data
                 rows = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch["embedding"]), dim))
                 if rows.num_rows == 0:
                     continue
-                ids = rows["segment_id"].to_numpy(zero_copy_only=False)
-                scores = _matrix(rows["embedding"], dim) @ matrix.T
-                for j, (new_ids, new_scores) in enumerate(_candidates(ids, scores, k)):
-                    old_ids, old_scores = kept.get((dim, j), (new_ids[:0], new_scores[:0]))
-                    kept[dim, j] = _keep_best(
-                        np.concatenate([old_ids, new_ids]), np.concatenate([old_scores, new_scores]), k
-                    )
+                step = max(1, MAX_SCORES // len(matrix))
+                for at in range(0, rows.num_rows, step):
+                    part = rows.slice(at, step)
+                    ids = part["segment_id"].to_numpy(zero_copy_only=False)
+                    scores = _matrix(part["embedding"], dim) @ matrix.T
+                    for j, (new_ids, new_scores) in enumerate(_candidates(ids, scores, k)):
+                        old_ids, old_scores = kept.get((dim, j), (new_ids[:0], new_scores[:0]))
+                        kept[dim, j] = _keep_best(
+                            np.concatenate([old_ids, new_ids]), np.concatenate([old_scores, new_scores]), k
+                        )
         for (dim, j), (ids, scores) in kept.items():
             asked_ids = sent.value[dim][0]
             yield pa.RecordBatch.from_arrays(

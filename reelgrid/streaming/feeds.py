@@ -45,6 +45,7 @@ class _MergeRuns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "ts_us bigint, pos bigint", "start double, end double, text string")
+        self.upto = handle.getValueState("upto", "ms bigint")
         self.open = handle.getValueState("open", "pos bigint, start double, end double, text string, n_rows bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -60,7 +61,13 @@ class _MergeRuns(StatefulProcessor):
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # the first timer of a round handles every row the watermark has passed, the others find it done
+        passed = timerValues.getCurrentWatermarkInMs()
+        if self.upto.exists() and self.upto.get()[0] >= expiredTimerInfo.getExpiryTimeInMs():
+            yield pd.DataFrame()
+            return
+        self.upto.update((passed,))
+        until = passed * 1000
         ready = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= until)
         done = []
         run = self.open.get() if self.open.exists() else None
