@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions.text import file_stem
 from reelgrid.functions.timing import segment_id
+from reelgrid.schemas import WINDOWS
 from reelgrid.spreading import explode_count
 
 MIN_CELL = 0.1
@@ -66,6 +67,11 @@ def sliding_windows(
     return windows.where(keep).drop("duration")
 
 
+def feature_windows(media: DataFrame, stream: str) -> DataFrame:
+    """The windows one of the streams ``audio``, ``asr``, ``clips`` is cut into."""
+    return sliding_windows(media, **WINDOWS[stream])
+
+
 def sample_plan(media: DataFrame, rate: float) -> DataFrame:
     """Frame numbers and times read at ``rate`` per second: every k-th frame, k whole."""
     usable = media.where((F.col("fps") > 0) & (F.col("total_frames") > 0)).select(

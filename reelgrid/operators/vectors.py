@@ -36,9 +36,13 @@ def conform_dim(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
     return df.withColumn(col, conformed(F.col(col), dim))
 
 
-def dim_audit(vectors: DataFrame) -> DataFrame:
-    """Rows per modality and width."""
-    return vectors.groupBy("modality", F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n_vectors"))
+def dim_audit(vectors: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
+    """Rows per modality and width; with ``expected`` widths also whether they have theirs."""
+    widths = vectors.groupBy("modality", F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n_vectors"))
+    if expected is None:
+        return widths
+    known = F.create_map(*[F.lit(x) for item in expected.items() for x in item])
+    return widths.withColumn("as_expected", F.coalesce(F.col("dim") == known[F.col("modality")], F.lit(False)))
 
 
 def vector_metadata(vectors: DataFrame) -> DataFrame:

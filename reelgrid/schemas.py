@@ -28,6 +28,29 @@ OCR_MIN_CONFIDENCE = 0.35
 QUERY_TYPES = ("entity_specific", "action", "audio", "general")
 MEDIA_SUFFIXES = ("mp4", "avi", "mkv", "mov", "webm")
 
+# How each stream is cut before it is encoded, in seconds, and frames read per second.
+WINDOWS = {
+    "audio": {"length": 5.0, "stride": 2.5, "min_tail": 1.0},
+    "asr": {"length": 30.0, "stride": 29.0, "min_tail": 0.5},
+    "clips": {"length": 4.0, "stride": 2.0, "full_only": True},
+}
+SAMPLE_RATES = {"frames": 1.0, "ocr": 0.5}
+
+# Vector widths per index, and the sounds told apart by default.
+VECTOR_DIMS = {"text_dense": 1024, "visual": 768, "temporal": 768, "audio": 512}
+SOUND_LABELS = (
+    "gunshot",
+    "siren",
+    "crowd",
+    "music",
+    "speech",
+    "explosion",
+    "car horn",
+    "rain",
+    "applause",
+    "silence",
+)
+
 SOURCES = tuple(SOURCE_WEIGHTS)  # in the order the lists are searched
 COMPONENT = {
     "text_sparse": "sparse_score",

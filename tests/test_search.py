@@ -107,6 +107,12 @@ def test_normalize_and_conform(rows):
     assert cut["a"] == [3.0] and cut["b"] == [3.0, 4.0, 0.0, 0.0]
 
 
+def test_width_audit(rows):
+    df = rows([("visual", [0.0] * 3), ("visual", [0.0] * 2), ("audio", [0.0])], "modality string, embedding array<double>")
+    got = collect(vectors.dim_audit(df, {"visual": 3}), "modality", "dim", "n_vectors", "as_expected")
+    assert got == [("audio", 1, 1, False), ("visual", 2, 1, False), ("visual", 3, 1, True)]
+
+
 @pytest.fixture()
 def vector_tables(rows):
     rng = np.random.default_rng(1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.operators import align as al
 from reelgrid.operators import transcripts as tr
-from reelgrid.operators.grid import sample_plan, sliding_windows, time_grid
+from reelgrid.operators.grid import feature_windows, sample_plan, sliding_windows, time_grid
 from reelgrid.operators.ocr import clean_ocr
 
 MEDIA = "media_id string, video_file string, duration double, fps double, total_frames bigint"
@@ -56,6 +56,12 @@ def test_sliding_windows(media):
     assert clips == [(0.0, 4.0), (2.0, 6.0), (4.0, 8.0)]
 
 
+def test_feature_windows(media):
+    assert collect(feature_windows(media(31.0), "asr"), "start", "end") == [(0.0, 30.0), (29.0, 31.0)]
+    assert collect(feature_windows(media(5.0), "clips"), "start", "end") == [(0.0, 4.0)]
+    assert collect(feature_windows(media(3.0), "audio"), "start", "end") == [(0.0, 3.0)]
+
+
 def test_sampling_steps_are_whole(media):
     plan = collect(sample_plan(media(4, fps=29.97, frames=60), 1.0), "frame_idx", "timestamp")
     assert plan == [(0, 0.0), (29, 29 / 29.97), (58, 58 / 29.97)]
