@@ -32,7 +32,8 @@ def lookup_join(
     The join key carries a salt, so one hot key is cut over ``salts`` partitions, and the result is
     not partitioned by ``on`` alone: a following aggregate on finer keys shuffles again instead of
     inheriting the hot partition, which also leaves adaptive skew splitting free to act. Small
-    lookups are broadcast by the planner from its own size estimate.
+    lookups are broadcast by the planner from its own size estimate; a sent lookup holds ``salts``
+    copies, so at most ``salts`` times the planner's threshold.
     """
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -74,7 +75,10 @@ def explode_count(df: DataFrame, count: Column, key: str, out: str) -> DataFrame
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` only when the input has fewer splits than the session has cores."""
+    """Hash-partition by ``keys`` only when a scan has fewer splits than the session has cores.
+
+    Only the number of splits is asked for; large inputs are left as they are.
+    """
     if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -51,8 +51,7 @@ class _MergeRuns(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = set()
         for batch in rows:
-            micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            for us, pos, start, end, text in zip(micros, batch["pos"], batch["start"], batch["end"], batch["text"]):
+            for us, pos, start, end, text in batch[["us", "pos", "start", "end", "text"]].itertuples(index=False):
                 self.waiting.updateValue((int(us), int(pos)), (float(start), float(end), str(text)))
                 due.add(int(us) // 1000 + 1)
         planned = set(self.handle.listTimers())
@@ -96,6 +95,7 @@ def stream_merge(asr: DataFrame, delay: str, min_duration: float = 0.5, max_gap:
     """
     return (
         asr.withWatermark("ts", delay)
+        .withColumn("us", F.unix_micros("ts"))  # pandas would see local time
         .groupBy("media_id")
         .transformWithStateInPandas(
             _MergeRuns(min_duration, max_gap),
