@@ -68,11 +68,11 @@ def count_words(training: DataFrame) -> DataFrame:
 class Coding:
     """Numbers of elements and exact counts of the most frequent words."""
 
-    def __init__(self, top: list[tuple[bytes, int]]) -> None:
+    def __init__(self, top: list[tuple[bytes, int]], ends: int = 0) -> None:
         self.number = {w: i for i, (w, _) in enumerate(top[:ELEMENTS]) if w != END}
         self.end = ELEMENTS + SUFFIXES
         self.size = self.end + 1
-        self.count = dict(top)
+        self.count = dict(top) | {END: ends}
         self._element: dict[bytes, int] = {}
 
     def element(self, word: bytes) -> int:
@@ -268,7 +268,8 @@ def train(training: DataFrame) -> tuple[Model, DataFrame]:
     vocabulary = stored(count_words(training), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = vocabulary.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    coding = Coding([(bytes(r["word"]), r["c"]) for r in top])
+    ends = vocabulary.where(F.col("word") == F.lit(END)).first()
+    coding = Coding([(bytes(r["word"]), r["c"]) for r in top], ends["c"] if ends else 0)
     shared = spark.sparkContext.broadcast(coding)
     pairs = count_bigrams(training, shared).toPandas()  # at most size * size rows, whatever the corpus
     table = np.zeros(coding.size * coding.size)

@@ -7,12 +7,12 @@ from unicodedata import category
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.spreading import stored
 
-__all__ = ["LETTERS", "NUMBERS", "ODD", "arrow_map", "slices", "stored", "table", "texts"]
+__all__ = ["LETTERS", "NUMBERS", "ODD", "arrow_map", "range_bounds", "range_of", "slices", "stored", "table", "texts"]
 
 _LATIN = [chr(c) for c in (*range(32, 127), *range(0xA1, 0x180)) if c != 0x130]
 #: Letters and numbers up to Latin Extended-A as members of a character class, for the fast patterns;
@@ -56,3 +56,21 @@ def arrow_map(
                 yield work(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def range_bounds(ids: DataFrame, parts: int) -> list[int]:
+    """At most ``parts - 1`` bounds that cut ``doc_id`` into ranges of about equal numbers of rows."""
+    if parts < 2:
+        return []
+    cuts = ids.select(F.col("doc_id").cast("double")).approxQuantile(
+        "doc_id", [i / parts for i in range(1, parts)], 0.2 / parts
+    )
+    return sorted({int(c) for c in cuts})
+
+
+def range_of(bounds: list[int], column: Column) -> Column:
+    """How many bounds are at most the id; a null id is in the first range."""
+    if not bounds:
+        return F.lit(0)
+    ends = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+    return F.coalesce(F.aggregate(ends, F.lit(0), lambda n, b: n + (b <= column).cast("int")), F.lit(0))

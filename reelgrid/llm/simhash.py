@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from reelgrid.llm.common import arrow_map, stored, texts
 
-SHARD = 20_000  # points that a shard should have
+SHARD = 4_000  # points that a shard should have
 SAMPLE = 16_384  # points that the dealing tree is built from, at most
 LEAF = 192
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reelgrid.llm.common import range_bounds, range_of
 from reelgrid.llm.lines import bind
 
 K, S, SKETCH = 5, 2, 64
@@ -92,18 +93,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return own.withColumn("sketch", sketch(F.col("text")))
 
 
-def _bucket(docs: DataFrame, parts: int) -> Column:
-    """Ranges of ``doc_id`` of about equal size, from quantiles: numbers that rise with the ids."""
-    cuts = docs.select(F.col("doc_id").cast("double")).approxQuantile(
-        "doc_id", [i / parts for i in range(1, parts)], 0.2 / parts
-    )
-    bounds = sorted({int(c) for c in cuts})
-    if not bounds:
-        return F.lit(0)
-    ends = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    return F.coalesce(F.aggregate(ends, F.lit(0), lambda n, b: n + (b <= F.col("doc_id")).cast("int")), F.lit(-1))
-
-
 def with_next(prints: DataFrame, ids: DataFrame, parts: int | None = None) -> DataFrame:
     """Each row with ``next_text`` and ``next_sketch``: of the next row in descending ``doc_id``.
 
@@ -112,7 +101,7 @@ def with_next(prints: DataFrame, ids: DataFrame, parts: int | None = None) -> Da
     the range before.
     """
     parts = parts or int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = _bucket(ids, parts)
+    bucket = range_of(range_bounds(ids, parts), F.col("doc_id"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     there = prints.withColumn("bucket", bucket)
     rowed = there.select(

@@ -18,12 +18,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from reelgrid.llm.common import LETTERS, NUMBERS, ODD, arrow_map, texts
+from reelgrid.llm.common import LETTERS, NUMBERS, ODD, arrow_map, range_bounds, range_of, texts
 
 BLOCK = 1 << 19
 STEP = 512
@@ -214,14 +214,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
 # --- files ------------------------------------------------------------------------------------------
 
 
-def _shard_of(bounds: list[int], column: Column) -> Column:
-    """How many bounds are at most the id; a null id comes first."""
-    if not bounds:
-        return F.lit(0)
-    ends = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    return F.coalesce(F.aggregate(ends, F.lit(0), lambda n, b: n + (b <= column).cast("int")), F.lit(0))
-
-
 def write_shards(ids: DataFrame, ids_by: DataFrame, path: str, width: int = 2, shards: int | None = None) -> None:
     """Write ``doc_id, ids`` as ``shards`` wavelet files in ascending ``doc_id`` order.
 
@@ -231,10 +223,7 @@ def write_shards(ids: DataFrame, ids_by: DataFrame, path: str, width: int = 2, s
     """
     spark = ids.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids_by.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile(
-        "doc_id", [i / shards for i in range(1, shards)], 0.2 / shards
-    )
-    bounds = sorted({int(c) for c in cuts})
+    bounds = range_bounds(ids_by, shards)
     kind = np.uint16 if width == 2 else np.uint32
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +254,7 @@ def write_shards(ids: DataFrame, ids_by: DataFrame, path: str, width: int = 2, s
             yield block()
 
     (
-        ids.withColumn("shard", _shard_of(bounds, F.col("doc_id")))
+        ids.withColumn("shard", range_of(bounds, F.col("doc_id")))
         .repartitionById(len(bounds) + 1, "shard")
         .sortWithinPartitions("doc_id", "ids")
         .mapInArrow(blocks, BLOCKS)
