@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from reelgrid.llm.common import range_bounds, range_of
 from reelgrid.llm.lines import bind
 
-K, S, SKETCH = 5, 2, 64
+K, S, SKETCH = 4, 2, 64
 TOKEN = r"[\p{L}\p{N}]{1,12}|[^\p{L}\p{N}\s]"
 
 
