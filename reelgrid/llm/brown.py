@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm.common import slices, stored
 
-ELEMENTS, SUFFIXES, CLASSES, KNOWN, SWEEPS = 2048, 255, 64, 65_536, 4
+ELEMENTS, SUFFIXES, CLASSES, KNOWN, SWEEPS = 1024, 255, 64, 65_536, 4
 END = b"\n"  # no word holds white space
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)"
 
@@ -267,11 +267,12 @@ def train(training: DataFrame) -> tuple[Model, DataFrame]:
     spark = training.sparkSession
     vocabulary = stored(count_words(training), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    top = vocabulary.orderBy(F.desc("c"), "word").limit(KNOWN).select("word", "c").toArrow()
     ends = vocabulary.where(F.col("word") == F.lit(END)).first()
-    coding = Coding([(bytes(r["word"]), r["c"]) for r in top], ends["c"] if ends else 0)
+    ranked = list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
+    coding = Coding(ranked, ends["c"] if ends else 0)
     shared = spark.sparkContext.broadcast(coding)
-    pairs = count_bigrams(training, shared).toPandas()  # at most size * size rows, whatever the corpus
+    pairs = count_bigrams(training, shared).toArrow()  # at most size * size rows, whatever the corpus
     table = np.zeros(coding.size * coding.size)
     table[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     table = table.reshape(coding.size, coding.size)

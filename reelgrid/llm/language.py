@@ -52,9 +52,9 @@ def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], ["cell", "n"])
 
     labelled = docs.where(F.col("lang").isin(*languages) & F.col("text").isNotNull()).select("text", "lang")
-    cells = labelled.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = labelled.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.full(BUCKETS * len(languages), 0.5)
-    table[cells["cell"].to_numpy(np.int64)] += cells["n"].to_numpy(np.float64)
+    table[cells["cell"].to_numpy()] += cells["n"].to_numpy()
     table = table.reshape(BUCKETS, len(languages))
     return np.log(table / table.sum(axis=0))
 
