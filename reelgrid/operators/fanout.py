@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from reelgrid.functions.text import non_empty, strip
 from reelgrid.schemas import ANALYSIS, QUERY_TYPES
 
-# How much of the entity knowledge is kept, and how much of it joins the visual query.
-KNOWLEDGE_CHARS = 500
-SNIPPET_CHARS = 200
-
 FENCED = r"(?s)```(?:json)?\s*(.*?)```"
 BRACES = r"(?s)(\{.*\})"
 SUB_QUERIES = ("visual", "temporal", "audio", "ocr", "text")
@@ -55,16 +51,24 @@ def query_parts(fanned: DataFrame) -> DataFrame:
     return fanned.select("query_id", F.inline(parts)).where(F.col("text") != "")
 
 
-def enrich_queries(queries: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """Add stored entity knowledge; entity queries carry its beginning in their visual query."""
+def enrich_queries(
+    queries: DataFrame, knowledge: DataFrame, knowledge_chars: int | None = None, snippet_chars: int | None = None
+) -> DataFrame:
+    """Add stored entity knowledge; entity queries carry it in their visual query.
+
+    Whole texts are taken. A caller that wants no more than some characters of the knowledge, or of it
+    in the visual query, asks for that.
+    """
+
+    def first(text: Column, chars: int | None) -> Column:
+        return text if chars is None else F.substring(text, 1, chars)
+
     known = knowledge.select(
-        "query_id", F.substring(strip(F.col("knowledge")), 1, KNOWLEDGE_CHARS).alias("entity_knowledge")
+        "query_id", first(strip(F.col("knowledge")), knowledge_chars).alias("entity_knowledge")
     )
     joined = queries.drop("entity_knowledge").join(known, "query_id", "left")
     joined = joined.withColumn("entity_knowledge", F.coalesce("entity_knowledge", F.lit("")))
-    snippet = F.concat(
-        F.col("visual_query"), F.lit(". "), F.substring("entity_knowledge", 1, SNIPPET_CHARS)
-    )
+    snippet = F.concat(F.col("visual_query"), F.lit(". "), first(F.col("entity_knowledge"), snippet_chars))
     applies = (F.col("query_type") == "entity_specific") & (F.col("entity_knowledge") != "")
     return joined.withColumn("visual_query", F.when(applies, snippet).otherwise(F.col("visual_query")))
 

@@ -11,6 +11,7 @@ from reelgrid.operators.lexical import bm25_search
 from reelgrid.operators.ranking import rounded, with_rank
 from reelgrid.operators.vectors import vector_search
 from reelgrid.schemas import COMPONENT, RRF_K, SOURCE_WEIGHTS, SOURCES, TOP_K_RETRIEVAL
+from reelgrid.spreading import fits, stored
 
 FUSED_DIGITS = 12
 PAYLOAD = ("video_file", "start_time", "end_time", "text", "keyframe_path")
@@ -43,12 +44,26 @@ def retrieve(
                 query_vectors[source], vectors[source], source, k, clamp=source != "text_dense"
             )
             lists.append(found.select(*HIT))
+    if not lists:
+        nothing = F.lit(None)
+        kinds = {"query_id": queries.schema["query_id"].dataType, "source": "string", "segment_id": "string"}
+        kinds |= {"rank": "int", "score": "double"}
+        return queries.limit(0).select(*[nothing.cast(kinds[c]).alias(c) for c in HIT])
     return reduce(DataFrame.unionByName, lists)
 
 
 def attach_segments(hits: DataFrame, segments: DataFrame) -> DataFrame:
-    """Metadata of the hit segments; unknown ids get empty values."""
-    found = hits.join(segments.select("segment_id", *PAYLOAD), "segment_id", "left")
+    """Metadata of the hit segments; unknown ids get empty values.
+
+    The segments are cut to the hit ids where they are read, before any of them is shuffled: the ids
+    are stored, counted, and sent when their number is bounded.
+    """
+    hits = stored(hits, "hits")
+    wanted = hits.select("segment_id").distinct()
+    if fits(wanted):
+        wanted = F.broadcast(wanted)
+    few = segments.select("segment_id", *PAYLOAD).join(wanted, "segment_id", "left_semi")
+    found = hits.join(few, "segment_id", "left")
     return found.fillna("", ["video_file", "text", "keyframe_path"]).fillna(0.0, ["start_time", "end_time"])
 
 
@@ -64,7 +79,9 @@ def rrf_fuse(
     order = {source: i for i, source in enumerate(weights)}
     of_query = Window.partitionBy("query_id")
     weighted = hits.withColumn("_w", _by_source(weights)).withColumn("_list", _by_source(order))
-    weighted = weighted.withColumn("_total", F.sum(F.when(F.col("rank") == 1, F.col("_w"))).over(of_query))
+    shares = F.array(*[F.lit(float(w)) for w in weights.values()])
+    present = F.sort_array(F.collect_set("_list").over(of_query))  # a list counts also without its first row
+    weighted = weighted.withColumn("_total", F.aggregate(present, F.lit(0.0), lambda t, i: t + F.get(shares, i)))
     share = F.col("_w") / F.col("_total") / (F.lit(rrf_k) + F.col("rank"))
     payload = [c for c in PAYLOAD if c in hits.columns]
     place = F.struct("_list", "rank")

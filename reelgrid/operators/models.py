@@ -80,9 +80,14 @@ def encode_column(
     dim: int,
     batch_size: int = 128,
     out: str = "embedding",
+    flag: str | None = None,
 ) -> DataFrame:
-    """Unit-length vectors of a text column; blank texts and failed batches give zero vectors."""
-    return df.withColumn(out, _encode(encoder, dim, batch_size)(F.col(col)))
+    """Unit-length vectors of a text column; blank texts and failed batches give zero vectors.
+
+    ``flag`` names a column that tells which rows have a vector, so that failed batches can be counted.
+    """
+    encoded = df.withColumn(out, _encode(encoder, dim, batch_size)(F.col(col)))
+    return encoded if flag is None else encoded.withColumn(flag, F.exists(out, lambda x: x != 0))
 
 
 def score_pairs(

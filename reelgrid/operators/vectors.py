@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,41 +209,46 @@ def zero_shot_labels(
     """Labels whose share of a softmax over all label similarities reaches ``threshold``, in label order.
 
     Labels are handled in blocks. A block yields its part of the softmax sum and its largest
-    ``1 / threshold`` entries; no more labels than that can pass, so the parts decide exactly.
+    ``1 / threshold`` entries; no more labels than that can pass, so the parts decide exactly. One row per
+    row of ``vectors``; a vector of another width than the labels' has no labels.
     """
     labels = label_vectors.select("pos", "label", "embedding")
     per_block = int(1 / threshold) + 1
     parts_kind = (
-        f"segment_id {vectors.schema['segment_id'].dataType.simpleString()}, total double, "
+        f"segment_id {vectors.schema['segment_id'].dataType.simpleString()}, _row bigint, total double, "
         "top array<struct<pos: bigint, label: string, weight: double>>"
     )
+    entry = pa.struct([("pos", pa.int64()), ("label", pa.string()), ("weight", pa.float64())])
 
-    def score_block(rows: pa.RecordBatch | pa.Table, block: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def score_block(rows: pa.RecordBatch, block: tuple[pa.Array, pa.Array, np.ndarray]) -> pa.RecordBatch:
+        """Softmax sums and top labels of a batch's rows; rows of another width have none."""
         positions, names, matrix = block
-        held = _matrix(rows["embedding"], matrix.shape[1])
+        widths = pc.list_value_length(rows["embedding"]).to_numpy(zero_copy_only=False)
+        same = widths == matrix.shape[1]
+        held = _matrix(rows["embedding"].filter(pa.array(same)), matrix.shape[1])
         held = held / (np.linalg.norm(held, axis=1, keepdims=True) + NORM_FLOOR)
         weights = np.exp(held @ matrix.T)
         n_top = min(per_block, weights.shape[1])
         top = np.argpartition(-weights, n_top - 1, axis=1)[:, :n_top]
-        tops = [
-            [{"pos": int(positions[j]), "label": names[j], "weight": float(w[j])} for j in chosen]
-            for chosen, w in zip(top, weights)
-        ]
-        return weights.sum(axis=1), tops
-
-    entry = pa.list_(pa.struct([("pos", pa.int64()), ("label", pa.string()), ("weight", pa.float64())]))
-
-    def emit(ids, totals, tops) -> pa.RecordBatch:
+        at = pa.array(top.ravel())
+        chosen = pa.array(np.take_along_axis(weights, top, 1).ravel())
+        entries = pa.StructArray.from_arrays([positions.take(at), names.take(at), chosen], fields=list(entry))
+        ends = np.concatenate(([0], np.cumsum(np.where(same, n_top, 0)))).astype(np.int32)
+        totals = np.zeros(len(same))
+        totals[same] = weights.sum(axis=1)
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(totals), pa.array(tops, type=entry)], names=["segment_id", "total", "top"]
+            [rows["segment_id"], rows["_row"], pa.array(totals), pa.ListArray.from_arrays(pa.array(ends), entries)],
+            names=["segment_id", "_row", "total", "top"],
         )
 
-    def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        table = table.sort_by("pos")
+    def unpack(table: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        table = table.sort_by("pos").combine_chunks()
         dim = len(table["embedding"][0])
-        return table["pos"].to_numpy(), table["label"].to_pylist(), _matrix(table["embedding"], dim)
+        position = pc.cast(table["pos"], pa.int64()).combine_chunks()
+        return position, table["label"].combine_chunks(), _matrix(table["embedding"], dim)
 
-    held = indexable_vectors(vectors).select("segment_id", "embedding")
+    # Ids may repeat: a row is known by its number.
+    held = indexable_vectors(vectors).select("segment_id", "embedding", F.monotonically_increasing_id().alias("_row"))
     collected = labels.limit(max_sent + 1).toArrow()
     if collected.num_rows <= max_sent:
         sent = labels.sparkSession.sparkContext.broadcast(unpack(collected))
@@ -250,8 +256,7 @@ def zero_shot_labels(
         def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    totals, tops = score_block(batch, sent.value)
-                    yield emit(batch["segment_id"], totals, tops)
+                    yield score_block(batch, sent.value)
 
         parts = held.mapInArrow(score_batches, parts_kind)
     else:
@@ -260,21 +265,23 @@ def zero_shot_labels(
         blocks = labels.withColumn("block", F.pmod(F.xxhash64("pos"), F.lit(n_blocks))).withColumn(
             "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_tiles - 1).cast("bigint")))
         )
-        tiles = held.withColumn("tile", F.pmod(F.xxhash64("segment_id"), F.lit(n_tiles))).withColumn(
+        tiles = held.withColumn("tile", F.pmod(F.xxhash64("segment_id", "_row"), F.lit(n_tiles))).withColumn(
             "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
         )
 
         def score_tile(rows: pa.Table, block: pa.Table) -> pa.Table:
             if rows.num_rows == 0 or block.num_rows == 0:
                 ids = pa.array([], rows.schema.field("segment_id").type)
-                return pa.table({"segment_id": ids, "total": pa.array([], pa.float64()), "top": pa.array([], entry)})
-            totals, tops = score_block(rows, unpack(block))
-            return pa.Table.from_batches([emit(rows["segment_id"].combine_chunks(), totals, tops)])
+                none = {"_row": pa.array([], pa.int64()), "total": pa.array([], pa.float64())}
+                return pa.table({"segment_id": ids, **none, "top": pa.array([], pa.list_(entry))})
+            sent_block = unpack(block)
+            batches = rows.select(["segment_id", "embedding", "_row"]).combine_chunks().to_batches()
+            return pa.Table.from_batches([score_block(b, sent_block) for b in batches])
 
         parts = (
             tiles.groupBy("tile", "block").cogroup(blocks.groupBy("tile", "block")).applyInArrow(score_tile, parts_kind)
         )
-        parts = parts.groupBy("segment_id").agg(
+        parts = parts.groupBy("segment_id", "_row").agg(
             F.sum("total").alias("total"), F.flatten(F.collect_list("top")).alias("top")
         )
     passing = F.filter("top", lambda x: F.round(x["weight"] / F.col("total"), 12) >= threshold)

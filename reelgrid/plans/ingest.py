@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from reelgrid.operators.align import align, coverage, segment_vectors, with_full_text
-from reelgrid.operators.lexical import build_postings
+from reelgrid.operators.lexical import build_postings, indexable_text
+from reelgrid.operators.models import Encoder, encode_column
 from reelgrid.operators.ocr import clean_ocr
 from reelgrid.operators.stats import ingest_stats
 from reelgrid.operators.transcripts import clean_asr, merge_short, to_absolute
@@ -23,9 +27,12 @@ def ingest(
     frames: DataFrame | None = None,
 ) -> DataFrame:
     """Segments with full text for all media items in one job."""
+    if asr_chunks is not None and "pos" not in asr_chunks.columns:  # rows without a number keep their order
+        asr_chunks = asr_chunks.withColumn("pos", F.monotonically_increasing_id())
     asr = merge_short(clean_asr(to_absolute(asr_chunks))) if asr_chunks is not None else None
     ocr = clean_ocr(ocr_detections) if ocr_detections is not None else None
-    return with_full_text(align(media, d, asr, audio, ocr, clips, frames))
+    segments = with_full_text(align(media, d, asr, audio, ocr, clips, frames))
+    return segments if "keyframe_path" in segments.columns else segments.withColumn("keyframe_path", F.lit(""))
 
 
 def build_indexes(
@@ -34,12 +41,21 @@ def build_indexes(
     audio: DataFrame | None = None,
     clips: DataFrame | None = None,
     frames: DataFrame | None = None,
+    encoder: Callable[[], Encoder] | None = None,
+    dim: int | None = None,
 ) -> None:
-    """Write segments, postings and vectors under ``path``; segments are computed once."""
+    """Write segments, postings and vectors under ``path``; segments are computed once.
+
+    With an ``encoder`` of ``dim`` numbers, the full texts get dense vectors too.
+    """
     kept = stored(segments, "segments")
     write_segments(kept, f"{path}/segments")
     write_postings(build_postings(kept), f"{path}/postings")
-    write_vectors(segment_vectors(kept, audio, clips, frames), f"{path}/vectors")
+    vectors = segment_vectors(kept, audio, clips, frames)
+    if encoder is not None:
+        texts = indexable_text(kept).select("segment_id", F.lit("text_dense").alias("modality"), "text")
+        vectors = vectors.unionByName(encode_column(texts, "text", encoder, dim).drop("text"))
+    write_vectors(vectors, f"{path}/vectors")
 
 
 def ingest_report(media: DataFrame, segments: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,23 +28,36 @@ def candidates(
     return attach_segments(fused, segments).withColumn("source", F.lit("fused"))
 
 
-def auto_track(queries: DataFrame, found: DataFrame, scorer: Callable[[], Scorer] | None) -> DataFrame:
-    """First candidates reordered by a pair scorer, judged by their scores, cut to the final few."""
-    head = found.where(F.col("rank") <= TOP_K_RERANK)
+def auto_track(
+    queries: DataFrame,
+    found: DataFrame,
+    scorer: Callable[[], Scorer] | None,
+    depth: int = TOP_K_RERANK,
+    final: int = TOP_K_FINAL,
+) -> DataFrame:
+    """The first ``depth`` candidates reordered by a pair scorer, judged by their scores, cut to ``final``."""
+    head = found.where(F.col("rank") <= depth)
     if scorer is not None:
         asked = head.join(queries.select("query_id", F.col("original_query").alias("query")), "query_id")
         scored = score_pairs(asked, scorer)
         head = rerank(head, scored)
     judged = with_verdict(head, fast_verdict(head, queries))
-    return judged.where(F.col("rank") <= TOP_K_FINAL).withColumn("crag_method", F.lit("fast_heuristic"))
+    return judged.where(F.col("rank") <= final).withColumn("crag_method", F.lit("fast_heuristic"))
 
 
-def semi_track(found: DataFrame, ratings: DataFrame, answers: DataFrame, retries: DataFrame | None = None) -> DataFrame:
+def semi_track(
+    found: DataFrame,
+    ratings: DataFrame,
+    answers: DataFrame,
+    retries: DataFrame | None = None,
+    depth: int = TOP_K_RERANK,
+    final: int = TOP_K_FINAL,
+) -> DataFrame:
     """Candidates blended with stored ratings, the best of the stored retry rounds, gated by stored answers."""
-    head = blend_scores(found.where(F.col("rank") <= TOP_K_RERANK), ratings)
-    ordered = splice(head, found.where(F.col("rank") > TOP_K_RERANK)).drop("tier")
+    head = blend_scores(found.where(F.col("rank") <= depth), ratings)
+    ordered = splice(head, found.where(F.col("rank") > depth)).drop("tier")
     if retries is not None:
         rounds = ordered.withColumn("round", F.lit(0)).unionByName(retries, allowMissingColumns=True)
         ordered = best_round(rounds).drop("round")
-    final = ordered.where(F.col("rank") <= TOP_K_FINAL)
-    return with_verdict(verify_gate(final, answers), mean_verdict(final))
+    shown = ordered.where(F.col("rank") <= final)
+    return with_verdict(verify_gate(shown, answers), mean_verdict(shown))

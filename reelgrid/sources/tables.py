@@ -40,8 +40,8 @@ def read_segments(spark: SparkSession, path: str, media_id_from: str = "video_fi
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
-    """Segments without vectors, with flags telling which vectors exist."""
-    kept = [c for c in SEGMENT_FILE.names if c in segments.columns]
+    """Segments without vectors, with their full text and flags telling which vectors exist."""
+    kept = [c for c in (*SEGMENT_FILE.names, "text") if c in segments.columns]
     segments.select(
         "media_id",
         "seg_idx",
@@ -88,15 +88,18 @@ def read_ground_truth(spark: SparkSession, path: str, flat_query: str | None = N
     if flat_query is not None:
         nested = raw.select(
             F.lit(flat_query).alias("query"),
+            F.lit(flat_query).alias("_item"),
             F.monotonically_increasing_id().alias("gt_id"),
             F.struct("start", "end", "text", "aspects").alias("s"),
         )
     else:
         asked = raw.where(F.coalesce("query", F.lit("")) != "")
-        nested = asked.select("query", F.posexplode_outer("segments").alias("gt_id", "s"))
+        # One query text may stand in several items, each with spans of its own.
+        item = F.concat_ws("\n", F.monotonically_increasing_id().cast("string"), "query")
+        nested = asked.select("query", item.alias("_item"), F.posexplode_outer("segments").alias("gt_id", "s"))
     present = F.col("s").isNotNull()
     return nested.select(
-        F.sha2("query", 256).alias("query_id"),
+        F.sha2("_item", 256).alias("query_id"),
         F.col("gt_id").cast("bigint").alias("gt_id"),
         "query",
         F.when(present, F.coalesce("s.start", F.lit(0.0))).alias("start"),

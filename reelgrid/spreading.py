@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -84,25 +83,46 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only in local mode."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is not set, a local session gets one temporary folder of its own and a cluster an error;
+    the setting itself is never written.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="reelgrid-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="reelgrid-")
+    return _LOCAL[context.applicationId]
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/reelgrid/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return os.path.join(shared_dir(spark), "reelgrid", f"{name}-{uuid.uuid4().hex}")
+    """A new, unused path in this application's part of the shared folder."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a result that several later steps read to the shared folder, and read it back."""
+    """Write a result that several later steps read to the shared folder, and read it back.
+
+    The files belong to the application: whoever has written the final result calls ``clear_scratch``.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete all that this application has stored midway; results read from it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

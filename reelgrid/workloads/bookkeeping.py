@@ -21,7 +21,7 @@ SUB = ("visual", "temporal", "audio", "ocr", "text")
 def _queries(t: Tables) -> DataFrame:
     """Benchmark texts as queries whose sub-queries are present, empty or missing by the text's length."""
     n = F.length("text")
-    part = F.substring("text", 1, 20)
+    part = F.lower("text")
     return t["benchmark"].select(
         F.col("item_id").alias("query_id"),
         F.col("text").alias("original_query"),
@@ -34,7 +34,7 @@ def _queries(t: Tables) -> DataFrame:
     )
 
 
-FANNED = """WITH q AS (SELECT item_id AS query_id, text AS o, length(text) AS n, substr(text, 1, 20) AS p FROM benchmark),
+FANNED = """WITH q AS (SELECT item_id AS query_id, text AS o, length(text) AS n, lower(text) AS p FROM benchmark),
 fanned AS (
   SELECT query_id, o, n, CASE WHEN n >= 200 THEN p ELSE o END AS visual_query, CASE WHEN n >= 250 THEN p ELSE o END AS temporal_query,
          CASE WHEN n < 150 THEN o WHEN n >= 200 THEN p ELSE '' END AS audio_query, CASE WHEN n < 150 THEN o ELSE '' END AS ocr_query,
@@ -66,8 +66,8 @@ def _query_parts(t: Tables) -> DataFrame:
     "query_enrich",
     FANNED
     + """, known AS (SELECT conv_id AS query_id, string_agg(text, ' ' ORDER BY turn) AS k FROM conversations WHERE role = 'user' GROUP BY conv_id)
-SELECT query_id, query_type, coalesce(substr(trim(k), 1, 500), '') AS entity_knowledge,
-  CASE WHEN query_type = 'entity_specific' AND coalesce(trim(k), '') <> '' THEN visual_query || '. ' || substr(trim(k), 1, 200)
+SELECT query_id, query_type, coalesce(trim(k), '') AS entity_knowledge,
+  CASE WHEN query_type = 'entity_specific' AND coalesce(trim(k), '') <> '' THEN visual_query || '. ' || trim(k)
        ELSE visual_query END AS visual_query
 FROM fanned LEFT JOIN known USING (query_id)""",
 )

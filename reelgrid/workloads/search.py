@@ -76,7 +76,14 @@ def _postings(t: Tables) -> DataFrame:
     return rows.where("token is not null")
 
 
-@query("bm25_idf", "WITH " + BM25_SQL + "\nSELECT token, df, round(idf, 6) AS idf FROM idf")
+@query(
+    "bm25_idf",
+    f"""WITH held AS (SELECT unnest(list_distinct({_sql_tokens('text')})) AS token FROM documents),
+n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw_idf FROM (SELECT token, count(*) AS df FROM held GROUP BY token), n),
+mean AS (SELECT avg(raw_idf) AS m FROM raw)
+SELECT token, df, round(CASE WHEN raw_idf < 0 THEN 0.25 * m ELSE raw_idf END, 6) AS idf FROM raw, mean""",
+)
 def _bm25_idf(t: Tables) -> DataFrame:
     _, idf = bm25_stats(index(t))
     return idf.select("token", "df", F.round("idf", 6).alias("idf"))

@@ -141,4 +141,6 @@ def test_enrich_only_entity_queries(rows):
     queries = rows([(1, "v", "entity_specific"), (2, "v", "action"), (3, "v", "entity_specific")], "query_id bigint, visual_query string, query_type string")
     knowledge = rows([(1, " " + "k" * 600), (2, "x")], "query_id bigint, knowledge string")
     got = {r["query_id"]: (r["visual_query"], len(r["entity_knowledge"])) for r in fo.enrich_queries(queries, knowledge).collect()}
-    assert got == {1: ("v. " + "k" * 200, 500), 2: ("v", 1), 3: ("v", 0)}
+    assert got == {1: ("v. " + "k" * 600, 600), 2: ("v", 1), 3: ("v", 0)}
+    cut = fo.enrich_queries(queries, knowledge, knowledge_chars=500, snippet_chars=200).where("query_id = 1").first()
+    assert (cut["visual_query"], len(cut["entity_knowledge"])) == ("v. " + "k" * 200, 500)
