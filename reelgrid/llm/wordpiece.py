@@ -88,10 +88,10 @@ class WordCounts:
         """Words, pieces and words that have no split; such a word counts as one piece."""
         found = text.encode().split()
         known = self.known
-        if not known.keys() >= (new := set(found)):
-            if len(known) + len(new) > _CACHE:
-                known.clear()
-            for w in new - known.keys():
+        if len(known) + len(found) > _CACHE:
+            known.clear()
+        for w in found:
+            if w not in known:
                 known[w] = self.automaton.count(b" " + w)
         counts = [known[w] for w in found]
         unknown = counts.count(-1)
