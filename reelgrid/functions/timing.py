@@ -28,3 +28,8 @@ def segment_id(stem: Column, start: Column) -> Column:
     """Display id: file stem and the whole second the cell starts at, in at least five digits."""
     second = F.floor(start).cast("string")
     return F.concat(stem, F.lit("_"), F.when(F.length(second) < 5, F.lpad(second, 5, "0")).otherwise(second))
+
+
+def segment_key() -> Column:
+    """Unique id of a segment, from ``media_id`` and ``seg_idx``; display ids of short cells can be equal."""
+    return F.concat("media_id", F.lit("#"), F.col("seg_idx").cast("string"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.operators.lexical import bm25_search
+from reelgrid.operators.lexical import LexicalIndex, bm25_search
 from reelgrid.operators.ranking import rounded, with_rank
 from reelgrid.operators.vectors import vector_search
 from reelgrid.schemas import COMPONENT, RRF_K, SOURCE_WEIGHTS, SOURCES, TOP_K_RETRIEVAL
@@ -25,7 +25,7 @@ def _by_source(values: dict[str, float] | dict[str, int]) -> Column:
 
 def retrieve(
     queries: DataFrame,
-    postings: DataFrame | None,
+    index: LexicalIndex | DataFrame | None,
     query_vectors: dict[str, DataFrame],
     vectors: dict[str, DataFrame],
     k: int = TOP_K_RETRIEVAL,
@@ -36,8 +36,8 @@ def retrieve(
     The dense text scores are the only ones not clamped to [0, 1].
     """
     lists = []
-    if postings is not None:
-        lists.append(bm25_search(queries, postings, k).select(*HIT))
+    if index is not None:
+        lists.append(bm25_search(queries, index, k).select(*HIT))
     for source in SOURCES:
         if source in query_vectors and source in vectors:
             found = vector_search(
@@ -56,13 +56,18 @@ def attach_segments(hits: DataFrame, segments: DataFrame) -> DataFrame:
     """Metadata of the hit segments; unknown ids get empty values.
 
     The segments are cut to the hit ids where they are read, before any of them is shuffled: the ids
-    are stored, counted, and sent when their number is bounded.
+    are stored, counted, and sent when their number is bounded. Stored segments are looked up by their
+    key, and their own id comes along as ``display_id``.
     """
     hits = stored(hits, "hits")
     wanted = hits.select("segment_id").distinct()
     if fits(wanted):
         wanted = F.broadcast(wanted)
-    few = segments.select("segment_id", *PAYLOAD).join(wanted, "segment_id", "left_semi")
+    if "segment_key" in segments.columns:
+        described = segments.select(F.col("segment_key").alias("segment_id"), F.col("segment_id").alias("display_id"), *PAYLOAD)
+    else:
+        described = segments.select("segment_id", *PAYLOAD)
+    few = described.join(wanted, "segment_id", "left_semi")
     found = hits.join(few, "segment_id", "left")
     return found.fillna("", ["video_file", "text", "keyframe_path"]).fillna(0.0, ["start_time", "end_time"])
 

@@ -1,19 +1,36 @@
 """Lexical index and BM25 search.
 
-The index keeps one row per document, ``(segment_id, doc_len, terms)``, and is built without a
-shuffle. Search filters it to the queries' words, gathers each document's matching words in one
-task, and ranks there: a query's best ``k`` are cut per task before anything is shuffled by query.
+Postings are one row per document, ``(segment_id, doc_len, terms)``, made without a shuffle. The index
+turns them round: one row per word and document, stored in the order of the words, beside the words'
+document counts and weights and the corpus figures. Search reads only the row groups that may hold the
+queries' words, gathers each document's matching words in one task, and ranks there: a query's best
+``k`` are cut per task before anything is shuffled by query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import is_blank, tokens
 from reelgrid.operators.ranking import top_k
 from reelgrid.schemas import BM25_B, BM25_EPSILON, BM25_K1, TOP_K_RETRIEVAL
-from reelgrid.spreading import BROADCAST_ROWS, fits
+from reelgrid.spreading import BROADCAST_ROWS, lookup_join
+
+BROADCAST_BYTES = 64_000_000  # most bytes of query words that are sent to every task
+SENT_WORDS = 10_000  # most distinct words that become a filter of the index scan
+WORD_RANGES = 100  # most ranges of neighbouring words in that filter
+
+
+class LexicalIndex(NamedTuple):
+    """``(token, segment_id, tf, doc_len)``, ``(token, df, idf)``, and one row ``(n_docs, avg_len)``."""
+
+    entries: DataFrame
+    idf: DataFrame
+    corpus: DataFrame
 
 
 def with_tokens(df: DataFrame, col: str, out: str = "tokens") -> DataFrame:
@@ -81,37 +98,64 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return listed.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def lexical_index(postings: DataFrame) -> LexicalIndex:
+    """The index of a table of postings, not stored: its figures are counted whenever they are used."""
+    # outer, as the planner otherwise adds a filter on the list and so builds every list twice
+    entries = postings.select("segment_id", "doc_len", F.inline_outer("terms")).where("token is not null")
+    corpus, idf = bm25_stats(postings)
+    return LexicalIndex(entries.select("token", "segment_id", "tf", "doc_len"), idf, corpus)
+
+
+def _one_of(words: list[str]) -> Column:
+    """``token`` is one of the words, as sets of neighbours: each set prunes row groups by its own range."""
+    ordered = sorted(words)
+    size = max(10, -(-len(ordered) // WORD_RANGES))
+    sets = [F.col("token").isin(ordered[i : i + size]) for i in range(0, len(ordered), size)]
+    return reduce(Column.__or__, sets) if sets else F.lit(False)
+
+
 def bm25_search(
     queries: DataFrame,
-    postings: DataFrame,
+    index: LexicalIndex | DataFrame,
     k: int = TOP_K_RETRIEVAL,
-    stats: tuple[DataFrame, DataFrame] | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    sent_words: int = SENT_WORDS,
 ) -> DataFrame:
     """Best ``k`` documents per query by BM25, as shares of the query's best score.
 
-    When the queries' words are few enough to send to every task, postings are cut down to them in
-    place and partitioned by document once; otherwise both sides meet in a shuffle join on the word.
+    ``index`` is a stored index, or a table of postings. When the queries' words are few enough to send
+    to every task, in rows and bytes, the index is cut down to them where it is read and partitioned by
+    document once; otherwise both sides meet in a shuffle join on the word, with words cut apart by a
+    salt. The rows are the same.
     """
-    corpus, idf = stats or bm25_stats(postings)
+    entries, idf, corpus = index if isinstance(index, LexicalIndex) else lexical_index(index)
     terms = query_terms(queries)
-    small = fits(terms, broadcast_rows)
+    size = (
+        terms.limit(broadcast_rows + 1)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("b"), F.count_distinct("token").alias("w"))
+        .first()
+    )
+    small = size["n"] <= broadcast_rows and (size["b"] or 0) <= BROADCAST_BYTES
     vocabulary = terms.select("token").distinct()
-    known = idf.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi")
+    if small and size["w"] <= sent_words:
+        asked = _one_of([r["token"] for r in vocabulary.collect()])
+        known, matched = idf.where(asked), entries.where(asked)
+    elif small:
+        known, matched = (part.join(F.broadcast(vocabulary), "token", "left_semi") for part in (idf, entries))
+    else:
+        known, matched = idf.join(vocabulary, "token", "left_semi"), entries
     weighted = known.join(terms, "token").select(
         "query_id", "token", (F.col("weight") * F.col("idf")).alias("weight")
     )
-    # outer, as the planner otherwise adds a filter on the list and so builds every list twice
-    matched = postings.select("segment_id", "doc_len", F.inline_outer("terms")).where("token is not null")
-    if small:
-        matched = matched.join(F.broadcast(vocabulary), "token", "left_semi").repartition("segment_id")
-        weighted = F.broadcast(weighted)
     length_share = F.col("doc_len") / corpus.select("avg_len").scalar()
     saturation = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * length_share))
+    if small:
+        pairs = matched.repartition("segment_id").withColumn("saturation", saturation)
+        pairs = pairs.join(F.broadcast(weighted), "token")
+    else:
+        pairs = lookup_join(matched.withColumn("saturation", saturation), weighted, ["token"], ["segment_id"], "inner")
     scored = (
-        matched.withColumn("saturation", saturation)
-        .join(weighted, "token")
-        .groupBy("query_id", "segment_id")
+        pairs.groupBy("query_id", "segment_id")
         .agg(F.sum(F.col("weight") * F.col("saturation")).alias("raw_score"))
         .where(F.col("raw_score") > 0)
         .withColumn("score", F.col("raw_score"))

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.functions.timing import segment_key
 from reelgrid.operators.align import align, coverage, segment_vectors, with_full_text
 from reelgrid.operators.lexical import build_postings, indexable_text
 from reelgrid.operators.models import Encoder, encode_column
 from reelgrid.operators.ocr import clean_ocr
 from reelgrid.operators.stats import ingest_stats
 from reelgrid.operators.transcripts import clean_asr, merge_short, to_absolute
-from reelgrid.sources.tables import write_postings, write_segments, write_vectors
+from reelgrid.sources.tables import read_postings, write_lexical_index, write_postings, write_segments, write_vectors
 from reelgrid.spreading import stored
 
 
@@ -44,16 +45,18 @@ def build_indexes(
     encoder: Callable[[], Encoder] | None = None,
     dim: int | None = None,
 ) -> None:
-    """Write segments, postings and vectors under ``path``; segments are computed once.
+    """Write segments, the lexical index and vectors under ``path``; segments are computed once.
 
-    With an ``encoder`` of ``dim`` numbers, the full texts get dense vectors too.
+    Indexes know a segment by its key. With an ``encoder`` of ``dim`` numbers, the full texts get dense vectors too.
     """
     kept = stored(segments, "segments")
     write_segments(kept, f"{path}/segments")
-    write_postings(build_postings(kept), f"{path}/postings")
-    vectors = segment_vectors(kept, audio, clips, frames)
+    keyed = kept.withColumn("segment_id", segment_key())
+    write_postings(build_postings(keyed), f"{path}/postings")
+    write_lexical_index(read_postings(kept.sparkSession, f"{path}/postings"), f"{path}/lexical")
+    vectors = segment_vectors(keyed, audio, clips, frames)
     if encoder is not None:
-        texts = indexable_text(kept).select("segment_id", F.lit("text_dense").alias("modality"), "text")
+        texts = indexable_text(keyed).select("segment_id", F.lit("text_dense").alias("modality"), "text")
         vectors = vectors.unionByName(encode_column(texts, "text", encoder, dim).drop("text"))
     write_vectors(vectors, f"{path}/vectors")
 

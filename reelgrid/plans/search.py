@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.operators.fusion import attach_segments, retrieve, rrf_fuse
+from reelgrid.operators.lexical import LexicalIndex
 from reelgrid.operators.models import Scorer, score_pairs
 from reelgrid.operators.rerank import blend_scores, rerank, verify_gate
 from reelgrid.operators.ranking import splice
@@ -18,13 +19,13 @@ from reelgrid.schemas import TOP_K_FINAL, TOP_K_RERANK, TOP_K_RETRIEVAL
 def candidates(
     queries: DataFrame,
     segments: DataFrame,
-    postings: DataFrame | None,
+    index: LexicalIndex | DataFrame | None,
     query_vectors: dict[str, DataFrame],
     vectors: dict[str, DataFrame],
     k: int = TOP_K_RETRIEVAL,
 ) -> DataFrame:
     """Fused candidates with their segments' metadata; only the fused rows are looked up."""
-    fused = rrf_fuse(retrieve(queries, postings, query_vectors, vectors, k), k=k)
+    fused = rrf_fuse(retrieve(queries, index, query_vectors, vectors, k), k=k)
     return attach_segments(fused, segments).withColumn("source", F.lit("fused"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import clock, file_stem
+from reelgrid.functions.timing import segment_key
+from reelgrid.operators.lexical import LexicalIndex, lexical_index
 from reelgrid.schemas import FEATURES, FEEDBACK, GROUND_TRUTH, GROUND_TRUTH_FILE, SEGMENT_FILE, VECTORS
 
 RESULT_COLUMNS = (
@@ -40,11 +42,12 @@ def read_segments(spark: SparkSession, path: str, media_id_from: str = "video_fi
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
-    """Segments without vectors, with their full text and flags telling which vectors exist."""
+    """Segments without vectors, with their full text, their key and flags telling which vectors exist."""
     kept = [c for c in (*SEGMENT_FILE.names, "text") if c in segments.columns]
     segments.select(
         "media_id",
         "seg_idx",
+        segment_key().alias("segment_key"),
         *kept,
         F.col("frame_idx").isNotNull().alias("has_frame_embedding"),
         F.col("clip_pos").isNotNull().alias("has_video_embedding"),
@@ -69,6 +72,22 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_lexical_index(postings: DataFrame, path: str) -> None:
+    """The index in the order of its words, and the statistics of the corpus, counted once.
+
+    Files are cut by word and document, so a frequent word spans several.
+    """
+    entries, idf, corpus = lexical_index(postings)
+    order = ["token", "segment_id"]
+    entries.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/entries")
+    idf.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/idf")
+    corpus.write.parquet(f"{path}/corpus")
+
+
+def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return LexicalIndex(*[spark.read.parquet(f"{path}/{part}") for part in LexicalIndex._fields])
+
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """Vector rows, one folder per modality."""
     vectors.where(F.size("embedding") > 0).write.partitionBy("modality").parquet(path)
@@ -118,7 +137,12 @@ def stream_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_output(results: DataFrame) -> DataFrame:
-    """The nine shown columns, with the score rounded and the start as a clock."""
+    """The nine shown columns, with the score rounded and the start as a clock.
+
+    Results that were found by segment key are shown with the segment's display id.
+    """
+    if "display_id" in results.columns:
+        results = results.withColumn("segment_id", F.coalesce("display_id", "segment_id"))
     shown = results.withColumn("score", F.round("score", 4)).withColumn(
         "time_display", clock(F.col("start_time"))
     )

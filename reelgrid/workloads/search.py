@@ -9,13 +9,13 @@ from reelgrid.functions.text import NOT_WORD, SPACES
 from reelgrid.functions.vector import norm
 from reelgrid.operators import vectors as vec
 from reelgrid.operators.fusion import attach_segments, retrieve, rrf_fuse
-from reelgrid.operators.lexical import bm25_search, bm25_stats, build_postings, with_tokens
+from reelgrid.operators.lexical import LexicalIndex, bm25_search, build_postings, with_tokens
 from reelgrid.operators.models import encode_column, letter_profile, score_pairs, token_overlap
 from reelgrid.operators.ranking import top_k, union_rank
 from reelgrid.operators.rerank import rerank
 from reelgrid.schemas import TOP_K_FINAL, TOP_K_RERANK
-from reelgrid.sources.tables import result_output
-from reelgrid.spreading import spread, stored
+from reelgrid.sources.tables import read_lexical_index, result_output, write_lexical_index
+from reelgrid.spreading import scratch_path, spread, stored
 from reelgrid.workloads.fixtures import Tables, with_ctes
 from reelgrid.workloads.registry import query
 
@@ -50,9 +50,11 @@ def documents(t: Tables) -> DataFrame:
     return spread(t.documents(), "segment_id")
 
 
-def index(t: Tables) -> DataFrame:
-    """The lexical index, written once and read by every later step."""
-    return stored(build_postings(documents(t)), "postings")
+def index(t: Tables) -> LexicalIndex:
+    """The lexical index of the documents, written and read again."""
+    path = scratch_path(t.spark, "lexical")
+    write_lexical_index(stored(build_postings(documents(t)), "postings"), path)
+    return read_lexical_index(t.spark, path)
 
 
 @query(
@@ -72,8 +74,7 @@ def _tokens(t: Tables) -> DataFrame:
 
 @query("postings", "WITH " + BM25_SQL + "\nSELECT segment_id, token, tf, doc_len FROM tf")
 def _postings(t: Tables) -> DataFrame:
-    rows = build_postings(documents(t)).select("segment_id", F.inline_outer("terms"), "doc_len")
-    return rows.where("token is not null")
+    return index(t).entries
 
 
 @query(
@@ -85,8 +86,7 @@ mean AS (SELECT avg(raw_idf) AS m FROM raw)
 SELECT token, df, round(CASE WHEN raw_idf < 0 THEN 0.25 * m ELSE raw_idf END, 6) AS idf FROM raw, mean""",
 )
 def _bm25_idf(t: Tables) -> DataFrame:
-    _, idf = bm25_stats(index(t))
-    return idf.select("token", "df", F.round("idf", 6).alias("idf"))
+    return index(t).idf.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(

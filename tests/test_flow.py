@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelgrid import spreading
 from reelgrid.operators.fusion import attach_segments, retrieve, rrf_fuse
@@ -11,7 +12,8 @@ from reelgrid.operators.models import encode_column, letter_profile, token_overl
 from reelgrid.operators.vectors import zero_shot_labels
 from reelgrid.plans.ingest import build_indexes, ingest
 from reelgrid.plans.search import auto_track, candidates
-from reelgrid.sources.tables import read_ground_truth, read_postings, read_stored_segments, read_vectors, result_output
+from reelgrid.sources.media import media_inventory
+from reelgrid.sources.tables import read_ground_truth, read_lexical_index, read_stored_segments, read_vectors, result_output
 
 
 def test_ingest_index_search(spark, rows, tmp_path):
@@ -24,7 +26,7 @@ def test_ingest_index_search(spark, rows, tmp_path):
     queries = rows([(1, "red fox", "red fox"), (2, "bird", "bird"), (3, "nothing", "zzz")], "query_id bigint, original_query string, text_query string")
     asked = encode_column(queries, "text_query", letter_profile, 26).select("query_id", "embedding")
     found = candidates(
-        queries, segments, read_postings(spark, f"{path}/postings"),
+        queries, segments, read_lexical_index(spark, f"{path}/lexical"),
         {"text_dense": asked}, {"text_dense": read_vectors(spark, f"{path}/vectors", "text_dense")},
     )
     final = auto_track(queries, found, token_overlap, depth=10, final=2)
@@ -35,6 +37,28 @@ def test_ingest_index_search(spark, rows, tmp_path):
     assert segments.where("text <> ''").count() == read_vectors(spark, f"{path}/vectors", "text_dense").count()
 
 
+def test_short_cells_and_files_of_one_stem_stay_apart(spark, rows, tmp_path):
+    folder = tmp_path / "media"
+    folder.mkdir()
+    for name in ("a.mp4", "a.avi", "b.mp4"):
+        (folder / name).write_bytes(b"x")
+    files = media_inventory(spark, str(folder))
+    assert sorted(r.media_id for r in files.collect()) == ["a.avi", "a.mp4", "b"]
+    media = files.select("media_id", "video_file", F.lit(2.0).alias("duration"), F.lit(25.0).alias("fps"), F.lit(50).cast("bigint").alias("total_frames"))
+    said = [(m, 0.0, 2.0, s, s + 0.45, f"{w} word") for m in ("a.mp4", "a.avi") for s, w in ((0.0, "zero"), (0.51, "half"), (1.01, "one"))]
+    chunks = rows(said, "media_id string, chunk_start double, chunk_end double, rel_start double, rel_end double, text string")
+    path = str(tmp_path / "index")
+    build_indexes(ingest(media, 0.5, asr_chunks=chunks), path)
+    segments = read_stored_segments(spark, f"{path}/segments")
+    assert segments.select("segment_id").distinct().count() < segments.count() == segments.select("segment_key").distinct().count()
+    queries = rows([(1, "word", "word")], "query_id bigint, original_query string, text_query string")
+    found = candidates(queries, segments, read_lexical_index(spark, f"{path}/lexical"), {}, {})
+    spoken = segments.where("text <> ''")
+    hits = found.select("video_file", "start_time").collect()
+    assert len(hits) == len(set(hits)) <= spoken.count()
+    assert {r.segment_id for r in result_output(found).collect()} <= {r.segment_id for r in segments.collect()}
+
+
 def test_nothing_to_search_in(rows):
     queries = rows([(1, "a")], "query_id bigint, text_query string")
     assert retrieve(queries, None, {}, {}).collect() == []

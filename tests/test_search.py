@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions import text as tx
 from reelgrid.functions.vector import conformed, norm, normalized
 from reelgrid.operators import fusion, lexical, models, ranking, vectors
+from reelgrid.sources.tables import read_lexical_index, write_lexical_index
 
 
 def test_tokens(rows):
@@ -99,6 +100,25 @@ def test_scoring_is_cut_before_it_is_shuffled_by_query(rows):
     assert "hashpartitioning(query_id" not in plan[by_query + 10 :].split("WindowGroupLimit", 1)[1].split("BroadcastExchange")[0]
 
 
+def test_stored_index_is_read_by_word_without_counting_the_corpus(spark, rows, tmp_path):
+    docs = rows([(i, f"w{i % 40} w{i % 7} all") for i in range(200)], "segment_id bigint, text string")
+    queries = rows([(1, "w3 w7"), (2, "w39 none"), (3, "")], "query_id bigint, text_query string")
+    postings = lexical.build_postings(docs)
+    write_lexical_index(postings, str(tmp_path / "lexical"))
+    index = read_lexical_index(spark, str(tmp_path / "lexical"))
+    expected = collect(lexical.bm25_search(queries, postings, k=50).select("query_id", "segment_id", F.round("raw_score", 9)))
+    for options in ({}, {"sent_words": 1}, {"broadcast_rows": 1}):
+        found = lexical.bm25_search(queries, index, 50, **options)
+        assert collect(found.select("query_id", "segment_id", F.round("raw_score", 9))) == expected
+    plan = lexical.bm25_search(queries, index, 50)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Scan parquet" in line and "token" in line]
+    assert scans and all("PushedFilters: [In(token, [" in line for line in scans)
+    assert "partial_avg" not in plan
+    many = rows([(1, " ".join(f"w{i}" for i in range(5_000)))], "query_id bigint, text_query string")
+    assert lexical.bm25_search(many, index, 500).count() == 200
+    assert lexical.bm25_search(rows([(1, "?")], "query_id bigint, text_query string"), index).collect() == []
+
+
 def test_normalize_and_conform(rows):
     df = rows([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     got = df.select(normalized(F.col("v")).alias("u")).withColumn("n", norm(F.col("u"))).collect()
