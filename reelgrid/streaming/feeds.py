@@ -11,18 +11,23 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from reelgrid.operators.rerank import apply_feedback
 
+FEEDBACK_BUCKETS = 64
+COMPACT_EVERY = 20
+
 
 def stream_grid(events: DataFrame, width: str, delay: str) -> DataFrame:
-    """Cells on event time: labels (as a sorted set) and counts per media item; late rows are dropped."""
-    return (
+    """Cells on event time: labels (and texts, if there are any) as sorted sets, and counts per media item.
+
+    Late rows are dropped.
+    """
+    texts = [F.sort_array(F.collect_set("text")).alias("texts")] if "text" in events.columns else []
+    cells = (
         events.withWatermark("ts", delay)
         .groupBy("media_id", F.window("ts", width).alias("cell"))
-        .agg(
-            F.sort_array(F.collect_set("label")).alias("labels"),
-            F.count(F.lit(1)).alias("n_items"),
-        )
-        .select("media_id", F.col("cell.start").alias("cell_start"), F.col("cell.end").alias("cell_end"), "labels", "n_items")
+        .agg(F.sort_array(F.collect_set("label")).alias("labels"), *texts, F.count(F.lit(1)).alias("n_items"))
     )
+    kept = [c for c in cells.columns if c not in ("media_id", "cell")]
+    return cells.select("media_id", F.col("cell.start").alias("cell_start"), F.col("cell.end").alias("cell_end"), *kept)
 
 
 def stream_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
@@ -36,69 +41,116 @@ def stream_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
 
 
 class _MergeRuns(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then merges them in order of their start."""
+    """Holds rows until the watermark has passed them, then merges them in order of their time.
+
+    State is written once per batch: waiting rows are appended as a list, the open run's texts too, and a
+    media item has one timer, for its first waiting row or the end of its open run.
+    """
 
-    def __init__(self, min_duration: float, max_gap: float) -> None:
+    def __init__(self, min_duration: float, max_gap: float, idle: float | None) -> None:
         self.min_duration = min_duration
         self.max_gap = max_gap
+        self.idle_us = None if idle is None else round(idle * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts_us bigint, pos bigint", "start double, end double, text string")
-        self.upto = handle.getValueState("upto", "ms bigint")
-        self.open = handle.getValueState("open", "pos bigint, start double, end double, text string, n_rows bigint")
+        self.waiting = handle.getListState("waiting", "us bigint, pos bigint, start double, end double, text string")
+        self.open = handle.getValueState("open", "pos bigint, start double, end double, last_us bigint, n_rows bigint")
+        self.texts = handle.getListState("texts", "text string")
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def _wake_at(self, ms: int) -> None:
+        """Move the timer to ``ms`` unless it is due earlier."""
+        if self.timer.exists():
+            planned = self.timer.get()[0]
+            if planned <= ms:
+                return
+            self.handle.deleteTimer(planned)
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
+        first = None
         for batch in rows:
-            for us, pos, start, end, text in batch[["us", "pos", "start", "end", "text"]].itertuples(index=False):
-                self.waiting.updateValue((int(us), int(pos)), (float(start), float(end), str(text)))
-                due.add(int(us) // 1000 + 1)
-        planned = set(self.handle.listTimers())
-        for at in due - planned:
-            self.handle.registerTimer(at)
+            held = [
+                (int(us), int(pos), float(start), float(end), str(text))
+                for us, pos, start, end, text in batch[["us", "pos", "start", "end", "text"]].itertuples(index=False)
+            ]
+            if held:
+                self.waiting.appendList(held)
+                least = min(h[0] for h in held)
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake_at(first // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the first timer of a round handles every row the watermark has passed, the others find it done
-        passed = timerValues.getCurrentWatermarkInMs()
-        if self.upto.exists() and self.upto.get()[0] >= expiredTimerInfo.getExpiryTimeInMs():
-            yield pd.DataFrame()
-            return
-        self.upto.update((passed,))
-        until = passed * 1000
-        ready = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= until)
+        self.timer.clear()
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, later = [], []
+        for row in self.waiting.get():
+            (ready if row[0] < until else later).append(tuple(row))
         done = []
-        run = self.open.get() if self.open.exists() else None
-        for (us, pos), (start, end, text) in ready:
-            self.waiting.removeKey((us, pos))
-            if run is not None and (end - start < self.min_duration or start - run[2] <= self.max_gap):
-                run = (run[0], run[1], end, f"{run[3]} {text}", run[4] + 1)
+        run = list(self.open.get()) if self.open.exists() else None
+        fresh: list[str] = []  # texts of the open run that its state does not hold yet
+
+        def close() -> None:
+            said = [r[0] for r in self.texts.get()] if self.texts.exists() else []
+            self.texts.clear()
+            done.append((key[0], run[0], run[1], run[2], " ".join([*said, *fresh]), run[4]))
+            fresh.clear()
+
+        for us, pos, start, end, text in sorted(ready):
+            idle = run is not None and self.idle_us is not None and us - run[3] > self.idle_us
+            if run is not None and not idle and (end - start < self.min_duration or start - run[2] <= self.max_gap):
+                run[2:] = [end, us, run[4] + 1]
             else:
                 if run is not None:
-                    done.append((key[0], *run))
-                run = (pos, start, end, text, 1)
-        if run is not None:
-            self.open.update(run)
+                    close()
+                run = [pos, start, end, us, 1]
+            fresh.append(text)
+        if run is not None and self.idle_us is not None and until > run[3] + self.idle_us:
+            close()
+            run = None
+        if run is None:
+            self.open.clear()
+        elif ready:
+            self.open.update(tuple(run))
+            if fresh:
+                self.texts.appendList([(text,) for text in fresh])
+        if ready:
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        wake = [min(row[0] for row in later) // 1000 + 1] if later else []
+        if run is not None and self.idle_us is not None:
+            wake.append((run[3] + self.idle_us) // 1000 + 1)
+        if wake:
+            self._wake_at(min(wake))
         yield pd.DataFrame(done, columns=["media_id", "pos", "start", "end", "text", "n_rows"])
 
     def close(self) -> None:
         pass
 
 
-def stream_merge(asr: DataFrame, delay: str, min_duration: float = 0.5, max_gap: float = 0.3) -> DataFrame:
+def stream_merge(
+    asr: DataFrame, delay: str, min_duration: float = 0.5, max_gap: float = 0.3, idle: float | None = None
+) -> DataFrame:
     """Merge short or touching transcript rows of an unbounded stream, exactly as the batch operator does.
 
     ``asr`` has an event time ``ts`` besides ``media_id, pos, start, end, text``. Rows are merged in
-    time order once the watermark passes them; a run is emitted when the next one begins. Needs the
-    RocksDB state store.
+    time order once the watermark passes them; a run is emitted when the next one begins. With ``idle``
+    seconds, a run also ends when its media item has no row for that long in event time, whatever the
+    next row's length: media items that have ended leave no state, and the rows do not depend on how the
+    stream is cut into batches. Needs the RocksDB state store.
     """
     return (
         asr.withWatermark("ts", delay)
         .withColumn("us", F.unix_micros("ts"))  # pandas would see local time
         .groupBy("media_id")
         .transformWithStateInPandas(
-            _MergeRuns(min_duration, max_gap),
+            _MergeRuns(min_duration, max_gap, idle),
             "media_id string, pos bigint, start double, end double, text string, n_rows bigint",
             "append",
             "EventTime",
@@ -106,37 +158,63 @@ def stream_merge(asr: DataFrame, delay: str, min_duration: float = 0.5, max_gap:
     )
 
 
-def latest_feedback(feedback: DataFrame, delay: str) -> DataFrame:
-    """Last verdict per query and segment; repeats of an event are dropped within the watermark."""
-    return (
-        feedback.withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .groupBy("query_id", "segment_id")
-        .agg(F.max_by("relevant", F.struct("ts", "event_id")).alias("relevant"))
-    )
+def distinct_feedback(feedback: DataFrame, delay: str) -> DataFrame:
+    """Feedback events without repeats; an event's id is remembered until the watermark passes it."""
+    return feedback.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def apply_feedback_stream(
-    feedback: DataFrame, results: DataFrame, delay: str, log_path: str, write: Callable[[DataFrame, int], None]
+    feedback: DataFrame,
+    results: DataFrame,
+    delay: str,
+    log_path: str,
+    write: Callable[[DataFrame, int], None],
+    buckets: int = FEEDBACK_BUCKETS,
+    compact_every: int = COMPACT_EVERY,
 ) -> DataStreamWriter:
-    """Rescore result lists with every batch of changed verdicts; ``write`` receives the touched lists.
+    """Rescore result lists with every batch of new verdicts; ``write`` receives the touched lists.
 
-    Verdicts are kept in a log under ``log_path``, one folder per batch, so a list is always rescored
-    with all its verdicts and a batch that runs twice replaces its own folder.
+    The last verdict of a query and segment, by ``ts`` and ``event_id``, counts. Verdicts are kept under
+    ``log_path`` in ``buckets`` by query, so a batch reads only those of its own queries. Every
+    ``compact_every`` batches the log begins anew with one row per query and segment. All folders are named
+    by the batch's number, so a batch that runs twice replaces its own.
     """
-
-    def rescore(changed: DataFrame, batch_id: int) -> None:
-        spark = changed.sparkSession
-        changed.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        log = spark.read.schema(f"{_ddl(changed)}, batch bigint").parquet(log_path)
-        log = log.where(F.col("batch") <= batch_id)
-        touched = log.where(F.col("batch") == batch_id).select("query_id").distinct()
-        known = log.join(touched, "query_id", "left_semi").groupBy("query_id", "segment_id").agg(
-            F.max_by("relevant", "batch").alias("relevant")
-        )
-        write(apply_feedback(results.join(touched, "query_id", "left_semi"), known), batch_id)
-
-    return latest_feedback(feedback, delay).writeStream.outputMode("update").foreachBatch(rescore)
+    bucket = F.pmod(F.xxhash64("query_id"), F.lit(buckets)).cast("int")
+    columns = ["query_id", "segment_id"]
+
+    def last(verdicts: DataFrame) -> DataFrame:
+        newest = F.max_by(F.struct("relevant", "ts", "event_id"), F.struct("ts", "event_id")).alias("_v")
+        return verdicts.groupBy("bucket", *columns).agg(newest).select("bucket", *columns, "_v.*")
+
+    def keep(verdicts: DataFrame, path: str) -> None:
+        verdicts.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+    def rescore(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = f"{_ddl(batch)}, bucket int"
+
+        def log(upto: int) -> DataFrame:
+            """All verdicts before batch ``upto``: what the last compaction wrote, and the batches since."""
+            start = (upto - 1) // compact_every * compact_every if upto else 0
+            folders = [f"{log_path}/base/{start}"] if start else []
+            folders += [f"{log_path}/batch/{i}" for i in range(start, upto)]
+            parts = [spark.read.schema(schema).parquet(folder) for folder in folders]
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part)
+            return out
+
+        keep(last(batch.withColumn("bucket", bucket)).select(*batch.columns, "bucket"), f"{log_path}/batch/{batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            keep(last(log(batch_id)).select(*batch.columns, "bucket"), f"{log_path}/base/{batch_id}")
+        mine = spark.read.schema(schema).parquet(f"{log_path}/batch/{batch_id}")
+        read = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        touched = mine.select("query_id").distinct()
+        known = last(log(batch_id + 1).where(F.col("bucket").isin(read)).join(touched, "query_id", "left_semi"))
+        rescored = apply_feedback(results.join(touched, "query_id", "left_semi"), known.select(*columns, "relevant"))
+        write(rescored, batch_id)
+
+    return distinct_feedback(feedback, delay).writeStream.outputMode("append").foreachBatch(rescore)
 
 
 def _ddl(df: DataFrame) -> str:

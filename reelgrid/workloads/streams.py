@@ -18,6 +18,7 @@ from reelgrid.workloads.registry import query
 
 DELAY_SEC = 3_600
 DELAY = f"{DELAY_SEC} seconds"
+IDLE_SEC = 86_400  # a media item silent for this long has ended its run
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,15 +55,17 @@ EV = "ev AS (SELECT *, epoch_us(ts) - 1704067200000000 AS us FROM events)"
 @query(
     "stream_grid",
     f"""WITH {EV}
-SELECT 'user_' || user_id AS media_id, cell, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS labels, count(*) AS n_items
-FROM (SELECT *, us // 21600000000 AS cell FROM ev) GROUP BY user_id, cell HAVING (cell + 1) * 21600000000 <= {CLOSED}""",
+SELECT 'user_' || user_id AS media_id, cell, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS labels,
+  coalesce(string_agg(DISTINCT k, '|' ORDER BY k), '') AS texts, count(*) AS n_items
+FROM (SELECT *, us // 21600000000 AS cell, json_extract_string(props, '$.k') AS k FROM ev) GROUP BY user_id, cell HAVING (cell + 1) * 21600000000 <= {CLOSED}""",
 )
 def _stream_grid(t: Tables) -> DataFrame:
-    cells = _run(stream_grid(_events(t).withColumnRenamed("event_type", "label"), "21600 seconds", DELAY), "grid")
+    cells = _run(stream_grid(_events(t).withColumnsRenamed({"event_type": "label", "k": "text"}), "21600 seconds", DELAY), "grid")
     return cells.select(
         "media_id",
         (F.unix_micros("cell_start") / 21_600_000_000).cast("bigint").alias("cell"),
         F.array_join("labels", "|").alias("labels"),
+        F.array_join("texts", "|").alias("texts"),
         "n_items",
     )
 
@@ -86,16 +89,21 @@ def _stream_sessions(t: Tables) -> DataFrame:
     "stream_merge",
     with_ctes(
         "tl asr",
-        f"""SELECT media_id, min(pos) AS pos, arg_min(s0, pos) AS start, arg_max(e0, pos) AS "end", string_agg(text, ' ' ORDER BY pos) AS text, count(*) AS n_rows
-FROM (SELECT *, sum(brk) OVER (PARTITION BY media_id ORDER BY pos) AS run, max(CASE WHEN brk = 1 THEN pos END) OVER (PARTITION BY media_id) AS last_break
-  FROM (SELECT *, CASE WHEN e0 - s0 < 600 OR s0 - lag(e0) OVER (PARTITION BY media_id ORDER BY pos) <= 3600 THEN 0 ELSE 1 END AS brk
-    FROM asr JOIN (SELECT event_id AS pos, epoch_us(ts) // 1000 AS ms FROM events) USING (pos)
-    WHERE ms < (SELECT max(epoch_us(ts)) // 1000 - {DELAY_SEC}000 FROM events WHERE event_type IN ('click', 'view'))))
-WHERE pos < last_break GROUP BY media_id, run""",
-    ),
+        f""", said AS (SELECT asr.*, us FROM asr JOIN (SELECT event_id AS pos, epoch_us(ts) AS us FROM events) USING (pos)),
+passed AS (SELECT max(us) // 1000 * 1000 - {DELAY_SEC}000000 AS upto FROM said),
+marked AS (
+  SELECT *, CASE WHEN us - lag(us) OVER w <= {IDLE_SEC}000000 AND (e0 - s0 < 600 OR s0 - lag(e0) OVER w <= 3600) THEN 0 ELSE 1 END AS brk
+  FROM said WHERE us < (SELECT upto FROM passed) WINDOW w AS (PARTITION BY media_id ORDER BY pos)),
+runs AS (
+  SELECT *, sum(brk) OVER (PARTITION BY media_id ORDER BY pos) AS run, max(CASE WHEN brk = 1 THEN pos END) OVER (PARTITION BY media_id) AS last_break
+  FROM marked)
+SELECT media_id, min(pos) AS pos, arg_min(s0, pos) AS start, arg_max(e0, pos) AS "end", string_agg(text, ' ' ORDER BY pos) AS text, count(*) AS n_rows
+FROM runs GROUP BY media_id, run
+HAVING max(pos) < any_value(last_break) OR max(us) + {IDLE_SEC}000000 < (SELECT upto FROM passed)""".lstrip(),
+    ).replace("\n, said", ", said"),
 )
 def _stream_merge(t: Tables) -> DataFrame:
-    """Runs closed before the stream ends; the last run of a media item stays open."""
+    """Runs closed by a following one or by silence; a run still open when the stream ends is not shown."""
     seconds = F.expr("us div 1000") / F.lit(1000.0)
     spoken = _events(t).where(F.col("event_type").isin("click", "view"))
     asr = spoken.select(
@@ -109,7 +117,7 @@ def _stream_merge(t: Tables) -> DataFrame:
     before = t.spark.conf.get(STATE_STORE)
     t.spark.conf.set(STATE_STORE, ROCKSDB)
     try:
-        return _run(stream_merge(asr, DELAY, min_duration=600, max_gap=3_600), "merge")
+        return _run(stream_merge(asr, DELAY, min_duration=600, max_gap=3_600, idle=IDLE_SEC), "merge")
     finally:
         t.spark.conf.set(STATE_STORE, before)
 

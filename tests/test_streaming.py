@@ -70,7 +70,26 @@ def test_merge_equals_the_batch_rule(spark, feed, tmp_path):
     ]
 
 
-def test_feedback_uses_all_verdicts_of_touched_lists(spark, rows, feed, tmp_path):
+def test_merge_closes_idle_runs_whatever_the_batches(spark, feed, tmp_path):
+    schema = "media_id string, ts timestamp, pos bigint, start double, end double, text string"
+    spans = [(m, 40 * i + (i % 3), i) for i in range(24) for m in ("m", "n") if m == "m" or i < 9]
+    data = [(m, at(s), i, float(s), s + 0.2, f"t{i}") for m, s, i in spans]
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        stream = feed([data[i : i + 6] for i in range(0, len(data), 6)], schema)
+        merged = run(feeds.stream_merge(stream, "30 seconds", idle=40), tmp_path)
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    # a gap of 41 s ends a run although every row is short; the end of a media item does too
+    got = sorted((r["media_id"], r["pos"], r["text"]) for r in merged.collect())
+    expected = [("n", 0, "t0"), ("n", 1, "t1"), ("n", 2, "t2 t3"), ("n", 4, "t4"), ("n", 5, "t5 t6"), ("n", 7, "t7"), ("n", 8, "t8")]
+    assert [g for g in got if g[0] == "n"] == expected
+    assert [g for g in got if g[0] == "m"][:7] == [("m", i, t) for _, i, t in expected[:6]] + [("m", 8, "t8 t9")]
+
+
+@pytest.mark.parametrize("compact_every", [20, 1])
+def test_feedback_uses_all_verdicts_of_touched_lists(spark, rows, feed, tmp_path, compact_every):
     batches = [
         [("e1", "q", "a", False, at(1)), ("e1", "q", "a", False, at(1)), ("e2", "q", "b", True, at(2))],
         [("e3", "q", "a", True, at(50))],
@@ -83,7 +102,7 @@ def test_feedback_uses_all_verdicts_of_touched_lists(spark, rows, feed, tmp_path
             seen[batch_id] = rows_
 
     stream = feed(batches, FEEDBACK)
-    writer = feeds.apply_feedback_stream(stream, results, "1 minute", f"{tmp_path}/log", write)
+    writer = feeds.apply_feedback_stream(stream, results, "1 minute", f"{tmp_path}/log", write, compact_every=compact_every)
     writer.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert list(seen.values()) == [
         [("q", "a", "negative"), ("q", "b", "positive")],
