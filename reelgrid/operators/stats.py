@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.spreading import lookup_join
+
 _FEATURE_SIZE = {
     "asr": F.length,
     "audio": F.size,
@@ -38,6 +40,17 @@ def ingest_stats(media: DataFrame, segments: DataFrame, errors: DataFrame) -> Da
     )
 
 
+def ingest_errors(media: DataFrame, errors: DataFrame) -> DataFrame:
+    """The error list beside the statistics: ``media_id, video_file, error``, one row per failure.
+
+    Failures of media items that are not in the inventory keep a null file.
+    """
+    files = media.select("media_id", "video_file")
+    return lookup_join(errors.select("media_id", "error"), files, ["media_id"], ["error"]).select(
+        "media_id", "video_file", "error"
+    )
+
+
 def feature_stats(kind: str, features: DataFrame) -> DataFrame:
     """Rows of one feature stream and its characters, labels or texts."""
     size = _FEATURE_SIZE[kind](_FEATURE_COLUMN[kind])

@@ -172,6 +172,17 @@ def _ingest_stats(t: Tables) -> DataFrame:
     return stats.withColumn("total_duration_sec", F.round("total_duration_sec", 3))
 
 
+@query(
+    "ingest_errors",
+    with_ctes("tl media", """SELECT media_id, video_file, 'event ' || event_id AS error FROM tl JOIN media USING (media_id)
+  WHERE event_type = 'error' AND value > 200"""),
+)
+def _ingest_errors(t: Tables) -> DataFrame:
+    bad = t.timeline().where((F.col("event_type") == "error") & (F.col("value") > 200))
+    failures = bad.select("media_id", F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("error"))
+    return st.ingest_errors(t.media(), failures)
+
+
 @query(
     "feature_stats",
     with_ctes(
