@@ -1,8 +1,8 @@
 """Vector tables: eligibility, width, normalisation, exact search, zero-shot labels.
 
-Search is exact. Query vectors are sent to the tasks when they are small, and each Arrow batch of
-stored vectors is multiplied with them, keeping only the best ``k`` per query and task. Beyond that
-size both sides are cut into tiles that meet in a shuffle, with the same result.
+Search is exact. Query vectors are sent to the tasks in blocks of bounded size, and each Arrow batch of
+stored vectors is multiplied with a block, keeping only the best ``k`` per query and task. Stored vectors
+are never copied or shuffled: more queries mean more passes over them, not more rows.
 """
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.vector import NORM_FLOOR, conformed, normalized, unit_score
 from reelgrid.operators.ranking import SCORE_DIGITS, rounded, top_k
 from reelgrid.schemas import LABEL_THRESHOLD, TOP_K_RETRIEVAL
+from reelgrid.spreading import scratch_path, stored
 
 MAX_SENT_VECTORS = 4096
-TILE_VECTORS = 16_384
-TILE_QUERIES = 1024
 MAX_SCORES = 4_000_000  # similarities held at once by one task
 
 
@@ -83,6 +83,29 @@ def _candidates(ids: np.ndarray, scores: np.ndarray, k: int) -> Iterator[tuple[n
         yield _keep_best(ids[chosen], scores[chosen, j], k)
 
 
+def _first_rows(df: DataFrame, max_rows: int) -> tuple[pa.Table | None, DataFrame]:
+    """All rows of ``df`` where they are at most ``max_rows``; else none, and ``df`` written down.
+
+    ``df`` may be the output of a model: its rows are made once, whichever way is taken.
+    """
+    held = df.persist()
+    try:
+        rows = held.limit(max_rows + 1).toArrow()
+        return (rows, df) if rows.num_rows <= max_rows else (None, stored(held, "blocks"))
+    finally:
+        held.unpersist()
+
+
+def _blocks(df: DataFrame, max_rows: int, *keys: str) -> Iterator[pa.Table]:
+    """The rows of a written table by parts of about half of ``max_rows``; one part at a time is held."""
+    n = -(-2 * df.count() // max_rows)
+    dealt = stored(df.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(n))), "blocks")
+    for b in range(n):
+        rows = dealt.where(F.col("_block") == b).drop("_block").toArrow()
+        if rows.num_rows:
+            yield rows
+
+
 def vector_search(
     query_vectors: DataFrame,
     vectors: DataFrame,
@@ -90,23 +113,36 @@ def vector_search(
     k: int = TOP_K_RETRIEVAL,
     clamp: bool = True,
     max_sent: int = MAX_SENT_VECTORS,
-    tile_vectors: int = TILE_VECTORS,
-    tile_queries: int = TILE_QUERIES,
 ) -> DataFrame:
-    """Best ``k`` vectors per query by inner product, scored ``(s + 1) / 2``; other widths never match."""
+    """Best ``k`` vectors per query by inner product, scored ``(s + 1) / 2``; other widths never match.
+
+    Up to ``max_sent`` query vectors are answered in one lazy pass. More are answered in blocks: the stored
+    vectors are read once per block, and what each block finds is written before the next one is sent. A
+    task yields ``k`` rows per query of a block, whatever it reads.
+    """
     asked = indexable_vectors(query_vectors).select("query_id", "embedding")
-    stored = indexable_vectors(vectors).select("segment_id", "embedding")
+    held = indexable_vectors(vectors).select("segment_id", "embedding")
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, " + (
-        f"segment_id {stored.schema['segment_id'].dataType.simpleString()}, similarity double"
+        f"segment_id {held.schema['segment_id'].dataType.simpleString()}, similarity double"
     )
-    sent = asked.limit(max_sent + 1).toArrow()
-    if sent.num_rows <= max_sent:
-        best = _search_sent(sent, stored, kinds, k)
+
+    def ranked(best: DataFrame) -> DataFrame:
+        return top_k(best, k, [rounded("similarity").desc(), F.col("segment_id")])
+
+    rows, asked = _first_rows(asked, max_sent)
+    if rows is not None:
+        best = _search_sent(rows, held, kinds, k)[0]
     else:
-        best = _search_tiled(asked, stored, kinds, k, tile_vectors, tile_queries)
-    best = best.withColumn("score", unit_score(F.col("similarity"), clamp))
-    ranked = top_k(best, k, [rounded("similarity").desc(), F.col("segment_id")])
-    return ranked.select("query_id", F.lit(source).alias("source"), "segment_id", "rank", "similarity", "score")
+        held, path = stored(held, "vectors"), scratch_path(held.sparkSession, "hits")
+        # The row number spreads repeats of one query over the blocks.
+        asked = stored(asked.withColumn("_nth", F.monotonically_increasing_id()), "asked")
+        for block in _blocks(asked, max_sent, "query_id", "_nth"):
+            found, sent = _search_sent(block, held, kinds, k)
+            ranked(found).drop("rank").write.mode("append").parquet(path)
+            sent.destroy()
+        best = held.sparkSession.read.schema(kinds).parquet(path)
+    scored = ranked(best).withColumn("score", unit_score(F.col("similarity"), clamp))
+    return scored.select("query_id", F.lit(source).alias("source"), "segment_id", "rank", "similarity", "score")
 
 
 def _by_width(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -118,8 +154,9 @@ def _by_width(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _search_sent(asked: pa.Table, stored: DataFrame, kinds: str, k: int) -> DataFrame:
-    sent = stored.sparkSession.sparkContext.broadcast(_by_width(asked))
+def _search_sent(asked: pa.Table, held: DataFrame, kinds: str, k: int) -> tuple[DataFrame, Broadcast]:
+    """The best ``k`` per query and task, and what was sent to find them."""
+    sent = held.sparkSession.sparkContext.broadcast(_by_width(asked))
 
     def rank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -151,52 +188,7 @@ def _search_sent(asked: pa.Table, stored: DataFrame, kinds: str, k: int) -> Data
                 names=["query_id", "segment_id", "similarity"],
             )
 
-    return stored.mapInArrow(rank_batches, kinds)
-
-
-def _search_tiled(
-    asked: DataFrame, stored: DataFrame, kinds: str, k: int, tile_vectors: int, tile_queries: int
-) -> DataFrame:
-    """Both sides hashed into tiles of bounded size; every pair of tiles meets once, as one group."""
-    n_query_tiles = -(-asked.count() // tile_queries)
-    n_vector_tiles = max(1, -(-stored.count() // tile_vectors))
-
-    def tiled(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    types = {
-        "query_id": asked.limit(0).toArrow().schema.field("query_id").type,
-        "segment_id": stored.limit(0).toArrow().schema.field("segment_id").type,
-        "similarity": pa.float64(),
-    }
-    # packed under another name: the two sides may be columns of one table
-    asked = asked.select("query_id", F.struct(F.col("embedding").alias("v")).alias("asked"))
-    left = tiled(asked, "query_id", "q_tile", n_query_tiles, "v_tile", n_vector_tiles)
-    right = tiled(stored, "segment_id", "v_tile", n_vector_tiles, "q_tile", n_query_tiles)
-
-    def rank_tiles(questions: pa.Table, held: pa.Table) -> pa.Table:
-        found = []
-        if questions.num_rows and held.num_rows:
-            widths = pa.compute.list_value_length(held["embedding"])
-            vectors = pa.compute.struct_field(questions["asked"], "v")
-            questions = pa.table({"query_id": questions["query_id"], "embedding": vectors})
-            for dim, (asked_ids, matrix) in _by_width(questions).items():
-                rows = held.filter(pa.compute.equal(widths, dim))
-                if rows.num_rows == 0:
-                    continue
-                scores = _matrix(rows["embedding"], dim) @ matrix.T
-                for j, (ids, best) in enumerate(_candidates(rows["segment_id"].to_numpy(), scores, k)):
-                    found.append((np.repeat(asked_ids[j : j + 1], len(ids)), ids, best))
-        columns = [np.concatenate(part) for part in zip(*found)] if found else [[], [], []]
-        return pa.table({name: pa.array(c, type=kind) for (name, kind), c in zip(types.items(), columns)})
-
-    return (
-        left.groupBy("q_tile", "v_tile")
-        .cogroup(right.groupBy("q_tile", "v_tile"))
-        .applyInArrow(rank_tiles, kinds)
-    )
+    return held.mapInArrow(rank_batches, kinds), sent
 
 
 def zero_shot_labels(
@@ -204,13 +196,12 @@ def zero_shot_labels(
     label_vectors: DataFrame,
     threshold: float = LABEL_THRESHOLD,
     max_sent: int = MAX_SENT_VECTORS,
-    block_labels: int = TILE_QUERIES,
 ) -> DataFrame:
     """Labels whose share of a softmax over all label similarities reaches ``threshold``, in label order.
 
-    Labels are handled in blocks. A block yields its part of the softmax sum and its largest
-    ``1 / threshold`` entries; no more labels than that can pass, so the parts decide exactly. One row per
-    row of ``vectors``; a vector of another width than the labels' has no labels.
+    Labels are handled in blocks of at most ``max_sent``. A block yields its part of the softmax sum and its
+    largest ``1 / threshold`` entries; no more labels than that can pass, so the parts decide exactly. One row
+    per row of ``vectors``; a vector of another width than the labels' has no labels.
     """
     labels = label_vectors.select("pos", "label", "embedding")
     per_block = int(1 / threshold) + 1
@@ -247,40 +238,28 @@ def zero_shot_labels(
         position = pc.cast(table["pos"], pa.int64()).combine_chunks()
         return position, table["label"].combine_chunks(), _matrix(table["embedding"], dim)
 
-    # Ids may repeat: a row is known by its number.
-    held = indexable_vectors(vectors).select("segment_id", "embedding", F.monotonically_increasing_id().alias("_row"))
-    collected = labels.limit(max_sent + 1).toArrow()
-    if collected.num_rows <= max_sent:
-        sent = labels.sparkSession.sparkContext.broadcast(unpack(collected))
+    def score(held: DataFrame, block: pa.Table) -> tuple[DataFrame, Broadcast]:
+        sent = held.sparkSession.sparkContext.broadcast(unpack(block))
 
         def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     yield score_block(batch, sent.value)
 
-        parts = held.mapInArrow(score_batches, parts_kind)
-    else:
-        n_blocks = -(-labels.count() // block_labels)
-        n_tiles = max(1, -(-held.count() // TILE_VECTORS))
-        blocks = labels.withColumn("block", F.pmod(F.xxhash64("pos"), F.lit(n_blocks))).withColumn(
-            "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_tiles - 1).cast("bigint")))
-        )
-        tiles = held.withColumn("tile", F.pmod(F.xxhash64("segment_id", "_row"), F.lit(n_tiles))).withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-        )
+        return held.mapInArrow(score_batches, parts_kind), sent
 
-        def score_tile(rows: pa.Table, block: pa.Table) -> pa.Table:
-            if rows.num_rows == 0 or block.num_rows == 0:
-                ids = pa.array([], rows.schema.field("segment_id").type)
-                none = {"_row": pa.array([], pa.int64()), "total": pa.array([], pa.float64())}
-                return pa.table({"segment_id": ids, **none, "top": pa.array([], pa.list_(entry))})
-            sent_block = unpack(block)
-            batches = rows.select(["segment_id", "embedding", "_row"]).combine_chunks().to_batches()
-            return pa.Table.from_batches([score_block(b, sent_block) for b in batches])
-
-        parts = (
-            tiles.groupBy("tile", "block").cogroup(blocks.groupBy("tile", "block")).applyInArrow(score_tile, parts_kind)
-        )
+    # Ids may repeat: a row is known by its number.
+    held = indexable_vectors(vectors).select("segment_id", "embedding", F.monotonically_increasing_id().alias("_row"))
+    rows, labels = _first_rows(labels, max_sent)
+    if rows is not None:
+        parts = score(held, rows)[0]
+    else:
+        held, path = stored(held, "vectors"), scratch_path(held.sparkSession, "label-parts")
+        for block in _blocks(labels, max_sent, "pos"):
+            found, sent = score(held, block)
+            found.write.mode("append").parquet(path)
+            sent.destroy()
+        parts = held.sparkSession.read.schema(parts_kind).parquet(path)
         parts = parts.groupBy("segment_id", "_row").agg(
             F.sum("total").alias("total"), F.flatten(F.collect_list("top")).alias("top")
         )

@@ -188,16 +188,16 @@ def _vector_topk(t: Tables) -> DataFrame:
 @query(
     "vector_topk_all",
     """WITH vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS segment_id, list_dot_product(a.v, b.v) AS sim FROM vec a, vec b)
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS segment_id, list_dot_product(a.v, b.v) AS sim FROM vec a, vec b WHERE a.vec_id % 50 = 0)
 SELECT query_id, segment_id, rank, round(greatest(0, least(1, (sim + 1) / 2)), 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, segment_id) AS rank FROM pairs) WHERE rank <= 5""",
 )
 def _vector_topk_all(t: Tables) -> DataFrame:
-    """Every vector as a query, through tiles of both sides instead of sent query vectors."""
-    asked = t.vectors().withColumnRenamed("segment_id", "query_id")
-    hits = vec.vector_search(
-        asked, t.vectors(), "visual", k=TOP_K_FINAL, max_sent=100, tile_vectors=512, tile_queries=512
-    )
+    """Every fiftieth vector against all, in blocks of query vectors instead of one pass."""
+    vectors = t.vectors()
+    asked = vectors.where("segment_id % 50 = 0").withColumnRenamed("segment_id", "query_id")
+    block = min(vec.MAX_SENT_VECTORS, max(1, vectors.count() // 100))
+    hits = vec.vector_search(asked, vectors, "visual", k=TOP_K_FINAL, max_sent=block)
     return hits.select("query_id", "segment_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -286,8 +286,8 @@ def _zero_shot_labels(t: Tables) -> DataFrame:
 
 @query("zero_shot_labels_blocks", LABEL_SQL)
 def _zero_shot_labels_blocks(t: Tables) -> DataFrame:
-    """The same through blocks of labels, as for label sets too large to send."""
-    return _labels(t, max_sent=2, block_labels=4)
+    """The same through blocks of labels, as for label sets too large to send at once."""
+    return _labels(t, max_sent=2)
 
 
 def hits(t: Tables) -> DataFrame:

@@ -101,7 +101,7 @@ def test_labels_of_repeated_ids_and_other_widths(rows):
             kept = [f"l{j}" for j in np.flatnonzero(np.round(weights / weights.sum(), 12) >= 0.05)]
         expected.append((i, kept))
     for sent in (100, 5):
-        got = zero_shot_labels(vectors, named, 0.05, max_sent=sent, block_labels=16)
+        got = zero_shot_labels(vectors, named, 0.05, max_sent=sent)
         assert sorted((r.segment_id, r.labels) for r in got.collect()) == sorted(expected)
 
 

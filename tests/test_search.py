@@ -156,13 +156,32 @@ def test_vector_search_sent(vector_tables):
     assert collect(found, "query_id", "rank", "segment_id") == expected
 
 
-def test_vector_search_tiled_is_the_same(vector_tables):
+def test_vector_search_in_blocks_is_the_same(vector_tables):
     queries, stored, expected = vector_tables
-    found = vectors.vector_search(queries, stored, "visual", k=10, max_sent=3, tile_vectors=64, tile_queries=5)
+    found = vectors.vector_search(queries, stored, "visual", k=10, max_sent=3)
     assert collect(found, "query_id", "rank", "segment_id") == expected
 
 
-@pytest.mark.parametrize("options", [{}, {"max_sent": 3, "tile_vectors": 64, "tile_queries": 50}])
+@pytest.mark.parametrize("max_sent", [100, 5])
+def test_models_run_once_per_row(rows, vector_tables, max_sent):
+    """Neither way of searching encodes a query or a stored row twice."""
+    queries, stored, expected = vector_tables
+    counts = [queries.sparkSession.sparkContext.accumulator(0) for _ in range(2)]
+
+    def encoded(df, count):
+        def run(batches):
+            for batch in batches:
+                count.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    found = vectors.vector_search(encoded(queries, counts[0]), encoded(stored, counts[1]), "visual", k=10, max_sent=max_sent)
+    assert collect(found, "query_id", "rank", "segment_id") == expected
+    assert [c.value for c in counts] == [queries.count(), stored.count()]
+
+
+@pytest.mark.parametrize("options", [{}, {"max_sent": 30}])
 def test_a_table_can_be_searched_for_itself(vector_tables, options):
     _, stored, _ = vector_tables
     asked = stored.withColumnRenamed("segment_id", "query_id")
@@ -178,7 +197,7 @@ def test_vector_scores(rows):
     assert vectors.vector_search(queries, stored, "text_dense", clamp=False).first()["score"] == 1.5
 
 
-@pytest.mark.parametrize("options", [{}, {"max_sent": 1, "block_labels": 2}])
+@pytest.mark.parametrize("options", [{}, {"max_sent": 2}])
 def test_zero_shot_labels(rows, options):
     labels = rows([(i, f"l{i}", [1.0 if j == i else 0.0 for j in range(5)]) for i in range(5)], "pos bigint, label string, embedding array<double>")
     stored = rows([("a", [5.0, 5.0, 0.0, 0.0, 0.0]), ("b", [1.0] * 5), ("c", [0.0] * 5)], "segment_id string, embedding array<double>")
