@@ -33,9 +33,12 @@ def _defaults(df: DataFrame, fields: list) -> list:
     return out
 
 
-def read_segments(spark: SparkSession, path: str, media_id_from: str = "video_file") -> DataFrame:
-    """Segments from a JSON array: absent keys get defaults, others are ignored, the last row of an id counts."""
-    raw = spark.read.schema(SEGMENT_FILE).option("multiLine", True).json(path)
+def read_segments(spark: SparkSession, path: str, media_id_from: str = "video_file", lines: bool = False) -> DataFrame:
+    """Segments from a JSON array: absent keys get defaults, others are ignored, the last row of an id counts.
+
+    An array is read whole by one task. With ``lines`` the files are JSON Lines, which are split.
+    """
+    raw = spark.read.schema(SEGMENT_FILE).option("multiLine", not lines).json(path)
     rows = raw.select(*_defaults(raw, SEGMENT_FILE.fields), F.monotonically_increasing_id().alias("_nth"))
     last = rows.groupBy("segment_id").agg(F.max_by(F.struct(*SEGMENT_FILE.names), "_nth").alias("_row"))
     return last.select("_row.*").withColumn("media_id", file_stem(F.col(media_id_from)))
@@ -98,12 +101,15 @@ def read_vectors(spark: SparkSession, path: str, modality: str | None = None) ->
     return vectors if modality is None else vectors.where(F.col("modality") == modality)
 
 
-def read_ground_truth(spark: SparkSession, path: str, flat_query: str | None = None) -> DataFrame:
+def read_ground_truth(
+    spark: SparkSession, path: str, flat_query: str | None = None, lines: bool = False
+) -> DataFrame:
     """Ground truth from JSON: ``{query, segments}`` items, or with ``flat_query`` a flat list of spans for it.
 
-    Items without a query are skipped. A query without spans keeps one row with a null ``gt_id``.
+    Items without a query are skipped. A query without spans keeps one row with a null ``gt_id``. With
+    ``lines`` the files are JSON Lines.
     """
-    raw = spark.read.schema(GROUND_TRUTH_FILE).option("multiLine", True).json(path)
+    raw = spark.read.schema(GROUND_TRUTH_FILE).option("multiLine", not lines).json(path)
     if flat_query is not None:
         nested = raw.select(
             F.lit(flat_query).alias("query"),

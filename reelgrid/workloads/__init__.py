@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("timeline", "search", "scoring", "evaluation", "bookkeeping", "flows", "streams")
+_MODULES = ("timeline", "search", "scoring", "evaluation", "bookkeeping", "files", "flows", "streams")
 
 
 def load() -> tuple[dict, dict]:

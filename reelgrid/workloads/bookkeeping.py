@@ -228,7 +228,7 @@ def _clock(t: Tables) -> DataFrame:
     + ","
     + ALL_CELLS
     + """
-SELECT segment_id, media_id, start_time, end_time, asr_text, frame_idx IS NOT NULL AS has_frame_embedding,
+SELECT segment_id, media_id, seg_idx, start_time, end_time, asr_text, text, frame_idx IS NOT NULL AS has_frame_embedding,
   clip_pos IS NOT NULL AS has_video_embedding, audio_pos IS NOT NULL AS has_audio_embedding FROM segments""",
 )
 def _stored_segments(t: Tables) -> DataFrame:
@@ -238,9 +238,11 @@ def _stored_segments(t: Tables) -> DataFrame:
     return tb.read_stored_segments(t.spark, path).select(
         "segment_id",
         "media_id",
+        "seg_idx",
         "start_time",
         "end_time",
         "asr_text",
+        "text",
         "has_frame_embedding",
         "has_video_embedding",
         "has_audio_embedding",
@@ -249,7 +251,8 @@ def _stored_segments(t: Tables) -> DataFrame:
 
 @query(
     "stored_vectors",
-    "SELECT vec_id AS segment_id, CASE WHEN label < 5 THEN 'visual' ELSE 'audio' END AS modality, len(embedding) AS dim FROM embeddings",
+    """SELECT vec_id AS segment_id, CASE WHEN label < 5 THEN 'visual' ELSE 'audio' END AS modality, len(embedding) AS dim,
+  array_to_string(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)), ',') AS entries FROM embeddings""",
 )
 def _stored_vectors(t: Tables) -> DataFrame:
     """Vector rows written per modality and read back."""
@@ -261,5 +264,8 @@ def _stored_vectors(t: Tables) -> DataFrame:
     )
     tb.write_vectors(rows, path)
     return tb.read_vectors(t.spark, path).select(
-        F.col("segment_id").cast("bigint").alias("segment_id"), "modality", F.size("embedding").alias("dim")
+        F.col("segment_id").cast("bigint").alias("segment_id"),
+        "modality",
+        F.size("embedding").alias("dim"),
+        F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint")), ",").alias("entries"),
     )
