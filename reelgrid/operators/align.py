@@ -3,7 +3,8 @@
 The grid is uniform, so no interval join is planned: each item is turned into the numbers of the
 cells it touches, the exact predicate is checked on the spot from the cell number and the media
 duration, and everything after that is an equi-aggregate or equi-join on ``(media_id, seg_idx)``.
-Embeddings never travel through the explode; a cell keeps the position of the chosen item, and
+Transcripts, sounds, screen texts and clips are rows of one narrow union, so one lookup of durations
+and one aggregate per cell serve them all. Embeddings never travel through the explode; a cell keeps the position of the chosen item, and
 ``segment_vectors`` fetches the vector by that position.
 """
 
@@ -44,44 +45,40 @@ def _cell_end(d: float) -> Column:
     return F.least((F.col("seg_idx") + 1) * F.lit(d), F.col("duration"))
 
 
-def _touched_cells(items: DataFrame, media: DataFrame, d: float, widen: bool) -> DataFrame:
-    """Items once per cell they overlap, open at both edges; ``widen`` gives points a small width."""
-    start, end = F.coalesce("start", F.lit(0.0)), F.coalesce("end", F.lit(0.0))
+def _spans(items: DataFrame, *kept: str | Column, widen: bool, point: bool = False) -> DataFrame:
+    """``kept`` columns with ``start``, ``end`` and where the item stops touching cells.
+
+    ``widen`` gives points a small width; with ``point`` an item belongs to the one cell that holds its start.
+    """
+    start, end = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("start", "end"))
     stop = F.when(end <= start, start + POINT_WIDTH).otherwise(end) if widen else end
-    bounded = items.withColumns({"start": start, "end": end, "_stop": stop})
-    timed = _with_duration(bounded, media, "pos")
+    return items.select(
+        *kept, start.alias("start"), end.alias("end"), stop.alias("_stop"), F.lit(point).alias("_point")
+    )
+
+
+def _touched_cells(spans: DataFrame, media: DataFrame, d: float) -> DataFrame:
+    """Items once per cell they overlap, open at both edges."""
+    timed = _with_duration(spans, media, "pos")
     # one cell of slack on both sides; the predicate below decides
     first = F.greatest(F.lit(0), F.floor(F.col("start") / d) - 1)
     last = F.least(F.ceil(F.col("_stop") / d), cell_count(d) - 1)
     cells = explode_span(timed, first, last, "seg_idx")
-    return cells.where((F.col("start") < _cell_end(d)) & (F.col("_stop") > _cell_start(d))).drop("_stop")
+    begun = F.col("start") < _cell_end(d)
+    going = F.when(F.col("_point"), F.col("start") >= _cell_start(d)).otherwise(F.col("_stop") > _cell_start(d))
+    return cells.where(begun & going).drop("_stop", "_point")
 
 
 def overlap_join(media: DataFrame, items: DataFrame, d: float = 1.0) -> DataFrame:
     """Pairs of cell and item that overlap, with the shared length."""
     d = cell_width(d)
-    cells = _touched_cells(items, media, d, widen=True)
+    others = [c for c in items.columns if c not in ("start", "end")]
+    cells = _touched_cells(_spans(items, *others, widen=True), media, d)
     return cells.withColumn(
         "overlap", overlap(F.col("start"), F.col("end"), _cell_start(d), _cell_end(d))
     ).drop("duration")
 
 
-def _ordered_texts(pairs: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """Distinct texts per cell in first-seen order; repeats are dropped before the lists are built."""
-    first = pairs.groupBy(*CELL, text).agg(F.min(F.struct(*order)).alias("_at"))
-    listed = F.sort_array(F.collect_list(F.struct("_at", text)))
-    return first.groupBy(*CELL).agg(F.transform(listed, lambda x: x[text]).alias("texts"))
-
-
-def align_asr(media: DataFrame, asr: DataFrame, d: float = 1.0) -> DataFrame:
-    """Whole texts of all transcripts touching a cell, distinct, in item order."""
-    d = cell_width(d)
-    spoken = asr.select("media_id", "pos", "start", "end", strip(F.col("text")).alias("text"))
-    cells = _touched_cells(spoken.where(F.col("text") != ""), media, d, widen=True)
-    texts = _ordered_texts(cells.select(*CELL, "pos", "text"), "text", ["pos"])
-    return texts.select(*CELL, F.array_join("texts", " ").alias("asr_text"))
-
-
 def _best_item(d: float) -> Column:
     """Largest raw overlap, first item on ties; items sharing nothing are never chosen."""
     shared = overlap(F.col("start"), F.col("end"), _cell_start(d), _cell_end(d))
@@ -89,59 +86,81 @@ def _best_item(d: float) -> Column:
     return F.when(usable, F.struct(shared.alias("overlap"), (-F.col("pos")).alias("neg_pos")))
 
 
-def align_audio(media: DataFrame, audio: DataFrame, d: float = 1.0) -> DataFrame:
-    """Distinct sound labels per cell, and the item whose embedding stands for the cell."""
-    d = cell_width(d)
-    heard = audio.select(
-        "media_id", "pos", "start", "end", "event_labels", (F.size("embedding") > 0).alias("has_embedding")
-    ).withColumn("has_embedding", F.coalesce("has_embedding", F.lit(False)))
-    cells = _touched_cells(heard, media, d, widen=True).withColumn("_best", _best_item(d))
-    labelled = cells.select(*CELL, "pos", "_best", F.posexplode_outer("event_labels").alias("_nth", "_label"))
-    labelled = labelled.withColumn("_label", strip(F.col("_label")))
-    per_label = labelled.groupBy(*CELL, "_label").agg(
+def _stream_spans(kind: str, items: DataFrame) -> list[DataFrame]:
+    """Items of one stream in the common shape: texts, and whether they have a vector."""
+    none = F.lit(None).cast("array<string>")
+    texts = {"asr": F.array("text"), "audio": F.col("event_labels"), "ocr": F.col("texts"), "clips": none}[kind]
+    vector = F.coalesce(F.size("embedding") > 0, F.lit(False)) if kind in ("audio", "clips") else F.lit(False)
+    kept = [
+        "media_id",
+        F.lit(kind).alias("kind"),
+        F.col("pos").cast("bigint").alias("pos"),
+        texts.alias("texts"),
+        vector.alias("has_embedding"),
+    ]
+    if kind == "asr":
+        return [_spans(items.where(strip(F.col("text")) != ""), *kept, widen=True)]
+    if kind == "audio":
+        return [_spans(items, *kept, widen=True)]
+    if kind == "clips":
+        return [_spans(items.where(F.size("embedding") > 0), *kept, widen=False)]
+    stamp = F.col("timestamp")
+    out = [_spans(items.where(stamp >= 0).withColumns({"start": stamp, "end": stamp}), *kept, widen=False, point=True)]
+    if {"start", "end"} <= set(items.columns):
+        out.append(_spans(items.where(F.col("end") > F.col("start")), *kept, widen=False))
+    return out
+
+
+def _matched(media: DataFrame, d: float, **streams: DataFrame) -> DataFrame:
+    """Per touched cell what the given streams have for it.
+
+    Texts of a kind are distinct and in first-seen order; repeats are dropped before any list is built.
+    """
+    rows = [part for kind, items in streams.items() for part in _stream_spans(kind, items)]
+    spans = rows[0]
+    for part in rows[1:]:
+        spans = spans.unionByName(part)
+    cells = _touched_cells(spans, media, d).withColumn("_best", _best_item(d))
+    shown = cells.select(*CELL, "kind", "pos", "_best", F.posexplode_outer("texts").alias("_nth", "_text"))
+    shown = shown.withColumn("_text", strip(F.col("_text")))
+    first = shown.groupBy(*CELL, "kind", "_text").agg(
         F.min(F.struct("pos", "_nth")).alias("_at"), F.max("_best").alias("_best")
     )
-    listed = F.sort_array(F.collect_list(F.when(F.col("_label") != "", F.struct("_at", "_label"))))
-    return per_label.groupBy(*CELL).agg(
-        F.transform(listed, lambda x: x["_label"]).alias("audio_events"),
-        (-F.max("_best")["neg_pos"]).alias("audio_pos"),
-    )
+
+    def texts(kind: str) -> Column:
+        own = F.when((F.col("kind") == kind) & (F.col("_text") != ""), F.struct("_at", "_text"))
+        return F.transform(F.sort_array(F.collect_list(own)), lambda x: x["_text"])
+
+    def best(kind: str) -> Column:
+        return -F.max(F.when(F.col("kind") == kind, F.col("_best")))["neg_pos"]
+
+    found = {
+        "asr": [F.array_join(texts("asr"), " ").alias("asr_text")],
+        "audio": [texts("audio").alias("audio_events"), best("audio").alias("audio_pos")],
+        "ocr": [texts("ocr").alias("ocr_texts")],
+        "clips": [best("clips").alias("clip_pos")],
+    }
+    return first.groupBy(*CELL).agg(*[c for kind in streams for c in found[kind]])
+
+
+def align_asr(media: DataFrame, asr: DataFrame, d: float = 1.0) -> DataFrame:
+    """Whole texts of all transcripts touching a cell, distinct, in item order."""
+    return _matched(media, cell_width(d), asr=asr)
+
+
+def align_audio(media: DataFrame, audio: DataFrame, d: float = 1.0) -> DataFrame:
+    """Distinct sound labels per cell, and the item whose embedding stands for the cell."""
+    return _matched(media, cell_width(d), audio=audio)
 
 
 def align_ocr(media: DataFrame, ocr: DataFrame, d: float = 1.0) -> DataFrame:
     """Distinct screen texts per cell: a point belongs to the cell that holds it, a range to all it shares."""
-    d = cell_width(d)
-    columns = ["media_id", "pos", "texts"]
-    at = _with_duration(
-        ocr.where(F.col("timestamp") >= 0).select(*columns, "timestamp"), media, "pos"
-    )
-    nearest = F.floor(F.col("timestamp") / d)
-    points = at.withColumn("seg_idx", F.explode(F.array(nearest - 1, nearest, nearest + 1))).where(
-        (F.col("seg_idx") >= 0)
-        & (F.col("timestamp") >= _cell_start(d))
-        & (F.col("timestamp") < _cell_end(d))
-    )
-    pairs = points.select(*CELL, "pos", "texts")
-    if {"start", "end"} <= set(ocr.columns):
-        ranged = ocr.where(F.col("start").isNotNull() & F.col("end").isNotNull())
-        touched = _touched_cells(ranged.select(*columns, "start", "end"), media, d, widen=False)
-        pairs = pairs.unionByName(
-            touched.where(F.col("end") > F.col("start")).select(*CELL, "pos", "texts")
-        )
-    shown = pairs.select(*CELL, "pos", F.posexplode("texts").alias("_nth", "text"))
-    shown = shown.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
-    return _ordered_texts(shown, "text", ["pos", "_nth"]).withColumnRenamed("texts", "ocr_texts")
+    return _matched(media, cell_width(d), ocr=ocr).where(F.size("ocr_texts") > 0)
 
 
 def align_clips(media: DataFrame, clips: DataFrame, d: float = 1.0) -> DataFrame:
     """The clip sharing most with each cell; clips without a vector are skipped."""
-    d = cell_width(d)
-    seen = clips.where(F.size("embedding") > 0).select(
-        "media_id", "pos", "start", "end", F.lit(True).alias("has_embedding")
-    )
-    cells = _touched_cells(seen, media, d, widen=False)
-    best = cells.groupBy(*CELL).agg(F.max(_best_item(d)).alias("_best"))
-    return best.where(F.col("_best").isNotNull()).select(*CELL, (-F.col("_best.neg_pos")).alias("clip_pos"))
+    return _matched(media, cell_width(d), clips=clips).where(F.col("clip_pos").isNotNull())
 
 
 def align_frames(media: DataFrame, frames: DataFrame, d: float = 1.0) -> DataFrame:
@@ -153,6 +172,12 @@ def align_frames(media: DataFrame, frames: DataFrame, d: float = 1.0) -> DataFra
     very long media item is neither sorted nor held in one task.
     """
     d = cell_width(d)
+    chosen = _with_frames(time_grid(media, d), media, frames, d).where(F.col("keyframe_ts").isNotNull())
+    return chosen.select(*CELL, "frame_idx", "keyframe_idx", "keyframe_ts")
+
+
+def _with_frames(grid: DataFrame, media: DataFrame, frames: DataFrame, d: float) -> DataFrame:
+    """The grid's rows with the nearest frames; null for media items without any."""
     at = F.col("timestamp")
     timed = _with_duration(frames.select("media_id", "idx", "timestamp"), media, "idx")
     timed = timed.withColumn(
@@ -188,11 +213,9 @@ def align_frames(media: DataFrame, frames: DataFrame, d: float = 1.0) -> DataFra
         F.min("earliest").over(earlier(F.col("_chunk").desc(), "media_id")).alias("_earliest_after"),
     )
 
-    grid = time_grid(media, d).select(*CELL, "t_start", "t_end", chunk.alias("_chunk"))
-    cells = grid.join(per_cell, CELL, "left").select(
-        *CELL,
-        "t_start",
-        "t_end",
+    own = grid.columns
+    cells = grid.withColumn("_chunk", chunk).join(per_cell, CELL, "left").select(
+        *own,
         "_chunk",
         "left_latest",
         "right_earliest",
@@ -202,9 +225,7 @@ def align_frames(media: DataFrame, frames: DataFrame, d: float = 1.0) -> DataFra
     before = F.coalesce("left_latest", "_prior", "_latest_before")
     after = F.coalesce("right_earliest", "_next", "_earliest_after")
     found = cells.join(chunks, keys).select(
-        *CELL,
-        "t_start",
-        "t_end",
+        *own,
         ((F.col("t_start") + F.col("t_end")) / 2.0).alias("_mid"),
         before["ts"].alias("_b_ts"),
         (-before["neg_idx"]).alias("_b_idx"),
@@ -222,10 +243,9 @@ def align_frames(media: DataFrame, frames: DataFrame, d: float = 1.0) -> DataFra
         closer = (b < a) | ((b == a) & (F.col("_b_idx") < F.col("_a_idx")))
         return F.col("_a_ts").isNull() | F.coalesce(closer, F.lit(False))
 
-    chosen = found.where(F.col("_b_ts").isNotNull() | F.col("_a_ts").isNotNull())
     framed, keyed = takes_before(True), takes_before(False)
-    return chosen.select(
-        *CELL,
+    return found.select(
+        *own,
         F.when(framed, F.col("_b_idx")).otherwise(F.col("_a_idx")).alias("frame_idx"),
         F.when(keyed, F.col("_b_idx")).otherwise(F.col("_a_idx")).alias("keyframe_idx"),
         F.when(keyed, F.col("_b_ts")).otherwise(F.col("_a_ts")).alias("keyframe_ts"),
@@ -242,17 +262,15 @@ def align(
     frames: DataFrame | None = None,
 ) -> DataFrame:
     """Segments: every cell of every media item with what each stream has for it; a missing stream is empty."""
-    parts = [
-        align_asr(media, asr, d) if asr is not None else None,
-        align_audio(media, audio, d) if audio is not None else None,
-        align_ocr(media, ocr, d) if ocr is not None else None,
-        align_clips(media, clips, d) if clips is not None else None,
-        align_frames(media, frames, d).drop("keyframe_idx") if frames is not None else None,
-    ]
-    segments = time_grid(media, d).drop("t_start", "t_end")
-    for part in parts:
-        if part is not None:
-            segments = segments.join(part, CELL, "left")
+    d = cell_width(d)
+    segments = time_grid(media, d)
+    if frames is not None:
+        segments = _with_frames(segments, media, frames, d).drop("keyframe_idx")
+    segments = segments.drop("t_start", "t_end")
+    streams = {"asr": asr, "audio": audio, "ocr": ocr, "clips": clips}
+    given = {kind: items for kind, items in streams.items() if items is not None}
+    if given:
+        segments = segments.join(_matched(media, d, **given), CELL, "left")
     found = set(segments.columns)
 
     def or_default(name: str, kind: str, default: str) -> Column:
