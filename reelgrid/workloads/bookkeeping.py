@@ -11,7 +11,7 @@ from reelgrid.operators import stats as st
 from reelgrid.operators.lexical import build_postings, indexable_text
 from reelgrid.sources import tables as tb
 from reelgrid.spreading import scratch_path
-from reelgrid.workloads.fixtures import Tables, with_ctes
+from reelgrid.workloads.fixtures import Tables, whole_entries, with_ctes
 from reelgrid.workloads.registry import query
 from reelgrid.workloads.timeline import ALL_CELLS, segments
 
@@ -88,8 +88,11 @@ def _query_enrich(t: Tables) -> DataFrame:
     """SELECT conv_id * 1000 + turn AS query_id,
   CASE WHEN role = 'user' OR n < 100 OR n % 3 = 0 THEN text ELSE 'scene ' || n END AS visual_query,
   CASE WHEN role = 'user' OR n < 100 THEN text ELSE '' END AS audio_query,
+  text AS temporal_query,
+  CASE WHEN role = 'user' OR n < 100 THEN text ELSE '' END AS ocr_query,
+  text AS text_query,
   CASE WHEN role = 'user' OR n < 100 OR n % 2 = 0 THEN 'general' ELSE 'action' END AS query_type,
-  CASE WHEN role = 'user' OR n < 100 THEN 0 ELSE 2 END AS n_entities
+  CASE WHEN role = 'user' OR n < 100 THEN '' ELSE 'a,b' END AS entities
 FROM (SELECT *, length(text) AS n FROM conversations)""",
 )
 def _parse_analysis(t: Tables) -> DataFrame:
@@ -107,7 +110,8 @@ def _parse_analysis(t: Tables) -> DataFrame:
         F.when(F.col("role") == "user", F.col("text")).otherwise(fenced).alias("response"),
     )
     parsed = fo.parse_analysis(responses)
-    return parsed.select("query_id", "visual_query", "audio_query", "query_type", F.size("entities").alias("n_entities"))
+    sub_queries = [f"{s}_query" for s in SUB]
+    return parsed.select("query_id", *sub_queries, "query_type", F.array_join("entities", ",").alias("entities"))
 
 
 @query(
@@ -267,5 +271,5 @@ def _stored_vectors(t: Tables) -> DataFrame:
         F.col("segment_id").cast("bigint").alias("segment_id"),
         "modality",
         F.size("embedding").alias("dim"),
-        F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint")), ",").alias("entries"),
+        whole_entries("embedding").alias("entries"),
     )

@@ -6,7 +6,7 @@ sounds, errors are screen texts, and every event is a clip and a frame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.spreading import spread, stored
@@ -14,6 +14,11 @@ from reelgrid.spreading import spread, stored
 CELL_SEC = 21_600.0
 
 
+def whole_entries(vector: str, scale: int = 1_000_000) -> Column:
+    """All entries of a vector as whole multiples of ``1 / scale``, comma-joined."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * scale).cast("bigint")), ",")
+
+
 class Tables:
     """The driver tables of one folder, read lazily with only the columns a query uses."""
 

@@ -16,7 +16,7 @@ from reelgrid.operators.rerank import rerank
 from reelgrid.schemas import TOP_K_FINAL, TOP_K_RERANK
 from reelgrid.sources.tables import read_lexical_index, result_output, write_lexical_index
 from reelgrid.spreading import scratch_path, spread, stored
-from reelgrid.workloads.fixtures import Tables, with_ctes
+from reelgrid.workloads.fixtures import Tables, whole_entries, with_ctes
 from reelgrid.workloads.registry import query
 
 
@@ -59,7 +59,7 @@ def index(t: Tables) -> LexicalIndex:
 
 @query(
     "tokens",
-    f"""SELECT doc_id AS segment_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, w[1] AS first_token, w[-1] AS last_token
+    f"""SELECT doc_id AS segment_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, md5(array_to_string(w, ' ')) AS tokens_md5
   FROM (SELECT doc_id, {_sql_tokens('text')} AS w FROM documents)""",
 )
 def _tokens(t: Tables) -> DataFrame:
@@ -67,8 +67,7 @@ def _tokens(t: Tables) -> DataFrame:
         "segment_id",
         F.size("tokens").alias("n_tokens"),
         F.size(F.array_distinct("tokens")).alias("n_distinct"),
-        F.try_element_at("tokens", F.lit(1)).alias("first_token"),
-        F.try_element_at("tokens", F.lit(-1)).alias("last_token"),
+        F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
     )
 
 
@@ -157,16 +156,15 @@ def _score_pairs(t: Tables) -> DataFrame:
     """WITH counted AS (
   SELECT doc_id, len(text) AS n, list_transform(range(97, 123), lambda c: (length(lower(text)) - length(replace(lower(text), chr(c::INTEGER), '')))::DOUBLE) AS v
   FROM documents)
-SELECT doc_id AS segment_id, round((v[1] / greatest(sqrt(list_dot_product(v, v)), 1e-8))::FLOAT::DOUBLE, 4) AS share_a,
-  round((v[5] / greatest(sqrt(list_dot_product(v, v)), 1e-8))::FLOAT::DOUBLE, 4) AS share_e, 26 AS dim FROM counted""",
+SELECT doc_id AS segment_id, 26 AS dim, array_to_string(list_transform(v, lambda x:
+  CAST(round((x / greatest(sqrt(list_dot_product(v, v)), 1e-8))::FLOAT::DOUBLE * 10000) AS BIGINT)), ',') AS shares FROM counted""",
 )
 def _encode_column(t: Tables) -> DataFrame:
     encoded = encode_column(documents(t), "text", letter_profile, 26)
     return encoded.select(
         "segment_id",
-        F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("share_a"),
-        F.round(F.get("embedding", F.lit(4)).cast("double"), 4).alias("share_e"),
         F.size("embedding").alias("dim"),
+        whole_entries("embedding", 10_000).alias("shares"),
     )
 
 
@@ -203,7 +201,8 @@ def _vector_topk_all(t: Tables) -> DataFrame:
 
 @query(
     "vector_normalize",
-    """SELECT vec_id AS segment_id, round(v[1] / greatest(sqrt(list_dot_product(v, v)), 1e-8), 6) AS first_entry,
+    """SELECT vec_id AS segment_id,
+  array_to_string(list_transform(v, lambda x: CAST(round(x / greatest(sqrt(list_dot_product(v, v)), 1e-8) * 1000000) AS BIGINT)), ',') AS entries,
   round(sqrt(list_dot_product(v, v)) / greatest(sqrt(list_dot_product(v, v)), 1e-8), 6) AS norm FROM (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * vec_id) AS v FROM embeddings)""",
 )
@@ -212,20 +211,18 @@ def _vector_normalize(t: Tables) -> DataFrame:
     unit = vec.l2_normalize(scaled)
     return unit.select(
         "segment_id",
-        F.round(F.get("embedding", F.lit(0)), 6).alias("first_entry"),
+        whole_entries("embedding").alias("entries"),
         F.round(norm(F.col("embedding")), 6).alias("norm"),
     )
 
 
 @query(
     "conform_dim",
-    """SELECT vec_id AS segment_id, 48 AS cut, 80 AS padded, round(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE)), 6) AS cut_sum,
-  round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS padded_sum FROM embeddings""",
+    """SELECT vec_id AS segment_id, 48 AS cut, 80 AS padded, array_to_string(e[1:48], ',') AS cut_entries,
+  array_to_string(list_concat(e, list_transform(range(len(e), 80), lambda i: 0::BIGINT)), ',') AS padded_entries FROM (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)) AS e FROM embeddings)""",
 )
 def _conform_dim(t: Tables) -> DataFrame:
-    def total(c: str):
-        return F.round(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), 6)
-
     both = vec.conform_dim(
         vec.conform_dim(t.vectors().withColumn("longer", F.col("embedding")), 48), 80, col="longer"
     )
@@ -233,8 +230,8 @@ def _conform_dim(t: Tables) -> DataFrame:
         "segment_id",
         F.size("embedding").alias("cut"),
         F.size("longer").alias("padded"),
-        total("embedding").alias("cut_sum"),
-        total("longer").alias("padded_sum"),
+        whole_entries("embedding").alias("cut_entries"),
+        whole_entries("longer").alias("padded_entries"),
     )
 
 

@@ -241,14 +241,17 @@ def _segments_full_text(t: Tables) -> DataFrame:
     + ","
     + ALL_CELLS
     + """
-SELECT segment_id, modality, CAST(value AS FLOAT)::DOUBLE AS first_entry FROM (
+SELECT segment_id, modality, 1 AS dim, CAST(value AS FLOAT)::DOUBLE AS first_entry FROM (
   SELECT segment_id, unnest(['audio', 'temporal', 'visual']) AS modality, unnest([audio_pos, clip_pos, frame_idx]) AS event_id
   FROM segments) JOIN tl USING (event_id)""",
 )
 def _segment_vectors(t: Tables) -> DataFrame:
     rows = al.segment_vectors(segments(t), t.audio(), t.clips(), t.frames())
     return rows.select(
-        "segment_id", "modality", F.get("embedding", F.lit(0)).cast("double").alias("first_entry")
+        "segment_id",
+        "modality",
+        F.size("embedding").alias("dim"),
+        F.get("embedding", F.lit(0)).cast("double").alias("first_entry"),
     )
 
 
