@@ -246,3 +246,17 @@ def test_one_media_item_holding_most_rows_is_spread(media, rows):
     assert exchanges and all("seg_idx" in line or "_salt" in line or "_block" in line for line in exchanges)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert al.align_asr(media(200), items).agg(F.count("*")).first()[0] == 200
+
+
+def test_streams_share_one_pass(media, rows):
+    """Transcripts and clips meet the durations, the cells and the grid in one pass."""
+    asr = _asr(rows, [(0, 1.5, "said"), (1, 2, " ")])
+    clips = rows([("m", 0, 0.0, 1.0, [1.0]), ("m", 1, 1.0, 2.5, [1.0])], "media_id string, pos bigint, start double, end double, embedding array<double>")
+    segments = al.align(media(2.5), 1.0, asr=asr, clips=clips)
+    assert collect(segments, "seg_idx", "asr_text", "ocr_texts", "clip_pos") == [
+        (0, "said", [], 0),
+        (1, "said", [], 1),
+        (2, "", [], 1),
+    ]
+    plan = segments._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
