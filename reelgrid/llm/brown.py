@@ -1,12 +1,15 @@
 """Brown class-based bigram model: exchange clustering, and log-probabilities of whole texts.
 
-Every distinct word is counted by a shuffle. The ``ELEMENTS`` most frequent words, the end of a text and
-``SUFFIXES`` groups of all other words (by their last letters) are the elements that are clustered;
-their bigram counts form a table whose size does not depend on the corpus. Exchange clustering moves one
-element at a time to the class that raises the likelihood most. A word's probability is that of its
-class after the class before, times the element's share of the class, times, for words outside the
-most frequent, the word's smoothed share of its group. Exact counts of the ``KNOWN`` most frequent words
-are sent to the tasks; all other words meet their counts in a join, so no word is dropped.
+Every distinct word is counted by a shuffle, and so is every distinct pair of neighbours. Clustering is
+seeded on the driver: the ``ELEMENTS`` most frequent words, the end of a text and ``SUFFIXES`` groups of all
+other words (by their last letters) are elements of a bounded bigram table, and exchange moves one element
+at a time to the class that raises the likelihood most. From there each word outside the elements is
+clustered by its own neighbours: its counts by class of follower and predecessor are a row of a table, and
+tasks choose its best class against the classes x classes table; this is repeated while the likelihood
+rises. Classes of the ``SENT`` most frequent words are sent, those of all others meet the pairs in a join. A
+word's probability is that of its class after the class before, times its smoothed share of the class.
+Exact counts and classes of the ``KNOWN`` most frequent words are sent to the scoring tasks; all other words
+meet theirs in a join, so no word is dropped. A word never met in training has the class of its group.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.common import slices, stored
 
 ELEMENTS, SUFFIXES, CLASSES, KNOWN, SWEEPS = 1024, 255, 64, 65_536, 4
+SENT = 1 << 20  # words whose classes are sent while clustering, at most
+RISE = 1e-3  # of the mean log-likelihood of a token: a sweep that gains less is the last
 END = b"\n"  # no word holds white space
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)"
 
@@ -32,6 +38,13 @@ def group_of(word: bytes) -> int:
     return zlib.crc32(word.rstrip(b".,;:!?#$%&*\"')")[-3:] or word[-1:]) % SUFFIXES
 
 
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """57-bit hashes of words; the seven lowest bits are free for a side and a class."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64) & -128
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -186,6 +199,9 @@ class Model:
 
     def __init__(self, coding: Coding, bigrams: np.ndarray, of: np.ndarray, groups: dict[int, tuple[int, int]], base: tuple[int, int]) -> None:
         self.coding, self.of, self.base = coding, of, base
+        #: Class by word of the known words, and of each class log10 of what a count plus one is divided by.
+        self.word_class: dict[bytes, int] = {}
+        self.within = np.zeros(0)
         classes = int(of.max()) + 1
         one_hot = np.zeros((len(of), classes))
         one_hot[np.arange(len(of)), of] = 1
@@ -203,94 +219,423 @@ class Model:
         )
 
 
+# --- clustering of the whole vocabulary --------------------------------------------------------------
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    return codes[starts], np.add.reduceat(counts, starts) if len(codes) else counts
+
+
+def count_neighbours(training: DataFrame) -> DataFrame:
+    """``a, b, n``: how often the word of key ``a`` is followed by that of ``b``, over all words and ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Numbers()
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            keys = keys_of(list(number))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys[pairs >> 32]), pa.array(keys[pairs & 0xFFFFFFFF]), pa.array(counts)], ["a", "b", "n"]
+            )
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [pairs]
+                for text in batch.column("text").to_pylist():
+                    words = text.encode().lower().split()
+                    words.append(END)
+                    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                    found.append(np.concatenate((ids[-1:], ids[:-1])) << 32 | ids)
+                new = np.concatenate(found)
+                pairs, counts = _summed(new, np.concatenate((counts, np.ones(len(new) - len(counts), np.int64))))
+                if len(pairs) > 2_000_000 or len(number) > 500_000:
+                    yield out()
+                    number.clear()
+                    pairs, counts = pairs[:0], counts[:0]
+        if len(pairs):
+            yield out()
+
+    return training.select("text").mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+def _neighbours_sent(pairs: DataFrame, sent) -> DataFrame:
+    """``code, n`` over all pairs, for the neighbours whose classes were sent: key, side and class in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, classes = sent.value
+        codes, counts, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            code, n = _summed(np.concatenate(codes), np.concatenate(counts))
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            for own, other, side in ((a, b, 0), (b, a, CLASSES)):
+                at, there = _place(keys, other)
+                codes.append(own[there] | side | classes[at[there]])
+                counts.append(n[there])
+                held += len(counts[-1])
+            if held > 2_000_000:
+                yield out()
+                codes, counts, held = [], [], 0
+        if held:
+            yield out()
+
+    return pairs.mapInArrow(run, "code bigint, n bigint")
+
+
+def _neighbours_open(pairs: DataFrame, sent) -> DataFrame:
+    """``code, other, n`` for the neighbours whose classes are not sent; ``other`` is their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = sent.value[0]
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            for own, other, side in ((a, b, 0), (b, a, CLASSES)):
+                away = ~_place(keys, other)[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[away] | side), pa.array(other[away]), pa.array(n[away])], ["code", "other", "n"]
+                )
+
+    return pairs.mapInArrow(run, "code bigint, other bigint, n bigint")
+
+
+def _packed(entries: DataFrame) -> DataFrame:
+    """``key, cls, slots, counts``: of each word its class and its counts by side and class of neighbours.
+
+    An entry of count zero tells a word's own class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            mark = counts == 0
+            keys, own = codes[mark] & -128, codes[mark] & 127
+            codes, counts = _summed(codes[~mark], counts[~mark])
+            ends = np.searchsorted(codes, keys | 127, side="right")
+            offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys), pa.array(own, pa.int32()),
+                    pa.ListArray.from_arrays(offsets, pa.array(codes & 127, pa.int16())),
+                    pa.ListArray.from_arrays(offsets, pa.array(counts)),
+                ],
+                ["key", "cls", "slots", "counts"],
+            )
+
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            codes = np.concatenate((codes, batch.column("code").to_numpy()))
+            counts = np.concatenate((counts, batch.column("n").to_numpy()))
+            if len(codes) < 200_000:
+                continue
+            # The last word may go on in the next batch.
+            cut = int(np.searchsorted(codes, codes[-1] & -128))
+            if cut:
+                yield out(codes[:cut], counts[:cut])
+                codes, counts = codes[cut:], counts[cut:]
+            else:
+                codes, counts = _compact(codes, counts)
+        if len(codes):
+            yield out(codes, counts)
+
+    dealt = entries.repartition(F.col("code").bitwiseAND(F.lit(-128).cast("bigint"))).sortWithinPartitions("code")
+    return dealt.mapInArrow(run, "key bigint, cls int, slots array<smallint>, counts array<bigint>")
+
+
+def _compact(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of one word, summed; its own class stays apart."""
+    mark = counts == 0
+    summed, n = _summed(codes[~mark], counts[~mark])
+    codes, counts = np.concatenate((summed, codes[mark])), np.concatenate((n, counts[mark]))
+    order = np.argsort(codes, kind="stable")
+    return codes[order], counts[order]
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Keys and classes of the words; word, slot and count of each entry."""
+    key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+    word = np.repeat(np.arange(len(key)), pc.list_value_length(batch.column("slots")).to_numpy())
+    slot = batch.column("slots").flatten().to_numpy().astype(np.int64)
+    return key, cls.astype(np.int64), word, slot, batch.column("counts").flatten().to_numpy()
+
+
+def _class_table(packed: DataFrame) -> np.ndarray:
+    """Counts of class after class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            _, cls, word, slot, n = _unpacked(batch)
+            follows = slot < CLASSES
+            np.add.at(total, cls[word[follows]] * CLASSES + slot[follows], n[follows])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    cells = packed.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CLASSES * CLASSES)
+    table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return table.reshape(CLASSES, CLASSES)
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of the corpus by its class bigrams, but for the words' own counts."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def best_classes(table: np.ndarray, cls: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each word the class whose followers and predecessors make the word's own likeliest.
+
+    ``cls`` are the classes now, ``word, slot, n`` the words' counts by side and class of neighbours. A
+    word's own counts are out of its class's before it is judged, and do not count for another's: as all
+    words are judged at once, an empty class would draw them all. Class 0, the end's, takes no word.
+    """
+    both = np.concatenate((table, table.T), axis=1)  # of each class its followers, then its predecessors
+    sides = np.stack((table.sum(axis=1), table.sum(axis=0)))
+    lean = 10 * (both.sum(axis=0) + 1) / (table.sum() + CLASSES)
+    logs = np.log(both + lean)
+    gain = np.zeros((len(cls), CLASSES))
+    for i in range(0, len(word), 16_384):
+        w, k, c = word[i : i + 16_384], slot[i : i + 16_384], n[i : i + 16_384].astype(np.float64)
+        there = logs[:, k].T
+        own = cls[w]
+        there[np.arange(len(w)), own] = np.log(np.maximum(both[own, k] - c, 0) + lean[k])
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        gain[w[first]] += np.add.reduceat(there * c[:, None], first, axis=0)
+    at = np.arange(len(cls))
+    for side in (0, 1):
+        own = np.bincount(word, n * ((slot >= CLASSES) == side), len(cls))
+        there = np.repeat(sides[side][None, :], len(cls), axis=0)
+        there[at, cls] -= own
+        gain -= own[:, None] * np.log(there + 10)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    return np.where(gain[at, best] > gain[at, cls] + 1e-9, best, cls)
+
+
+def _chosen(packed: DataFrame, table: np.ndarray, fixed: np.ndarray, share: float, sweep: int) -> DataFrame:
+    """``key, cls``: a share of the words, another one each sweep, choose their classes; those of ``fixed`` keep theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, cls, word, slot, n = _unpacked(batch)
+            drawn = ((key >> 7) * (2 * sweep + 1) & 1023) < share * 1024
+            new = np.where(drawn & ~_place(fixed, key)[1], best_classes(table, cls, word, slot, n), cls)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(new, pa.int32())], ["key", "cls"])
+
+    return packed.mapInArrow(run, "key bigint, cls int")
+
+
+def cluster(training: DataFrame, words: DataFrame, fixed: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """``key, cls`` of all words, and the table of class after class, from the seeds in ``words``.
+
+    ``words`` has ``key, c, cls``. The keys ``fixed`` keep their seed. Sweeps end when the likelihood
+    rises no more; of one that lowers it, as all words move at once, half the words are tried instead.
+    """
+    spark = training.sparkSession
+    pairs = stored(count_neighbours(training), "neighbours")
+    classes = stored(words.groupBy("key").agg(F.min("cls").alias("cls"), F.max("c").alias("c")), "classes")
+    many = 0
+    bound = 1
+    for c, n in sorted(((r[0], r[1]) for r in classes.groupBy("c").count().collect()), reverse=True):
+        many += n
+        if many > SENT:
+            bound = c + 1
+            break
+    often = classes.where(F.col("c") >= bound).select("key")
+    classes = classes.select("key", "cls")
+    rest = kept = None
+    share = 1.0
+    for sweep in range(SWEEPS + 1):
+        top = classes.join(often, "key", "left_semi").toArrow() if bound > 1 else classes.toArrow()
+        order = np.argsort(keys := top["key"].to_numpy())
+        sent = spark.sparkContext.broadcast((keys[order], top["cls"].to_numpy()[order].astype(np.int64)))
+        entries = _neighbours_sent(pairs, sent)
+        if bound > 1:
+            rest = rest or stored(_neighbours_open(pairs, sent), "open-neighbours")
+            met = rest.join(classes, F.col("other") == F.col("key"))
+            entries = entries.unionByName(met.select(F.col("code").bitwiseOR(F.col("cls").cast("bigint")).alias("code"), "n"))
+        own = classes.select(F.col("key").bitwiseOR(F.col("cls").cast("bigint")).alias("code"), F.lit(0).cast("bigint").alias("n"))
+        packed = stored(_packed(entries.unionByName(own)), "word-neighbours")
+        table = _class_table(packed)
+        now = likelihood(table)
+        done = kept is not None and abs(now - kept[2]) < RISE * table.sum()
+        if kept is None or now > kept[2]:
+            kept = (classes, table, now, packed)
+        else:
+            share /= 2
+        if done:
+            break
+        if sweep < SWEEPS:
+            classes = stored(_chosen(kept[3], kept[1], fixed, share, sweep), "classes")
+    return kept[0], kept[1]
+
+
+# --- scoring ----------------------------------------------------------------------------------------
+
+
 def _score(rows: DataFrame, sent) -> DataFrame:
-    """Per row what is known without the join: tokens, partial sums."""
+    """Per row what is known without the join: tokens, partial sums, and ``open`` steps.
+
+    A step with a word whose count was not sent is open: two numbers, each a class or, from ``CLASSES`` on,
+    the number of such a word in the order of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        code, of = model.coding, model.of
-        counts = code.count
+        counts, classes = model.coding.count, model.word_class
         divisor = np.log10(model.base[0] + model.base[1] + 1)
         for whole in batches:
             for batch in slices(whole, "text"):
-                tokens, known, base, score = [], [], [], []
+                tokens, known, base, score, steps = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     words = text.encode().lower().split()
-                    ids = code.elements(words)
-                    classes = of[ids]
-                    before = np.concatenate(([of[code.end]], classes[:-1]))
-                    grouped = ids[(ids >= ELEMENTS) & (ids < code.end)] - ELEMENTS
-                    found = np.array([counts.get(w, 0) for w in words] + [counts.get(END, 0)], np.float64)
+                    words.append(END)
+                    rare = _Numbers()
+                    coded = [c if (c := classes.get(w)) is not None else CLASSES + rare[w] for w in words]
+                    ids = np.array([0, *coded], np.int32)
+                    found = np.array([counts.get(w, 0) for w in words], np.float64)
                     logs = np.log10(found + 1)
-                    tokens.append(len(ids))
+                    before, after = ids[:-1], ids[1:]
+                    met = after < CLASSES
+                    both = met & (before < CLASSES)
+                    tokens.append(len(words))
                     known.append(int((found > 0).sum()))
-                    base.append(float(logs.sum() - len(ids) * divisor))
-                    inner = float(logs[(ids >= ELEMENTS) & (ids < code.end)].sum() + model.group[grouped].sum())
-                    score.append(float(model.step[before, classes].sum() + model.emit[ids].sum()) + inner)
+                    base.append(float(logs.sum() - len(words) * divisor))
+                    score.append(float(model.step[before[both], after[both]].sum() + logs.sum() - model.within[after[met]].sum()))
+                    steps.append(np.stack((before[~both], after[~both]), axis=1).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), batch.column("held_out"), batch.column("row"),
                         pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
+                        pa.array(steps, pa.binary()),
                     ],
-                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score"],
+                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "open"],
                 )
 
     return rows.mapInArrow(
         run,
-        "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double",
+        "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, open binary",
     )
 
 
 def _rare(rows: DataFrame, sent) -> DataFrame:
-    """``row, word, n`` of the words whose counts were not sent."""
+    """``row, word, at, n, seed`` of the words whose counts were not sent: number in the text, count, class if never met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value.coding.count
+        model = sent.value
+        counts = model.coding.count
         for whole in batches:
             for batch in slices(whole, "text", 4_000_000):
-                rows, words, many = [], [], []
+                rows, words, at, many = [], [], [], []
                 for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     found = Counter(w for w in text.encode().lower().split() if w not in counts)
                     rows += [row] * len(found)
                     words += found.keys()
+                    at += range(len(found))
                     many += found.values()
+                seeds = [int(model.of[model.coding.element(w)]) for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(many, pa.int64())],
-                    ["row", "word", "n"],
-                )
+                    [
+                        pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(at, pa.int32()),
+                        pa.array(many, pa.int64()), pa.array(seeds, pa.int32()),
+                    ],
+                    ["row", "word", "at", "n", "seed"],
+                )
+
+    return rows.select("text", "row").mapInArrow(run, "row bigint, word binary, at int, n bigint, seed int")
 
-    return rows.select("text", "row").mapInArrow(run, "row bigint, word binary, n bigint")
+
+def _closed(scored: DataFrame, sent) -> DataFrame:
+    """``scored`` with the steps of ``open`` added, whose words' ``at, cls, n, c`` are in ``rare``."""
+    kept = [c for c in scored.columns if c not in ("open", "rare", "n_known", "base_score", "score")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            known, base, score = (batch.column(c).to_numpy().copy() for c in ("n_known", "base_score", "score"))
+            rare = batch.column("rare")
+            at, cls, n, c = (rare.flatten().field(k).to_numpy() for k in range(4))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(rare), 0).to_numpy())
+            for i, steps in enumerate(batch.column("open").to_pylist()):
+                if not steps:
+                    continue
+                own = slice(ends[i - 1] if i else 0, ends[i])
+                lookup = np.arange(CLASSES + own.stop - own.start)
+                lookup[CLASSES + at[own]] = cls[own]
+                pairs = lookup[np.frombuffer(steps, np.int32).reshape(-1, 2)]
+                logs = float((n[own] * np.log10(c[own] + 1)).sum())
+                known[i] += n[own][c[own] > 0].sum()
+                base[i] += logs
+                score[i] += logs + model.step[pairs[:, 0], pairs[:, 1]].sum() - (n[own] * model.within[cls[own]]).sum()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(known), pa.array(base), pa.array(score)],
+                [*kept, "n_known", "base_score", "score"],
+            )
+
+    fields = ", ".join(f"{c} {scored.schema[c].dataType.simpleString()}" for c in kept)
+    return scored.mapInArrow(run, f"{fields}, n_known bigint, base_score double, score double")
 
 
 def train(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of bounded size, and the stored counts of all words."""
+    """The model of bounded size, and ``word, c, cls`` of all words, stored."""
     spark = training.sparkSession
-    vocabulary = stored(count_words(training), "vocabulary")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(KNOWN).select("word", "c").toArrow()
-    ends = vocabulary.where(F.col("word") == F.lit(END)).first()
-    ranked = list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
-    coding = Coding(ranked, ends["c"] if ends else 0)
+    counted = stored(count_words(training), "vocabulary")
+    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    top = counted.orderBy(F.desc("c"), "word").limit(ELEMENTS).toArrow()
+    coding = Coding(list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)))
     shared = spark.sparkContext.broadcast(coding)
     pairs = count_bigrams(training, shared).toArrow()  # at most size * size rows, whatever the corpus
     table = np.zeros(coding.size * coding.size)
     table[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    table = table.reshape(coding.size, coding.size)
+    of = exchange(table.reshape(coding.size, coding.size))
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value.number
-        sums = np.zeros((SUFFIXES, 2), np.int64)
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = shared.value
         for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                if word not in number and word != END:
-                    sums[group_of(word)] += (c, 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SUFFIXES), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["g", "c", "v"]
-        )
+            words = batch.column("word").to_pylist()
+            seeds = [code.end if w == END else code.element(w) for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("c"), pa.array(keys_of(words)), pa.array(of[seeds], pa.int32())],
+                ["word", "c", "key", "cls"],
+            )
 
-    sums = vocabulary.select("word", "c").mapInArrow(grouped, "g int, c bigint, v bigint").groupBy("g").sum("c", "v")
-    groups = {r[0]: (r[1], r[2]) for r in sums.collect()}
-    return Model(coding, table, exchange(table), groups, (total, distinct)), vocabulary
+    words = stored(counted.mapInArrow(seeded, "word binary, c bigint, key bigint, cls int"), "seeds")
+    classes, table = cluster(training, words, np.sort(keys_of([*coding.number, END])))
+    vocabulary = stored(words.drop("cls").join(classes, "key").select("word", "c", "cls"), "vocabulary")
+    within = np.ones(CLASSES)
+    for cls, c, v in vocabulary.groupBy("cls").agg(F.sum("c"), F.count(F.lit(1))).collect():
+        within[cls] += c + (v if cls else 0)  # the end is all of its class
+    top = vocabulary.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
+    ranked = list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
+    ends = vocabulary.where(F.col("word") == F.lit(END)).first()
+    coding.count = dict(ranked) | {END: ends["c"] if ends else 0}
+    model = Model(coding, table, np.arange(CLASSES), {}, (total, distinct))
+    model.of = of
+    model.word_class = dict(zip(top["word"].to_pylist(), top["cls"].to_pylist(), strict=True)) | {END: 0}
+    model.within = np.log10(within)
+    return model, vocabulary
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -304,17 +649,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     model, vocabulary = train(rows.where("not held_out"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     scored = _score(rows, sent)
-    rare = _rare(rows, sent).join(vocabulary, "word")
-    added = rare.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.sum("n").alias("found")
+    met = _rare(rows, sent).join(vocabulary, "word", "left").select(
+        "row",
+        F.struct(
+            "at", F.coalesce("cls", "seed").alias("cls"), "n", F.coalesce("c", F.lit(0).cast("bigint")).alias("c")
+        ).alias("rare"),
     )
+    added = met.groupBy("row").agg(F.collect_list("rare").alias("rare"))
     # A word's log10(c + 1) stands in both scores; words without a count add nothing.
-    return scored.join(added, "row", "left").select(
+    return _closed(scored.join(added, "row", "left").drop("row"), sent).select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(model.base[0]).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("logs", F.lit(0.0))).alias("score"),
+        "base_score",
+        "score",
     )

@@ -476,6 +476,40 @@ def test_exchange_raises_likelihood_to_the_planted_classes():
     assert len(set(of[planted == 0])) == 1 and len(set(of[planted == 1])) == 1 and of[0] != of[1]
 
 
+def _planted_docs(spark):
+    """Rare words of two kinds, told apart by the words around them only; their last letters are all alike."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(60):
+        own = [["one", f"a{k}xyz", "two"], ["six", f"b{k}xyz", "ten"]]
+        texts += [" ".join(w for _ in range(6) for w in rng.choice(own)) for _ in range(6)]
+    return spark.createDataFrame([_row(i, t) for i, t in enumerate(texts)], SCHEMA)
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 5])
+def test_every_word_is_clustered_by_its_own_neighbours(spark, monkeypatch, sent):
+    monkeypatch.setattr(brown, "SENT", sent)
+    training = brown._rows(_planted_docs(spark)).where("not held_out")
+    counts = {r.word: r.c for r in brown.count_words(training).collect()}
+    seeds = {b"one": 1, b"two": 2, b"six": 3, b"ten": 4, brown.END: 0}
+    keys = dict(zip(counts, brown.keys_of(list(counts)).tolist(), strict=True))
+    words = [(keys[w], c, seeds.get(w, 5 + ((w[:1] == b"b") != (i % 3 == 0)))) for i, (w, c) in enumerate(sorted(counts.items()))]
+    fixed = np.sort(brown.keys_of(list(seeds)))
+    classes, table = brown.cluster(training, spark.createDataFrame(words, "key bigint, c bigint, cls int"), fixed)
+    of = {r.key: r.cls for r in classes.collect()}
+    first, second = ({of[keys[w]] for w in counts if w.endswith(b"xyz") and w[:1] == x} for x in (b"a", b"b"))
+    assert first and second and not first & second and all(of[keys[w]] == c for w, c in seeds.items())
+    assert table.sum() == sum(counts.values())
+
+
+def test_sent_and_joined_classes_agree(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 80")
+    whole = {r.doc_id: r.score for r in brown.score_documents(docs).collect()}
+    monkeypatch.setattr(brown, "SENT", 50)
+    joined = {r.doc_id: r.score for r in brown.score_documents(docs).collect()}
+    assert joined == pytest.approx(whole)
+
+
 def test_brown_of_awkward_rows(odd, none):
     got = brown.score_documents(odd).collect()
     assert len(got) == odd.count() and all(r.score < 0 and r.base_score <= 0 for r in got)
