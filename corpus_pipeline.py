@@ -12,7 +12,7 @@ from reelgrid.spreading import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose likeliest language stays below one half, go."""
+    """Documents without letters, in none of the languages, or whose likeliest stays below one half, go."""
     return language.keep_identified(docs)
 
 

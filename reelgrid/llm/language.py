@@ -24,6 +24,7 @@ TEXT_WEIGHT = 60  # trigrams of one text overlap: its mean counts as so many ind
 TRUST = 0.9  # how often a declared language is the right one
 LEAN = 10.0  # rows that a prior counts as
 ACCEPT = 0.5
+NONE = 0.01  # prior of a text in none of the languages
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -95,8 +96,8 @@ def identify(items: DataFrame, model: np.ndarray, languages: tuple[str, ...] = L
 
     Returns the key columns with ``text_language, language, probability, accepted``. ``declared`` is the
     markup's language, ``named`` the one in the address; null or unknown ones say nothing. A null suffix
-    or host is a suffix or host of its own. A text without letters has no language and is not accepted;
-    ties go to the first language. Rows are judged one by one, also repeated ones.
+    or host is a suffix or host of its own. A text without letters has no language and is not accepted, nor
+    is one that is likelier in none of the languages; ties go to the first language. Rows are judged one by one, also repeated ones.
     """
     keys = [c for c in items.columns if c not in ("text", "declared", "named", "suffix", "host")]
     shaped = items.select(
@@ -105,7 +106,8 @@ def identify(items: DataFrame, model: np.ndarray, languages: tuple[str, ...] = L
     )
     judged = text_evidence(shaped, model, languages)
     span = range(len(languages))
-    posts = _softmax([F.col("texts")[i] for i in span])
+    blank = F.least("grams", F.lit(TEXT_WEIGHT)) * float(-np.log(BUCKETS)) + float(np.log(NONE))
+    posts = _softmax([*[F.col("texts")[i] - float(np.log(len(languages))) for i in span], blank])
     judged = stored(
         judged.select("*", *[F.when(F.col("grams") > 0, posts[i]).otherwise(0.0).alias(f"_t{i}") for i in span]),
         "evidence",
@@ -134,7 +136,13 @@ def identify(items: DataFrame, model: np.ndarray, languages: tuple[str, ...] = L
             .otherwise(0.0)
         )
 
+    def heard(column: str) -> Column:
+        """Of a text in none of the languages, any may be told."""
+        told = F.lower(F.substring_index(column, "-", 1))
+        return F.when(told.isin(*languages), float(-np.log(len(languages)))).otherwise(0.0)
+
     logs = [F.col("texts")[i] + F.log(priors[i]) + said("declared", i) + said("named", i) for i in span]
+    logs.append(blank + heard("declared") + heard("named"))
     scored = joined.select(*keys, "grams", "texts", *[p.alias(f"_p{i}") for i, p in enumerate(_softmax(logs))])
     best = F.greatest(*[F.col(f"_p{i}") for i in span])
     names = F.array(*[F.lit(x) for x in languages])
@@ -144,7 +152,7 @@ def identify(items: DataFrame, model: np.ndarray, languages: tuple[str, ...] = L
     return scored.select(
         *keys,
         F.when(some, by_text).alias("text_language"),
-        F.when(some, chosen).alias("language"),
+        F.when(some & (best >= F.col(f"_p{len(languages)}")), chosen).alias("language"),
         F.when(some, best).otherwise(0.0).alias("probability"),
         (some & (best >= ACCEPT)).alias("accepted"),
     )

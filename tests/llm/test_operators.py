@@ -177,6 +177,25 @@ def test_language_evidence_is_fused(spark):
     assert got[100].probability > 0 and got[100].language == "fr" and got[101].text_language == got[100].text_language
 
 
+def test_other_languages_and_random_letters_are_refused(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(3)
+    other = [
+        "这是一个关于语言识别的测试文本，它不应该被接受为任何已知语言。",
+        "Это текст на русском языке, который не должен быть принят.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40)),
+        " ".join(f"{rng.getrandbits(32):08x}" for _ in range(60)),
+    ]
+    rows = [_row(-1 - i, t, None) for i, t in enumerate(other)]
+    both = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source"))
+    kept = {r.doc_id for r in language.keep_identified(both).collect()}
+    assert not {i for i in kept if i < 0} and len(kept) == docs.count()
+    judged = language.identify(language.document_items(both), language.train(both)).where("doc_id < 0").collect()
+    assert all(r.language is None and not r.accepted and r.probability < 0.5 for r in judged)
+
+
 def test_language_stage(odd, none):
     kept = language.keep_identified(odd)
     assert kept.columns == odd.columns
