@@ -4,7 +4,10 @@ A text's tokens are runs of at most 12 letters or digits and single other signs.
 row, the inner substrings are the runs of ``S`` tokens; the row is a closed syncmer, an anchor, when the
 least hash of them stands at its first or last place. That depends on the row alone, not on what is
 around it, so equal passages give equal anchors at corresponding positions. A fingerprint holds the
-``SKETCH`` least distinct anchor hashes, 8 hex digits each; likeness is the Jaccard estimate from them.
+distinct anchor hashes below a threshold, ``SKETCH`` at least where there are so many, 8 hex digits each, so
+it grows with the text. Likeness is exact: the Jaccard similarity of all distinct anchors of two texts. The
+aligned likeness counts of the shared anchors those whose first places lie at a difference of positions
+that another one has, too: passages, not single rows of tokens met by chance.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from reelgrid.llm.common import range_bounds, range_of
 from reelgrid.llm.lines import bind
 
 K, S, SKETCH = 4, 2, 64
+BELOW = 1 << 29  # of 32-bit hashes: one in eight
 TOKEN = r"[\p{L}\p{N}]{1,12}|[^\p{L}\p{N}\s]"
 
 
@@ -66,10 +70,16 @@ def anchors(text: Column) -> Column:
     return bind(F.transform(tokens, lambda t: F.xxhash64(t)), whole)
 
 
-def sketch(text: Column) -> Column:
-    """The least distinct anchor hashes, ascending."""
-    hashes = F.transform(anchors(text), lambda a: a["hash"])
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+def distinct(found: Column) -> Column:
+    """Array of ``(hash, pos)`` of the distinct anchors, ascending, each at its first place."""
+    ordered = F.array_sort(F.transform(found, lambda a: F.struct(a["hash"].alias("hash"), a["pos"].alias("pos"))))
+    return bind(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["hash"] != x["hash"])))
+
+
+def sketch(own: Column) -> Column:
+    """Hashes of the distinct anchors below the threshold, or the ``SKETCH`` least, ascending."""
+    hashes = F.transform(own, lambda a: a["hash"])
+    return F.slice(hashes, F.lit(1), F.greatest(F.lit(SKETCH), F.size(F.filter(hashes, lambda h: h < BELOW))))
 
 
 def shown(sketched: Column) -> Column:
@@ -77,40 +87,52 @@ def shown(sketched: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate of two sketches, 0 to 1; two empty ones are alike, an empty and a full one are not."""
-    low = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return bind(
-        low,
-        lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(
-            F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)
-        ),
-    )
+    """``(near, aligned)`` of distinct anchors: Jaccard similarity, and that of the aligned ones, 0 to 1.
 
+    Two texts without anchors are alike; one with and one without are not. A lone shared anchor counts as
+    aligned only where a text has no other.
+    """
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, sketch`` per row; a null text is empty."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.withColumn("sketch", sketch(F.col("text")))
+    def sided(own: Column, side: int) -> Column:
+        return F.transform(own, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["pos"].alias("pos")))
+
+    def shift(both: Column) -> Column:
+        def of(x: Column, i: Column) -> Column:
+            after = F.get(both, i + 1)
+            return F.when(after["hash"] == x["hash"], x["pos"] - after["pos"])
+
+        return F.sort_array(F.filter(F.transform(both, of), lambda d: d.isNotNull()))
+
+    def judged(shifts: Column) -> Column:
+        union = F.size(a) + F.size(b) - F.size(shifts)
+        alone = F.least(F.size(a), F.size(b)) == 1
+        runs = F.filter(shifts, lambda d, i: alone | (F.get(shifts, i - 1) == d) | (F.get(shifts, i + 1) == d))
+        none = union == 0
+        return F.struct(
+            F.when(none, F.lit(1.0)).otherwise(F.size(shifts) / union).alias("near"),
+            F.when(none, F.lit(1.0)).otherwise(F.size(runs) / union).alias("aligned"),
+        )
 
+    return bind(bind(F.array_sort(F.concat(sided(a, 0), sided(b, 1))), shift), judged)
 
-def with_next(prints: DataFrame, ids: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each row with ``next_text`` and ``next_sketch``: of the next row in descending ``doc_id``.
+
+def with_next(own: DataFrame, ids: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each row with ``next_text``, that of the next row in descending ``doc_id``.
 
     After the last comes the first. Ties are in the order of their texts, null ids come last. Rows are
     dealt by ranges of ids, whose bounds come from ``ids``; only the first row of each range is sent to
     the range before.
     """
-    parts = parts or int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = range_of(range_bounds(ids, parts), F.col("doc_id"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    there = prints.withColumn("bucket", bucket)
+    there = own.withColumn("bucket", bucket)
     rowed = there.select(
         "*",
         F.lead("text").over(order).alias("next_text"),
-        F.lead("sketch").over(order).alias("next_sketch"),
         F.lag(F.lit(1)).over(order).isNull().alias("head"),
     )
-    heads = rowed.where("head").select("bucket", F.col("text").alias("head_text"), F.col("sketch").alias("head_sketch"))
+    heads = rowed.where("head").select("bucket", F.col("text").alias("head_text"))
     falling = Window.orderBy(F.col("bucket").desc())
     circle = there.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("bucket").alias("before"),
@@ -124,26 +146,49 @@ def with_next(prints: DataFrame, ids: DataFrame, parts: int | None = None) -> Da
     return rowed.join(sent, F.col("bucket") == F.col("before"), "left").select(
         "doc_id",
         "text",
-        "sketch",
         F.when(last, F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"),
-        F.when(last, F.col("head_sketch")).otherwise(F.col("next_sketch")).alias("next_sketch"),
     )
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edit, whose last half comes from the next document."""
-    paired = with_next(fingerprints(docs), docs)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    paired = with_next(own, docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    both = paired.select("doc_id", n.cast("bigint").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    sketched = both.withColumn("edited_sketch", sketch(F.col("edited")))
-    return sketched.select(
+
+    def compared(found: Column) -> Column:
+        mine, changed, after = found["mine"], found["changed"], found["after"]
+        return F.struct(
+            shown(sketch(mine)).alias("fingerprint"),
+            shown(sketch(changed)).alias("edited_fingerprint"),
+            likeness(mine, changed).alias("edited"),
+            likeness(mine, after).alias("next"),
+        )
+
+    def found(text: Column) -> Column:
+        return distinct(anchors(text))
+
+    both = paired.select(
+        "doc_id",
+        n.cast("bigint").alias("n_chars"),
+        F.sha2(edited, 256).alias("edited_sha256"),
+        bind(
+            F.struct(
+                found(F.col("text")).alias("mine"), found(edited).alias("changed"), found(F.col("next_text")).alias("after")
+            ),
+            compared,
+        ).alias("found"),
+    )
+    return both.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        shown(F.col("sketch")).alias("fingerprint"),
-        shown(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "edited_sha256",
+        F.col("found.fingerprint").alias("fingerprint"),
+        F.col("found.edited_fingerprint").alias("edited_fingerprint"),
+        F.col("found.edited.near").alias("near_edited"),
+        F.col("found.next.near").alias("near_next"),
+        F.col("found.edited.aligned").alias("aligned_edited"),
+        F.col("found.next.aligned").alias("aligned_next"),
     )

@@ -439,6 +439,19 @@ def test_edited_texts(spark, odd, none):
     assert np.mean([r.near_edited > r.near_next + 0.1 for r in far]) > 0.98
 
 
+def test_a_passage_shared_by_long_texts_is_seen(spark):
+    rng = random.Random(6)
+    passage = [f"p{rng.getrandbits(30)}" for _ in range(60)]
+    first, second = ([f"{x}{rng.getrandbits(30)}" for _ in range(4000)] for x in "xy")
+    texts = [" ".join(first[:900] + passage + first[900:]), " ".join(second[:2500] + passage + second[2500:])]
+    frame = spark.createDataFrame([(texts[0], texts[1], " ".join(first[::-1]))], "a string, b string, c string")
+    a, b, c = (syncmers.distinct(syncmers.anchors(F.col(x))) for x in "abc")
+    got = frame.select(syncmers.likeness(a, b).alias("ab"), syncmers.likeness(a, c).alias("ac"), syncmers.sketch(a).alias("s")).first()
+    assert 0.003 < got.ab.aligned <= got.ab.near < 0.02
+    assert got.ac.aligned < 0.001
+    assert len(got.s) > 3 * syncmers.SKETCH
+
+
 # --- 9
 
 
