@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import brown, chat, decontaminate, language, lines, pair_bpe, simhash, syncmers, wavelet, wordpiece
+from reelgrid.llm import (
+    brown, chat, decontaminate, hard_negatives, language, lines, pair_bpe, setsketch, simhash, syncmers, vector_codes,
+    wavelet, wordpiece,
+)
 from reelgrid.llm.common import table
 from reelgrid.spreading import scratch_path
 
@@ -93,11 +96,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_wavelet, op2_pair_bpe, op3_language, op4_decontaminate, op5_simhash, op6_chat, op7_line_dedup,
-        op8_syncmers, op9_brown, op10_token_counts,
+        op8_syncmers, op9_brown, op10_token_counts, op11_codes, op12_setsketch, op13_hard_negatives,
     )
 }
 
@@ -106,7 +121,75 @@ _WORDS = (
     r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds one after the other: ``c0`` holds the seeds, ``c6`` the final entries, by coordinate."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, min(row(d, e)) AS best FROM (
+    SELECT x.vec_id, x.label, x.p, c.e, sum((x.v - c.v) * (x.v - c.v)) AS d
+    FROM x JOIN c{r} c USING (p, j) GROUP BY x.vec_id, x.label, x.p, c.e) GROUP BY vec_id, label, p)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT p, struct_extract(best, 2) AS e, j, sum(v) AS s, count(*) AS n FROM a{r} JOIN x USING (vec_id, p) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (
+  SELECT p, e, j, CASE WHEN n IS NULL THEN c.v ELSE (s - ((s % n) + n) % n) // n END AS v
+  FROM c{r} c LEFT JOIN m{r} USING (p, e, j))""")
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {_FINITE}),
+x AS MATERIALIZED (
+  SELECT vec_id, label, (i - 1) // (len(v) // {parts}) AS p, (i - 1) % (len(v) // {parts}) AS j, v[i] AS v
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM k)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {entries}),
+c0 AS MATERIALIZED (SELECT p, e, j, v FROM x JOIN s USING (vec_id)),{",".join(steps)},
+h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM c{rounds}),
+f AS (
+  SELECT vec_id, label, string_agg(lpad(lower(to_hex(struct_extract(best, 2))), 2, '0'), '' ORDER BY p) AS code,
+         CAST(sum(struct_extract(best, 1)) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f, h"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_codes": _codes_sql(),
+    "op12_setsketch": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS t
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y USING (t) WHERE x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op13_hard_negatives": f"""
+WITH k AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+x AS (SELECT vec_id, label, i, v[i] AS v FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM k)),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(sum(a.v * b.v) AS BIGINT) AS score
+  FROM x a JOIN x b USING (i) WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 3""",
     "op4_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS ws FROM benchmark),
