@@ -5,7 +5,7 @@ that falls on it, as the whole part of its negative logarithm, truncated at both
 union are the maxima of the registers, and two of them are equal with about the probability that the
 Jaccard similarity says. Texts that agree in a band of registers share a bucket.
 
-Of a bucket every member meets the first member only, never all the others. The likelihood of similarity
+Of a bucket every member meets one member only, its first in a random order, never all the others. The likelihood of similarity
 and register order rules out most of these pairs, the rest are measured on the full sets. The links found
 group the texts; what a bucket still holds apart is compared in blocks. There the distance to the first
 member, which obeys the triangle inequality, rules out a member within the limit against one beyond twice
@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm.common import arrow_map, stored, texts
 from reelgrid.llm.simhash import components
+from reelgrid.spreading import fits
 
 REGISTERS = 128
 BAND = 4  # registers; at similarity 0.85 all 32 bands differ with probability (1 - 0.85 ** 4) ** 32 < 1e-10
+BANDS = REGISTERS // BAND
+PLACE = 63 - (BANDS - 1).bit_length()
 BASE, RATE, LAST = 1.001, 20.0, 65_535
 DOUBT = 20.0  # a pair is ruled out at a likelihood e ** 20 times below the best
 ROWS, WEIGHT = 512, 1_000_000  # rows and shingles of a block
+SENT = 2_000_000  # row numbers that are sent to all tasks at most
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(REGISTERS - 1)
 
@@ -106,31 +110,47 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``row, doc_id, n, key, registers, items`` per row of ``docs``; ``key`` names the set, null if empty."""
+    """``row, doc_id, n, key, registers, text`` per row of ``docs``; ``key`` names the set, null if empty."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
         rows = registers(sets)
-        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-        items = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("row"),
                 batch.column("doc_id"),
-                pa.array(np.diff(ends).astype(np.int64)),
+                pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(keys, pa.binary()),
                 pa.array([r.tobytes() for r in rows], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), items),
+                batch.column("text"),
             ],
-            ["row", "doc_id", "n", "key", "registers", "items"],
+            ["row", "doc_id", "n", "key", "registers", "text"],
         )
 
-    schema = "row bigint, doc_id bigint, n bigint, key binary, registers binary, items array<bigint>"
+    schema = "row bigint, doc_id bigint, n bigint, key binary, registers binary, text string"
     numbered = texts(docs).withColumn("row", F.monotonically_increasing_id())
     return arrow_map(numbered, work, schema, by="text")
 
 
+def full_sets(sk: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """``row, items``: the sets of the named rows of stored sketches, made again from their texts.
+
+    Up to ``SENT`` row numbers are sent to the tasks, so that only the texts wanted are moved.
+    """
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+        items = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), items)], ["row", "items"])
+
+    wanted = stored(rows.distinct(), "rows-wanted")
+    wanted = F.broadcast(wanted) if fits(wanted, SENT) else wanted
+    own = sk.select("row", "text").join(wanted, "row", "left_semi")
+    return stored(arrow_map(own, work, "row bigint, items array<bigint>", by="text"), "full-sets")
+
+
 # --- likelihood of similarity -----------------------------------------------------------------------
 
 
@@ -164,9 +184,19 @@ def estimate(
     return best, np.where(best >= bar, 0.0, np.maximum(fall, 0.0))
 
 
+def least_equal(bar: float, m: int = REGISTERS) -> int:
+    """How many equal registers a pair of similarity ``bar`` has at least, but for a chance of ``e ** -DOUBT``."""
+    for e in range(int(m * bar), 0, -1):
+        x = e / m
+        if m * (x * np.log(x / bar) + (1 - x) * np.log((1 - x) / (1 - bar))) > DOUBT:
+            return e + 1
+    return 0
+
+
 def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bar: float) -> np.ndarray:
     """Which pairs of registers, row by row, may have a similarity of ``bar`` or more."""
     out = np.minimum(n_a, n_b) >= bar * np.maximum(n_a, n_b) - 1e-6
+    out &= (a == b).sum(axis=-1) >= least_equal(bar)
     at = np.flatnonzero(out)
     greater, less = (a[at] > b[at]).sum(axis=-1), (a[at] < b[at]).sum(axis=-1)
     _, fall = estimate(greater, less, n_a[at].astype(float), n_b[at].astype(float), bar)
@@ -182,23 +212,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """``band, first, row``: the members of each bucket of two or more, of equal buckets one."""
+    """``band, first, row``: the members of each bucket of two or more, of equal buckets the lowest.
+
+    The upper bits of ``band`` say which band it is, so the lowest band that two texts share is always kept.
+    """
     bands = F.transform(
-        F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)),
-        lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND))),
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda i: F.shiftleft(i.cast("bigint"), PLACE).bitwiseOR(
+            F.shiftrightunsigned(F.xxhash64(F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND))), 64 - PLACE)
+        ),
     )
     members = reps.select("row", F.explode(bands).alias("band"))
     sums = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("many"),
-        F.min("row").alias("first"),
+        F.min(F.struct(F.xxhash64("band", "row"), "row"))["row"].alias("first"),
         F.bit_xor(F.xxhash64("row")).alias("x"),
         F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"),
     )
-    alike = sums.where("many > 1").groupBy("many", "first", "x", "y").agg(F.min("band").alias("band"))
-    return members.join(stored(alike, "buckets").select("band", "first"), "band").select("band", "first", "row")
+    alike = sums.where("many > 1").groupBy("many", "x", "y").agg(F.min(F.struct("band", "first")).alias("one"))
+    kept = stored(alike.select("one.*"), "buckets")
+    return members.join(kept, "band").select("band", "first", "row")
 
 
-def _measured(pairs: DataFrame, sk: DataFrame, reps: DataFrame, far: tuple[int, int]) -> DataFrame:
+def _measured(pairs: DataFrame, sk: DataFrame, reps: DataFrame, far: tuple[int, int], size: int) -> DataFrame:
     """``first, row, shared, n``: pairs that may reach the similarity ``far``, measured on the full sets.
 
     ``shared`` is the size of the intersection, ``n`` that of the union.
@@ -214,8 +250,9 @@ def _measured(pairs: DataFrame, sk: DataFrame, reps: DataFrame, far: tuple[int,
 
     sent = pairs.join(a, "first").join(b, "row").select("first", "row", "a", "b", "n_a", "n_b")
     likely = stored(arrow_map(sent, work, "first bigint, row bigint"), "likely-pairs")
-    both = likely.join(sk.select(F.col("row").alias("first"), F.col("items").alias("x")), "first")
-    both = both.join(sk.select("row", F.col("items").alias("y")), "row")
+    sets = full_sets(sk, likely.select("row").union(likely.select("first")), size)
+    both = likely.join(sets.select(F.col("row").alias("first"), F.col("items").alias("x")), "first")
+    both = both.join(sets.select("row", F.col("items").alias("y")), "row")
     shared = F.size(F.array_intersect("x", "y"))
     measured = both.select("first", "row", shared.alias("shared"), (F.size("x") + F.size("y")).alias("n"))
     measured = measured.select("first", "row", "shared", (F.col("n") - F.col("shared")).alias("n"))
@@ -261,6 +298,7 @@ def _settle(share: tuple[int, int]):
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(len(table), REGISTERS)
         items = table.column("items")
         bar, i, j = share[0] / share[1], get["i"][:1], get["j"][:1]
+        band = table.column("band")[0].as_py() >> PLACE
         if table.column("same")[0].as_py():
             left, right = np.flatnonzero(get["block"] == i), np.flatnonzero(get["block"] == j)
         else:
@@ -277,24 +315,32 @@ def _settle(share: tuple[int, int]):
 
         def held(x: int) -> np.ndarray:
             if x not in sets:
-                sets[x] = items[x].values.to_numpy()
+                sets[x] = np.sort(items[x].values.to_numpy())  # signed here
             return sets[x]
 
-        found = []
-        for a in left.tolist():
-            fit = right[(get["group"][right] != get["group"][a]) & (get["kind"][right] + get["kind"][a] != 2)]
-            if not len(fit):
-                continue
-            mine = np.broadcast_to(regs[a], (len(fit), REGISTERS))
-            fit = fit[plausible(mine, regs[fit], np.full(len(fit), get["n"][a]), get["n"][fit], bar)]
-            for b in fit.tolist():
-                x, y = root(int(get["group"][a])), root(int(get["group"][b]))
-                if x == y:
+        found, enough = [], least_equal(bar)
+        for start in range(0, len(left), 64):
+            mine = left[start : start + 64]
+            equal = regs[mine][:, None, :] == regs[right][None, :, :]
+            many = equal.sum(axis=2)
+            alike = many >= enough
+            alike &= get["group"][mine][:, None] != get["group"][right][None, :]
+            alike &= get["kind"][mine][:, None] + get["kind"][right][None, :] != 2
+            a, b = np.nonzero(alike)
+            here = equal[a, b].reshape(len(a), BANDS, BAND).all(axis=2).argmax(axis=1) == band  # once, not in each band
+            a, b = a[here], b[here]
+            order = np.argsort(-many[a, b], kind="stable")  # links first: what they join need not be measured
+            a, b = mine[a[order]], right[b[order]]
+            fit = plausible(regs[a], regs[b], get["n"][a], get["n"][b], bar)
+            for x, y in zip(a[fit].tolist(), b[fit].tolist(), strict=True):
+                r, s = root(int(get["group"][x])), root(int(get["group"][y]))
+                if r == s:
                     continue
-                shared = len(np.intersect1d(held(a), held(b), assume_unique=True))
-                if share[1] * shared >= share[0] * int(get["n"][a] + get["n"][b] - shared):
-                    up[max(x, y)] = min(x, y)
-                    found.append((int(get["group"][a]), int(get["group"][b])))
+                one, other = held(x), held(y)
+                shared = int((one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other).sum())
+                if share[1] * shared >= share[0] * int(get["n"][x] + get["n"][y] - shared):
+                    up[max(r, s)] = min(r, s)
+                    found.append((int(get["group"][x]), int(get["group"][y])))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -302,7 +348,8 @@ def _settle(share: tuple[int, int]):
 
 
 def _links_left(
-    members: DataFrame, groups: DataFrame, measured: DataFrame, sk: DataFrame, share: tuple[int, int], rows: int, weight: int
+    members: DataFrame, groups: DataFrame, measured: DataFrame, sk: DataFrame, share: tuple[int, int], size: int, rows: int,
+    weight: int,
 ) -> DataFrame | None:
     """``a, b``: links between groups that only show between members neither of which is the first.
 
@@ -332,7 +379,8 @@ def _links_left(
     left = stored(left.join(sizes, "row").select("band", "row", "n", "group", "kind", "own"), "members-left")
     if left.isEmpty():
         return None
-    dealt = _dealt(left, rows, weight).join(sk.select("row", "n", "registers", "items"), "row")
+    sets = full_sets(sk, left.select("row"), size).join(sk.select("row", "n", "registers"), "row")
+    dealt = _dealt(left, rows, weight).join(sets, "row")
     return dealt.groupBy("band", "same", "i", "j").applyInArrow(_settle(share), "a bigint, b bigint")
 
 
@@ -356,10 +404,10 @@ def near_duplicates(
     members = stored(buckets(reps), "bucket-rows")
     stars = members.where("row != first").select("first", "row").distinct()
     far = (max(0, 2 * share[0] - share[1]), share[1])  # at twice the distance
-    measured = stored(_measured(stars, sk, reps, far), "measured-pairs")
+    measured = stored(_measured(stars, sk, reps, far, size), "measured-pairs")
     links = measured.where(F.lit(share[1]) * F.col("shared") >= F.lit(share[0]) * F.col("n"))
     groups = components(links, "first", "row")
-    more = _links_left(members, groups, measured, sk, share, rows, weight)
+    more = _links_left(members, groups, measured, sk, share, size, rows, weight)
     group = F.coalesce("rep", "row")
     named = reps.join(groups.withColumnRenamed("node", "row"), "row", "left").select("key", "least", group.alias("group"))
     if more is not None:
