@@ -186,6 +186,8 @@ def estimate(
 
 def least_equal(bar: float, m: int = REGISTERS) -> int:
     """How many equal registers a pair of similarity ``bar`` has at least, but for a chance of ``e ** -DOUBT``."""
+    if bar >= 1:
+        return m
     for e in range(int(m * bar), 0, -1):
         x = e / m
         if m * (x * np.log(x / bar) + (1 - x) * np.log((1 - x) / (1 - bar))) > DOUBT:
