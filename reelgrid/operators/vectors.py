@@ -55,7 +55,7 @@ def vector_metadata(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+def matrix_of(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -73,7 +73,7 @@ def _keep_best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray,
     return ids[order], scores[order]
 
 
-def _candidates(ids: np.ndarray, scores: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per query (column of ``scores``) the rows that can be among its best ``k``."""
     levels = np.round(scores, SCORE_DIGITS)
     n = len(ids)
@@ -150,7 +150,7 @@ def _by_width(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out = {}
     for dim in np.unique(widths):
         rows = table.filter(pa.array(widths == dim))
-        out[int(dim)] = (rows["query_id"].to_numpy(), _matrix(rows["embedding"], int(dim)))
+        out[int(dim)] = (rows["query_id"].to_numpy(), matrix_of(rows["embedding"], int(dim)))
     return out
 
 
@@ -171,8 +171,8 @@ def _search_sent(asked: pa.Table, held: DataFrame, kinds: str, k: int) -> tuple[
                 for at in range(0, rows.num_rows, step):
                     part = rows.slice(at, step)
                     ids = part["segment_id"].to_numpy(zero_copy_only=False)
-                    scores = _matrix(part["embedding"], dim) @ matrix.T
-                    for j, (new_ids, new_scores) in enumerate(_candidates(ids, scores, k)):
+                    scores = matrix_of(part["embedding"], dim) @ matrix.T
+                    for j, (new_ids, new_scores) in enumerate(best_of(ids, scores, k)):
                         old_ids, old_scores = kept.get((dim, j), (new_ids[:0], new_scores[:0]))
                         kept[dim, j] = _keep_best(
                             np.concatenate([old_ids, new_ids]), np.concatenate([old_scores, new_scores]), k
@@ -216,7 +216,7 @@ def zero_shot_labels(
         positions, names, matrix = block
         widths = pc.list_value_length(rows["embedding"]).to_numpy(zero_copy_only=False)
         same = widths == matrix.shape[1]
-        held = _matrix(rows["embedding"].filter(pa.array(same)), matrix.shape[1])
+        held = matrix_of(rows["embedding"].filter(pa.array(same)), matrix.shape[1])
         held = held / (np.linalg.norm(held, axis=1, keepdims=True) + NORM_FLOOR)
         weights = np.exp(held @ matrix.T)
         n_top = min(per_block, weights.shape[1])
@@ -236,7 +236,7 @@ def zero_shot_labels(
         table = table.sort_by("pos").combine_chunks()
         dim = len(table["embedding"][0])
         position = pc.cast(table["pos"], pa.int64()).combine_chunks()
-        return position, table["label"].combine_chunks(), _matrix(table["embedding"], dim)
+        return position, table["label"].combine_chunks(), matrix_of(table["embedding"], dim)
 
     def score(held: DataFrame, block: pa.Table) -> tuple[DataFrame, Broadcast]:
         sent = held.sparkSession.sparkContext.broadcast(unpack(block))

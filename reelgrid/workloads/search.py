@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from reelgrid.functions.text import NOT_WORD, SPACES
 from reelgrid.functions.vector import norm
 from reelgrid.operators import vectors as vec
+from reelgrid.operators.cells import build_cells, read_cells, search_cells, write_cells
 from reelgrid.operators.fusion import attach_segments, retrieve, rrf_fuse
-from reelgrid.operators.lexical import LexicalIndex, bm25_search, build_postings, with_tokens
+from reelgrid.operators.lexical import LexicalIndex, bm25_search, bm25_stats, build_postings, with_tokens
 from reelgrid.operators.models import encode_column, letter_profile, score_pairs, token_overlap
 from reelgrid.operators.ranking import top_k, union_rank
 from reelgrid.operators.rerank import rerank
@@ -85,7 +86,9 @@ mean AS (SELECT avg(raw_idf) AS m FROM raw)
 SELECT token, df, round(CASE WHEN raw_idf < 0 THEN 0.25 * m ELSE raw_idf END, 6) AS idf FROM raw, mean""",
 )
 def _bm25_idf(t: Tables) -> DataFrame:
-    return index(t).idf.select("token", "df", F.round("idf", 6).alias("idf"))
+    """Word counts alone: the figures need no index in the order of its words."""
+    idf = bm25_stats(stored(build_postings(documents(t)), "postings"))[1]
+    return idf.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -199,6 +202,24 @@ def _vector_topk_all(t: Tables) -> DataFrame:
     return hits.select("query_id", "segment_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(
+    "vector_topk_cells",
+    """WITH vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS segment_id, list_dot_product(a.v, b.v) AS sim FROM vec a, vec b WHERE a.vec_id % 50 = 0)
+SELECT query_id, segment_id, rank, round(sim, 6) AS similarity, round(greatest(0, least(1, (sim + 1) / 2)), 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, segment_id) AS rank FROM pairs) WHERE rank <= 5""",
+)
+def _vector_topk_cells(t: Tables) -> DataFrame:
+    """Every fiftieth vector against all, from an index by cells that is written and read again."""
+    vectors, path = t.vectors(), scratch_path(t.spark, "cells")
+    write_cells(build_cells(vectors), path)
+    asked = vectors.where("segment_id % 50 = 0").withColumnRenamed("segment_id", "query_id")
+    hits = search_cells(asked, read_cells(t.spark, path), "visual", k=TOP_K_FINAL)
+    return hits.select(
+        "query_id", "segment_id", "rank", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score")
+    )
+
+
 @query(
     "vector_normalize",
     """SELECT vec_id AS segment_id,
