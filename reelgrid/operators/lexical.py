@@ -106,7 +106,7 @@ def lexical_index(postings: DataFrame) -> LexicalIndex:
     return LexicalIndex(entries.select("token", "segment_id", "tf", "doc_len"), idf, corpus)
 
 
-def _one_of(words: list[str]) -> Column:
+def one_of(words: list[str]) -> Column:
     """``token`` is one of the words, as sets of neighbours: each set prunes row groups by its own range."""
     ordered = sorted(words)
     size = max(10, -(-len(ordered) // WORD_RANGES))
@@ -114,6 +114,12 @@ def _one_of(words: list[str]) -> Column:
     return reduce(Column.__or__, sets) if sets else F.lit(False)
 
 
+def saturation(corpus: DataFrame) -> Column:
+    """What ``tf`` occurrences in a document of ``doc_len`` words count for."""
+    length_share = F.col("doc_len") / corpus.select("avg_len").scalar()
+    return F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * length_share))
+
+
 def bm25_search(
     queries: DataFrame,
     index: LexicalIndex | DataFrame,
@@ -138,7 +144,7 @@ def bm25_search(
     small = size["n"] <= broadcast_rows and (size["b"] or 0) <= BROADCAST_BYTES
     vocabulary = terms.select("token").distinct()
     if small and size["w"] <= sent_words:
-        asked = _one_of([r["token"] for r in vocabulary.collect()])
+        asked = one_of([r["token"] for r in vocabulary.collect()])
         known, matched = idf.where(asked), entries.where(asked)
     elif small:
         known, matched = (part.join(F.broadcast(vocabulary), "token", "left_semi") for part in (idf, entries))
@@ -147,13 +153,11 @@ def bm25_search(
     weighted = known.join(terms, "token").select(
         "query_id", "token", (F.col("weight") * F.col("idf")).alias("weight")
     )
-    length_share = F.col("doc_len") / corpus.select("avg_len").scalar()
-    saturation = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * length_share))
     if small:
-        pairs = matched.repartition("segment_id").withColumn("saturation", saturation)
+        pairs = matched.repartition("segment_id").withColumn("saturation", saturation(corpus))
         pairs = pairs.join(F.broadcast(weighted), "token")
     else:
-        pairs = lookup_join(matched.withColumn("saturation", saturation), weighted, ["token"], ["segment_id"], "inner")
+        pairs = lookup_join(matched.withColumn("saturation", saturation(corpus)), weighted, ["token"], ["segment_id"], "inner")
     scored = (
         pairs.groupBy("query_id", "segment_id")
         .agg(F.sum(F.col("weight") * F.col("saturation")).alias("raw_score"))

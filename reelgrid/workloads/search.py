@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions.text import NOT_WORD, SPACES
 from reelgrid.functions.vector import norm
 from reelgrid.operators import vectors as vec
+from reelgrid.operators.blockmax import read_block_index, search_blocks, write_block_index
 from reelgrid.operators.cells import build_cells, read_cells, search_cells, write_cells
 from reelgrid.operators.fusion import attach_segments, retrieve, rrf_fuse
 from reelgrid.operators.lexical import LexicalIndex, bm25_search, bm25_stats, build_postings, with_tokens
@@ -104,6 +105,22 @@ def _bm25_topk(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "bm25_blocks",
+    "WITH " + BM25_SQL + """
+SELECT query_id, segment_id, rank, round(raw_score, 6) AS raw_score, round(raw_score / best, 6) AS score
+FROM ranked WHERE rank <= 5""",
+)
+def _bm25_blocks(t: Tables) -> DataFrame:
+    """The best five from an index of blocks with their maxima, written and read again."""
+    path = scratch_path(t.spark, "blocks")
+    write_block_index(stored(build_postings(documents(t)), "postings"), path, docs_per_range=64)
+    hits = search_blocks(t.text_queries(), read_block_index(t.spark, path), k=TOP_K_FINAL)
+    return hits.select(
+        "query_id", "segment_id", "rank", F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score")
+    )
+
+
 @query(
     "search_lexical",
     "WITH " + BM25_SQL + """

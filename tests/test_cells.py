@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from conftest import collect
@@ -63,7 +65,7 @@ def test_most_cells_are_left_out(spark, tables, tmp_path):
     again = cells.read_cells(spark, str(tmp_path / "cells"))
     visited = sorted({r["cell"] for r in visits})
     plan = again.entries.where(F.col("cell").isin(visited))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [cast(cell#" in plan  # folders of other cells are not opened
+    assert re.search(r"PartitionFilters: \[[^\n]*cell#", plan)  # folders of other cells are not opened
     assert shown(cells.search_cells(near, again, "visual", k=5)) == shown(vector_search(near, held, "visual", k=5))
 
 
