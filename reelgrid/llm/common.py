@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from reelgrid.spreading import stored
 
-__all__ = ["LETTERS", "NUMBERS", "ODD", "arrow_map", "range_bounds", "range_of", "slices", "stored", "table", "texts"]
+__all__ = [
+    "LETTERS", "NUMBERS", "ODD", "arrow_map", "boxed", "range_bounds", "range_of", "slices", "stored", "table", "texts",
+]
 
 _LATIN = [chr(c) for c in (*range(32, 127), *range(0xA1, 0x180)) if c != 0x130]
 #: Letters and numbers up to Latin Extended-A as members of a character class, for the fast patterns;
@@ -33,6 +35,18 @@ def texts(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Dat
     )
 
 
+def boxed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """``row, id, mark``: the caller's columns as one struct, the id, and a hash of the text (null: empty).
+
+    Own columns added to a boxed table clash with none of the caller's, whatever their names.
+    """
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_column).cast("bigint").alias("id"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"),
+    )
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``limit`` bytes of ``column``, at least one row each."""
     start, held = 0, 0
@@ -46,13 +60,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8_000_000) -> Iterat
 
 
 def arrow_map(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, by: str | None = None
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, by: str | None = None,
+    limit: int = 8_000_000,
 ) -> DataFrame:
-    """Map record batches; with ``by``, in pieces of bounded size of that text or binary column."""
+    """Map record batches; with ``by``, in pieces of about ``limit`` bytes of that text or binary column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, by) if by else (batch,):
+            for piece in slices(batch, by, limit) if by else (batch,):
                 yield work(piece)
 
     return df.mapInArrow(run, schema)

@@ -10,7 +10,6 @@ is bounded however large the benchmark is.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import arrow_map, slices, stored, texts
+from reelgrid.llm.common import arrow_map, boxed, slices, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -144,73 +143,65 @@ def _automata(benchmark: DataFrame, window: int, block_words: int) -> list:
     size = F.length("text") / 2 + 1  # words, or more
     blocks = max(1, int((asked.agg(F.sum(size)).first()[0] or 0) // block_words) + 1)
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    out = []
-    for b in range(blocks):
+
+    def make(b: int):
         items = [(r[0], words(r[1])) for r in dealt.where(F.col("block") == b).select("item_id", "text").collect()]
         sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def automaton(sent=sent, key=key) -> SuffixAutomaton:
+        def automaton() -> SuffixAutomaton:
             if key not in _BUILT:
                 if len(_BUILT) >= 2:
                     _BUILT.clear()
                 _BUILT[key] = SuffixAutomaton(sent.value, window)
             return _BUILT[key]
 
-        out.append(automaton)
-    return out
+        return automaton, sent
 
+    return blocks, make
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, spans, items``.
 
-    ``spans`` are merged word ranges ``[start, end)``, ``items`` the ids (as strings, sorted) whose
-    windows occur. A null text has no words; an item without words has no window; a null item id is
-    the empty string. Repeated rows are answered alike, one by one.
+def _judged(docs: DataFrame, blocks: int, make) -> DataFrame:
+    """Per row ``doc_id, mark, n_words, spans, items``; one pass over the texts per block of items.
+
+    Several passes are written one by one: a block is collected and sent when its pass begins and taken back
+    when that ends, so each worker builds each automaton once.
     """
-    parts = _automata(benchmark, window, block_words)
     schema = (
-        "doc_id bigint, digest binary, n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
+        "doc_id bigint, mark bigint, n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
     )
-    kind = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("digest", pa.binary()),
-            ("n_words", pa.int64()),
-            ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            ("items", pa.list_(pa.string())),
-        ]
+    kind = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
+    plain = boxed(docs).select(
+        F.col("id").alias("doc_id"), "mark", F.coalesce(F.col("row").getField("text"), F.lit("")).alias("text")
     )
 
-    def one(automaton, keyed: bool) -> DataFrame:
+    def one(automaton) -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, found = automaton(), []
             for text in batch.column("text").to_pylist():
                 sequence = words(text)
                 spans, items = rows.matches(sequence)
-                digest = hashlib.blake2b(text.encode(), digest_size=16).digest() if keyed else b""
-                found.append((digest, len(sequence), [{"start": a, "end": b} for a, b in spans], sorted(items)))
-            digests, counts, spans, items = zip(*found, strict=True) if found else ([], [], [], [])
+                found.append((len(sequence), [{"start": a, "end": b} for a, b in spans], sorted(items)))
+            told = [pa.array([f[i] for f in found], k) for i, k in enumerate(kind)]
             return pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    *(pa.array(list(v), f.type) for v, f in zip((digests, counts, spans, items), list(kind)[1:], strict=True)),
-                ],
-                schema=kind,
+                [batch.column("doc_id"), batch.column("mark"), *told], ["doc_id", "mark", "n_words", "spans", "items"]
             )
 
-        return arrow_map(texts(docs), work, schema, by="text")
+        return arrow_map(plain, work, schema, by="text")
 
-    if len(parts) == 1:
-        return one(parts[0], False).drop("digest")
+    if blocks == 1:
+        return one(make(0)[0])
+    passes = []
+    for b in range(blocks):
+        automaton, sent = make(b)
+        passes.append(stored(one(automaton), f"hits-{b}"))
+        sent.destroy()
     # A row's results of all blocks come together by document and text; every pass has every row.
-    passes = [stored(one(p, True), f"hits-{i}") for i, p in enumerate(parts)]
-    rows = passes[0].select("doc_id", "digest", "n_words")
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
     touched = (
         every.where(F.size("items") > 0)
-        .groupBy("doc_id", "digest")
+        .groupBy("doc_id", "mark")
         .agg(
             F.array_sort(F.flatten(F.collect_set("spans"))).alias("_spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -233,17 +224,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: i
             ),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    touched = touched.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), merged.alias("spans"), "items")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    touched = touched.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), merged.alias("spans"), "items")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
     empty = F.from_json(F.lit("[]"), "array<struct<start: int, end: int>>")
+    rows = passes[0].select("doc_id", "mark", "n_words")
     return rows.join(touched, same, "left").select(
         "doc_id",
+        "mark",
         "n_words",
         F.coalesce("spans", empty).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_words, spans, items``.
+
+    ``spans`` are merged word ranges ``[start, end)``, ``items`` the ids (as strings, sorted) whose
+    windows occur. A null text has no words; an item without words has no window; a null item id is
+    the empty string. Repeated rows are answered alike, one by one.
+    """
+    return _judged(docs, *_automata(benchmark, window, block_words)).drop("mark")
+
+
 def n_hit():
     return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
 
@@ -272,38 +275,50 @@ def decontaminate(
 
     With ``cut``, spans of the other documents are cut from their texts (``n_chars`` follows, where
     there is one). All columns stay, whatever their names; rows are judged one by one, so null and
-    repeated ids do no harm. A null text stays null and is never contaminated. With several blocks
-    each text meets every block's automaton in turn, of which a worker keeps as many as ``_BUILT`` may.
+    repeated ids do no harm. A null text stays null and is never contaminated. Items of more than
+    ``block_words`` words are dealt into blocks, each with a pass of its own over the texts.
     """
-    parts = _automata(benchmark, window, block_words)
+    blocks, make = _automata(benchmark, window, block_words)
     named = docs.schema
-    at_text = named.names.index("text")
+
+    def cleaned(batch: pa.RecordBatch, lists: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        columns, at = list(batch.columns), named.names.index("text")
+        left = [t if t is None else without_spans(t, s) for t, s in zip(columns[at].to_pylist(), lists, strict=True)]
+        columns[at] = pa.array(left, columns[at].type)
+        if "n_chars" in named.names:
+            i = named.names.index("n_chars")
+            columns[i] = pa.array([None if t is None else len(t) for t in left]).cast(columns[i].type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    if blocks > 1:  # every block has its pass; what they found is looked up by document and text
+        found = _judged(docs, blocks, make).where(F.size("items") > 0).dropDuplicates(["doc_id", "mark"])
+        found = stored(found.withColumnsRenamed({"doc_id": "told", "mark": "of"}), "contaminated")
+        same = F.col("id").eqNullSafe(F.col("told")) & (F.col("mark") == F.col("of"))
+        bad = F.coalesce(F.lit(share) * n_hit() >= F.col("n_words"), F.lit(False))
+        kept = boxed(docs).join(found, same, "left").where(~bad).select("row", "spans")
+        if not cut:
+            return kept.select("row.*")
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                own = pa.RecordBatch.from_arrays(whole.column("row").flatten(), names=named.names)
+                lists = [[(x["start"], x["end"]) for x in spans or []] for spans in whole.column("spans").to_pylist()]
+                yield cleaned(own, lists)
+
+        return kept.mapInArrow(clean, named)
+
+    part = make(0)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                keep, cleaned = [], []
+                keep, lists = [], []
                 for text in batch.column("text").to_pylist():
                     sequence = words(text or "")
-                    covered: list[tuple[int, int]] = []
-                    for part in parts:
-                        covered += part().matches(sequence)[0]
-                    spans: list[tuple[int, int]] = []
-                    for a, b in sorted(covered):
-                        if spans and spans[-1][1] >= a:
-                            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-                        else:
-                            spans.append((a, b))
+                    spans = part().matches(sequence)[0]
                     hit = sum(b - a for a, b in spans)
                     keep.append(not (hit and share * hit >= len(sequence)))
-                    cleaned.append(text if text is None or not cut else without_spans(text, spans))
-                if cut:
-                    columns = list(batch.columns)
-                    columns[at_text] = pa.array(cleaned, batch.schema.field(at_text).type)
-                    if "n_chars" in named.names:
-                        i = named.names.index("n_chars")
-                        columns[i] = pa.array([None if t is None else len(t) for t in cleaned]).cast(batch.schema.field(i).type)
-                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                    lists.append(spans)
+                yield (cleaned(batch, lists) if cut else batch).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, named)

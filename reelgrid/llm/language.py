@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import slices, stored
+from reelgrid.llm.common import boxed, slices, stored
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 14
@@ -189,9 +189,7 @@ def keep_identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) ->
     """``docs`` without those whose language is not accepted; all columns stay, whatever their names."""
     tagged = document_items(docs).withColumn("version", F.xxhash64("text"))
     judged = identify(tagged, train(docs, languages), languages)
-    refused = stored(judged.where("not accepted").select("doc_id", "version").distinct(), "refused")
-    refused = refused.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__version")
-    )
-    return docs.join(refused, same, "left_anti")
+    refused = judged.where("not accepted").select(F.col("doc_id").alias("told"), F.col("version").alias("mark")).distinct()
+    kept = boxed(docs).withColumnRenamed("mark", "own")
+    same = (F.col("own") == F.col("mark")) & F.col("id").eqNullSafe(F.col("told"))
+    return kept.join(stored(refused, "refused"), same, "left_anti").select("row.*")

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import stored
+from reelgrid.llm.common import boxed, stored
 
 RUN = 3
 MIN_WORDS = 50
@@ -133,40 +133,39 @@ def repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> Dat
     )
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, counts: bool = False, drop_emptied: bool = False
+) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``; ``n_chars`` follows, where there is one.
 
     A text all of whose units go becomes empty; other texts without a repeat, null texts and rows with a
-    null id stay as they are. With ``counts``, column ``__deleted`` tells how many lines went. Other
-    columns stay, whatever their names.
+    null id stay as they are. With ``counts``, a last column ``__deleted`` tells how many lines went; with
+    ``drop_emptied``, texts that lost all their units go. Other columns stay, whatever their names.
     """
     own = docs.columns
-    gone = repeated(docs, run, min_words).select(
-        F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("deleted").alias("__gone"), F.col("n_units").alias("__units")
-    )
-    same = (F.col("doc_id").cast("bigint") == F.col("__id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__version")
-    )
+    gone = repeated(docs, run, min_words).withColumnsRenamed({"doc_id": "id", "version": "mark"})
 
     def rest(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted"))
         return F.array_join(F.transform(kept, lambda i: lines[i]), "\n")
 
-    text = (
-        F.when(F.col("__gone").isNull(), F.col("text"))
-        .when(F.size("__gone") == F.col("__units"), F.lit(""))
-        .otherwise(bind(F.split("text", "\n"), rest))
+    old = F.col("row").getField("text")
+    new = (
+        F.when(F.col("deleted").isNull(), old)
+        .when(F.size("deleted") == F.col("n_units"), F.lit(""))
+        .otherwise(bind(F.split(old, "\n"), rest))
     )
-    joined = docs.join(gone, same, "left").withColumn("__text", text)
+    joined = boxed(docs).join(gone, ["id", "mark"], "left").select("row", "deleted", new.alias("left"))
+    if drop_emptied:
+        joined = joined.where(F.col("deleted").isNull() | (F.col("left") != ""))
     columns = []
     for c in own:
+        was = F.col("row").getField(c)
         if c == "text":
-            columns.append(F.col("__text").alias("text"))
+            was = F.col("left")
         elif c == "n_chars":
-            changed = F.length("__text").cast(docs.schema["n_chars"].dataType)
-            columns.append(F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(changed).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{c}`"))
+            was = F.when(F.col("deleted").isNull(), was).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+        columns.append(was.alias(c))
     if counts:
-        columns.append(F.coalesce(F.size("__gone"), F.lit(0)).alias("__deleted"))
+        columns.append(F.coalesce(F.size("deleted"), F.lit(0)).alias("__deleted"))
     return joined.select(*columns)

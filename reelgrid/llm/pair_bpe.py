@@ -29,7 +29,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _PLAIN = (
     f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\\s{LETTERS}{NUMBERS}]+" + r"|\s+(?!\S)|\s+"
 )
-_CACHE = 400_000
+_CACHE = 150_000  # pre-tokens remembered, twice that with the older ones
+LONG = 64  # characters; longer pre-tokens are not remembered
+PIECE = 1_000_000  # bytes of text whose pre-tokens are merged together
 
 
 def _byte_letters() -> dict[int, str]:
@@ -75,7 +77,6 @@ class PairBpe:
         self.odd = re.compile(ODD).search
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.chunk_ids: dict[str, bytes] = {}
 
     # --- encoding
 
@@ -133,8 +134,8 @@ class PairBpe:
         out = left.astype("<u4").tobytes()
         return [out[4 * a : 4 * b] for a, b in zip([0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True)]
 
-    def _learn(self, wanted: set[str]) -> None:
-        """Ids of pre-tokens not seen lately, by one pair index over those that are new."""
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens not seen lately, by one pair index over those that are new; returns the long ones'."""
         if len(self.known) + len(wanted) > _CACHE:  # pre-tokens in use come back from the older half
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
@@ -142,8 +143,11 @@ class PairBpe:
         for p in wanted & older.keys():
             known[p] = older[p]
         new = list(wanted - older.keys())
+        long: dict[str, bytes] = {}
         if new:
-            known.update(zip(new, self._merge_all([p.encode() for p in new]), strict=True))
+            for p, ids in zip(new, self._merge_all([p.encode() for p in new]), strict=True):
+                (known if len(p) <= LONG else long)[p] = ids
+        return long
 
     def encode_all(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -157,12 +161,17 @@ class PairBpe:
                     parts.append((self.pre_tokens if self.odd(piece) else self.plain)(piece))
             laid.append(parts)
         wanted = {c for parts in laid for p in parts if isinstance(p, list) for c in p}
-        if not wanted <= self.known.keys():
-            self._learn(wanted)
-        look = self.known
-        return [
+        look, long = self.known, {}
+        if not wanted <= look.keys():
+            long = self._learn(wanted)
+            look = self.known
+            look.update(long)
+        out = [
             b"".join([p if isinstance(p, bytes) else b"".join([look[c] for c in p]) for p in parts]) for parts in laid
         ]
+        for p in long:
+            del look[p]
+        return out
 
     # --- decoding
 
@@ -192,7 +201,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         ids = _coder(tokenizer_path).encode_all(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return arrow_map(texts(docs), work, "doc_id bigint, ids binary", by="text")
+    return arrow_map(texts(docs), work, "doc_id bigint, ids binary", by="text", limit=PIECE)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -223,5 +232,6 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         )
 
     return arrow_map(
-        texts(docs), work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", by="text"
-    )
+        texts(docs), work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", by="text",
+        limit=PIECE,
+    )

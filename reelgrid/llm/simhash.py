@@ -18,9 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from reelgrid.llm.common import arrow_map, stored, texts
+from reelgrid.llm.common import arrow_map, boxed, stored, texts
 
 SHARD = 4_000  # points that a shard should have
 SAMPLE = 16_384  # points that the dealing tree is built from, at most
@@ -251,15 +250,25 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, shard: int
 
 
 def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest ``doc_id``.
+    """``docs`` with one row of each group: of those with the smallest ``doc_id``, one with the least text hash.
 
-    Rows that repeat an id are versions of one document: one row stays, the one with the least text.
-    Rows without an id take no part and stay.
+    A row is known by its id and a hash of its text, so rows that share an id are judged apart: a text that
+    is no near-duplicate of another stays, whatever its id. Rows alike in id and text are copies of each
+    other. Rows without an id take no part and stay. Other columns stay, whatever their names.
     """
-    own = docs.columns
-    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius, size)
-    kept = kept.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rank = F.row_number().over(Window.partitionBy("__kept").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in own])))
-    joined = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__kept"))
-    one = joined.withColumn("__rank", rank).where("__rank = 1").select(*[F.col(f"`{c}`") for c in own])
+    rows = boxed(docs.where(F.col("doc_id").isNotNull()))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("mark"), pa.array(found.view(np.int64))], ["id", "mark", "fp"]
+        )
+
+    plain = rows.select("id", "mark", F.coalesce(F.col("row").getField("text"), F.lit("")).alias("text"))
+    prints = stored(arrow_map(plain, work, "id bigint, mark bigint, fp bigint", by="text"), "marked-fingerprints")
+    points = stored(prints.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("first")), "points")
+    groups = components(close_groups(points, radius), "fp", "rep").withColumnRenamed("node", "fp")
+    found = points.join(groups, "fp", "left").select(F.coalesce("rep", "fp").alias("rep"), "first")
+    kept = found.groupBy("rep").agg(F.min("first").alias("first")).select("first.*")
+    one = rows.join(kept, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("row.*")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))

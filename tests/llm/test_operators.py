@@ -327,6 +327,39 @@ def test_keep_one(spark, none):
     assert kept.columns == table.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 7, 9, None]
     assert simhash.keep_one(none).count() == 0
+    rows = [_row(1, PASSAGE), _row(2, PASSAGE), _row(2, "another text of its own"), _row(5, PASSAGE + " x"), _row(5, "b c d e f")]
+    left = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text[:7]) for r in left if r.text != PASSAGE + " x") == [(1, "word0 w"), (2, "another"), (5, "b c d e")]
+
+
+def test_columns_named_like_those_used_inside(spark):
+    names = ("__id", "__version", "__gone", "__units", "__text", "__kept", "__rank", "__deleted", "id", "mark", "told", "of", "own", "deleted", "left", "spans", "items")
+    schema = SCHEMA.replace(", row int", "") + "".join(f", {n} int" for n in names)
+    made = [(*_row(i, t)[:5], "x", 2, None, *range(50, 50 + len(names))) for i, t in ((1, PASSAGE), (2, PASSAGE + "\nown words here"), (3, "the and of it is"))]
+    table = spark.createDataFrame(made, schema)
+    bench = spark.createDataFrame([(f"i{n}", " ".join(f"other{n}x{j}" for j in range(14))) for n in range(5)], "item_id string, text string")
+    for stage in (
+        lines.dedup_lines, lambda d: lines.dedup_lines(d, drop_emptied=True), simhash.keep_one, language.keep_identified,
+        lambda d: decontaminate.decontaminate(d, bench, cut=True), lambda d: decontaminate.decontaminate(d, bench, cut=True, block_words=20),
+    ):
+        out = stage(table)
+        assert out.columns == table.columns
+        kept = out.collect()
+        assert kept and all(tuple(r[n] for n in names) == tuple(range(50, 50 + len(names))) for r in kept)
+
+
+def test_each_block_is_sent_and_built_once_per_pass(spark, monkeypatch):
+    bench = spark.createDataFrame([(f"i{n}", " ".join(f"w{n}x{j}" for j in range(14))) for n in range(20)], "item_id string, text string")
+    docs = spark.createDataFrame([_row(i, f"start w{i}x0 " + " ".join(f"w{i}x{j}" for j in range(14)) + " tail" * i) for i in range(20)], SCHEMA)
+    blocks, make = decontaminate._automata(bench, 13, 40)
+    assert blocks >= 5
+    made = []
+    monkeypatch.setattr(decontaminate, "_automata", lambda *a: (blocks, lambda b: made.append(b) or make(b)))
+    few = decontaminate.decontaminate(docs, bench, share=2, cut=True, block_words=40).collect()
+    assert made == list(range(blocks))
+    monkeypatch.undo()
+    assert sorted(map(tuple, few), key=repr) == sorted(map(tuple, decontaminate.decontaminate(docs, bench, share=2, cut=True).collect()), key=repr)
+    assert 0 < len(few) < 20
 
 
 # --- 6
