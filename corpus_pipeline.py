@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reelgrid.llm import decontaminate, language, lines, pair_bpe, simhash
 from reelgrid.llm.common import table
@@ -18,8 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of 3 lines or 50 words are cut; a document of nothing else goes."""
-    cut = lines.dedup_lines(docs, counts=True)
-    return cut.where((F.col("__deleted") == 0) | (F.col("text") != "")).drop("__deleted")
+    return lines.dedup_lines(docs, drop_emptied=True)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
