@@ -5,9 +5,10 @@ row, the inner substrings are the runs of ``S`` tokens; the row is a closed sync
 least hash of them stands at its first or last place. That depends on the row alone, not on what is
 around it, so equal passages give equal anchors at corresponding positions. A fingerprint holds the
 distinct anchor hashes below a threshold, ``SKETCH`` at least where there are so many, 8 hex digits each, so
-it grows with the text. Likeness is exact: the Jaccard similarity of all distinct anchors of two texts. The
-aligned likeness counts of the shared anchors those whose first places lie at a difference of positions
-that another one has, too: passages, not single rows of tokens met by chance.
+it grows with the text. The likeness of two fingerprints is the Jaccard similarity of their hashes below the
+lower of the two bounds up to which they are complete, which estimates that of all anchors. The aligned
+likeness counts of the shared hashes those whose first places lie at a difference of positions that another
+one has, too: passages, not single rows of tokens met by chance.
 """
 
 from __future__ import annotations
@@ -77,13 +78,12 @@ def distinct(found: Column) -> Column:
 
 
 def sketch(own: Column) -> Column:
-    """Hashes of the distinct anchors below the threshold, or the ``SKETCH`` least, ascending."""
-    hashes = F.transform(own, lambda a: a["hash"])
-    return F.slice(hashes, F.lit(1), F.greatest(F.lit(SKETCH), F.size(F.filter(hashes, lambda h: h < BELOW))))
+    """Of the distinct anchors those with a hash below the threshold, or the ``SKETCH`` least, ascending."""
+    return F.slice(own, F.lit(1), F.greatest(F.lit(SKETCH), F.size(F.filter(own, lambda a: a["hash"] < BELOW))))
 
 
 def shown(sketched: Column) -> Column:
-    return F.array_join(F.transform(sketched, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    return F.array_join(F.transform(sketched, lambda a: F.lower(F.lpad(F.hex(a["hash"]), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,8 +116,26 @@ def likeness(a: Column, b: Column) -> Column:
     return bind(bind(F.array_sort(F.concat(sided(a, 0), sided(b, 1))), shift), judged)
 
 
+def complete_below(sketched: Column) -> Column:
+    """The bound below which a fingerprint holds every anchor hash of its text."""
+    last = F.get(sketched, F.size(sketched) - 1)["hash"] + 1
+    return F.when(F.size(sketched) < SKETCH, F.lit(1 << 32)).otherwise(F.greatest(F.lit(BELOW), last))
+
+
+def fingerprint_likeness(a: Column, b: Column) -> Column:
+    """``(near, aligned)`` of two sketches, from their hashes below the bound up to which both are complete."""
+
+    def below(bound: Column) -> Column:
+        def kept(own: Column) -> Column:
+            return F.filter(own, lambda x: x["hash"] < bound)
+
+        return bind(F.struct(kept(a).alias("a"), kept(b).alias("b")), lambda x: likeness(x["a"], x["b"]))
+
+    return bind(F.least(complete_below(a), complete_below(b)), below)
+
+
 def with_next(own: DataFrame, ids: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each row with ``next_text``, that of the next row in descending ``doc_id``.
+    """Each row with ``next_text`` and ``next_mine``, those of the next row in descending ``doc_id``.
 
     After the last comes the first. Ties are in the order of their texts, null ids come last. Rows are
     dealt by ranges of ids, whose bounds come from ``ids``; only the first row of each range is sent to
@@ -129,12 +147,13 @@ def with_next(own: DataFrame, ids: DataFrame, parts: int | None = None) -> DataF
     there = own.withColumn("bucket", bucket)
     rowed = there.select(
         "*",
-        F.lead("text").over(order).alias("next_text"),
+        F.lead(F.struct("text", "mine")).over(order).alias("next"),
         F.lag(F.lit(1)).over(order).isNull().alias("head"),
     )
-    heads = rowed.where("head").select("bucket", F.col("text").alias("head_text"))
+    heads = rowed.where("head").select("bucket", F.struct("text", "mine").alias("ahead"))
     falling = Window.orderBy(F.col("bucket").desc())
-    circle = there.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select(
+    circle = ids.select(range_of(range_bounds(ids, parts), F.col("doc_id").cast("bigint")).alias("bucket"))
+    circle = circle.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("bucket").alias("before"),
         F.coalesce(
             F.lead("bucket").over(falling),
@@ -142,45 +161,45 @@ def with_next(own: DataFrame, ids: DataFrame, parts: int | None = None) -> DataF
         ).alias("bucket"),
     )
     sent = heads.join(F.broadcast(circle), "bucket").drop("bucket")
-    last = F.col("next_text").isNull()
+    after = F.coalesce("next", "ahead")
     return rowed.join(sent, F.col("bucket") == F.col("before"), "left").select(
-        "doc_id",
-        "text",
-        F.when(last, F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"),
+        "doc_id", "text", "mine", after["text"].alias("next_text"), after["mine"].alias("next_mine")
     )
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edit, whose last half comes from the next document."""
+    """Fingerprints of each text and of its edit, whose last half comes from the next document.
+
+    One row per row of ``docs``: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next`` and the aligned likenesses. A null text is empty; texts without tokens have an empty
+    fingerprint, which is like another empty one only. Texts are taken whole, however long. Rows of one id, and
+    null ids, which come last, are in the order of their texts; repeated rows follow each other. A single
+    row is its own next. Other columns are left out, whatever their names. An empty table gives no row.
+    """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(own, docs)
+
+    def found(text: Column) -> Column:
+        return bind(distinct(anchors(text)), sketch)
+
+    # Anchors are made before the rows are sorted, so that the next row's come with it.
+    paired = with_next(own.withColumn("mine", found(F.col("text"))), docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
 
-    def compared(found: Column) -> Column:
-        mine, changed, after = found["mine"], found["changed"], found["after"]
+    def compared(x: Column) -> Column:
         return F.struct(
-            shown(sketch(mine)).alias("fingerprint"),
-            shown(sketch(changed)).alias("edited_fingerprint"),
-            likeness(mine, changed).alias("edited"),
-            likeness(mine, after).alias("next"),
+            shown(x["mine"]).alias("fingerprint"),
+            shown(x["changed"]).alias("edited_fingerprint"),
+            fingerprint_likeness(x["mine"], x["changed"]).alias("edited"),
+            fingerprint_likeness(x["mine"], x["after"]).alias("next"),
         )
 
-    def found(text: Column) -> Column:
-        return distinct(anchors(text))
-
+    sides = F.struct(F.col("mine").alias("mine"), found(edited).alias("changed"), F.col("next_mine").alias("after"))
     both = paired.select(
-        "doc_id",
-        n.cast("bigint").alias("n_chars"),
-        F.sha2(edited, 256).alias("edited_sha256"),
-        bind(
-            F.struct(
-                found(F.col("text")).alias("mine"), found(edited).alias("changed"), found(F.col("next_text")).alias("after")
-            ),
-            compared,
-        ).alias("found"),
-    )
+        "doc_id", n.cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
+        bind(sides, compared).alias("found"),
+    )
     return both.select(
         "doc_id",
         "n_chars",

@@ -472,6 +472,24 @@ def test_edited_texts(spark, odd, none):
     assert np.mean([r.near_edited > r.near_next + 0.1 for r in far]) > 0.98
 
 
+def _fingerprint_likeness(a, b):
+    """From two returned fingerprints alone."""
+    sets = [[int(f[i : i + 8], 16) for i in range(0, len(f), 8)] for f in (a, b)]
+    bound = min(2**32 if len(s) < syncmers.SKETCH else max(syncmers.BELOW, s[-1] + 1) for s in sets)
+    x, y = ({h for h in s if h < bound} for s in sets)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_likeness_is_that_of_the_returned_fingerprints(spark, odd):
+    for docs in (odd.where("doc_id is not null"), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        got = sorted(syncmers.edited_likeness(docs).collect(), key=lambda r: (-r.doc_id, texts[r.doc_id] or ""))
+        for r, after in zip(got, [*got[1:], got[0]], strict=True):
+            assert r.near_edited == pytest.approx(_fingerprint_likeness(r.fingerprint, r.edited_fingerprint))
+            assert r.near_next == pytest.approx(_fingerprint_likeness(r.fingerprint, after.fingerprint))
+            assert 0 <= r.aligned_edited <= r.near_edited and 0 <= r.aligned_next <= r.near_next
+
+
 def test_a_passage_shared_by_long_texts_is_seen(spark):
     rng = random.Random(6)
     passage = [f"p{rng.getrandbits(30)}" for _ in range(60)]
