@@ -13,6 +13,8 @@ one has, too: passages, not single rows of tokens met by chance.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,36 +136,49 @@ def fingerprint_likeness(a: Column, b: Column) -> Column:
     return bind(F.least(complete_below(a), complete_below(b)), below)
 
 
-def with_next(own: DataFrame, ids: DataFrame, parts: int | None = None) -> DataFrame:
+def with_next(own: DataFrame, ids: DataFrame, mine: Callable[[Column], Column], parts: int | None = None) -> DataFrame:
     """Each row with ``next_text`` and ``next_mine``, those of the next row in descending ``doc_id``.
 
     After the last comes the first. Ties are in the order of their texts, null ids come last. Rows are
-    dealt by ranges of ids, whose bounds come from ``ids``; only the first row of each range is sent to
-    the range before.
+    dealt by ranges of ids, whose bounds come from ``ids``; only the first text of each range is sent to
+    the range before, where ``mine`` of it is made again.
     """
     parts = parts or int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = range_of(range_bounds(ids, parts), F.col("doc_id"))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    there = own.withColumn("bucket", bucket)
-    rowed = there.select(
-        "*",
-        F.lead(F.struct("text", "mine")).over(order).alias("next"),
-        F.lag(F.lit(1)).over(order).isNull().alias("head"),
-    )
-    heads = rowed.where("head").select("bucket", F.struct("text", "mine").alias("ahead"))
+    bounds = range_bounds(ids, parts)
+    bucket = range_of(bounds, F.col("doc_id"))
+    plain = ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = plain.withColumn("bucket", bucket)
     falling = Window.orderBy(F.col("bucket").desc())
-    circle = ids.select(range_of(range_bounds(ids, parts), F.col("doc_id").cast("bigint")).alias("bucket"))
-    circle = circle.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("bucket").alias("before"),
+    tops = plain.groupBy("bucket").agg(F.max("doc_id").alias("top")).select(  # a row per range
+        "bucket",
+        "top",
         F.coalesce(
-            F.lead("bucket").over(falling),
-            F.max("bucket").over(falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        ).alias("bucket"),
+            F.lag("bucket").over(falling),
+            F.min("bucket").over(falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        ).alias("before"),
     )
-    sent = heads.join(F.broadcast(circle), "bucket").drop("bucket")
-    after = F.coalesce("next", "ahead")
-    return rowed.join(sent, F.col("bucket") == F.col("before"), "left").select(
-        "doc_id", "text", "mine", after["text"].alias("next_text"), after["mine"].alias("next_mine")
+    at_top = plain.join(F.broadcast(tops.withColumnRenamed("bucket", "of")), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    heads = at_top.groupBy("before").agg(F.min("text").alias("head_text"))
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    rowed = own.withColumn("bucket", bucket).select("*", F.lead(F.struct("text", "mine")).over(order).alias("next"))
+    after = F.col("next")
+    joined = rowed.join(F.broadcast(heads.withColumn("head_mine", mine(F.col("head_text")))), F.col("bucket") == F.col("before"), "left")
+    return joined.select(
+        "doc_id", "text", "mine",
+        F.coalesce(after["text"], F.col("head_text")).alias("next_text"),
+        F.coalesce(after["mine"], F.col("head_mine")).alias("next_mine"),
+    )
+
+
+def packed(sketched: Column) -> Column:
+    """Each anchor of a sketch as one number, in the same order."""
+    return F.transform(sketched, lambda a: F.shiftleft(a["hash"], 31).bitwiseOR(a["pos"].cast("bigint")))
+
+
+def unpacked(numbers: Column) -> Column:
+    return F.transform(
+        numbers,
+        lambda x: F.struct(F.shiftright(x, 31).alias("hash"), x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")),
     )
 
 
@@ -182,7 +197,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         return bind(distinct(anchors(text)), sketch)
 
     # Anchors are made before the rows are sorted, so that the next row's come with it.
-    paired = with_next(own.withColumn("mine", found(F.col("text"))), docs)
+    paired = with_next(own.withColumn("mine", packed(found(F.col("text")))), docs, lambda text: packed(found(text)))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
@@ -195,7 +210,9 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             fingerprint_likeness(x["mine"], x["after"]).alias("next"),
         )
 
-    sides = F.struct(F.col("mine").alias("mine"), found(edited).alias("changed"), F.col("next_mine").alias("after"))
+    sides = F.struct(
+        unpacked(F.col("mine")).alias("mine"), found(edited).alias("changed"), unpacked(F.col("next_mine")).alias("after")
+    )
     both = paired.select(
         "doc_id", n.cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
         bind(sides, compared).alias("found"),
