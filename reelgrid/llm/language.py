@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.common import boxed, slices, stored
+from reelgrid.llm.lines import bind
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 14
@@ -84,11 +85,13 @@ def text_evidence(items: DataFrame, model: np.ndarray, languages: tuple[str, ...
     return items.mapInArrow(run, f"{fields}, grams bigint, texts array<double>")
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    exps = [F.exp(x - top) for x in logs]
-    total = sum(exps[1:], exps[0])
-    return [e / total for e in exps]
+def _softmax(logs: Column) -> Column:
+    """Of an array of log-weights the shares, in the same order."""
+
+    def shares(exps: Column) -> Column:
+        return bind(F.aggregate(exps, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(exps, lambda e: e / total))
+
+    return bind(F.array_max(logs), lambda top: bind(F.transform(logs, lambda x: F.exp(x - top)), shares))
 
 
 def identify(items: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -107,11 +110,10 @@ def identify(items: DataFrame, model: np.ndarray, languages: tuple[str, ...] = L
     judged = text_evidence(shaped, model, languages)
     span = range(len(languages))
     blank = F.least("grams", F.lit(TEXT_WEIGHT)) * float(-np.log(BUCKETS)) + float(np.log(NONE))
-    posts = _softmax([*[F.col("texts")[i] - float(np.log(len(languages))) for i in span], blank])
-    judged = stored(
-        judged.select("*", *[F.when(F.col("grams") > 0, posts[i]).otherwise(0.0).alias(f"_t{i}") for i in span]),
-        "evidence",
-    )
+    judged = judged.withColumn("_logs", F.array(*[F.col("texts")[i] - float(np.log(len(languages))) for i in span], blank))
+    judged = judged.withColumn("_posts", _softmax(F.col("_logs")))
+    own = {f"_t{i}": F.when(F.col("grams") > 0, F.col("_posts")[i]).otherwise(0.0) for i in span}
+    judged = stored(judged.withColumns(own).drop("_logs", "_posts"), "evidence")
     hosts = judged.groupBy("suffix", "host").agg(*[F.sum(f"_t{i}").alias(f"_h{i}") for i in span])
     hosts = stored(hosts, "hosts")
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"_h{i}").alias(f"_s{i}") for i in span])
@@ -125,7 +127,9 @@ def identify(items: DataFrame, model: np.ndarray, languages: tuple[str, ...] = L
         sums = sum(counts[1:], counts[0])
         return [(counts[i] + LEAN * above[i]) / (sums + LEAN) for i in span]
 
-    priors = lean("h", lean("s", [F.lit(w) for w in world]))
+    above = lean("s", [F.lit(w) for w in world])
+    joined = joined.withColumns({f"_a{i}": above[i] for i in span})
+    priors = lean("h", [F.col(f"_a{i}") for i in span])
 
     def said(column: str, i: int) -> Column:
         told = F.lower(F.substring_index(column, "-", 1))
@@ -143,16 +147,18 @@ def identify(items: DataFrame, model: np.ndarray, languages: tuple[str, ...] = L
 
     logs = [F.col("texts")[i] + F.log(priors[i]) + said("declared", i) + said("named", i) for i in span]
     logs.append(blank + heard("declared") + heard("named"))
-    scored = joined.select(*keys, "grams", "texts", *[p.alias(f"_p{i}") for i, p in enumerate(_softmax(logs))])
-    best = F.greatest(*[F.col(f"_p{i}") for i in span])
+    joined = joined.select(*keys, "grams", "texts", F.array(*logs).alias("_logs"))
+    scored = joined.select(*keys, "grams", "texts", _softmax(F.col("_logs")).alias("_p"))
+    scored = scored.withColumn("_known", F.slice("_p", 1, len(languages)))
+    best = F.array_max("_known")
     names = F.array(*[F.lit(x) for x in languages])
-    chosen = F.get(names, (F.array_position(F.array(*[F.col(f"_p{i}") for i in span]), best) - 1).cast("int"))
+    chosen = F.get(names, (F.array_position("_known", best) - 1).cast("int"))
     by_text = F.get(names, (F.array_position("texts", F.array_max("texts")) - 1).cast("int"))
     some = F.col("grams") > 0
     return scored.select(
         *keys,
         F.when(some, by_text).alias("text_language"),
-        F.when(some & (best >= F.col(f"_p{len(languages)}")), chosen).alias("language"),
+        F.when(some & (best >= F.col("_p")[len(languages)]), chosen).alias("language"),
         F.when(some, best).otherwise(0.0).alias("probability"),
         (some & (best >= ACCEPT)).alias("accepted"),
     )
