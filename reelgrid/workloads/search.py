@@ -15,6 +15,7 @@ from reelgrid.operators.lexical import LexicalIndex, bm25_search, bm25_stats, bu
 from reelgrid.operators.models import encode_column, letter_profile, score_pairs, token_overlap
 from reelgrid.operators.ranking import top_k, union_rank
 from reelgrid.operators.rerank import rerank
+from reelgrid.plans import upkeep
 from reelgrid.schemas import TOP_K_FINAL, TOP_K_RERANK
 from reelgrid.sources.tables import read_lexical_index, result_output, write_lexical_index
 from reelgrid.spreading import scratch_path, spread, stored
@@ -121,6 +122,32 @@ def _bm25_blocks(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "index_upkeep",
+    "WITH " + BM25_SQL + """
+SELECT query_id, segment_id, rank, round(raw_score, 6) AS raw_score, round(raw_score / best, 6) AS score
+FROM ranked WHERE rank <= 5""",
+)
+def _index_upkeep(t: Tables) -> DataFrame:
+    """The best five from an index kept up by batches: all documents are in it, as if it had been built at once.
+
+    Some come late, some first come with another text, some are removed and added again; then parts are merged.
+    """
+    path = scratch_path(t.spark, "upkeep")
+    docs = stored(documents(t).select(F.col("segment_id").cast("string").alias("media_id"), "segment_id", "text"), "media")
+    group = F.pmod("segment_id", F.lit(10))
+    outdated = F.when(group == 1, F.reverse("text")).otherwise(F.col("text"))
+    upkeep.commit(t.spark, path, docs.where(group != 9).withColumn("text", outdated))
+    upkeep.commit(t.spark, path, docs.where(group.isin(1, 9)))
+    upkeep.commit(t.spark, path, removed=docs.where(group == 3))
+    upkeep.commit(t.spark, path, docs.where(group == 3))
+    upkeep.compact(t.spark, path)
+    hits = bm25_search(t.text_queries(), upkeep.read_index(t.spark, path).lexical, k=TOP_K_FINAL)
+    return hits.select(
+        "query_id", "segment_id", "rank", F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score")
+    )
+
+
 @query(
     "search_lexical",
     "WITH " + BM25_SQL + """
