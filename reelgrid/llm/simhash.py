@@ -11,7 +11,7 @@ of different shards are joined by alternating star contraction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -249,12 +249,18 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, shard: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
+def keep_one(
+    docs: DataFrame, radius: int = 2, size: int = 3, further: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``docs`` with one row of each group: of those with the smallest ``doc_id``, one with the least text hash.
 
     A row is known by its id and a hash of its text, so rows that share an id are judged apart: a text that
     is no near-duplicate of another stays, whatever its id. Rows alike in id and text are copies of each
     other. Rows without an id take no part and stay. Other columns stay, whatever their names.
+
+    ``further`` names a second rule: it is given ``doc_id, text`` with a number of its own for each id and
+    text, and returns at least ``doc_id, component_id``, the smallest number of its group. Groups of either
+    rule that share a row are one group.
     """
     rows = boxed(docs.where(F.col("doc_id").isNotNull()))
 
@@ -264,11 +270,32 @@ def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
             [batch.column("id"), batch.column("mark"), pa.array(found.view(np.int64))], ["id", "mark", "fp"]
         )
 
-    plain = rows.select("id", "mark", F.coalesce(F.col("row").getField("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("row").getField("text"), F.lit("")).alias("text")
+    plain = rows.select("id", "mark", text)
     prints = stored(arrow_map(plain, work, "id bigint, mark bigint, fp bigint", by="text"), "marked-fingerprints")
     points = stored(prints.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("first")), "points")
     groups = components(close_groups(points, radius), "fp", "rep").withColumnRenamed("node", "fp")
-    found = points.join(groups, "fp", "left").select(F.coalesce("rep", "fp").alias("rep"), "first")
-    kept = found.groupBy("rep").agg(F.min("first").alias("first")).select("first.*")
+    found = points.join(groups, "fp", "left").select("fp", F.coalesce("rep", "fp").alias("rep"), "first")
+    if further is None:
+        kept = found.groupBy("rep").agg(F.min("first").alias("first")).select("first.*")
+    else:
+        kept = _one_of_joined(rows.select("id", "mark", text), prints, found.select("fp", "rep"), further)
     one = rows.join(kept, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("row.*")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _one_of_joined(
+    plain: DataFrame, prints: DataFrame, found: DataFrame, further: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``id, mark`` of the first row of each group of fingerprints, joined by what ``further`` groups."""
+    marks = prints.groupBy("id", "mark").agg(F.min("fp").alias("fp"))
+    marks = stored(marks.withColumn("number", F.monotonically_increasing_id()), "numbered-rows")
+    asked = plain.join(marks.select("id", "mark", "number"), ["id", "mark"]).select(F.col("number").alias("doc_id"), "text")
+    told = further(asked).select(F.col("doc_id").alias("number"), F.col("component_id").alias("other")).distinct()
+    both = stored(marks.join(found, "fp").join(told, "number").select("id", "mark", "number", "rep", "other"), "both-rules")
+    own = both.groupBy("rep").agg(F.min("number").alias("own"))
+    both = both.join(own, "rep").select("id", "mark", "own", "other")
+    joined = components(both.select("own", "other"), "own", "other")
+    named = both.join(joined.select(F.col("node").alias("own"), F.col("rep").alias("whole")), "own", "left")
+    first = named.groupBy(F.coalesce("whole", "own").alias("whole")).agg(F.min(F.struct("id", "mark")).alias("first"))
+    return first.select("first.*")

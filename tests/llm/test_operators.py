@@ -267,15 +267,22 @@ def test_spans_are_cut(spark):
 # --- 5
 
 
-def _brute_groups(rows, prints, radius):
+def _shingle_sets(texts, size):
+    words = [t.encode().lower().split() for t in texts]
+    return [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+
+
+def _brute_groups(rows, prints, radius, sets=None, share=(80, 100)):
+    """Smallest id reachable over close fingerprints and, where sets are given, over alike sets."""
+    near = lambda a, b: sets and 0 < share[0] * len(sets[a] | sets[b]) <= share[1] * len(sets[a] & sets[b])
     best = [i for i, _ in rows]
     changed = True
     while changed:
         changed = False
         for a in range(len(rows)):
             for b in range(len(rows)):
-                if (prints[a] ^ prints[b]).bit_count() <= radius and best[b] is not None:
-                    if best[a] is None or best[b] < best[a]:
+                if best[b] is not None and (best[a] is None or best[b] < best[a]):
+                    if (prints[a] ^ prints[b]).bit_count() <= radius or near(a, b):
                         best[a], changed = best[b], True
     return best
 
@@ -332,6 +339,26 @@ def test_keep_one(spark, none):
     assert sorted((r.doc_id, r.text[:7]) for r in left if r.text != PASSAGE + " x") == [(1, "word0 w"), (2, "another"), (5, "b c d e")]
 
 
+def test_keep_one_by_two_rules(spark, odd, none):
+    """A chain over both rules is one group; ids that share a text, repeats, nulls and extra columns as before."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 10_000)}" for _ in range(120)]
+    texts = []
+    for k in range(6):
+        base[20 * k + 7] = f"changed{k}"
+        texts += [" ".join(base), " ".join(base).upper()]
+    rows = [_row(40 - i, t) for i, t in enumerate(texts)] + [_row(40, "its own"), _row(40, texts[0]), _row(None, texts[0])]
+    table = odd.unionByName(spark.createDataFrame(rows, SCHEMA))
+    kept = corpus_pipeline.dedup_near(spark, table, "")
+    assert kept.columns == table.columns
+    listed = sorted({(i, t) for i, t in _texts(table) if i is not None})
+    groups = _brute_groups([(n, t) for n, (_, t) in enumerate(listed)], [simhash.fingerprint(t) for _, t in listed], 2, _shingle_sets([t for _, t in listed], 5))
+    got = Counter(r.doc_id for r in kept.where("doc_id is not null").collect())
+    assert got == Counter(listed[g][0] for g in set(groups))
+    assert kept.where("doc_id is null").count() == table.where("doc_id is null").count()
+    assert corpus_pipeline.dedup_near(spark, none, "").count() == 0
+
+
 def test_columns_named_like_those_used_inside(spark):
     names = ("__id", "__version", "__gone", "__units", "__text", "__kept", "__rank", "__deleted", "id", "mark", "told", "of", "own", "deleted", "left", "spans", "items")
     schema = SCHEMA.replace(", row int", "") + "".join(f", {n} int" for n in names)
@@ -640,7 +667,7 @@ def test_pipeline_equals_brute_force(spark):
         rows[i] = "\n".join(left) if any(x.strip(" ") for x in left) else None
     rows = {i: t for i, t in rows.items() if t is not None}
     listed = sorted(rows.items())
-    best = _brute_groups(listed, [simhash.fingerprint(t) for _, t in listed], 2)
+    best = _brute_groups(listed, [simhash.fingerprint(t) for _, t in listed], 2, _shingle_sets([t for _, t in listed], 5))
     rows = {i: t for (i, t), b in zip(listed, best, strict=True) if i == b}
     for i in list(rows):
         n, hit, _ = _brute_hits(rows[i], benchmark, 13)
