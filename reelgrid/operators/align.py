@@ -10,6 +10,8 @@ and one aggregate per cell serve them all. Embeddings never travel through the e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +34,17 @@ SEGMENT_DEFAULTS = {
 }
 
 
-def _with_duration(items: DataFrame, media: DataFrame, spread_by: str) -> DataFrame:
+def with_duration(items: DataFrame, media: DataFrame, spread_by: str) -> DataFrame:
     durations = media.where(F.col("duration") > 0).select("media_id", "duration")
     return lookup_join(items, durations, ["media_id"], [spread_by], how="inner")
 
 
-def _cell_start(d: float) -> Column:
-    return F.col("seg_idx") * F.lit(d)
+def _cell_start(d: float, cell: Column | None = None) -> Column:
+    return (F.col("seg_idx") if cell is None else cell) * F.lit(d)
 
 
-def _cell_end(d: float) -> Column:
-    return F.least((F.col("seg_idx") + 1) * F.lit(d), F.col("duration"))
+def _cell_end(d: float, cell: Column | None = None) -> Column:
+    return F.least(((F.col("seg_idx") if cell is None else cell) + 1) * F.lit(d), F.col("duration"))
 
 
 def _spans(items: DataFrame, *kept: str | Column, widen: bool, point: bool = False) -> DataFrame:
@@ -59,7 +61,7 @@ def _spans(items: DataFrame, *kept: str | Column, widen: bool, point: bool = Fal
 
 def _touched_cells(spans: DataFrame, media: DataFrame, d: float) -> DataFrame:
     """Items once per cell they overlap, open at both edges."""
-    timed = _with_duration(spans, media, "pos")
+    timed = with_duration(spans, media, "pos")
     # one cell of slack on both sides; the predicate below decides
     first = F.greatest(F.lit(0), F.floor(F.col("start") / d) - 1)
     last = F.least(F.ceil(F.col("_stop") / d), cell_count(d) - 1)
@@ -79,14 +81,14 @@ def overlap_join(media: DataFrame, items: DataFrame, d: float = 1.0) -> DataFram
     ).drop("duration")
 
 
-def _best_item(d: float) -> Column:
-    """Largest raw overlap, first item on ties; items sharing nothing are never chosen."""
-    shared = overlap(F.col("start"), F.col("end"), _cell_start(d), _cell_end(d))
+def best_item(d: float, cell: Column | None = None) -> Column:
+    """Largest raw overlap with the cell, first item on ties; items sharing nothing are never chosen."""
+    shared = overlap(F.col("start"), F.col("end"), _cell_start(d, cell), _cell_end(d, cell))
     usable = F.col("has_embedding") & (shared > 0)
     return F.when(usable, F.struct(shared.alias("overlap"), (-F.col("pos")).alias("neg_pos")))
 
 
-def _stream_spans(kind: str, items: DataFrame) -> list[DataFrame]:
+def stream_spans(kind: str, items: DataFrame) -> list[DataFrame]:
     """Items of one stream in the common shape: texts, and whether they have a vector."""
     none = F.lit(None).cast("array<string>")
     texts = {"asr": F.array("text"), "audio": F.col("event_labels"), "ocr": F.col("texts"), "clips": none}[kind]
@@ -116,14 +118,19 @@ def _matched(media: DataFrame, d: float, **streams: DataFrame) -> DataFrame:
 
     Texts of a kind are distinct and in first-seen order; repeats are dropped before any list is built.
     """
-    rows = [part for kind, items in streams.items() for part in _stream_spans(kind, items)]
+    rows = [part for kind, items in streams.items() for part in stream_spans(kind, items)]
     spans = rows[0]
     for part in rows[1:]:
         spans = spans.unionByName(part)
-    cells = _touched_cells(spans, media, d).withColumn("_best", _best_item(d))
-    shown = cells.select(*CELL, "kind", "pos", "_best", F.posexplode_outer("texts").alias("_nth", "_text"))
+    cells = _touched_cells(spans, media, d).withColumn("_best", best_item(d))
+    return gathered(cells, CELL, list(streams))
+
+
+def gathered(covered: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
+    """What the named streams have per ``keys``, from items that cover them, each with its ``_best``."""
+    shown = covered.select(*keys, "kind", "pos", "_best", F.posexplode_outer("texts").alias("_nth", "_text"))
     shown = shown.withColumn("_text", strip(F.col("_text")))
-    first = shown.groupBy(*CELL, "kind", "_text").agg(
+    first = shown.groupBy(*keys, "kind", "_text").agg(
         F.min(F.struct("pos", "_nth")).alias("_at"), F.max("_best").alias("_best")
     )
 
@@ -140,7 +147,7 @@ def _matched(media: DataFrame, d: float, **streams: DataFrame) -> DataFrame:
         "ocr": [texts("ocr").alias("ocr_texts")],
         "clips": [best("clips").alias("clip_pos")],
     }
-    return first.groupBy(*CELL).agg(*[c for kind in streams for c in found[kind]])
+    return first.groupBy(*keys).agg(*[c for kind in kinds for c in found[kind]])
 
 
 def align_asr(media: DataFrame, asr: DataFrame, d: float = 1.0) -> DataFrame:
@@ -179,7 +186,7 @@ def align_frames(media: DataFrame, frames: DataFrame, d: float = 1.0) -> DataFra
 def _with_frames(grid: DataFrame, media: DataFrame, frames: DataFrame, d: float) -> DataFrame:
     """The grid's rows with the nearest frames; null for media items without any."""
     at = F.col("timestamp")
-    timed = _with_duration(frames.select("media_id", "idx", "timestamp"), media, "idx")
+    timed = with_duration(frames.select("media_id", "idx", "timestamp"), media, "idx")
     timed = timed.withColumn(
         "seg_idx", F.greatest(F.lit(0), F.least(F.floor(at / d), cell_count(d) - 1)).cast("bigint")
     )
@@ -260,8 +267,13 @@ def align(
     ocr: DataFrame | None = None,
     clips: DataFrame | None = None,
     frames: DataFrame | None = None,
+    match: Callable[..., DataFrame] = _matched,
 ) -> DataFrame:
-    """Segments: every cell of every media item with what each stream has for it; a missing stream is empty."""
+    """Segments: every cell of every media item with what each stream has for it; a missing stream is empty.
+
+    ``match`` finds what the streams have per touched cell; ``runs.matched_by_runs`` gives the same rows from
+    runs of cells, which pays where cells are short against the items.
+    """
     d = cell_width(d)
     segments = time_grid(media, d)
     if frames is not None:
@@ -270,7 +282,7 @@ def align(
     streams = {"asr": asr, "audio": audio, "ocr": ocr, "clips": clips}
     given = {kind: items for kind, items in streams.items() if items is not None}
     if given:
-        segments = segments.join(_matched(media, d, **given), CELL, "left")
+        segments = segments.join(match(media, d, **given), CELL, "left")
     found = set(segments.columns)
 
     def or_default(name: str, kind: str, default: str) -> Column:

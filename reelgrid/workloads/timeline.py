@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelgrid.operators import align as al
 from reelgrid.operators.grid import sample_plan, sliding_windows, time_grid
 from reelgrid.operators.ocr import clean_ocr
+from reelgrid.operators.runs import matched_by_runs
 from reelgrid.operators.transcripts import clean_asr, merge_short, to_absolute
 from reelgrid.workloads.fixtures import CELL_SEC, Tables, with_ctes
 from reelgrid.workloads.registry import query
@@ -235,6 +236,20 @@ def _segments_full_text(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "segments_by_runs",
+    with_ctes("tl media grid asr audio ocr", "").rstrip()
+    + ","
+    + ALL_CELLS
+    + "\nSELECT media_id, seg_idx, segment_id, start_time, end_time, text, audio_pos, clip_pos FROM segments",
+)
+def _segments_by_runs(t: Tables) -> DataFrame:
+    found = al.align(t.stored_media(), CELL_SEC, t.asr(), t.audio(), t.ocr(), t.clips(), match=matched_by_runs)
+    return al.with_full_text(found).select(
+        "media_id", "seg_idx", "segment_id", "start_time", "end_time", "text", "audio_pos", "clip_pos"
+    )
+
+
 @query(
     "segment_vectors",
     with_ctes("tl media grid asr audio ocr", "").rstrip()
