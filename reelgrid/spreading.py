@@ -122,7 +122,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder and what is in it; false where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_scratch(spark: SparkSession) -> bool:
     """Delete all that this application has stored midway; results read from it must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return remove(spark, _scratch(spark))

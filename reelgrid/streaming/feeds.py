@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from reelgrid.operators.rerank import apply_feedback
+from reelgrid.spreading import remove
 
 FEEDBACK_BUCKETS = 64
+RESULT_BUCKET = "feedback_bucket"
 COMPACT_EVERY = 20
 
 
@@ -43,18 +45,23 @@ def stream_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
 class _MergeRuns(StatefulProcessor):
     """Holds rows until the watermark has passed them, then merges them in order of their time.
 
-    State is written once per batch: waiting rows are appended as a list, the open run's texts too, and a
-    media item has one timer, for its first waiting row or the end of its open run.
+    Waiting rows are parts of buckets of time, named by their first time. A batch adds parts and reads
+    none; a timer reads and deletes the parts that the watermark has reached and writes again at most what is
+    left of the bucket it stands in, so what is written does not grow with the rows that wait. The open run's
+    texts are appended, and a media item has one timer, for its first waiting row or the end of its open run.
     """
 
-    def __init__(self, min_duration: float, max_gap: float, idle: float | None) -> None:
+    def __init__(self, min_duration: float, max_gap: float, idle: float | None, bucket: float) -> None:
         self.min_duration = min_duration
         self.max_gap = max_gap
+        self.bucket_us = max(1, round(bucket * 1_000_000))
         self.idle_us = None if idle is None else round(idle * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, pos bigint, start double, end double, text string")
+        held = "us array<bigint>, pos array<bigint>, start array<double>, end array<double>, text array<string>"
+        self.waiting = handle.getMapState("waiting", "first bigint, part bigint", held)
+        self.parts = handle.getValueState("parts", "n bigint")
         self.open = handle.getValueState("open", "pos bigint, start double, end double, last_us bigint, n_rows bigint")
         self.texts = handle.getListState("texts", "text string")
         self.timer = handle.getValueState("timer", "ms bigint")
@@ -69,6 +76,18 @@ class _MergeRuns(StatefulProcessor):
         self.handle.registerTimer(ms)
         self.timer.update((ms,))
 
+    def _hold(self, rows: list[tuple]) -> int:
+        """Add rows as one part per bucket of time; the least time is returned."""
+        buckets: dict[int, list[tuple]] = {}
+        for row in rows:
+            buckets.setdefault(row[0] // self.bucket_us, []).append(row)
+        part = self.parts.get()[0] if self.parts.exists() else 0
+        for held in buckets.values():
+            self.waiting.updateValue((min(r[0] for r in held), part), tuple(list(c) for c in zip(*held)))
+            part += 1
+        self.parts.update((part,))
+        return min(row[0] for row in rows)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
@@ -77,8 +96,7 @@ class _MergeRuns(StatefulProcessor):
                 for us, pos, start, end, text in batch[["us", "pos", "start", "end", "text"]].itertuples(index=False)
             ]
             if held:
-                self.waiting.appendList(held)
-                least = min(h[0] for h in held)
+                least = self._hold(held)
                 first = least if first is None else min(first, least)
         if first is not None:
             self._wake_at(first // 1000 + 1)
@@ -88,8 +106,11 @@ class _MergeRuns(StatefulProcessor):
         self.timer.clear()
         until = timerValues.getCurrentWatermarkInMs() * 1000
         ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[0] < until else later).append(tuple(row))
+        parts = [tuple(k) for k in self.waiting.keys()] if self.waiting.exists() else []
+        for part in [k for k in parts if k[0] < until]:
+            for row in zip(*self.waiting.getValue(part)):
+                (ready if row[0] < until else later).append(row)
+            self.waiting.removeKey(part)
         done = []
         run = list(self.open.get()) if self.open.exists() else None
         fresh: list[str] = []  # texts of the open run that its state does not hold yet
@@ -118,12 +139,12 @@ class _MergeRuns(StatefulProcessor):
             self.open.update(tuple(run))
             if fresh:
                 self.texts.appendList([(text,) for text in fresh])
-        if ready:
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
-        wake = [min(row[0] for row in later) // 1000 + 1] if later else []
+        waits = [k[0] for k in parts if k[0] >= until]
+        if later:
+            waits.append(self._hold(later))
+        if not waits:
+            self.parts.clear()
+        wake = [min(waits) // 1000 + 1] if waits else []
         if run is not None and self.idle_us is not None:
             wake.append((run[3] + self.idle_us) // 1000 + 1)
         if wake:
@@ -135,7 +156,12 @@ class _MergeRuns(StatefulProcessor):
 
 
 def stream_merge(
-    asr: DataFrame, delay: str, min_duration: float = 0.5, max_gap: float = 0.3, idle: float | None = None
+    asr: DataFrame,
+    delay: str,
+    min_duration: float = 0.5,
+    max_gap: float = 0.3,
+    idle: float | None = None,
+    bucket: float = 60.0,
 ) -> DataFrame:
     """Merge short or touching transcript rows of an unbounded stream, exactly as the batch operator does.
 
@@ -143,14 +169,15 @@ def stream_merge(
     time order once the watermark passes them; a run is emitted when the next one begins. With ``idle``
     seconds, a run also ends when its media item has no row for that long in event time, whatever the
     next row's length: media items that have ended leave no state, and the rows do not depend on how the
-    stream is cut into batches. Needs the RocksDB state store.
+    stream is cut into batches. Waiting rows are held in buckets of ``bucket`` seconds of event time, which
+    changes no row. Needs the RocksDB state store.
     """
     return (
         asr.withWatermark("ts", delay)
         .withColumn("us", F.unix_micros("ts"))  # pandas would see local time
         .groupBy("media_id")
         .transformWithStateInPandas(
-            _MergeRuns(min_duration, max_gap, idle),
+            _MergeRuns(min_duration, max_gap, idle, bucket),
             "media_id string, pos bigint, start double, end double, text string, n_rows bigint",
             "append",
             "EventTime",
@@ -163,6 +190,19 @@ def distinct_feedback(feedback: DataFrame, delay: str) -> DataFrame:
     return feedback.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def _feedback_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("query_id"), F.lit(buckets)).cast("int")
+
+
+def store_results(results: DataFrame, path: str, buckets: int = FEEDBACK_BUCKETS) -> None:
+    """Write result lists in the buckets of the feedback log, one folder each.
+
+    Read back as they are, a batch of feedback opens only the folders of its own queries.
+    """
+    bucketed = results.withColumn(RESULT_BUCKET, _feedback_bucket(buckets))
+    bucketed.repartition(buckets, RESULT_BUCKET).write.partitionBy(RESULT_BUCKET).parquet(path)
+
+
 def apply_feedback_stream(
     feedback: DataFrame,
     results: DataFrame,
@@ -177,9 +217,14 @@ def apply_feedback_stream(
     The last verdict of a query and segment, by ``ts`` and ``event_id``, counts. Verdicts are kept under
     ``log_path`` in ``buckets`` by query, so a batch reads only those of its own queries. Every
     ``compact_every`` batches the log begins anew with one row per query and segment. All folders are named
-    by the batch's number, so a batch that runs twice replaces its own.
+    by the batch's number, so a batch that runs twice, or was cut off midway, replaces its own, and the number
+    tells which folders are live. Those that no batch can read any more, not even one that runs again, are
+    deleted by the second batch after a compaction.
+
+    ``results`` of ``store_results`` with the same ``buckets`` are read in the folders of the batch's queries
+    only; any other table is read whole.
     """
-    bucket = F.pmod(F.xxhash64("query_id"), F.lit(buckets)).cast("int")
+    bucket = _feedback_bucket(buckets)
     columns = ["query_id", "segment_id"]
 
     def last(verdicts: DataFrame) -> DataFrame:
@@ -210,9 +255,17 @@ def apply_feedback_stream(
         mine = spark.read.schema(schema).parquet(f"{log_path}/batch/{batch_id}")
         read = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         touched = mine.select("query_id").distinct()
+        lists = results
+        if RESULT_BUCKET in results.columns:
+            lists = results.where(F.col(RESULT_BUCKET).isin(read)).drop(RESULT_BUCKET)
         known = last(log(batch_id + 1).where(F.col("bucket").isin(read)).join(touched, "query_id", "left_semi"))
-        rescored = apply_feedback(results.join(touched, "query_id", "left_semi"), known.select(*columns, "relevant"))
+        rescored = apply_feedback(lists.join(touched, "query_id", "left_semi"), known.select(*columns, "relevant"))
         write(rescored, batch_id)
+        start = (batch_id - 1) // compact_every * compact_every
+        if start > 0 and batch_id == start + 1:  # the batch that wrote the base is committed
+            remove(spark, f"{log_path}/base/{start - compact_every}")
+            for old in range(start - compact_every, start):
+                remove(spark, f"{log_path}/batch/{old}")
 
     return distinct_feedback(feedback, delay).writeStream.outputMode("append").foreachBatch(rescore)
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import os
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from conftest import collect
 from pyspark.sql import functions as F
@@ -108,3 +110,98 @@ def test_feedback_uses_all_verdicts_of_touched_lists(spark, rows, feed, tmp_path
         [("q", "a", "negative"), ("q", "b", "positive")],
         [("q", "a", "positive"), ("q", "b", "positive")],
     ]
+
+
+class _Held(dict):
+    """A map state in memory that counts the rows written to it."""
+
+    written = 0
+    exists = __bool__ = lambda self: len(self) > 0
+    getValue = dict.__getitem__
+    removeKey = dict.__delitem__
+
+    def updateValue(self, key, value):
+        self.written += len(value[0])
+        self[key] = value
+
+
+class _One:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Many(_One):
+    def appendList(self, values):
+        self.value = [*(self.value or []), *values]
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+        self.getMapState = lambda *_: _Held()
+        self.getValueState = lambda *_: _One()
+        self.getListState = lambda *_: _Many()
+        self.registerTimer = self.timers.add
+        self.deleteTimer = self.timers.discard
+
+
+def test_rows_written_do_not_grow_with_rows_that_wait():
+    merge = feeds._MergeRuns(0.5, 0.3, None, bucket=10.0)
+    merge.init(handle := _Handle())
+    rows_ = [(i * 1_000_000, i, float(i), i + (0.9 if i % 3 else 0.2), f"t{i}") for i in range(400)]
+    for at_ in range(0, 400, 20):
+        before = merge.waiting.written
+        list(merge.handleInputRows(("m",), iter([pd.DataFrame(rows_[at_ : at_ + 20], columns=["us", "pos", "start", "end", "text"])]), None))
+        assert merge.waiting.written - before == 20
+    out = []
+    for second in range(7, 420, 7):
+        before = merge.waiting.written
+        due = {t for t in handle.timers if t < second * 1000}
+        handle.timers -= due
+        for _ in due:
+            times = SimpleNamespace(getCurrentWatermarkInMs=lambda: second * 1000)
+            out += pd.concat(merge.handleExpiredTimer(("m",), times, None)).values.tolist()
+        assert merge.waiting.written - before < 10
+    assert not merge.waiting and not merge.parts.exists()
+    runs_, texts = [], []
+    for _, pos, start, end, text in rows_:
+        if runs_ and (end - start < 0.5 or start - runs_[-1] <= 0.3):
+            texts[-1] += " " + text
+        else:
+            texts.append(text)
+        runs_.append(end)
+    assert [r[4] for r in out] == texts[:-1]
+
+
+def test_feedback_log_drops_dead_folders_and_reads_its_buckets(spark, rows, feed, tmp_path):
+    batches = [[(f"e{i}", f"q{i % 3}", "a", i % 2 == 0, at(i))] for i in range(8)]
+    results = rows([(f"q{i}", "a", 1, 1.0) for i in range(3)], "query_id string, segment_id string, rank int, score double")
+    feeds.store_results(results, f"{tmp_path}/results", buckets=4)
+    stored = spark.read.parquet(f"{tmp_path}/results")
+    seen, plans = {}, {}
+
+    def write(df, batch_id):
+        seen[batch_id] = collect(df, "query_id", "segment_id", "user_feedback")
+        plans[batch_id] = df._jdf.queryExecution().executedPlan().toString()
+
+    writer = feeds.apply_feedback_stream(feed(batches, FEEDBACK), stored, "1 minute", f"{tmp_path}/log", write, buckets=4, compact_every=2)
+    writer.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    shown = [v for v in seen.values() if v]
+    assert shown == [[(f"q{i % 3}", "a", "positive" if i % 2 == 0 else "negative")] for i in range(8)]
+    assert all("PartitionFilters: [feedback_bucket" in p or "PartitionFilters: [isnotnull(feedback_bucket" in p for i, p in plans.items() if seen[i])
+    last = max(seen)
+    live = (last - 1) // 2 * 2
+    assert min(map(int, os.listdir(f"{tmp_path}/log/batch"))) == live
+    assert min(map(int, os.listdir(f"{tmp_path}/log/base"))) == live
