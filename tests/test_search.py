@@ -119,6 +119,22 @@ def test_stored_index_is_read_by_word_without_counting_the_corpus(spark, rows, t
     assert lexical.bm25_search(rows([(1, "?")], "query_id bigint, text_query string"), index).collect() == []
 
 
+def test_sums_and_entries_of_a_task_are_bounded(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "TASK_SUMS", 40)
+    monkeypatch.setattr(lexical, "TASK_ENTRIES", 50)
+    docs = rows([(f"d{i:03}", f"one two w{i % 7}") for i in range(200)], "segment_id string, text string")
+    asked = rows([("a", "one w3"), ("b", "two none")], "query_id string, text_query string")
+    write_lexical_index(lexical.build_postings(docs), str(tmp_path))
+    index = read_lexical_index(spark, str(tmp_path))
+    assert len(list((tmp_path / "entries").glob("*.parquet"))) == 12  # 600 entries
+    hits = lexical.bm25_search(asked, index, 5)
+    # two queries share words with all documents: 400 sums
+    assert re.search(r"hashpartitioning\(segment_id#\d+, 10\)", hits._jdf.queryExecution().executedPlan().toString())
+    assert collect(hits, "query_id", "rank", "segment_id") == collect(
+        lexical.bm25_search(asked, lexical.build_postings(docs), 5, broadcast_rows=0), "query_id", "rank", "segment_id"
+    )
+
+
 def test_normalize_and_conform(rows):
     df = rows([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     got = df.select(normalized(F.col("v")).alias("u")).withColumn("n", norm(F.col("u"))).collect()
