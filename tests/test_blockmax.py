@@ -66,3 +66,24 @@ def test_nothing_indexed_or_asked(spark, corpus):
     none = build_postings(spark.createDataFrame([], "segment_id string, text string"))
     assert blockmax.search_blocks(queries, blockmax.block_index(none)).collect() == []
     assert blockmax.search_blocks(spark.createDataFrame([], QUERY), blockmax.block_index(postings)).collect() == []
+
+
+def test_no_pair_of_query_and_document_is_dealt_out(corpus):
+    """Whole ranges are in one task; the ranges a query did not choose add nothing to its sums."""
+    postings, queries = corpus
+    index = blockmax.block_index(postings, 20)
+    search = blockmax._Search(queries, index, 10_000)
+    first = blockmax.stored(search.first(3), "first-ranges")
+    hits = search.hits(first, 1000)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(range#" in plan and "hashpartitioning(query_id#" in plan
+    assert not any("segment_id" in line or "token" in line for line in plan.splitlines() if "hashpartitioning(" in line)
+    ranged = hits.withColumn("range", F.pmod(F.xxhash64("segment_id"), F.lit(search.ranges)))
+    assert ranged.join(first, ["query_id", "range"], "left_anti").count() == 0
+
+
+def test_many_weights_are_joined_by_block(corpus):
+    postings, queries = corpus
+    index = blockmax.block_index(postings, 20)
+    found = blockmax.search_blocks(queries, index, 3, sent_rows=1)
+    assert shown(found) == shown(bm25_search(queries, postings, 3))
