@@ -15,6 +15,8 @@ from reelgrid.spreading import remove
 FEEDBACK_BUCKETS = 64
 RESULT_BUCKET = "feedback_bucket"
 COMPACT_EVERY = 20
+PART_ROWS = 512  # waiting rows of one part at most
+FEW_ROWS = 8  # waiting rows that are one part whatever time they span
 
 
 def stream_grid(events: DataFrame, width: str, delay: str) -> DataFrame:
@@ -45,10 +47,11 @@ def stream_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
 class _MergeRuns(StatefulProcessor):
     """Holds rows until the watermark has passed them, then merges them in order of their time.
 
-    Waiting rows are parts of buckets of time, named by their first time. A batch adds parts and reads
-    none; a timer reads and deletes the parts that the watermark has reached and writes again at most what is
-    left of the bucket it stands in, so what is written does not grow with the rows that wait. The open run's
-    texts are appended, and a media item has one timer, for its first waiting row or the end of its open run.
+    Waiting rows are parts by time, named by their first time, of at most ``PART_ROWS`` rows. A batch's first part spans
+    ``bucket`` seconds, each later one as long as it begins after the first row, and any ``FEW_ROWS`` rows, so thin
+    rows make few parts. A batch adds parts and reads none; a timer reads and deletes the parts that the watermark has
+    reached and writes again at most what is left of them, so what is written does not grow with the rows that wait.
+    The open run's texts are appended, and a media item has one timer, for its first waiting row or the end of its open run.
     """
 
     def __init__(self, min_duration: float, max_gap: float, idle: float | None, bucket: float) -> None:
@@ -68,25 +71,30 @@ class _MergeRuns(StatefulProcessor):
 
     def _wake_at(self, ms: int) -> None:
         """Move the timer to ``ms`` unless it is due earlier."""
-        if self.timer.exists():
-            planned = self.timer.get()[0]
-            if planned <= ms:
+        if planned := self.timer.get():
+            if planned[0] <= ms:
                 return
-            self.handle.deleteTimer(planned)
+            self.handle.deleteTimer(planned[0])
         self.handle.registerTimer(ms)
         self.timer.update((ms,))
 
     def _hold(self, rows: list[tuple]) -> int:
-        """Add rows as one part per bucket of time; the least time is returned."""
-        buckets: dict[int, list[tuple]] = {}
+        """Add rows as parts by time; the least time is returned."""
+        rows = sorted(rows)
+        held_parts: list[list[tuple]] = []
+        until = 0
         for row in rows:
-            buckets.setdefault(row[0] // self.bucket_us, []).append(row)
-        part = self.parts.get()[0] if self.parts.exists() else 0
-        for held in buckets.values():
-            self.waiting.updateValue((min(r[0] for r in held), part), tuple(list(c) for c in zip(*held)))
+            held = len(held_parts[-1]) if held_parts else PART_ROWS
+            if held >= PART_ROWS or held >= FEW_ROWS and row[0] >= until:
+                held_parts.append([])
+                until = row[0] + max(self.bucket_us, row[0] - rows[0][0])
+            held_parts[-1].append(row)
+        part = (self.parts.get() or (0,))[0]
+        for held in held_parts:
+            self.waiting.updateValue((held[0][0], part), tuple(list(c) for c in zip(*held)))
             part += 1
         self.parts.update((part,))
-        return min(row[0] for row in rows)
+        return rows[0][0]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -100,7 +108,7 @@ class _MergeRuns(StatefulProcessor):
                 first = least if first is None else min(first, least)
         if first is not None:
             self._wake_at(first // 1000 + 1)
-        yield pd.DataFrame()
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
@@ -112,12 +120,17 @@ class _MergeRuns(StatefulProcessor):
                 (ready if row[0] < until else later).append(row)
             self.waiting.removeKey(part)
         done = []
-        run = list(self.open.get()) if self.open.exists() else None
+        opened = self.open.get()
+        run = None if opened is None else list(opened)
+        held_open = run is not None  # only then the state may hold texts
         fresh: list[str] = []  # texts of the open run that its state does not hold yet
 
         def close() -> None:
-            said = [r[0] for r in self.texts.get()] if self.texts.exists() else []
-            self.texts.clear()
+            nonlocal held_open
+            said = [r[0] for r in self.texts.get()] if held_open else []
+            if held_open:
+                self.texts.clear()
+                held_open = False
             done.append((key[0], run[0], run[1], run[2], " ".join([*said, *fresh]), run[4]))
             fresh.clear()
 
@@ -169,7 +182,7 @@ def stream_merge(
     time order once the watermark passes them; a run is emitted when the next one begins. With ``idle``
     seconds, a run also ends when its media item has no row for that long in event time, whatever the
     next row's length: media items that have ended leave no state, and the rows do not depend on how the
-    stream is cut into batches. Waiting rows are held in buckets of ``bucket`` seconds of event time, which
+    stream is cut into batches. Waiting rows are held in parts of ``bucket`` seconds of event time or more, which
     changes no row. Needs the RocksDB state store.
     """
     return (

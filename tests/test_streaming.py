@@ -185,6 +185,23 @@ def test_rows_written_do_not_grow_with_rows_that_wait():
     assert [r[4] for r in out] == texts[:-1]
 
 
+def test_thin_rows_wait_in_few_parts():
+    merge = feeds._MergeRuns(0.5, 0.3, None, bucket=10.0)
+    merge.init(handle := _Handle())
+    columns = ["us", "pos", "start", "end", "text"]
+    rows_ = [(i * 3_600_000_000, i, i * 3600.0, i * 3600 + 0.9, f"t{i}") for i in range(300)]
+    list(merge.handleInputRows(("m",), iter([pd.DataFrame(rows_[::-1], columns=columns)]), None))
+    assert len(merge.waiting) <= 10
+    list(merge.handleInputRows(("m",), iter([pd.DataFrame([(1_081_000_000_000 + i, 300 + i, 0.0, 1.0, "") for i in range(2000)], columns=columns)]), None))
+    assert max(len(v[0]) for v in merge.waiting.values()) <= feeds.PART_ROWS
+    out = []
+    for hour in (1, 50, 51, 299, 400):
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: hour * 3_600_000)
+        out += pd.concat(merge.handleExpiredTimer(("m",), times, None)).values.tolist()
+        assert sum(len(v[0]) for v in merge.waiting.values()) == (2000 + 300 - hour if hour < 300 else 0)
+    assert [r[1] for r in out] == list(range(299))  # the last run is open
+
+
 def test_feedback_log_drops_dead_folders_and_reads_its_buckets(spark, rows, feed, tmp_path):
     batches = [[(f"e{i}", f"q{i % 3}", "a", i % 2 == 0, at(i))] for i in range(8)]
     results = rows([(f"q{i}", "a", 1, 1.0) for i in range(3)], "query_id string, segment_id string, rank int, score double")
