@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from reelgrid.operators.lexical import LexicalIndex, build_postings
+from reelgrid.operators.lexical import LexicalIndex, build_postings, ordered_entries
 from reelgrid.schemas import BM25_EPSILON, VECTORS
 
 FANIN = 4  # parts of about one size that are merged into one
@@ -179,8 +179,9 @@ def _write_part(path: str, part: int, segments: DataFrame, postings: DataFrame |
     postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings/part={part}")
     postings = spark.read.parquet(f"{path}/postings/part={part}")
     entries = postings.select("media_id", "segment_id", "doc_len", F.inline_outer("terms")).where("token is not null")
-    order = ["token", "media_id", "segment_id"]
-    entries.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/entries/part={part}")
+    counts = postings.agg(F.sum(F.greatest(F.size("terms"), F.lit(0))).alias("df"))
+    ordered = ordered_entries(entries, counts, ["token", "media_id", "segment_id"])
+    ordered.write.mode("overwrite").parquet(f"{path}/entries/part={part}")
     per_segment = kept.groupBy("media_id").agg(F.count(F.lit(1)).alias("n_segments"))
     lengths = postings.groupBy("media_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_len").alias("n_words"))
     media = per_segment.join(lengths, "media_id", "left").fillna(0, ["n_docs", "n_words"])
