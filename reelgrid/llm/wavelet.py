@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -56,7 +56,7 @@ class WaveletMatrix:
             zeros.append(len(ids) - int(rank[-1]))
             planes.append(packed.tobytes())
             ranks.append(rank.tobytes())
-            ids = np.concatenate((ids[~ones], ids[ones]))
+            ids = np.concatenate((ids.compress(~ones), ids.compress(ones)))
         return cls(len(ids), zeros, planes, ranks)
 
     def stored(self) -> tuple[list[int], list[bytes], list[bytes]]:
@@ -126,8 +126,8 @@ class WaveletMatrix:
         for k, level in enumerate(range(len(self.planes) - 1, -1, -1)):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             merged, z = np.empty_like(out), self.zeros[level]
-            merged[~ones] = out[:z]
-            merged[ones] = out[z:] | kind(1 << k)
+            merged[np.flatnonzero(~ones)] = out[:z]
+            merged[np.flatnonzero(ones)] = out[z:] | kind(1 << k)
             out = merged
         return out
 
@@ -136,27 +136,48 @@ class WaveletMatrix:
 
 #: Fixed value: the piece pattern of this kind of tokenizer, for lower-cased texts without odd characters.
 _PIECES = f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+"
-_CACHE = 400_000
+_WORDS, _CUT = 250_000, 150_000  # words and pieces remembered, twice that with the older ones
+_LONG = 64  # characters; what is longer is not remembered
+#: Bytes of white space, ASCII and two-byte characters that are all within the fast patterns' range.
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC5])
+
+
+class _Cache(dict):
+    """Ids by text, made where it is new; those in use come back from the older half."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, text: str) -> bytes:
+        if (ids := self.older.get(text)) is None:
+            ids = self.make(text)
+        if len(text) <= _LONG:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
 
 
 class _PieceCache:
-    """Ids per piece; the library's model sees each new piece once, as pieces never interact in it.
+    """Ids per word; the library's model sees each new piece of a word once, as pieces never interact in it.
 
-    A text with a character outside the common Latin range, or with what may be a special token, goes
-    through the library as a whole: there white space, letters and normal forms could differ from
-    this shortcut's. The same holds for a tokenizer file of another kind.
+    Pieces hold no white space, so a text has the ids of its words. A text with a character outside the
+    common Latin range, or with what may be a special token, goes through the library as a whole: there
+    white space, letters and normal forms could differ from this shortcut's. The same holds for a
+    tokenizer file of another kind.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(f"<u{array(self.code).itemsize}")
-        self.odd = re.compile(ODD + r"|<\|").search
+        self.strange = re.compile(ODD + r"|<\|").search
         self.pieces = re.compile(_PIECES).findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words, self.cut = _Cache(self._word, _WORDS), _Cache(self._piece, _CUT)
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in set(own))
         self.byte_letters = str.maketrans(
@@ -165,27 +186,23 @@ class _PieceCache:
         probe = "It's naïve, the 3rd\tÀß_x-y's'll: ..a_1b\n ÿ2²½ I'M we've d'd '' _a_ ¡no! z¼9"
         self.short = self._text(probe) == self._whole(probe)
 
+    def odd(self, text: str) -> bool:
+        if text.encode().translate(None, _PLAIN):
+            return self.strange(text) is not None
+        return "<|" in text
+
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_letters)
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.cut.__getitem__, self.pieces(word)))
+
     def _text(self, text: str) -> bytes:
-        pieces = self.pieces(text.lower())
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        older, tokenize, code = self.older, self.library.model.tokenize, self.code
-        for p in pieces:
-            if p not in known:
-                if (ids := older.get(p)) is None:
-                    shown = p.encode().decode("latin-1").translate(self.byte_letters)
-                    ids = array(code, [t.id for t in tokenize(shown)]).tobytes()
-                known[p] = ids
-        found = b"".join([known[p] for p in pieces])
-        if len(known) >= _CACHE:  # pieces in use come back from the older half
-            self.older, self.known = known, {}
-        return found
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
     def encode(self, text: str) -> bytes:
         return self._text(text) if self.short and not self.odd(text) else self._whole(text)

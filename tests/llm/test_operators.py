@@ -131,6 +131,19 @@ def test_encoders_equal_the_library(library, name):
         assert [np.frombuffer(own.encode(t), own.kind).tolist() for t in cases] == expected
 
 
+def test_known_words_are_not_cut_again(library, monkeypatch):
+    monkeypatch.setattr(wavelet, "_WORDS", 20)
+    monkeypatch.setattr(wavelet, "_CUT", 5)
+    own, coder = wavelet._PieceCache(tokenizer("word_bpe_49k.json")), library("word_bpe_49k.json")
+    for batch in (_random_texts(50), ["again the the of", "x" * 100], _random_texts(80)):
+        assert [np.frombuffer(own.encode(t), own.kind).tolist() for t in batch] == [
+            coder.encode(t, add_special_tokens=False).ids for t in batch
+        ]
+    assert max(len(c) for c in (own.words, own.words.older, own.cut, own.cut.older)) <= 20
+    found, own.pieces = own.encode("It's a naïve, naïve text."), None
+    assert own.encode("a naïve,\tnaïve IT'S text.") and own.encode("It's\na naïve, naïve  text.") == found
+
+
 def test_pair_index_forgets_and_learns_again(library, monkeypatch):
     monkeypatch.setattr(pair_bpe, "_CACHE", 20)
     own, coder = pair_bpe.PairBpe(tokenizer("byte_bpe_50k.json")), library("byte_bpe_50k.json")
