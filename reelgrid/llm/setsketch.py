@@ -217,6 +217,7 @@ def buckets(reps: DataFrame) -> DataFrame:
     """``band, first, row``: the members of each bucket of two or more, of equal buckets the lowest.
 
     The upper bits of ``band`` say which band it is, so the lowest band that two texts share is always kept.
+    Members are dealt by bucket once, for the sums and for the join: nothing is summed or sent before.
     """
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
@@ -224,7 +225,7 @@ def buckets(reps: DataFrame) -> DataFrame:
             F.shiftrightunsigned(F.xxhash64(F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND))), 64 - PLACE)
         ),
     )
-    members = reps.select("row", F.explode(bands).alias("band"))
+    members = reps.select("row", F.explode(bands).alias("band")).repartition("band")
     sums = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("many"),
         F.min(F.struct(F.xxhash64("band", "row"), "row"))["row"].alias("first"),
@@ -232,8 +233,7 @@ def buckets(reps: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"),
     )
     alike = sums.where("many > 1").groupBy("many", "x", "y").agg(F.min(F.struct("band", "first")).alias("one"))
-    kept = stored(alike.select("one.*"), "buckets")
-    return members.join(kept, "band").select("band", "first", "row")
+    return members.join(alike.select("one.*"), "band").select("band", "first", "row")
 
 
 def _measured(pairs: DataFrame, sk: DataFrame, reps: DataFrame, far: tuple[int, int], size: int) -> DataFrame:

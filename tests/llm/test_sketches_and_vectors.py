@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.llm import hard_negatives, integers, setsketch, vector_codes
+from reelgrid.spreading import stored
 
 DOCS = "doc_id bigint, text string, row int, key string, n string, items int, component_id int"
 VECS = "vec_id bigint, embedding array<float>, label int, code int, v string, vec int, anchor int"
@@ -116,6 +117,27 @@ def test_members_that_are_not_first_meet_in_blocks(spark, monkeypatch, rows, wei
     assert answered(setsketch.near_duplicates(docs_of(spark, texts))) != grouped(texts)
 
 
+def test_members_of_buckets_are_shuffled_once(spark):
+    """Also where the buckets are too many to send, so that they meet their members in a shuffle join."""
+    texts = families(3, many=5, size=8)
+    reps = stored(setsketch.sketches(docs_of(spark, texts), 3).where("n > 0"), "sketches")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = setsketch.buckets(reps)
+        told = answered(found)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Generate explode") == 1 and "ReusedExchange" in plan
+    assert told == answered(setsketch.buckets(reps))
+    members = {}
+    for band, first, row in told:
+        members.setdefault((band, first), set()).add(row)
+    assert members and all(first in rows and len(rows) > 1 for (_, first), rows in members.items())
+    assert len({frozenset(rows) for rows in members.values()}) == len(members)
+
+
 def test_registers_are_mergeable_and_tell_similarity():
     draw = np.random.default_rng(5)
     for n in (1, 7, 200, 3000):
