@@ -8,14 +8,19 @@ clustered by its own neighbours: its counts by class of follower and predecessor
 tasks choose its best class against the classes x classes table; this is repeated while the likelihood
 rises. Classes of the ``SENT`` most frequent words are sent, those of all others meet the pairs in a join. A
 word's probability is that of its class after the class before, times its smoothed share of the class.
-Exact counts and classes of the ``KNOWN`` most frequent words are sent to the scoring tasks; all other words
-meet theirs in a join, so no word is dropped. A word never met in training has the class of its group.
+Exact counts and classes of the ``KNOWN`` most frequent words are sent to the scoring tasks, and those of the
+``SENT`` most frequent by two hashes of each; all other words meet theirs in a join, so no word is dropped. A
+word never met in training has the class of its group.
+
+Texts are cut into words once and kept as numbers. Counts by neighbour are dealt by word once: a sweep reads
+them where they are, with the classes sent, and moves classes only. Where there are words whose classes are
+not sent, these meet the counts in a join of each sweep.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +50,13 @@ def keys_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64) & -128
 
 
+def checks_of(words: list[bytes]) -> np.ndarray:
+    """Other hashes of words, which tell apart words of equal keys."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -52,29 +64,86 @@ def _rows(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "text", F.expr(HELD_OUT).alias("held_out"), F.monotonically_increasing_id().alias("row"))
 
 
-def count_words(training: DataFrame) -> DataFrame:
-    """``word, c`` over all texts, an end per text included. Words are counted before the shuffle."""
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-            )
+# --- texts as numbers ----------------------------------------------------------------------------------
+
+SLICE = 1_000_000  # bytes of text in a row of coded texts, or one text
+CODED = (
+    "doc_id array<bigint>, held_out array<boolean>, row array<bigint>, many array<int>, tokens binary,"
+    " words array<binary>"
+)
+
+
+def encode_texts(rows: DataFrame) -> DataFrame:
+    """Texts cut into words once: a row holds some of them as numbers of its own distinct ``words``.
 
+    Every text closes with the end, number 0; ``many`` counts its tokens. Later steps look up distinct words only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
+                number = _Numbers({END: 0})
+                tokens, many = array("I"), []
                 for text in batch.column("text").to_pylist():
-                    counts.update(text.encode().lower().split())
-                counts[END] += batch.num_rows
-                if len(counts) > 500_000:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+                    words = text.encode().lower().split()
+                    tokens.extend(map(number.__getitem__, words))
+                    tokens.append(0)
+                    many.append(len(words) + 1)
+                ids = np.frombuffer(tokens, np.uint32).astype(_kind(len(number)))
+                one = {c: [batch.column(c).to_pylist()] for c in ("doc_id", "held_out", "row")}
+                one |= {"many": [many], "tokens": [ids.tobytes()], "words": [list(number)]}
+                yield pa.RecordBatch.from_pydict(one, schema=_CODED)
+
+    return rows.select("doc_id", "held_out", "row", "text").mapInArrow(run, CODED)
+
+
+_CODED = pa.schema(
+    [
+        ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("row", pa.list_(pa.int64())),
+        ("many", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())),
+    ]
+)
+
+
+def _kind(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]]:
+    """Row by row of coded texts: the row, its words, its tokens, and how many tokens each text has."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words = batch.column("words")[i].values.to_numpy(zero_copy_only=False).tolist()
+            ids = np.frombuffer(batch.column("tokens")[i].as_buffer(), _kind(len(words))).astype(np.int64)
+            yield batch.slice(i, 1), words, ids, batch.column("many")[i].values.to_numpy()
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and tokens of the texts that are not held out."""
+    for row, words, ids, many in _texts(batches):
+        held = row.column("held_out")[0].values.to_numpy(zero_copy_only=False).astype(bool)
+        yield words, ids[np.repeat(~held, many)]
+
+
+def count_words(training: DataFrame) -> DataFrame:
+    """``word, c`` over all texts, an end per text included. Words are counted before the shuffle."""
+    return _count_coded(encode_texts(training))
+
+
+def _count_coded(coded: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, ids in _trained(batches):
+            n = np.bincount(ids, minlength=len(words))
+            met = pa.array(n > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).filter(met), pa.array(n).filter(met)], ["word", "n"])
 
-    counted = training.select("text").mapInArrow(run, "word binary, n bigint")
+    counted = coded.select("held_out", "many", "tokens", "words").mapInArrow(run, "word binary, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("c"))
 
 
@@ -97,39 +166,25 @@ class Coding:
         return i
 
     def elements(self, words: list[bytes]) -> np.ndarray:
-        """Elements of the words and then the end."""
+        """Elements of the words, the end's its own."""
         known, new = self._element.get, self.element
-        ids = [i if (i := known(w)) is not None else new(w) for w in words]
-        ids.append(self.end)
-        return np.array(ids, np.int64)
+        return np.array([self.end if w == END else i if (i := known(w)) is not None else new(w) for w in words], np.int64)
 
 
-def count_bigrams(training: DataFrame, coding) -> DataFrame:
+def count_bigrams(coded: DataFrame, coding) -> DataFrame:
     """``pair, n``: how often an element (in ``pair // size``) is followed by another (``pair % size``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coding.value
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def merged(extra: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(extra), return_counts=True)
-            keys, where = np.unique(np.concatenate((pairs, new)), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                found = []
-                for text in batch.column("text").to_pylist():
-                    ids = code.elements(text.encode().lower().split())
-                    found.append(np.concatenate(([code.end], ids[:-1])) * code.size + ids)
-                if found:
-                    pairs, counts = merged(found)
-                if len(pairs) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
-                    pairs, counts = pairs[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+        counts = np.zeros(code.size * code.size, np.int64)
+        for words, ids in _trained(batches):
+            element = code.elements(words)[ids]
+            np.add.at(counts, np.concatenate(([code.end], element[:-1]))[: len(ids)] * code.size + element, 1)
+        pairs = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts[pairs])], ["pair", "n"])
 
-    return training.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = coded.select("held_out", "many", "tokens", "words").mapInArrow(run, "pair bigint, n bigint")
+    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -202,6 +257,8 @@ class Model:
         #: Class by word of the known words, and of each class log10 of what a count plus one is divided by.
         self.word_class: dict[bytes, int] = {}
         self.within = np.zeros(0)
+        #: Keys, ascending, of more words with a second hash, the count and the class of each.
+        self.sent = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         classes = int(of.max()) + 1
         one_hot = np.zeros((len(of), classes))
         one_hot[np.arange(len(of)), of] = 1
@@ -219,13 +276,21 @@ class Model:
         )
 
 
-# --- clustering of the whole vocabulary --------------------------------------------------------------
+    def known(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and classes of the words that were sent; of all others the class is -1."""
+        count = np.array([self.coding.count.get(w, 0) for w in words], np.int64)
+        cls = np.array([self.word_class.get(w, -1) for w in words], np.int64)
+        open_ = np.flatnonzero(cls < 0)
+        others = [words[i] for i in open_.tolist()]
+        keys, checks, counts, classes = self.sent
+        at, there = _place(keys, keys_of(others))
+        if len(keys):
+            there &= checks[at] == checks_of(others)
+            count[open_[there]], cls[open_[there]] = counts[at[there]], classes[at[there]]
+        return count, cls
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+# --- clustering of the whole vocabulary --------------------------------------------------------------
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,145 +301,258 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[starts], np.add.reduceat(counts, starts) if len(codes) else counts
 
 
-def count_neighbours(training: DataFrame) -> DataFrame:
-    """``a, b, n``: how often the word of key ``a`` is followed by that of ``b``, over all words and ends."""
+def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers()
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+#: Tokens whose neighbours are summed at once, and in a row of a bucket of words, about.
+AT_ONCE, BUCKET = 1_000_000, 500_000
+PSEUDO = CLASSES << 7  # keys below stand for all the fixed words of a class
 
-        def out() -> pa.RecordBatch:
-            keys = keys_of(list(number))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys[pairs >> 32]), pa.array(keys[pairs & 0xFFFFFFFF]), pa.array(counts)], ["a", "b", "n"]
-            )
 
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                found = [pairs]
-                for text in batch.column("text").to_pylist():
-                    words = text.encode().lower().split()
-                    words.append(END)
-                    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                    found.append(np.concatenate((ids[-1:], ids[:-1])) << 32 | ids)
-                new = np.concatenate(found)
-                pairs, counts = _summed(new, np.concatenate((counts, np.ones(len(new) - len(counts), np.int64))))
-                if len(pairs) > 2_000_000 or len(number) > 500_000:
-                    yield out()
-                    number.clear()
-                    pairs, counts = pairs[:0], counts[:0]
-        if len(pairs):
+def _neighbours(batches: Iterator[pa.RecordBatch], sent, opened: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """``code, other, n``: how often a word has a neighbour; ``code`` is the word's key and the neighbour's side.
+
+    ``sent`` has the keys whose classes are sent, those that are fixed, and the classes of these. Words that are
+    fixed need no counts of their own: as a word, all of a class are one, with the followers only that are fixed
+    or not sent; as a neighbour, ``other`` is their class. That of another neighbour is ``CLASSES`` and its place in the keys sent, or its
+    key where ``opened`` asks for the neighbours that were not sent. Counts are summed by task, in order of words.
+    """
+    places, fixed, classes = sent.value
+    rows, held = [], 0
+
+    def out() -> tuple[np.ndarray, ...]:
+        keys, at = np.unique(np.concatenate([k for k, _ in rows]), return_inverse=True)
+        starts = np.cumsum([0, *(len(k) for k, _ in rows)])
+        ids = np.concatenate([at[s + i] for s, (_, i) in zip(starts, rows, strict=False)])
+        place, there = _place(fixed, keys)
+        place, cls = np.where(there, place, 0), classes[place] if len(fixed) else place
+        where, met = _place(places, keys)
+        if opened:
+            seen, other = ~there & ~met, np.arange(len(keys))
+        else:
+            seen, other = there | met, np.where(there, cls, CLASSES + where)
+        # Ascending keys, so that sums come out by word.
+        words, own = np.unique(np.where(there, cls << 7, keys), return_inverse=True)
+        before, after = np.concatenate((ids[-1:], ids[:-1])), ids
+        codes = []
+        for mine, its, side in ((before, after, 0), (after, before, 1)):
+            # Followers of fixed words that are sent tell of them as their predecessors.
+            these = seen[its] & (~there[mine] | (opened | there[its] if side == 0 else False))
+            codes.append((own[mine[these]] * 2 + side) << 32 | other[its[these]])
+        code = np.concatenate(codes)
+        code, n = _summed(code, np.ones(len(code), np.int64))
+        other = code & 0xFFFFFFFF
+        code = words[code >> 33] | (code >> 32 & 1) * CLASSES
+        if opened:
+            other = keys[other]
+        return code, other, n
+
+    for words, ids in _trained(batches):
+        if len(ids):
+            rows.append((keys_of(words), ids))
+            held += len(ids)
+        if held > AT_ONCE:
             yield out()
+            rows, held = [], 0
+    if held:
+        yield out()
 
-    return training.select("text").mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
+def _row(arrays: dict[str, np.ndarray], bucket: int | None = None) -> pa.RecordBatch:
+    """One row of arrays, with a bucket or none."""
+    row = {c: pa.array([pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True) if len(x) else b""], pa.binary()) for c, x in arrays.items()}
+    size = {"sizes": pa.array([[x.nbytes for x in arrays.values()]], pa.list_(pa.int64()))}
+    return pa.RecordBatch.from_pydict(({} if bucket is None else {"bucket": pa.array([bucket], pa.int32())}) | row | size)
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[tuple]:
+    """Row by row the bucket, null if there is none, and the arrays."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield row.get("bucket"), *(
+                np.frombuffer(pa.decompress(row[c], n, "zstd") if n else b"", kind)
+                for (c, kind), n in zip(kinds.items(), row["sizes"], strict=True)
+            )
+
+
+_NEAR = {"codes": np.int64, "many": np.uint32, "others": np.int32, "counts": np.uint32}
+_SLOTS = {"keys": np.int64, "many": np.uint8, "slots": np.uint8, "counts": np.int64}
+_WORDS = {"keys": np.int64, "cls": np.uint8, "many": np.uint8, "slots": np.uint8, "counts": np.int64}
+
+
+def _fields(kinds: dict[str, type], bucket: bool = True) -> str:
+    return ("bucket int, " if bucket else "") + "".join(f"{c} binary, " for c in kinds) + "sizes array<bigint>"
 
-def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
-    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
+def _near(code: np.ndarray, other: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    codes, many = np.unique(code, return_counts=True)
+    return dict(zip(_NEAR, (codes, many.astype(np.uint32), other.astype(np.int32), n.astype(np.uint32)), strict=True))
 
-def _neighbours_sent(pairs: DataFrame, sent) -> DataFrame:
-    """``code, n`` over all pairs, for the neighbours whose classes were sent: key, side and class in one."""
+
+def count_neighbours(coded: DataFrame, sent, buckets: int) -> DataFrame:
+    """Neighbours whose classes are sent, dealt by word once: ``bucket``, ``codes``, ``many`` entries of each, ``others``, ``counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, classes = sent.value
-        codes, counts, held = [], [], 0
+        for arrays in _neighbours(batches, sent, False):
+            ends = np.searchsorted(_bucket(arrays[0], buckets), np.arange(buckets + 1))
+            for i in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+                yield _row(_near(*(x[ends[i] : ends[i + 1]] for x in arrays)), i)
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            code, n = _summed(np.concatenate(codes), np.concatenate(counts))
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-
-        for batch in batches:
-            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
-            for own, other, side in ((a, b, 0), (b, a, CLASSES)):
-                at, there = _place(keys, other)
-                codes.append(own[there] | side | classes[at[there]])
-                counts.append(n[there])
-                held += len(counts[-1])
-            if held > 2_000_000:
+            codes, own = np.unique(np.concatenate([c for c, *_ in held]), return_inverse=True)
+            starts = np.cumsum([0, *(len(c) for c, *_ in held)])
+            key = np.concatenate([
+                np.repeat(own[s : s + len(c)] << 32, many) | others for s, (c, many, others, _) in zip(starts, held, strict=False)
+            ])
+            key, n = _summed(key, np.concatenate([x.astype(np.int64) for *_, x in held]))
+            return _row(_near(codes[key >> 32], key & 0xFFFFFFFF, n), bucket)
+
+        held, bucket = [], None
+        for b, *arrays in _arrays(batches, _NEAR):
+            if b != bucket and held:
                 yield out()
-                codes, counts, held = [], [], 0
+                held = []
+            bucket = b
+            held.append(arrays)
         if held:
             yield out()
 
-    return pairs.mapInArrow(run, "code bigint, n bigint")
+    wanted = coded.select("held_out", "many", "tokens", "words").mapInArrow(run, _fields(_NEAR))
+    return wanted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, _fields(_NEAR))
 
 
-def _neighbours_open(pairs: DataFrame, sent) -> DataFrame:
-    """``code, other, n`` for the neighbours whose classes are not sent; ``other`` is their key."""
+def open_neighbours(coded: DataFrame, sent) -> DataFrame:
+    """``code, other, n`` of the neighbours whose classes are not sent; ``other`` is their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = sent.value[0]
-        for batch in batches:
-            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
-            for own, other, side in ((a, b, 0), (b, a, CLASSES)):
-                away = ~_place(keys, other)[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[away] | side), pa.array(other[away]), pa.array(n[away])], ["code", "other", "n"]
-                )
+        for arrays in _neighbours(batches, sent, True):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["code", "other", "n"])
 
-    return pairs.mapInArrow(run, "code bigint, other bigint, n bigint")
+    wanted = coded.select("held_out", "many", "tokens", "words")
+    return wanted.mapInArrow(run, "code bigint, other bigint, n bigint")
 
 
-def _packed(entries: DataFrame) -> DataFrame:
-    """``key, cls, slots, counts``: of each word its class and its counts by side and class of neighbours.
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of keys, ascending as these are."""
+    return ((codes >> 32) + (1 << 31)) * buckets >> 32
 
-    An entry of count zero tells a word's own class.
+
+def _dealt(entries: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Codes and counts summed by task: a row per bucket of ``keys, many, slots, counts``, sorted by word and slot.
+
+    ``many`` is how many of the slots are a word's; its own class has the count zero.
     """
+    held, size = [], 0
+
+    def out(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.searchsorted(_bucket(codes, buckets), np.arange(buckets + 1))
+        for i in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            yield _row(_slots(codes[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]]), i)
+
+    for codes, counts in entries:
+        held.append((codes, counts))
+        size += len(codes)
+        if size > AT_ONCE:
+            yield from out(*_compact(*map(np.concatenate, zip(*held, strict=True))))
+            held, size = [], 0
+    if size:
+        yield from out(*_compact(*map(np.concatenate, zip(*held, strict=True))))
+
+
+def _slots(codes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    keys, many = np.unique(codes & -128, return_counts=True)
+    return dict(zip(_SLOTS, (keys, many.astype(np.uint8), (codes & 127).astype(np.uint8), counts), strict=True))
+
+
+def _own(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Entries of a bucket as words with their classes: those of the entries of count zero, or of the fixed words."""
+    mark = counts == 0
+    keys, own = codes[mark] & -128, codes[mark] & 127
+    codes, counts = codes[~mark], counts[~mark]
+    firm = np.unique(codes & -128)
+    firm = firm[(firm >= 0) & (firm < PSEUDO)]
+    keys, own = np.concatenate((keys, firm)), np.concatenate((own, firm >> 7))
+    order = np.argsort(keys)
+    keys, own = keys[order], own[order]
+    many = np.diff(np.searchsorted(codes, keys | 127, side="right"), prepend=0)
+    arrays = (keys, own.astype(np.uint8), many.astype(np.uint8), (codes & 127).astype(np.uint8), counts)
+    return _row(dict(zip(_WORDS, arrays, strict=True)))
+
+
+def _sent_by_bucket(near: DataFrame, keys, classes, whole: bool) -> DataFrame:
+    """Counts by the classes sent, by bucket; with ``whole``, if all classes are sent, as words with theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            mark = counts == 0
-            keys, own = codes[mark] & -128, codes[mark] & 127
-            codes, counts = _summed(codes[~mark], counts[~mark])
-            ends = np.searchsorted(codes, keys | 127, side="right")
-            offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys), pa.array(own, pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pa.array(codes & 127, pa.int16())),
-                    pa.ListArray.from_arrays(offsets, pa.array(counts)),
-                ],
-                ["key", "cls", "slots", "counts"],
-            )
+        told = np.concatenate((np.arange(CLASSES), classes.value.astype(np.int64)))
+        for bucket, codes, many, others, counts in _arrays(batches, _NEAR):
+            counts = counts.astype(np.int64)
+            word = np.repeat(np.arange(len(codes)), many)
+            # Sorted by word and side, so sums within words come in order.
+            slot, n = _summed(word << 6 | told[others], counts)
+            found = [(codes[slot >> 6] | slot & (CLASSES - 1), n)]
+            own = codes & -128
+            place, there = _place(keys.value[0], own)
+            there &= (own < 0) | (own >= PSEUDO)
+            cls = np.where(there, told[CLASSES + np.where(there, place, 0)] if len(told) > CLASSES else 0, 0)
+            # Of the fixed words before a word sent, the words of a class are one, with that follower's class.
+            after = (codes[word] & CLASSES != 0) & (others < CLASSES) & there[word]
+            found.append(_summed(others[after].astype(np.int64) << 7 | cls[word[after]], counts[after]))
+            if whole:
+                these, first = np.unique(own[there], return_index=True)
+                found.append((these | cls[there][first], np.zeros(len(these), np.int64)))
+            found = _compact(*map(np.concatenate, zip(*found, strict=True)))
+            yield _own(*found) if whole else _row(_slots(*found), bucket)
+
+    return near.mapInArrow(run, _fields(_WORDS, False) if whole else _fields(_SLOTS))
+
+
+def _by_bucket(entries: DataFrame, buckets: int) -> DataFrame:
+    """``code, n`` by bucket."""
 
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            codes = np.concatenate((codes, batch.column("code").to_numpy()))
-            counts = np.concatenate((counts, batch.column("n").to_numpy()))
-            if len(codes) < 200_000:
-                continue
-            # The last word may go on in the next batch.
-            cut = int(np.searchsorted(codes, codes[-1] & -128))
-            if cut:
-                yield out(codes[:cut], counts[:cut])
-                codes, counts = codes[cut:], counts[cut:]
-            else:
-                codes, counts = _compact(codes, counts)
-        if len(codes):
-            yield out(codes, counts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dealt(((b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches), buckets)
 
-    dealt = entries.repartition(F.col("code").bitwiseAND(F.lit(-128).cast("bigint"))).sortWithinPartitions("code")
-    return dealt.mapInArrow(run, "key bigint, cls int, slots array<smallint>, counts array<bigint>")
+    return entries.mapInArrow(run, _fields(_SLOTS))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """``keys, cls, many, slots, counts``: of the words of a bucket their classes and their counts by side and class.
+
+    An entry of count zero tells a word's own class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        for b, keys, many, slots, counts in _arrays(batches, _SLOTS):
+            if b != bucket and held:
+                yield _own(*_compact(*map(np.concatenate, zip(*held, strict=True))))
+                held = []
+            bucket = b
+            held.append((np.repeat(keys, many) | slots.astype(np.int64), counts))
+        if held:
+            yield _own(*_compact(*map(np.concatenate, zip(*held, strict=True))))
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, _fields(_WORDS, False))
 
 
 def _compact(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of one word, summed; its own class stays apart."""
+    """Summed entries in order; those of count zero stay apart, before the others of their code."""
     mark = counts == 0
     summed, n = _summed(codes[~mark], counts[~mark])
-    codes, counts = np.concatenate((summed, codes[mark])), np.concatenate((n, counts[mark]))
+    codes, counts = np.concatenate((codes[mark], summed)), np.concatenate((counts[mark], n))
     order = np.argsort(codes, kind="stable")
     return codes[order], counts[order]
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Keys and classes of the words; word, slot and count of each entry."""
-    key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
-    word = np.repeat(np.arange(len(key)), pc.list_value_length(batch.column("slots")).to_numpy())
-    slot = batch.column("slots").flatten().to_numpy().astype(np.int64)
-    return key, cls.astype(np.int64), word, slot, batch.column("counts").flatten().to_numpy()
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each bucket keys and classes of the words; word, slot and count of each entry."""
+    for _, keys, cls, many, slots, counts in _arrays(batches, _WORDS):
+        yield keys, cls.astype(np.int64), np.repeat(np.arange(len(cls)), many), slots.astype(np.int64), counts
 
 
 def _class_table(packed: DataFrame) -> np.ndarray:
@@ -382,8 +560,7 @@ def _class_table(packed: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
-            _, cls, word, slot, n = _unpacked(batch)
+        for _, cls, word, slot, n in _buckets(batches):
             follows = slot < CLASSES
             np.add.at(total, cls[word[follows]] * CLASSES + slot[follows], n[follows])
         at = np.flatnonzero(total)
@@ -434,15 +611,15 @@ def best_classes(table: np.ndarray, cls: np.ndarray, word: np.ndarray, slot: np.
     return np.where(gain[at, best] > gain[at, cls] + 1e-9, best, cls)
 
 
-def _chosen(packed: DataFrame, table: np.ndarray, fixed: np.ndarray, share: float, sweep: int) -> DataFrame:
-    """``key, cls``: a share of the words, another one each sweep, choose their classes; those of ``fixed`` keep theirs."""
+def _chosen(packed: DataFrame, table: np.ndarray, share: float, sweep: int) -> DataFrame:
+    """``key, cls``: a share of the words, another one each sweep, choose their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, cls, word, slot, n = _unpacked(batch)
+        for key, cls, word, slot, n in _buckets(batches):
             drawn = ((key >> 7) * (2 * sweep + 1) & 1023) < share * 1024
-            new = np.where(drawn & ~_place(fixed, key)[1], best_classes(table, cls, word, slot, n), cls)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(new, pa.int32())], ["key", "cls"])
+            new = np.where(drawn, best_classes(table, cls, word, slot, n), cls)
+            real = (key < 0) | (key >= PSEUDO)
+            yield pa.RecordBatch.from_arrays([pa.array(key[real]), pa.array(new[real], pa.int32())], ["key", "cls"])
 
     return packed.mapInArrow(run, "key bigint, cls int")
 
@@ -453,31 +630,46 @@ def cluster(training: DataFrame, words: DataFrame, fixed: np.ndarray) -> tuple[D
     ``words`` has ``key, c, cls``. The keys ``fixed`` keep their seed. Sweeps end when the likelihood
     rises no more; of one that lowers it, as all words move at once, half the words are tried instead.
     """
-    spark = training.sparkSession
-    pairs = stored(count_neighbours(training), "neighbours")
-    classes = stored(words.groupBy("key").agg(F.min("cls").alias("cls"), F.max("c").alias("c")), "classes")
-    many = 0
-    bound = 1
-    for c, n in sorted(((r[0], r[1]) for r in classes.groupBy("c").count().collect()), reverse=True):
-        many += n
-        if many > SENT:
+    return _cluster(encode_texts(training), words, fixed)
+
+
+def _bound(words: DataFrame) -> tuple[int, int]:
+    """The count from which on at most ``SENT`` words are counted, and the sum of all counts ``c``."""
+    many, bound, total = 0, 1, 0
+    for c, n in sorted(((r[0], r[1]) for r in words.groupBy("c").count().collect()), reverse=True):
+        many, total = many + n, total + c * n
+        if many > SENT and bound == 1:
             bound = c + 1
-            break
-    often = classes.where(F.col("c") >= bound).select("key")
-    classes = classes.select("key", "cls")
-    rest = kept = None
+    return bound, total
+
+
+def _cluster(coded: DataFrame, words: DataFrame, fixed: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    spark = coded.sparkSession
+    send = spark.sparkContext.broadcast
+    seeds = stored(words.groupBy("key").agg(F.min("cls").alias("cls"), F.max("c").alias("c")), "classes")
+    bound, total = _bound(seeds)
+    often = seeds.where(F.col("c") >= bound).select("key")
+    firm = seeds.where(F.col("key").isin(fixed.tolist())).select("key", "cls")
+    kept_firm = firm.toArrow().sort_by("key")
+    classes = seeds.select("key", "cls")
+    loose = ~F.col("key").isin(fixed.tolist())
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    near = rest = kept = None
     share = 1.0
     for sweep in range(SWEEPS + 1):
-        top = classes.join(often, "key", "left_semi").toArrow() if bound > 1 else classes.toArrow()
+        top = (classes.join(often, "key", "left_semi") if bound > 1 else classes).toArrow()
         order = np.argsort(keys := top["key"].to_numpy())
-        sent = spark.sparkContext.broadcast((keys[order], top["cls"].to_numpy()[order].astype(np.int64)))
-        entries = _neighbours_sent(pairs, sent)
-        if bound > 1:
-            rest = rest or stored(_neighbours_open(pairs, sent), "open-neighbours")
+        if near is None:
+            sent = send((keys[order], kept_firm["key"].to_numpy(), kept_firm["cls"].to_numpy().astype(np.int64)))
+            near = stored(count_neighbours(coded, sent, buckets), "neighbours")
+            rest = stored(open_neighbours(coded, sent), "open-neighbours") if bound > 1 else None
+        packed = _sent_by_bucket(near, sent, send(top["cls"].to_numpy()[order].astype(np.int8)), rest is None)
+        if rest is not None:
             met = rest.join(classes, F.col("other") == F.col("key"))
-            entries = entries.unionByName(met.select(F.col("code").bitwiseOR(F.col("cls").cast("bigint")).alias("code"), "n"))
-        own = classes.select(F.col("key").bitwiseOR(F.col("cls").cast("bigint")).alias("code"), F.lit(0).cast("bigint").alias("n"))
-        packed = stored(_packed(entries.unionByName(own)), "word-neighbours")
+            met = met.select(F.col("code").bitwiseOR(F.col("cls").cast("bigint")).alias("code"), "n")
+            own = classes.where(loose).select(F.col("key").bitwiseOR(F.col("cls").cast("bigint")).alias("code"), F.lit(0).cast("bigint").alias("n"))
+            rows = packed.unionByName(_by_bucket(met, buckets)).unionByName(_by_bucket(own, buckets))
+            packed = stored(_packed(rows), "word-neighbours")
         table = _class_table(packed)
         now = likelihood(table)
         done = kept is not None and abs(now - kept[2]) < RISE * table.sum()
@@ -488,83 +680,81 @@ def cluster(training: DataFrame, words: DataFrame, fixed: np.ndarray) -> tuple[D
         if done:
             break
         if sweep < SWEEPS:
-            classes = stored(_chosen(kept[3], kept[1], fixed, share, sweep), "classes")
+            classes = stored(_chosen(kept[3], kept[1], share, sweep).unionByName(firm), "classes")
     return kept[0], kept[1]
 
 
 # --- scoring ----------------------------------------------------------------------------------------
 
 
-def _score(rows: DataFrame, sent) -> DataFrame:
+def _score(coded: DataFrame, sent) -> DataFrame:
     """Per row what is known without the join: tokens, partial sums, and ``open`` steps.
 
     A step with a word whose count was not sent is open: two numbers, each a class or, from ``CLASSES`` on,
-    the number of such a word in the order of the text.
+    the number of such a word in the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        counts, classes = model.coding.count, model.word_class
         divisor = np.log10(model.base[0] + model.base[1] + 1)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                tokens, known, base, score, steps = [], [], [], [], []
-                for text in batch.column("text").to_pylist():
-                    words = text.encode().lower().split()
-                    words.append(END)
-                    rare = _Numbers()
-                    coded = [c if (c := classes.get(w)) is not None else CLASSES + rare[w] for w in words]
-                    ids = np.array([0, *coded], np.int32)
-                    found = np.array([counts.get(w, 0) for w in words], np.float64)
-                    logs = np.log10(found + 1)
-                    before, after = ids[:-1], ids[1:]
-                    met = after < CLASSES
-                    both = met & (before < CLASSES)
-                    tokens.append(len(words))
-                    known.append(int((found > 0).sum()))
-                    base.append(float(logs.sum() - len(words) * divisor))
-                    score.append(float(model.step[before[both], after[both]].sum() + logs.sum() - model.within[after[met]].sum()))
-                    steps.append(np.stack((before[~both], after[~both]), axis=1).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"), batch.column("held_out"), batch.column("row"),
-                        pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                        pa.array(steps, pa.binary()),
-                    ],
-                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "open"],
-                )
-
-    return rows.mapInArrow(
+        for row, words, ids, many in _texts(batches):
+            found, cls = model.known(words)
+            log = np.log10(found + 1)
+            within = np.where(cls < 0, 0, log - model.within[cls])
+            starts = np.cumsum(many) - many
+            after = cls[ids]
+            rare = np.flatnonzero(after < 0)
+            after[rare] = CLASSES + _rare_numbers(ids, many, rare)[0]
+            before = np.concatenate(([0], after[:-1]))  # after an end, of class 0, a text begins
+            open_ = (after >= CLASSES) | (before >= CLASSES)
+            step = np.where(open_, 0, model.step[np.where(open_, 0, before), np.where(open_, 0, after)])
+            ends = np.concatenate(([0], np.cumsum(np.add.reduceat(open_, starts, dtype=np.int64)))) * 8
+            steps = np.stack((before[open_], after[open_]), axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(row.column(c)[0].values for c in ("doc_id", "held_out", "row")), pa.array(many, pa.int64()),
+                    pa.array(np.add.reduceat(found[ids] > 0, starts, dtype=np.int64)),
+                    pa.array(np.add.reduceat(log[ids], starts) - many * divisor),
+                    pa.array(np.add.reduceat(step + within[ids], starts)),
+                    pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(steps.tobytes())]),
+                ],
+                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "open"],
+            )
+
+    return coded.mapInArrow(
         run,
         "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, open binary",
     )
 
 
-def _rare(rows: DataFrame, sent) -> DataFrame:
+def _rare_numbers(ids: np.ndarray, many: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Numbers in their text of the words at ``rare`` places; text, word, number and count of each such word of a text."""
+    text = np.repeat(np.arange(len(many)), many)[rare]
+    code, which, n = np.unique(text << 32 | ids[rare], return_inverse=True, return_counts=True)
+    at = np.arange(len(code)) - np.searchsorted(code >> 32, code >> 32)
+    return at[which], code >> 32, code & 0xFFFFFFFF, at, n
+
+
+def _rare(coded: DataFrame, sent) -> DataFrame:
     """``row, word, at, n, seed`` of the words whose counts were not sent: number in the text, count, class if never met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        counts = model.coding.count
-        for whole in batches:
-            for batch in slices(whole, "text", 4_000_000):
-                rows, words, at, many = [], [], [], []
-                for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    found = Counter(w for w in text.encode().lower().split() if w not in counts)
-                    rows += [row] * len(found)
-                    words += found.keys()
-                    at += range(len(found))
-                    many += found.values()
-                seeds = [int(model.of[model.coding.element(w)]) for w in words]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(at, pa.int32()),
-                        pa.array(many, pa.int64()), pa.array(seeds, pa.int32()),
-                    ],
-                    ["row", "word", "at", "n", "seed"],
-                )
-
-    return rows.select("text", "row").mapInArrow(run, "row bigint, word binary, at int, n bigint, seed int")
+        for row, words, ids, many in _texts(batches):
+            rare = model.known(words)[1] < 0
+            _, text, own, at, n = _rare_numbers(ids, many, np.flatnonzero(rare[ids]))
+            seeds = np.zeros(len(words), np.int64)
+            seeds[rare] = model.of[model.coding.elements([w for w, r in zip(words, rare.tolist(), strict=True) if r])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    row.column("row")[0].values.take(pa.array(text)), pa.array(words, pa.binary()).take(pa.array(own)),
+                    pa.array(at, pa.int32()), pa.array(n), pa.array(seeds[own], pa.int32()),
+                ],
+                ["row", "word", "at", "n", "seed"],
+            )
+
+    wanted = coded.select("row", "many", "tokens", "words")
+    return wanted.mapInArrow(run, "row bigint, word binary, at int, n bigint, seed int")
 
 
 def _closed(scored: DataFrame, sent) -> DataFrame:
@@ -598,15 +788,15 @@ def _closed(scored: DataFrame, sent) -> DataFrame:
     return scored.mapInArrow(run, f"{fields}, n_known bigint, base_score double, score double")
 
 
-def train(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of bounded size, and ``word, c, cls`` of all words, stored."""
-    spark = training.sparkSession
-    counted = stored(count_words(training), "vocabulary")
+def train(coded: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of bounded size of the coded texts not held out, and ``word, c, cls`` of the words it does not tell."""
+    spark = coded.sparkSession
+    counted = stored(_count_coded(coded), "vocabulary")
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counted.orderBy(F.desc("c"), "word").limit(ELEMENTS).toArrow()
     coding = Coding(list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)))
     shared = spark.sparkContext.broadcast(coding)
-    pairs = count_bigrams(training, shared).toArrow()  # at most size * size rows, whatever the corpus
+    pairs = count_bigrams(coded, shared).toArrow()  # at most size * size rows, whatever the corpus
     table = np.zeros(coding.size * coding.size)
     table[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     of = exchange(table.reshape(coding.size, coding.size))
@@ -622,8 +812,9 @@ def train(training: DataFrame) -> tuple[Model, DataFrame]:
             )
 
     words = stored(counted.mapInArrow(seeded, "word binary, c bigint, key bigint, cls int"), "seeds")
-    classes, table = cluster(training, words, np.sort(keys_of([*coding.number, END])))
-    vocabulary = stored(words.drop("cls").join(classes, "key").select("word", "c", "cls"), "vocabulary")
+    classes, table = _cluster(coded, words, np.sort(keys_of([*coding.number, END])))
+    classes = F.broadcast(classes) if distinct <= SENT else classes
+    vocabulary = stored(words.drop("cls").join(classes, "key").select("word", "c", "cls", "key"), "vocabulary")
     within = np.ones(CLASSES)
     for cls, c, v in vocabulary.groupBy("cls").agg(F.sum("c"), F.count(F.lit(1))).collect():
         within[cls] += c + (v if cls else 0)  # the end is all of its class
@@ -635,7 +826,18 @@ def train(training: DataFrame) -> tuple[Model, DataFrame]:
     model.of = of
     model.word_class = dict(zip(top["word"].to_pylist(), top["cls"].to_pylist(), strict=True)) | {END: 0}
     model.within = np.log10(within)
-    return model, vocabulary
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            checks = pa.array(checks_of(batch.column("word").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), checks, batch.column("c"), batch.column("cls")], ["key", "check", "c", "cls"])
+
+    bound = _bound(vocabulary)[0]
+    often = vocabulary.where(F.col("c") >= bound).mapInArrow(checked, "key bigint, check bigint, c bigint, cls int").toArrow().sort_by("key")
+    model.sent = tuple(often[c].to_numpy().astype(np.int64) for c in ("key", "check", "c", "cls"))
+    # Of words of one key only the first is found by it.
+    twice = np.unique(model.sent[0][1:][np.diff(model.sent[0]) == 0]).tolist()
+    return model, vocabulary.where((F.col("c") < bound) | F.col("key").isin(twice)).drop("key")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -645,11 +847,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     scores its end; a null id is not held out; repeated rows are trained on and scored each. With an
     empty table, or none but held-out rows, all counts are zero and words are equally likely.
     """
-    rows = _rows(docs)
-    model, vocabulary = train(rows.where("not held_out"))
+    coded = stored(encode_texts(_rows(docs)), "coded-texts")
+    model, vocabulary = train(coded)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    scored = _score(rows, sent)
-    met = _rare(rows, sent).join(vocabulary, "word", "left").select(
+    scored = _score(coded, sent)
+    met = _rare(coded, sent).join(vocabulary, "word", "left").select(
         "row",
         F.struct(
             "at", F.coalesce("cls", "seed").alias("cls"), "n", F.coalesce("c", F.lit(0).cast("bigint")).alias("c")
