@@ -32,7 +32,8 @@ PLACE = 63 - (BANDS - 1).bit_length()
 BASE, RATE, LAST = 1.001, 20.0, 65_535
 DOUBT = 20.0  # a pair is ruled out at a likelihood e ** 20 times below the best
 ROWS, WEIGHT = 512, 1_000_000  # rows and shingles of a block
-SENT = 2_000_000  # row numbers that are sent to all tasks at most
+SENT = 2_000_000  # row numbers, or pairs of them, that are sent to all tasks at most
+STAR = 512  # pairs of one first member in a task
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(REGISTERS - 1)
 
@@ -133,22 +134,29 @@ def sketches(docs: DataFrame, size: int = 3) -> DataFrame:
     return arrow_map(numbered, work, schema, by="text")
 
 
-def full_sets(sk: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """``row, items``: the sets of the named rows of stored sketches, made again from their texts.
+def full_sets(sk: DataFrame, rows: DataFrame, size: int, further: tuple[str, ...] = ()) -> DataFrame:
+    """``row, items`` and ``further`` columns: the sets of the named rows of stored sketches, made again from their texts.
 
     Up to ``SENT`` row numbers are sent to the tasks, so that only the texts wanted are moved.
     """
+    kept = ["row", *further]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
         ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         items = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), items)], ["row", "items"])
+        sets = pa.ListArray.from_arrays(pa.array(ends), items)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sets], [*kept, "items"])
 
     wanted = stored(rows.distinct(), "rows-wanted")
-    wanted = F.broadcast(wanted) if fits(wanted, SENT) else wanted
-    own = sk.select("row", "text").join(wanted, "row", "left_semi")
-    return stored(arrow_map(own, work, "row bigint, items array<bigint>", by="text"), "full-sets")
+    own = sk.select(*kept, "text").join(_sent(wanted), "row", "left_semi")
+    fields = "".join(f"{c} {sk.schema[c].dataType.simpleString()}, " for c in kept)
+    return stored(arrow_map(own, work, f"{fields}items array<bigint>", by="text"), "full-sets")
+
+
+def _sent(narrow: DataFrame) -> DataFrame:
+    """Stored rows of a few numbers, sent to all tasks if they fit, so that what they meet is not moved."""
+    return F.broadcast(narrow) if fits(narrow, SENT) else narrow
 
 
 # --- likelihood of similarity -----------------------------------------------------------------------
@@ -236,13 +244,27 @@ def buckets(reps: DataFrame) -> DataFrame:
     return members.join(alike.select("one.*"), "band").select("band", "first", "row")
 
 
+def _paired(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """``first, row, a, b`` of each of the stored pairs: what ``wide`` tells by ``row`` of its members, as structs.
+
+    What is wide moves once: that of ``row`` once per pair, to blocks of about ``STAR`` pairs of one first
+    member, and that of ``first`` once per block.
+    """
+    told = F.struct(*(c for c in wide.columns if c != "row"))
+    blocks = stored(pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("blocks")), "stars")
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block")
+    dealt = stored(pairs.join(blocks, "first").select("first", "row", block), "dealt-pairs")
+    b = wide.select("row", told.alias("b")).join(_sent(dealt), "row")
+    a = wide.select(F.col("row").alias("first"), told.alias("a")).join(_sent(blocks), "first")
+    a = a.select("first", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return b.join(a, ["first", "block"]).select("first", "row", "a", "b")
+
+
 def _measured(pairs: DataFrame, sk: DataFrame, reps: DataFrame, far: tuple[int, int], size: int) -> DataFrame:
     """``first, row, shared, n``: pairs that may reach the similarity ``far``, measured on the full sets.
 
     ``shared`` is the size of the intersection, ``n`` that of the union.
     """
-    a = reps.select(F.col("row").alias("first"), F.col("registers").alias("a"), F.col("n").alias("n_a"))
-    b = reps.select("row", F.col("registers").alias("b"), F.col("n").alias("n_b"))
     bar = far[0] / far[1]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -250,13 +272,15 @@ def _measured(pairs: DataFrame, sk: DataFrame, reps: DataFrame, far: tuple[int,
         fit = plausible(_matrix(batch.column("a")), _matrix(batch.column("b")), *sizes, bar)
         return batch.select(["first", "row"]).filter(pa.array(fit))
 
-    sent = pairs.join(a, "first").join(b, "row").select("first", "row", "a", "b", "n_a", "n_b")
+    sent = _paired(pairs, reps.select("row", "registers", "n")).select(
+        "first", "row", F.col("a.registers").alias("a"), F.col("b.registers").alias("b"), F.col("a.n").alias("n_a"),
+        F.col("b.n").alias("n_b"),
+    )
     likely = stored(arrow_map(sent, work, "first bigint, row bigint"), "likely-pairs")
     sets = full_sets(sk, likely.select("row").union(likely.select("first")), size)
-    both = likely.join(sets.select(F.col("row").alias("first"), F.col("items").alias("x")), "first")
-    both = both.join(sets.select("row", F.col("items").alias("y")), "row")
-    shared = F.size(F.array_intersect("x", "y"))
-    measured = both.select("first", "row", shared.alias("shared"), (F.size("x") + F.size("y")).alias("n"))
+    x, y = F.col("a.items"), F.col("b.items")
+    shared = F.size(F.array_intersect(x, y))
+    measured = _paired(likely, sets).select("first", "row", shared.alias("shared"), (F.size(x) + F.size(y)).alias("n"))
     measured = measured.select("first", "row", "shared", (F.col("n") - F.col("shared")).alias("n"))
     return measured.where(F.lit(far[1]) * F.col("shared") >= F.lit(far[0]) * F.col("n"))
 
@@ -381,8 +405,8 @@ def _links_left(
     left = stored(left.join(sizes, "row").select("band", "row", "n", "group", "kind", "own"), "members-left")
     if left.isEmpty():
         return None
-    sets = full_sets(sk, left.select("row"), size).join(sk.select("row", "n", "registers"), "row")
-    dealt = _dealt(left, rows, weight).join(sets, "row")
+    sets = full_sets(sk, left.select("row"), size, ("n", "registers"))
+    dealt = sets.join(_sent(stored(_dealt(left, rows, weight), "dealt-members")), "row")
     return dealt.groupBy("band", "same", "i", "j").applyInArrow(_settle(share), "a bigint, b bigint")
 
 
@@ -404,7 +428,7 @@ def near_duplicates(
     sets = sk.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
     reps = stored(sets.join(sk.select("row", "n", "registers"), "row"), "distinct-sets")
     members = stored(buckets(reps), "bucket-rows")
-    stars = members.where("row != first").select("first", "row").distinct()
+    stars = stored(members.where("row != first").select("first", "row").distinct(), "star-pairs")
     far = (max(0, 2 * share[0] - share[1]), share[1])  # at twice the distance
     measured = stored(_measured(stars, sk, reps, far, size), "measured-pairs")
     links = measured.where(F.lit(share[1]) * F.col("shared") >= F.lit(share[0]) * F.col("n"))
