@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from reelgrid.llm import brown, chat, decontaminate, language, lines, pair_bpe, simhash, syncmers, wavelet, wordpiece
 from reelgrid.llm.queries import TRICKY, tokenizer
+from reelgrid.spreading import stored
 
 PASSAGE = " ".join(f"word{i}" for i in range(60))
 #: Columns whose names clash with what the operators use inside.
@@ -633,6 +634,33 @@ def test_sent_and_joined_classes_agree(spark, monkeypatch):
     assert joined == pytest.approx(whole)
 
 
+def test_a_sweep_moves_no_counts(spark):
+    coded = brown.encode_texts(brown._rows(_planted_docs(spark)).where("not held_out"))
+    rows = list(brown._trained(coded.toArrow().to_batches()))
+    counts = Counter(w for words, ids in rows for w in np.array(words, object)[ids])
+    fixed = np.sort(brown.keys_of([b"one", b"two", brown.END]))
+    keys = np.sort(brown.keys_of(list(counts)))
+    send = spark.sparkContext.broadcast
+    told = np.arange(len(keys)) % 7 + 1
+    sent = send((keys, fixed, told[np.searchsorted(keys, fixed)]))
+    packed = brown._sent_by_bucket(stored(brown.count_neighbours(coded, sent, 9), "near"), sent, send(told.astype(np.int8)), True)
+    assert "Exchange" not in packed._jdf.queryExecution().toString()
+    want = np.zeros((brown.CLASSES, brown.CLASSES))
+    for words, ids in rows:
+        cls = told[np.searchsorted(keys, brown.keys_of(words))][ids]
+        np.add.at(want, (np.concatenate((cls[-1:], cls[:-1])), cls), 1)
+    assert (brown._class_table(packed) == want).all()
+
+
+def test_counts_sent_by_hash_and_joined_agree(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
+    whole = {r.doc_id: (r.n_known, r.base_score) for r in brown.score_documents(docs).collect()}
+    monkeypatch.setattr(brown, "KNOWN", 20)
+    monkeypatch.setattr(brown, "SENT", 60)
+    for r in brown.score_documents(docs).collect():
+        assert (r.n_known, r.base_score) == pytest.approx(whole[r.doc_id])
+
+
 def test_brown_of_awkward_rows(odd, none):
     got = brown.score_documents(odd).collect()
     assert len(got) == odd.count() and all(r.score < 0 and r.base_score <= 0 for r in got)

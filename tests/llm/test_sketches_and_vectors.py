@@ -291,3 +291,11 @@ def test_whole_numbers_go_down_and_stop_at_the_bound(spark):
     rows = [(1, [-0.1, 0.99, 1e30], 0), (2, None, 0), (3, [1.0, None, 0.0], 0)]
     found = integers.integer_vectors(vecs_of(spark, rows), 256).collect()
     assert [np.frombuffer(bytes(r["vec"]), "<i4").tolist() for r in found] == [[-26, 253, integers.LIMIT]]
+
+
+def test_what_is_wide_moves_once_to_blocks_of_a_star(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "STAR", 4)
+    pairs = [(0, i) for i in range(1, 30)] + [(5, 6), (40, 6)]
+    wide = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "row bigint, text string")
+    found = setsketch._paired(spark.createDataFrame(pairs, "first bigint, row bigint"), wide)
+    assert sorted((r["first"], r.row, r.a.text, r.b.text) for r in found.collect()) == sorted((a, b, f"t{a}", f"t{b}") for a, b in pairs)
