@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,21 +143,41 @@ _LONG = 64  # characters; what is longer is not remembered
 _PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC5])
 
 
-class _Cache(dict):
-    """Ids by text, made where it is new; those in use come back from the older half."""
+class _Cache:
+    """Ids by text, made where they are new, of many at once; those in use come back from the older half."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
-        self.make, self.size, self.older = make, size, {}
+    def __init__(self, make: Callable[[pa.StringArray], pa.BinaryArray], size: int) -> None:
+        self.make, self.size = make, size
+        self.texts = self.older = pa.array([], pa.string())
+        self.ids = self.older_ids = pa.array([], pa.binary())
 
-    def __missing__(self, text: str) -> bytes:
-        if (ids := self.older.get(text)) is None:
-            ids = self.make(text)
-        if len(text) <= _LONG:
-            if len(self) >= self.size:
-                self.older = dict(self)
-                self.clear()
-            self[text] = ids
-        return ids
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def find(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """Ids of texts that are all different."""
+        known = pa.concat_arrays([self.texts, self.older])
+        at = pc.fill_null(pc.index_in(texts, value_set=known), len(known)).to_numpy().copy()
+        new = at == len(known)
+        at[new] += np.arange(np.count_nonzero(new), dtype=at.dtype)
+        made = self.make(texts.filter(pa.array(new))) if new.any() else self.ids[:0]
+        found = pa.concat_arrays([self.ids, self.older_ids, made]).take(pa.array(at))
+        short = pc.less_equal(pc.utf8_length(texts), _LONG).to_numpy(zero_copy_only=False)
+        kept = pa.array(np.flatnonzero((at >= len(self)) & short)[: self.size])
+        if len(self) + len(kept) > self.size:
+            self.older, self.older_ids = self.texts, self.ids
+            self.texts, self.ids = self.texts[:0], self.ids[:0]
+        self.texts = pa.concat_arrays([self.texts, texts.take(kept)])
+        self.ids = pa.concat_arrays([self.ids, found.take(kept)])
+        return found
+
+
+def _joined(parts: pa.BinaryArray, counts: list[int] | np.ndarray) -> pa.BinaryArray:
+    """So many of the parts after one another as one each."""
+    if not len(parts):
+        return pa.array([b""] * len(counts), pa.binary())
+    ends = np.frombuffer(parts.buffers()[1], np.int32)[np.cumsum([0, *counts])]
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), parts.buffers()[2]])
 
 
 class _PieceCache:
@@ -177,7 +198,7 @@ class _PieceCache:
         self.kind = np.dtype(f"<u{array(self.code).itemsize}")
         self.strange = re.compile(ODD + r"|<\|").search
         self.pieces = re.compile(_PIECES).findall
-        self.words, self.cut = _Cache(self._word, _WORDS), _Cache(self._piece, _CUT)
+        self.words, self.cut = _Cache(self._words, _WORDS), _Cache(self._pieces, _CUT)
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in set(own))
         self.byte_letters = str.maketrans(
@@ -194,18 +215,49 @@ class _PieceCache:
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_letters)
-        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.cut.__getitem__, self.pieces(word)))
+    def _pieces(self, pieces: pa.StringArray) -> pa.BinaryArray:
+        ids, many = array(self.code), [0]
+        for piece in pieces.to_pylist():
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_letters)
+            ids.extend([t.id for t in self.tokenize(shown)])
+            many.append(len(ids))
+        ends = np.array(many, np.int32) * np.int32(ids.itemsize)
+        return pa.Array.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(ends), pa.py_buffer(ids.tobytes())])
+
+    def _words(self, words: pa.StringArray) -> pa.BinaryArray:
+        plain = pc.utf8_is_alpha(words)  # words of letters alone are one piece
+        cut = [self.pieces(w) for w in words.filter(pc.invert(plain)).to_pylist()]
+        pieces = pa.concat_arrays([words.filter(plain), pa.array(chain.from_iterable(cut), pa.string())])
+        pieces = pieces.dictionary_encode()
+        ids = self.cut.find(pieces.dictionary).take(pieces.indices)
+        ids = _joined(ids, [1] * (len(words) - len(cut)) + list(map(len, cut)))
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return ids.take(pa.array(back))
 
     def _text(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return self._texts(pa.array([text]), b"")[0].as_py()
+
+    def _texts(self, texts: pa.StringArray, end: bytes) -> pa.BinaryArray:
+        lines = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        words, starts = lines.flatten().dictionary_encode(), lines.offsets.to_numpy()
+        ids = pa.concat_arrays([self.words.find(words.dictionary), pa.array([end], pa.binary())])
+        places = np.insert(words.indices.to_numpy(), starts[1:], len(ids) - 1)
+        return _joined(ids.take(pa.array(places)), np.diff(starts) + 1)
 
     def encode(self, text: str) -> bytes:
-        return self._text(text) if self.short and not self.odd(text) else self._whole(text)
+        return self.encode_all(pa.array([text]))[0].as_py()
+
+    def encode_all(self, texts: pa.StringArray, end: bytes = b"") -> pa.BinaryArray:
+        """Ids of each text with ``end`` behind them; a word is looked up once, however many texts hold it."""
+        texts = texts.cast(pa.string())
+        odd = pa.array([not self.short or self.odd(t) for t in texts.to_pylist()], pa.bool_())
+        whole = [self._whole(t) + end for t in texts.filter(odd).to_pylist()]
+        if len(whole) == len(texts):
+            return pa.array(whole, pa.binary())
+        coded = self._texts(pc.if_else(odd, "", texts), end)
+        return pc.replace_with_mask(coded, odd, pa.array(whole, pa.binary())) if whole else coded
 
 
 @lru_cache(maxsize=2)
@@ -222,8 +274,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = _coder(tokenizer_path)
         end = array(coder.code, [end_id]).tobytes()
-        ids = [coder.encode(t) + end for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        ids = coder.encode_all(batch.column("text"), end)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     return arrow_map(texts(docs), work, "doc_id bigint, ids binary", by="text")
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,19 @@ def test_known_words_are_not_cut_again(library, monkeypatch):
     assert own.encode("a naïve,\tnaïve IT'S text.") and own.encode("It's\na naïve, naïve  text.") == found
 
 
+def test_words_of_a_batch_are_looked_up_once(library):
+    own, coder = wavelet._PieceCache(tokenizer("word_bpe_49k.json")), library("word_bpe_49k.json")
+    letters = [f"{chr(c)}a b{chr(c)} {chr(c)}" for c in range(1, 0x250)]
+    cases, made = [t or "" for t in ODD] + letters + _random_texts(500) + [" ", "", " the of\tthe the ", "x" * 100], []
+    make = own.words.make
+    own.words.make = lambda words: made.extend(words.to_pylist()) or make(words)
+    expected = [[*coder.encode(t, add_special_tokens=False).ids, 2] for t in cases]
+    for _ in range(2):
+        got = own.encode_all(pa.array(cases * 2), np.array([2], own.kind).tobytes()).to_pylist()
+        assert [np.frombuffer(i, own.kind).tolist() for i in got] == expected * 2
+    assert max(c for w, c in Counter(made).items() if len(w) <= 64) == 1 and made.count("x" * 100) == 2
+
+
 def test_pair_index_forgets_and_learns_again(library, monkeypatch):
     monkeypatch.setattr(pair_bpe, "_CACHE", 20)
     own, coder = pair_bpe.PairBpe(tokenizer("byte_bpe_50k.json")), library("byte_bpe_50k.json")
