@@ -20,7 +20,6 @@ not sent, these meet the counts in a join of each sweep.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +37,15 @@ END = b"\n"  # no word holds white space
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)"
 
 
-def group_of(word: bytes) -> int:
-    """Of a word outside the most frequent: a number from its last letters."""
-    return zlib.crc32(word.rstrip(b".,;:!?#$%&*\"')")[-3:] or word[-1:]) % SUFFIXES
+_SIGNS = b".,;:!?#$%&*\"')"
+
+
+class _Groups(dict):
+    """Elements of last letters."""
+
+    def __missing__(self, letters: bytes) -> int:
+        self[letters] = i = ELEMENTS + zlib.crc32(letters) % SUFFIXES
+        return i
 
 
 def keys_of(words: list[bytes]) -> np.ndarray:
@@ -64,18 +69,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "text", F.expr(HELD_OUT).alias("held_out"), F.monotonically_increasing_id().alias("row"))
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 # --- texts as numbers ----------------------------------------------------------------------------------
 
-SLICE = 1_000_000  # bytes of text in a row of coded texts, or one text
+SLICE = 4_000_000  # bytes of text in a row of coded texts, or one text
 CODED = (
     "doc_id array<bigint>, held_out array<boolean>, row array<bigint>, many array<int>, tokens binary,"
-    " words array<binary>"
+    " words binary, sizes array<bigint>"
 )
 
 
@@ -83,21 +82,21 @@ def encode_texts(rows: DataFrame) -> DataFrame:
     """Texts cut into words once: a row holds some of them as numbers of its own distinct ``words``.
 
     Every text closes with the end, number 0; ``many`` counts its tokens. Later steps look up distinct words only.
+    Tokens and words, joined by the end, are compressed, so that each is one short value outside Python.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                number = _Numbers({END: 0})
-                tokens, many = array("I"), []
-                for text in batch.column("text").to_pylist():
-                    words = text.encode().lower().split()
-                    tokens.extend(map(number.__getitem__, words))
-                    tokens.append(0)
-                    many.append(len(words) + 1)
-                ids = np.frombuffer(tokens, np.uint32).astype(_kind(len(number)))
-                one = {c: [batch.column(c).to_pylist()] for c in ("doc_id", "held_out", "row")}
-                one |= {"many": [many], "tokens": [ids.tobytes()], "words": [list(number)]}
+                lines = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))
+                found, starts = lines.flatten(), lines.offsets.to_numpy()
+                # White space at either end of a text leaves an empty word there.
+                real = pc.binary_length(found).to_numpy() > 0
+                found, starts = found.filter(pa.array(real)).dictionary_encode(), np.concatenate(([0], np.cumsum(real)))[starts]
+                ids = np.insert(found.indices.to_numpy() + 1, starts[1:], 0).astype(_kind(len(found.dictionary) + 1))
+                words = pc.binary_join(_single(found.dictionary), END.decode())[0].as_py().encode()
+                one = {c: _single(batch.column(c)) for c in ("doc_id", "held_out", "row")}
+                one |= _packed_row({"tokens": ids.tobytes(), "words": words}) | {"many": _single(pa.array(np.diff(starts) + 1, pa.int32()))}
                 yield pa.RecordBatch.from_pydict(one, schema=_CODED)
 
     return rows.select("doc_id", "held_out", "row", "text").mapInArrow(run, CODED)
@@ -106,11 +105,25 @@ def encode_texts(rows: DataFrame) -> DataFrame:
 _CODED = pa.schema(
     [
         ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("row", pa.list_(pa.int64())),
-        ("many", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())),
+        ("many", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("sizes", pa.list_(pa.int64())),
     ]
 )
 
 
+def _single(column: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+
+
+def _packed_row(values: dict[str, bytes]) -> dict[str, pa.Array]:
+    """One row of compressed values and their sizes."""
+    row = {c: pa.array([pa.compress(x, "zstd", asbytes=True) if len(x) else b""], pa.binary()) for c, x in values.items()}
+    return row | {"sizes": pa.array([[len(x) for x in values.values()]], pa.list_(pa.int64()))}
+
+
+def _unpacked(value: bytes, size: int) -> bytes:
+    return pa.decompress(value, size, "zstd", asbytes=True) if size else b""
+
+
 def _kind(words: int) -> type:
     return np.uint16 if words <= 1 << 16 else np.uint32
 
@@ -119,9 +132,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     """Row by row of coded texts: the row, its words, its tokens, and how many tokens each text has."""
     for batch in batches:
         for i in range(batch.num_rows):
-            words = batch.column("words")[i].values.to_numpy(zero_copy_only=False).tolist()
-            ids = np.frombuffer(batch.column("tokens")[i].as_buffer(), _kind(len(words))).astype(np.int64)
+            packed = zip((batch.column(c)[i].as_py() for c in ("tokens", "words")), batch.column("sizes")[i].as_py(), strict=True)
+            ids, words = (_unpacked(*x) for x in packed)
+            words = [END, *words.split(END)] if words else [END]
+            ids = np.frombuffer(ids, _kind(len(words))).astype(np.int64)
             yield batch.slice(i, 1), words, ids, batch.column("many")[i].values.to_numpy()
+        pa.default_memory_pool().release_unused()
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -138,12 +154,24 @@ def count_words(training: DataFrame) -> DataFrame:
 
 def _count_coded(coded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).group_by("word").aggregate([("n", "sum")])
+            yield from table.rename_columns({"n_sum": "n"}).select(["word", "n"]).to_batches()
+
         for words, ids in _trained(batches):
             n = np.bincount(ids, minlength=len(words))
             met = pa.array(n > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).filter(met), pa.array(n).filter(met)], ["word", "n"])
+            held.append(pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).filter(met), pa.array(n).filter(met)], ["word", "n"]))
+            size += len(words)
+            if size > AT_ONCE:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
 
-    counted = coded.select("held_out", "many", "tokens", "words").mapInArrow(run, "word binary, n bigint")
+    counted = coded.select("held_out", "many", "tokens", "words", "sizes").mapInArrow(run, "word binary, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("c"))
 
 
@@ -155,36 +183,44 @@ class Coding:
         self.end = ELEMENTS + SUFFIXES
         self.size = self.end + 1
         self.count = dict(top) | {END: ends}
-        self._element: dict[bytes, int] = {}
-
-    def element(self, word: bytes) -> int:
-        if (i := self.number.get(word)) is None:
-            i = ELEMENTS + group_of(word)
-        if len(self._element) > 200_000:
-            self._element.clear()
-        self._element[word] = i
-        return i
+        self._own = self.number | {END: self.end}
 
     def elements(self, words: list[bytes]) -> np.ndarray:
-        """Elements of the words, the end's its own."""
-        known, new = self._element.get, self.element
-        return np.array([self.end if w == END else i if (i := known(w)) is not None else new(w) for w in words], np.int64)
+        """Elements of the words, the end's its own; words outside the most frequent have those of their last letters."""
+        own, groups = self._own.get, _Groups()
+        return np.array(
+            [i if (i := own(w)) is not None else groups[w.rstrip(_SIGNS)[-3:] or w[-1:]] for w in words], np.int64
+        )
 
 
 def count_bigrams(coded: DataFrame, coding) -> DataFrame:
-    """``pair, n``: how often an element (in ``pair // size``) is followed by another (``pair % size``)."""
+    """``pair, n``: how often an element (in ``pair // size``) is followed by another (``pair % size``).
+
+    Tasks send their counts as arrays, a row per range of pairs, and not as rows of pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coding.value
         counts = np.zeros(code.size * code.size, np.int64)
         for words, ids in _trained(batches):
             element = code.elements(words)[ids]
-            np.add.at(counts, np.concatenate(([code.end], element[:-1]))[: len(ids)] * code.size + element, 1)
+            pair = np.concatenate(([code.end], element[:-1]))[: len(ids)] * code.size + element
+            counts += np.bincount(pair, minlength=len(counts))
+        pairs = np.flatnonzero(counts)
+        ends = np.searchsorted(pairs * RANGES // len(counts), np.arange(RANGES + 1))
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            own = pairs[ends[i] : ends[i + 1]]
+            yield _row({"pairs": own.astype(np.int32), "counts": counts[own]}, i)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(coding.value.size ** 2, np.int64)
+        for _, own, n in _arrays(batches, _PAIRS):
+            counts[own] += n  # each pair once in a row
         pairs = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts[pairs])], ["pair", "n"])
 
-    counted = coded.select("held_out", "many", "tokens", "words").mapInArrow(run, "pair bigint, n bigint")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = coded.select("held_out", "many", "tokens", "words", "sizes").mapInArrow(run, _fields(_PAIRS))
+    return counted.repartition("bucket").mapInArrow(merge, "pair bigint, n bigint")
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -278,15 +314,18 @@ class Model:
 
     def known(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Counts and classes of the words that were sent; of all others the class is -1."""
-        count = np.array([self.coding.count.get(w, 0) for w in words], np.int64)
-        cls = np.array([self.word_class.get(w, -1) for w in words], np.int64)
-        open_ = np.flatnonzero(cls < 0)
-        others = [words[i] for i in open_.tolist()]
         keys, checks, counts, classes = self.sent
-        at, there = _place(keys, keys_of(others))
+        wanted = keys_of(words)
+        order = np.argsort(wanted)  # places of ascending keys are found faster
+        at, there = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        at[order], there[order] = _place(keys, wanted[order])
         if len(keys):
-            there &= checks[at] == checks_of(others)
-            count[open_[there]], cls[open_[there]] = counts[at[there]], classes[at[there]]
+            there[there] = checks[at[there]] == checks_of([words[i] for i in np.flatnonzero(there).tolist()])
+        count, cls = np.zeros(len(words), np.int64), np.full(len(words), -1)
+        count[there], cls[there] = counts[at[there]], classes[at[there]]
+        for i in np.flatnonzero(~there).tolist():
+            if (c := self.word_class.get(words[i])) is not None:
+                count[i], cls[i] = self.coding.count.get(words[i], 0), c
         return count, cls
 
 
@@ -295,7 +334,7 @@ class Model:
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes in ascending order and the sums of their counts."""
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
     starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
     return codes[starts], np.add.reduceat(counts, starts) if len(codes) else counts
@@ -308,7 +347,7 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 #: Tokens whose neighbours are summed at once, and in a row of a bucket of words, about.
-AT_ONCE, BUCKET = 1_000_000, 500_000
+AT_ONCE, BUCKET = 500_000, 500_000
 PSEUDO = CLASSES << 7  # keys below stand for all the fixed words of a class
 
 
@@ -318,12 +357,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch], sent, opened: bool) -> Iterat
     ``sent`` has the keys whose classes are sent, those that are fixed, and the classes of these. Words that are
     fixed need no counts of their own: as a word, all of a class are one, with the followers only that are fixed
     or not sent; as a neighbour, ``other`` is their class. That of another neighbour is ``CLASSES`` and its place in the keys sent, or its
-    key where ``opened`` asks for the neighbours that were not sent. Counts are summed by task, in order of words.
+    key where ``opened`` asks for the neighbours that were not sent. Counts are summed by task and side, in order of words.
     """
     places, fixed, classes = sent.value
     rows, held = [], 0
 
-    def out() -> tuple[np.ndarray, ...]:
+    def out() -> Iterator[tuple[np.ndarray, ...]]:
         keys, at = np.unique(np.concatenate([k for k, _ in rows]), return_inverse=True)
         starts = np.cumsum([0, *(len(k) for k, _ in rows)])
         ids = np.concatenate([at[s + i] for s, (_, i) in zip(starts, rows, strict=False)])
@@ -337,35 +376,34 @@ def _neighbours(batches: Iterator[pa.RecordBatch], sent, opened: bool) -> Iterat
         # Ascending keys, so that sums come out by word.
         words, own = np.unique(np.where(there, cls << 7, keys), return_inverse=True)
         before, after = np.concatenate((ids[-1:], ids[:-1])), ids
-        codes = []
+        # A side at a time, as its codes are the most that is held.
         for mine, its, side in ((before, after, 0), (after, before, 1)):
             # Followers of fixed words that are sent tell of them as their predecessors.
             these = seen[its] & (~there[mine] | (opened | there[its] if side == 0 else False))
-            codes.append((own[mine[these]] * 2 + side) << 32 | other[its[these]])
-        code = np.concatenate(codes)
-        code, n = _summed(code, np.ones(len(code), np.int64))
-        other = code & 0xFFFFFFFF
-        code = words[code >> 33] | (code >> 32 & 1) * CLASSES
-        if opened:
-            other = keys[other]
-        return code, other, n
+            code = own[mine[these]] << 32
+            code |= other[its[these]]
+            code.sort()
+            starts = np.flatnonzero(np.concatenate((code[:1] == code[:1], code[1:] != code[:-1])))
+            n = np.diff(starts, append=len(code))
+            code = code[starts]
+            its = code & 0xFFFFFFFF
+            yield words[code >> 32] | side * CLASSES, keys[its] if opened else its, n
 
     for words, ids in _trained(batches):
         if len(ids):
             rows.append((keys_of(words), ids))
             held += len(ids)
         if held > AT_ONCE:
-            yield out()
+            yield from out()
             rows, held = [], 0
     if held:
-        yield out()
+        yield from out()
 
 
 def _row(arrays: dict[str, np.ndarray], bucket: int | None = None) -> pa.RecordBatch:
     """One row of arrays, with a bucket or none."""
-    row = {c: pa.array([pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True) if len(x) else b""], pa.binary()) for c, x in arrays.items()}
-    size = {"sizes": pa.array([[x.nbytes for x in arrays.values()]], pa.list_(pa.int64()))}
-    return pa.RecordBatch.from_pydict(({} if bucket is None else {"bucket": pa.array([bucket], pa.int32())}) | row | size)
+    row = _packed_row({c: np.ascontiguousarray(x).tobytes() for c, x in arrays.items()})
+    return pa.RecordBatch.from_pydict(({} if bucket is None else {"bucket": pa.array([bucket], pa.int32())}) | row)
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[tuple]:
@@ -378,6 +416,8 @@ def _arrays(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterat
             )
 
 
+RANGES = 64  # of pairs of elements
+_PAIRS = {"pairs": np.int32, "counts": np.int64}
 _NEAR = {"codes": np.int64, "many": np.uint32, "others": np.int32, "counts": np.uint32}
 _SLOTS = {"keys": np.int64, "many": np.uint8, "slots": np.uint8, "counts": np.int64}
 _WORDS = {"keys": np.int64, "cls": np.uint8, "many": np.uint8, "slots": np.uint8, "counts": np.int64}
@@ -398,8 +438,8 @@ def count_neighbours(coded: DataFrame, sent, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for arrays in _neighbours(batches, sent, False):
             ends = np.searchsorted(_bucket(arrays[0], buckets), np.arange(buckets + 1))
-            for i in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-                yield _row(_near(*(x[ends[i] : ends[i + 1]] for x in arrays)), i)
+            rows = [_row(_near(*(x[ends[i] : ends[i + 1]] for x in arrays)), i) for i in np.flatnonzero(np.diff(ends)).tolist()]
+            yield from rows and [pa.concat_batches(rows)]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -421,7 +461,7 @@ def count_neighbours(coded: DataFrame, sent, buckets: int) -> DataFrame:
         if held:
             yield out()
 
-    wanted = coded.select("held_out", "many", "tokens", "words").mapInArrow(run, _fields(_NEAR))
+    wanted = coded.select("held_out", "many", "tokens", "words", "sizes").mapInArrow(run, _fields(_NEAR))
     return wanted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, _fields(_NEAR))
 
 
@@ -432,7 +472,7 @@ def open_neighbours(coded: DataFrame, sent) -> DataFrame:
         for arrays in _neighbours(batches, sent, True):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["code", "other", "n"])
 
-    wanted = coded.select("held_out", "many", "tokens", "words")
+    wanted = coded.select("held_out", "many", "tokens", "words", "sizes")
     return wanted.mapInArrow(run, "code bigint, other bigint, n bigint")
 
 
@@ -562,7 +602,8 @@ def _class_table(packed: DataFrame) -> np.ndarray:
         total = np.zeros(CLASSES * CLASSES, np.int64)
         for _, cls, word, slot, n in _buckets(batches):
             follows = slot < CLASSES
-            np.add.at(total, cls[word[follows]] * CLASSES + slot[follows], n[follows])
+            cell = cls[word[follows]] * CLASSES + slot[follows]
+            total += np.bincount(cell, n[follows], len(total)).astype(np.int64)  # exact below 2^53
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -591,11 +632,11 @@ def best_classes(table: np.ndarray, cls: np.ndarray, word: np.ndarray, slot: np.
     both = np.concatenate((table, table.T), axis=1)  # of each class its followers, then its predecessors
     sides = np.stack((table.sum(axis=1), table.sum(axis=0)))
     lean = 10 * (both.sum(axis=0) + 1) / (table.sum() + CLASSES)
-    logs = np.log(both + lean)
+    logs = np.ascontiguousarray(np.log(both + lean).T)
     gain = np.zeros((len(cls), CLASSES))
     for i in range(0, len(word), 16_384):
         w, k, c = word[i : i + 16_384], slot[i : i + 16_384], n[i : i + 16_384].astype(np.float64)
-        there = logs[:, k].T
+        there = logs[k]
         own = cls[w]
         there[np.arange(len(w)), own] = np.log(np.maximum(both[own, k] - c, 0) + lean[k])
         first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
@@ -753,7 +794,7 @@ def _rare(coded: DataFrame, sent) -> DataFrame:
                 ["row", "word", "at", "n", "seed"],
             )
 
-    wanted = coded.select("row", "many", "tokens", "words")
+    wanted = coded.select("row", "many", "tokens", "words", "sizes")
     return wanted.mapInArrow(run, "row bigint, word binary, at int, n bigint, seed int")
 
 
@@ -805,7 +846,7 @@ def train(coded: DataFrame) -> tuple[Model, DataFrame]:
         code = shared.value
         for batch in batches:
             words = batch.column("word").to_pylist()
-            seeds = [code.end if w == END else code.element(w) for w in words]
+            seeds = code.elements(words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), batch.column("c"), pa.array(keys_of(words)), pa.array(of[seeds], pa.int32())],
                 ["word", "c", "key", "cls"],
@@ -819,12 +860,9 @@ def train(coded: DataFrame) -> tuple[Model, DataFrame]:
     for cls, c, v in vocabulary.groupBy("cls").agg(F.sum("c"), F.count(F.lit(1))).collect():
         within[cls] += c + (v if cls else 0)  # the end is all of its class
     top = vocabulary.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
-    ranked = list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
     ends = vocabulary.where(F.col("word") == F.lit(END)).first()
-    coding.count = dict(ranked) | {END: ends["c"] if ends else 0}
     model = Model(coding, table, np.arange(CLASSES), {}, (total, distinct))
     model.of = of
-    model.word_class = dict(zip(top["word"].to_pylist(), top["cls"].to_pylist(), strict=True)) | {END: 0}
     model.within = np.log10(within)
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -834,9 +872,14 @@ def train(coded: DataFrame) -> tuple[Model, DataFrame]:
 
     bound = _bound(vocabulary)[0]
     often = vocabulary.where(F.col("c") >= bound).mapInArrow(checked, "key bigint, check bigint, c bigint, cls int").toArrow().sort_by("key")
-    model.sent = tuple(often[c].to_numpy().astype(np.int64) for c in ("key", "check", "c", "cls"))
+    model.sent = tuple(often[c].to_numpy().astype(kind) for c, kind in (("key", np.int64), ("check", np.int64), ("c", np.int64), ("cls", np.int8)))
     # Of words of one key only the first is found by it.
     twice = np.unique(model.sent[0][1:][np.diff(model.sent[0]) == 0]).tolist()
+    # Words found by their hashes need no other way.
+    top = top.filter((pc.field("c") < bound) | pc.field("key").isin(twice))
+    names = top["word"].to_pylist()
+    coding.count = dict(zip(names, top["c"].to_pylist(), strict=True)) | {END: ends["c"] if ends else 0}
+    model.word_class = dict(zip(names, top["cls"].to_pylist(), strict=True)) | {END: 0}
     return model, vocabulary.where((F.col("c") < bound) | F.col("key").isin(twice)).drop("key")
 
 
