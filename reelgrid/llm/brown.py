@@ -20,7 +20,7 @@ not sent, these meet the counts in a join of each sweep.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +135,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             packed = zip((batch.column(c)[i].as_py() for c in ("tokens", "words")), batch.column("sizes")[i].as_py(), strict=True)
             ids, words = (_unpacked(*x) for x in packed)
             words = [END, *words.split(END)] if words else [END]
-            ids = np.frombuffer(ids, _kind(len(words))).astype(np.int64)
+            ids = np.frombuffer(ids, _kind(len(words)))
             yield batch.slice(i, 1), words, ids, batch.column("many")[i].values.to_numpy()
         pa.default_memory_pool().release_unused()
 
@@ -203,7 +203,7 @@ def count_bigrams(coded: DataFrame, coding) -> DataFrame:
         code = coding.value
         counts = np.zeros(code.size * code.size, np.int64)
         for words, ids in _trained(batches):
-            element = code.elements(words)[ids]
+            element = code.elements(words).astype(np.int32)[ids]
             pair = np.concatenate(([code.end], element[:-1]))[: len(ids)] * code.size + element
             counts += np.bincount(pair, minlength=len(counts))
         pairs = np.flatnonzero(counts)
@@ -348,6 +348,7 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 #: Tokens whose neighbours are summed at once, and in a row of a bucket of words, about.
 AT_ONCE, BUCKET = 500_000, 500_000
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 PSEUDO = CLASSES << 7  # keys below stand for all the fixed words of a class
 
 
@@ -365,6 +366,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], sent, opened: bool) -> Iterat
     def out() -> Iterator[tuple[np.ndarray, ...]]:
         keys, at = np.unique(np.concatenate([k for k, _ in rows]), return_inverse=True)
         starts = np.cumsum([0, *(len(k) for k, _ in rows)])
+        at = at.astype(np.int32)
         ids = np.concatenate([at[s + i] for s, (_, i) in zip(starts, rows, strict=False)])
         place, there = _place(fixed, keys)
         place, cls = np.where(there, place, 0), classes[place] if len(fixed) else place
@@ -375,12 +377,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], sent, opened: bool) -> Iterat
             seen, other = there | met, np.where(there, cls, CLASSES + where)
         # Ascending keys, so that sums come out by word.
         words, own = np.unique(np.where(there, cls << 7, keys), return_inverse=True)
+        own = own.astype(np.int32)
         before, after = np.concatenate((ids[-1:], ids[:-1])), ids
         # A side at a time, as its codes are the most that is held.
         for mine, its, side in ((before, after, 0), (after, before, 1)):
             # Followers of fixed words that are sent tell of them as their predecessors.
             these = seen[its] & (~there[mine] | (opened | there[its] if side == 0 else False))
-            code = own[mine[these]] << 32
+            code = own[mine[these]].astype(np.int64) << 32
             code |= other[its[these]]
             code.sort()
             starts = np.flatnonzero(np.concatenate((code[:1] == code[:1], code[1:] != code[:-1])))
@@ -525,6 +528,11 @@ def _own(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 def _sent_by_bucket(near: DataFrame, keys, classes, whole: bool) -> DataFrame:
     """Counts by the classes sent, by bucket; with ``whole``, if all classes are sent, as words with theirs."""
+    return near.mapInArrow(_by_classes(keys, classes, whole), _fields(_WORDS, False) if whole else _fields(_SLOTS))
+
+
+def _by_classes(keys, classes, whole: bool) -> Step:
+    """What a task of ``_sent_by_bucket`` does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.concatenate((np.arange(CLASSES), classes.value.astype(np.int64)))
@@ -547,7 +555,7 @@ def _sent_by_bucket(near: DataFrame, keys, classes, whole: bool) -> DataFrame:
             found = _compact(*map(np.concatenate, zip(*found, strict=True)))
             yield _own(*found) if whole else _row(_slots(*found), bucket)
 
-    return near.mapInArrow(run, _fields(_WORDS, False) if whole else _fields(_SLOTS))
+    return run
 
 
 def _by_bucket(entries: DataFrame, buckets: int) -> DataFrame:
@@ -595,12 +603,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         yield keys, cls.astype(np.int64), np.repeat(np.arange(len(cls)), many), slots.astype(np.int64), counts
 
 
-def _class_table(packed: DataFrame) -> np.ndarray:
-    """Counts of class after class."""
+def _class_table(packed: DataFrame, first: Step = iter) -> np.ndarray:
+    """Counts of class after class; ``first`` makes the words' rows of those of ``packed``, in the same Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for _, cls, word, slot, n in _buckets(batches):
+        for _, cls, word, slot, n in _buckets(first(batches)):
             follows = slot < CLASSES
             cell = cls[word[follows]] * CLASSES + slot[follows]
             total += np.bincount(cell, n[follows], len(total)).astype(np.int64)  # exact below 2^53
@@ -652,11 +660,11 @@ def best_classes(table: np.ndarray, cls: np.ndarray, word: np.ndarray, slot: np.
     return np.where(gain[at, best] > gain[at, cls] + 1e-9, best, cls)
 
 
-def _chosen(packed: DataFrame, table: np.ndarray, share: float, sweep: int) -> DataFrame:
-    """``key, cls``: a share of the words, another one each sweep, choose their classes."""
+def _chosen(packed: DataFrame, table: np.ndarray, share: float, sweep: int, first: Step = iter) -> DataFrame:
+    """``key, cls``: a share of the words, another one each sweep, choose their classes; ``first`` as above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cls, word, slot, n in _buckets(batches):
+        for key, cls, word, slot, n in _buckets(first(batches)):
             drawn = ((key >> 7) * (2 * sweep + 1) & 1023) < share * 1024
             new = np.where(drawn, best_classes(table, cls, word, slot, n), cls)
             real = (key < 0) | (key >= PSEUDO)
@@ -704,24 +712,25 @@ def _cluster(coded: DataFrame, words: DataFrame, fixed: np.ndarray) -> tuple[Dat
             sent = send((keys[order], kept_firm["key"].to_numpy(), kept_firm["cls"].to_numpy().astype(np.int64)))
             near = stored(count_neighbours(coded, sent, buckets), "neighbours")
             rest = stored(open_neighbours(coded, sent), "open-neighbours") if bound > 1 else None
-        packed = _sent_by_bucket(near, sent, send(top["cls"].to_numpy()[order].astype(np.int8)), rest is None)
+        told = send(top["cls"].to_numpy()[order].astype(np.int8))
+        packed, first = near, _by_classes(sent, told, True)
         if rest is not None:
             met = rest.join(classes, F.col("other") == F.col("key"))
             met = met.select(F.col("code").bitwiseOR(F.col("cls").cast("bigint")).alias("code"), "n")
             own = classes.where(loose).select(F.col("key").bitwiseOR(F.col("cls").cast("bigint")).alias("code"), F.lit(0).cast("bigint").alias("n"))
-            rows = packed.unionByName(_by_bucket(met, buckets)).unionByName(_by_bucket(own, buckets))
-            packed = stored(_packed(rows), "word-neighbours")
-        table = _class_table(packed)
+            rows = _sent_by_bucket(near, sent, told, False).unionByName(_by_bucket(met, buckets)).unionByName(_by_bucket(own, buckets))
+            packed, first = stored(_packed(rows), "word-neighbours"), iter
+        table = _class_table(packed, first)
         now = likelihood(table)
         done = kept is not None and abs(now - kept[2]) < RISE * table.sum()
         if kept is None or now > kept[2]:
-            kept = (classes, table, now, packed)
+            kept = (classes, table, now, packed, first)
         else:
             share /= 2
         if done:
             break
         if sweep < SWEEPS:
-            classes = stored(_chosen(kept[3], kept[1], share, sweep).unionByName(firm), "classes")
+            classes = stored(_chosen(kept[3], kept[1], share, sweep, kept[4]).unionByName(firm), "classes")
     return kept[0], kept[1]
 
 

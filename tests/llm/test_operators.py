@@ -666,6 +666,23 @@ def test_a_sweep_moves_no_counts(spark):
     assert (brown._class_table(packed) == want).all()
 
 
+def test_a_sweep_keeps_one_python_worker_a_task(spark, monkeypatch):
+    made, chosen = [], brown._chosen
+    monkeypatch.setattr(brown, "_chosen", lambda *args: made.append(chosen(*args)) or made[-1])
+    brown.train(stored(brown.encode_texts(brown._rows(_planted_docs(spark))), "coded"))
+    assert made and all(d._jdf.queryExecution().logical().toString().count("MapInArrow") == 1 for d in made)
+
+
+def test_coded_texts_keep_words_and_tokens(spark, odd):
+    rows = brown._rows(odd)
+    got = Counter()
+    for row, words, ids, many in brown._texts(brown.encode_texts(rows).toArrow().to_batches()):
+        assert words[0] == brown.END and len(set(words)) == len(words) and row.column("tokens")[0].as_py()
+        ends = np.cumsum(many)
+        got.update(tuple(words[i] for i in ids[e - n : e]) for e, n in zip(ends, many, strict=True))
+    assert got == Counter((*r.text.encode().lower().split(), brown.END) for r in rows.collect())
+
+
 def test_counts_sent_by_hash_and_joined_agree(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
     whole = {r.doc_id: (r.n_known, r.base_score) for r in brown.score_documents(docs).collect()}
