@@ -1,8 +1,9 @@
 """Search tables kept up by batches of media items, instead of being built anew.
 
-Every commit makes a *version*. What a batch adds is a *part* named by that version: its segments, postings, index
-entries, vectors and a row per media item. What it removes or replaces is a table of *marks*, the media item and the
-part that held it, and negative word counts of that part. A version's manifest names the live parts, the versions
+Every commit makes a *version*. What a batch adds is a *part* named by that version: its segments, index entries,
+vectors and a row per media item. Postings are made once per batch and kept as entries only; those of removed media
+items are made again from their segments. What a batch removes or replaces is a table of *marks*, the media item and
+the part that held it, and negative word counts of that part. A version's manifest names the live parts, the versions
 whose marks count, and the corpus figures; it is one file and written last, so readers see a version whole or
 not at all, and a commit that was cut off is done again under the same number. A media item lives in one part at a
 time. Word counts are whole numbers, so the merged statistics equal those of an index built at once.
@@ -20,17 +21,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from reelgrid.operators.lexical import LexicalIndex, build_postings, ordered_entries
+from reelgrid.operators.lexical import TASK_ENTRIES, LexicalIndex, build_postings
+from reelgrid.operators.packed import PACKED, pack_entries, pack_postings, range_bounds, unpack
 from reelgrid.schemas import BM25_EPSILON, VECTORS
+from reelgrid.spreading import fits, remove, tasks_for
 
 FANIN = 4  # parts of about one size that are merged into one
 DEAD_SHARE = 0.25  # a part with more dead documents than this is written again
 SENT_MARKS = 10_000  # most marked media items that become a filter of a scan
+SENT_FILES = 1_000  # most files of segments that are read one by one
+SAMPLE_DOCS = 2_000  # documents from which the ranges of a part's entries are taken, about
+SAMPLE_ENTRIES = 200_000  # entries of them that are collected, about
 MANIFEST = (
     "version bigint, parts array<struct<part: bigint, docs: bigint, dead: bigint, vectors: boolean>>, "
     "marks array<bigint>, n_docs bigint, n_words bigint, mean_idf double, applied map<string, bigint>"
 )
-PART_TABLES = ("segments", "postings", "entries", "media", "vectors")
+MEDIA = "media_id string, n_segments bigint, n_docs bigint, n_words bigint, files array<string>"
+PART_TABLES = ("segments", "runs", "entries", "media", "vectors", "postings")  # the last in indexes of earlier code only
 
 
 class Index(NamedTuple):
@@ -84,7 +91,12 @@ def _marks(spark: SparkSession, path: str, state: dict[str, Any]) -> DataFrame |
     if not state["marks"]:
         return None
     gone = spark.read.parquet(*[f"{path}/gone/by={v}" for v in state["marks"]])
-    return gone.where(F.col("part").isin(_parts(state)))
+    return _sent(gone.where(F.col("part").isin(_parts(state))))
+
+
+def _sent(gone: DataFrame) -> DataFrame:
+    """Marks that are few enough go to every task, so that what they are looked up for is not shuffled."""
+    return F.broadcast(gone) if fits(gone) else gone
 
 
 def _read(spark: SparkSession, path: str, table: str, parts: list[int], schema: str | None = None) -> DataFrame:
@@ -112,8 +124,8 @@ def _live_vectors(spark: SparkSession, path: str, state: dict[str, Any], parts:
 
 
 def _vector_ddl(spark: SparkSession, path: str, state: dict[str, Any]) -> str:
-    """Vectors know a segment by the type its id has in the postings."""
-    kind = _read(spark, path, "postings", _parts(state)[:1]).schema["segment_id"].dataType.simpleString()
+    """Vectors know a segment by the type its id has in the entries."""
+    kind = _read(spark, path, "entries", _parts(state)[:1]).schema["segment_id"].dataType.simpleString()
     rest = [f"{f.name} {f.dataType.simpleString()}" for f in VECTORS.fields if f.name != "segment_id"]
     return ", ".join(["media_id string", f"segment_id {kind}", *rest])
 
@@ -167,25 +179,66 @@ def pending(media: DataFrame, path: str) -> DataFrame:
     return media.join(_live(spark, path, "media", state).select("media_id"), "media_id", "left_anti")
 
 
-def _write_part(path: str, part: int, segments: DataFrame, postings: DataFrame | None, vectors: DataFrame | None) -> None:
-    """All tables of a part; each is read from the one stored before it, so nothing is computed twice."""
+def _write(df: DataFrame, path: str, mode: str = "overwrite", **options: str) -> None:
+    df.write.mode(mode).option("compression", "zstd").options(**options).parquet(path)
+
+
+def _postings(segments: DataFrame) -> DataFrame:
+    keyed = segments.select(F.struct("media_id", "segment_id").alias("_key"), "text")
+    return build_postings(keyed, "_key").select("segment_id.*", "doc_len", "terms")
+
+
+def _write_entries(path: str, part: int, packed: DataFrame, parts: int) -> None:
+    kind = packed.sparkSession.read.parquet(f"{path}/segments/part={part}").schema["segment_id"].dataType.simpleString()
+    # ids of too many documents for a dictionary are stored as differences, which only this version does
+    _write(unpack(packed, parts, kind), f"{path}/entries/part={part}", **{"parquet.writer.version": "PARQUET_2_0"})
+
+
+def _index_segments(path: str, part: int, kept: DataFrame) -> DataFrame:
+    """Write the entries of a part's segments; ``(media_id, doc_len)`` per document. Texts are cut into words once."""
+    spark = kept.sparkSession
+    share = min(1.0, SAMPLE_DOCS / max(kept.count(), 1))
+    runs = f"{path}/runs/part={part}"
+    _write(_postings(kept if share == 1.0 else kept.sample(share, 0)), f"{runs}/of=sample")
+    few = spark.read.parquet(f"{runs}/of=sample")
+    n = few.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
+    sample = few.select("media_id", "segment_id", F.inline_outer("terms")).where("token is not null")
+    parts = tasks_for(spark, int(n / share), TASK_ENTRIES)
+    bounds = range_bounds(sample.sample(min(1.0, SAMPLE_ENTRIES / max(n, 1)), 0), parts)
+    pack_postings(_postings(kept), bounds).write.mode("overwrite").parquet(f"{runs}/of=all")
+    packed = spark.read.schema(PACKED).parquet(f"{runs}/of=all")
+    _write_entries(path, part, packed, parts)
+    return packed.select(F.inline("lengths"))
+
+
+def _merge_entries(path: str, part: int, entries: DataFrame, held: DataFrame) -> None:
+    """Write what lives of the entries held by other parts as those of a new part."""
+    n = held.count()
+    parts = tasks_for(entries.sparkSession, n, TASK_ENTRIES)
+    bounds = range_bounds(held.sample(min(1.0, SAMPLE_ENTRIES / max(n, 1)), 0), parts)
+    _write_entries(path, part, pack_entries(entries, bounds), parts)
+
+
+def _write_part(path: str, part: int, segments: DataFrame, vectors: DataFrame | None, merged: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> None:
+    """All tables of a part; each is read from the one stored before it, so nothing is computed twice.
+
+    What is merged of other parts comes with their live entries and media items, and all entries they hold.
+    """
     spark = segments.sparkSession
-    segments.write.mode("overwrite").parquet(f"{path}/segments/part={part}")
+    _write(segments, f"{path}/segments/part={part}")
     kept = spark.read.parquet(f"{path}/segments/part={part}")
-    if postings is None:
-        keyed = kept.select(F.struct("media_id", "segment_id").alias("_key"), "text")
-        postings = build_postings(keyed, "_key").select("segment_id.*", "doc_len", "terms")
-    order = ["media_id", "segment_id"]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings/part={part}")
-    postings = spark.read.parquet(f"{path}/postings/part={part}")
-    entries = postings.select("media_id", "segment_id", "doc_len", F.inline_outer("terms")).where("token is not null")
-    counts = postings.agg(F.sum(F.greatest(F.size("terms"), F.lit(0))).alias("df"))
-    ordered = ordered_entries(entries, counts, ["token", "media_id", "segment_id"])
-    ordered.write.mode("overwrite").parquet(f"{path}/entries/part={part}")
-    per_segment = kept.groupBy("media_id").agg(F.count(F.lit(1)).alias("n_segments"))
-    lengths = postings.groupBy("media_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_len").alias("n_words"))
+    if merged is None:
+        per_document = _index_segments(path, part, kept)
+        lengths = per_document.groupBy("media_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_len").alias("n_words"))
+    else:
+        entries, live, held = merged
+        _merge_entries(path, part, entries, held)
+        lengths = live.select("media_id", "n_docs", "n_words")
+    located = kept.select("media_id", F.col("_metadata.file_name").alias("file"))
+    per_segment = located.groupBy("media_id").agg(F.count(F.lit(1)).alias("n_segments"), F.collect_set("file").alias("files"))
     media = per_segment.join(lengths, "media_id", "left").fillna(0, ["n_docs", "n_words"])
-    media.write.mode("overwrite").parquet(f"{path}/media/part={part}")
+    _write(media.select("media_id", "n_segments", "n_docs", "n_words", "files"), f"{path}/media/part={part}")
+    remove(spark, f"{path}/runs/part={part}")
     if vectors is not None:
         if "media_id" not in vectors.columns:
             vectors = vectors.join(kept.select("segment_id", "media_id"), "segment_id")
@@ -193,21 +246,33 @@ def _write_part(path: str, part: int, segments: DataFrame, postings: DataFrame |
         held.write.mode("overwrite").partitionBy("modality").parquet(f"{path}/vectors/part={part}")
 
 
+def _segments_of(spark: SparkSession, path: str, gone: DataFrame, parts: list[int]) -> DataFrame:
+    """Segments of these parts, from the files that hold marked media items where those are few."""
+    media = _read(spark, path, "media", parts, MEDIA + ", part bigint")
+    holding = media.join(_sent(gone), ["media_id", "part"], "left_semi").select("part", F.explode_outer("files").alias("file")).distinct()
+    files = holding.limit(SENT_FILES + 1).collect()
+    if len(files) > SENT_FILES or any(r["file"] is None for r in files):
+        return _read(spark, path, "segments", parts)
+    held = spark.read.option("basePath", f"{path}/segments").parquet(*[f"{path}/segments/part={r['part']}/{r['file']}" for r in files])
+    return held.withColumn("part", F.col("part").cast("bigint"))
+
+
 def _mark(path: str, version: int, state: dict[str, Any], media: DataFrame) -> bool:
     """Mark the live ones of these media items as dead and store their words' counts; False if none is live."""
     spark = media.sparkSession
     live = _live(spark, path, "media", state).select("media_id", "part")
     live.join(media.select("media_id").distinct(), "media_id", "left_semi").write.mode("overwrite").parquet(f"{path}/gone/by={version}")
     gone = spark.read.parquet(f"{path}/gone/by={version}")
-    some = gone.limit(SENT_MARKS + 1).collect()  # bounded; few ids prune the row groups of postings in their order
+    some = gone.limit(SENT_MARKS + 1).collect()  # bounded; few ids prune row groups where segments came in their order
     if not some:
         return False
-    held = _read(spark, path, "postings", sorted({r["part"] for r in some}) if len(some) <= SENT_MARKS else _parts(state))
-    if len(some) <= SENT_MARKS:
+    few = len(some) <= SENT_MARKS
+    held = _segments_of(spark, path, gone, sorted({r["part"] for r in some}) if few else _parts(state))
+    if few:
         held = held.where(F.col("media_id").isin([r["media_id"] for r in some]))
-    dead = held.join(gone, ["media_id", "part"], "left_semi").select("part", F.explode_outer("terms.token").alias("token"))
-    counts = dead.where("token is not null").groupBy("part", "token").agg((-F.count(F.lit(1))).alias("n"))
-    counts.write.mode("append").parquet(f"{path}/words/by={version}")
+    dead = build_postings(held.join(_sent(gone), ["media_id", "part"], "left_semi"), "part")
+    tokens = dead.select(F.col("segment_id").alias("part"), F.explode_outer("terms.token").alias("token")).where("token is not null")
+    _write(tokens.groupBy("part", "token").agg((-F.count(F.lit(1))).alias("n")), f"{path}/words/by={version}", "append")
     return True
 
 
@@ -259,7 +324,7 @@ def commit(
     """Add segments ``(media_id, segment_id, text, ...)`` with their vectors, remove media items; the new version.
 
     Media items of the batch that the index already holds are replaced whole. ``segment_id`` is the segment's unique
-    key. The work grows with the batch, the postings of what is replaced and the vocabulary, not with the index.
+    key. The work grows with the batch, the files with segments of what is replaced and the vocabulary, not with the index.
     A ``batch`` of a ``source`` that was committed before changes nothing.
     """
     state = _next(spark, path)
@@ -270,12 +335,12 @@ def commit(
     version, before = state["version"], dict(state)
     added = False
     if segments is not None:
-        _write_part(path, version, segments, None, vectors)
+        _write_part(path, version, segments, vectors)
         added = spark.read.parquet(f"{path}/media/part={version}").limit(1).count() > 0
     if added:
         entries = spark.read.parquet(f"{path}/entries/part={version}")
         counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(F.lit(version).cast("bigint").alias("part"), "token", "n")
-        counts.write.mode("append").parquet(f"{path}/words/by={version}")
+        _write(counts, f"{path}/words/by={version}", "append")
         state["parts"] = [*state["parts"], {"part": version, "docs": 0, "dead": 0, "vectors": vectors is not None}]
     if before["parts"] and (added or removed is not None):
         names = [removed.select("media_id")] if removed is not None else []
@@ -316,12 +381,13 @@ def compact(spark: SparkSession, path: str, fanin: int = FANIN, dead_share: floa
         return manifest(spark, path)["version"]
     state = _next(spark, path)
     version = state["version"]
-    segments, postings = (_live(spark, path, t, state, due).drop("part") for t in ("segments", "postings"))
+    segments, entries, media = (_live(spark, path, t, state, due).drop("part") for t in ("segments", "entries", "media"))
     vectors = _live_vectors(spark, path, state, due)
-    _write_part(path, version, segments, postings, None if vectors is None else vectors.drop("part"))
+    merged = entries, media, _read(spark, path, "entries", due)
+    _write_part(path, version, segments, None if vectors is None else vectors.drop("part"), merged)
     entries = spark.read.parquet(f"{path}/entries/part={version}")
     counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(F.lit(version).cast("bigint").alias("part"), "token", "n")
-    counts.write.mode("append").parquet(f"{path}/words/by={version}")
+    _write(counts, f"{path}/words/by={version}", "append")
     state["parts"] = [p for p in state["parts"] if p["part"] not in due]
     state["parts"].append({"part": version, "docs": 0, "dead": 0, "vectors": vectors is not None})
     return _publish(spark, path, state)

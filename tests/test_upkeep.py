@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from reelgrid.operators.lexical import bm25_search, build_postings
 from reelgrid.operators.vectors import vector_search
 from reelgrid.plans import upkeep
+from reelgrid.spreading import shared_dir
+from reelgrid.workloads import load
 
 SCHEMA = "media_id string, segment_id string, text string, start double"
 WORDS = [f"w{i}" for i in range(60)]
@@ -193,3 +196,45 @@ def test_a_stream_of_media_is_ingested_once(spark, rows, tmp_path):
     rows([(m,) for m in names[6:]], "media_id string").coalesce(1).write.mode("append").parquet(feed)
     run()
     assert_equals_rebuilt(upkeep.read_index(spark, path), data)
+
+
+def test_marks_that_are_too_many_to_send_and_files_too_many_to_name(spark, rows, tmp_path, monkeypatch):
+    data = corpus(40, seed=5)
+    for n, limits in enumerate(({"fits": lambda _: False, "SENT_FILES": 0}, {"SENT_MARKS": 2}, {})):
+        path = str(tmp_path / f"index{n}")
+        with monkeypatch.context() as patched:
+            for name, value in limits.items():
+                patched.setattr(upkeep, name, value)
+            upkeep.commit(spark, path, rows(data, SCHEMA).repartition(4))
+            fresh = [(f"m{i}", f"m{i}#0", f"w{i} again", 0.0) for i in range(0, 40, 4)]
+            upkeep.commit(spark, path, rows(fresh, SCHEMA), removed=rows([("m1",), ("m2",)], "media_id string"))
+            left = [d for d in data if d[0] not in {"m1", "m2"} | {f[0] for f in fresh}] + fresh
+            assert_equals_rebuilt(upkeep.read_index(spark, path), left)
+            upkeep.compact(spark, path, dead_share=0.2)
+            assert_equals_rebuilt(upkeep.read_index(spark, path), left)
+
+
+def test_dead_media_are_read_from_the_files_that_hold_them(spark, rows, tmp_path):
+    path = str(tmp_path / "index")
+    upkeep.commit(spark, path, rows(corpus(40, seed=6), SCHEMA).repartitionByRange(4, "media_id"))
+    gone = rows([("m7", 1)], "media_id string, part bigint")
+    read = upkeep._segments_of(spark, path, gone, [1])
+    assert len(read.inputFiles()) == 1 and read.where("media_id = 'm7'").count() == sum(d[0] == "m7" for d in corpus(40, seed=6))
+
+
+def test_the_query_keeps_what_the_last_version_reads_and_no_copy(spark, rows, tmp_path):
+    """Texts are not stored beside the index, nor are parts that no version reads, postings, or packed entries."""
+    rng = random.Random(7)
+    texts = [(i, " ".join(rng.choices(WORDS, k=20))) for i in range(60)]
+    rows(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows([(0, "w1 w2"), (1, "w3")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = Path(shared_dir(spark).removeprefix("file://")) / "reelgrid" / spark.sparkContext.applicationId
+    before = set(kept.glob("*"))
+    found = load()[0]["index_upkeep"](spark, str(tmp_path))
+    whole = bm25_search(rows([(0, "w1 w2"), (1, "w3")], "query_id bigint, text_query string"), build_postings(rows(texts, "segment_id bigint, text string")), k=5)
+    assert sorted((r.query_id, r["rank"], r.segment_id) for r in found.collect()) == sorted((r.query_id, r["rank"], r.segment_id) for r in whole.collect())
+    left = {p.name.split("-")[0]: p for p in set(kept.glob("*")) - before}
+    assert "media" not in left
+    parts = {t: sorted(p.name for p in (left["upkeep"] / t).glob("part=*")) for t in ("segments", "entries", "media", "runs", "postings")}
+    live = ["part=2", "part=4", "part=5"]
+    assert parts == {"segments": live, "entries": live, "media": live, "runs": [], "postings": []}
